@@ -20,6 +20,7 @@ WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 #: Texts are handled in slices of about this many bytes, so memory doesn't follow the batch size.
 SLICE_BYTES = 8 << 20
+SLICE_ROWS = 8192
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,7 +55,7 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    part = (np.cumsum(sizes) - sizes) // limit
+    part = np.maximum((np.cumsum(sizes) - sizes) // limit, np.arange(batch.num_rows) // SLICE_ROWS)
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         yield batch.slice(a, b - a)
@@ -69,9 +70,16 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+def sums(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bytes of each text a mask marks."""
+    upto = np.zeros(len(mask) + 1, np.int64)
+    np.cumsum(mask, out=upto[1:])
+    return np.diff(upto[offsets])
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words of each text: (first word of each text and the end, code of each word, distinct words as bytes)."""
-    solid = ~(WHITE[data] if blank is None else blank)
+    solid = ~WHITE[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     edge = offsets[:-1][offsets[:-1] < len(data)]

@@ -7,8 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bidloom.llm import bpe, packing
-from bidloom.llm.common import read
+from bidloom.llm import bpe, langid, packing, quality, secrets
+from bidloom.llm.common import crc_bucket, read
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +23,23 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held_out = crc_bucket("doc_id", 4) == 2
+    model = langid.train(documents.where(~held_out))
+    return langid.predict(documents, model).select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op4_bpe": op4_bpe,
     "op8_packing": op8_packing,
+    "op9_quality": op9_quality,
+    "op10_langid": op10_langid,
 }
 
 SQL: dict[str, str] = {}

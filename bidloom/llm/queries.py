@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bidloom.llm import bpe, langid, packing, quality, secrets
+from bidloom.llm import bpe, langid, neardup, packing, quality, secrets
 from bidloom.llm.common import crc_bucket, read
 
 
@@ -15,6 +15,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), n_words=3, part=85, whole=100)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -36,10 +40,29 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_neardup": op2_neardup,
     "op4_bpe": op4_bpe,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_langid": op10_langid,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_neardup": """
+    WITH RECURSIVE w AS (
+      SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+      FROM documents),
+    s AS (
+      SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END AS s
+      FROM w),
+    n AS (SELECT doc_id, len(s) AS n FROM s),
+    u AS (SELECT doc_id, unnest(s) AS h FROM s),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM u x JOIN u y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY 1, 2),
+    e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+    d AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    r AS (SELECT doc_id, doc_id AS to_id FROM n UNION SELECT r.doc_id, d.b FROM r JOIN d ON r.to_id = d.a)
+    SELECT n.doc_id, CAST(any_value(n.n) AS BIGINT) AS n_shingles, min(r.to_id) AS component_id, n.doc_id = min(r.to_id) AS kept
+    FROM n JOIN r USING (doc_id) GROUP BY n.doc_id
+    """,
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bidloom.llm import bpe, langid, neardup, packing, quality, secrets
+from bidloom.llm import bpe, langid, neardup, packing, quality, secrets, urlfilter
 from bidloom.llm.common import crc_bucket, read
 
 
@@ -23,6 +23,18 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+#: The rules of the query, and listed hosts (labels under the example domains).
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_HOSTS = [f"{label}.example.{top}" for label in LISTED_LABELS for top in ("com", "net", "org")]
+
+
+def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    listed = spark.createDataFrame([(host, "/") for host in LISTED_HOSTS], "host string, path string")
+    return urlfilter.judged(read(spark, sf_dir, "pages", "page_id", "url"), rules, listed)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -42,12 +54,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_neardup": op2_neardup,
     "op4_bpe": op4_bpe,
+    "op6_urlfilter": op6_urlfilter,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_langid": op10_langid,
 }
 
 SQL: dict[str, str] = {
+    "op6_urlfilter": f"""
+    WITH rules(host, path, verdict, priority) AS (
+      VALUES {", ".join(f"('{h}', '{p}', '{v}', 1)" for h, p, v in URL_RULES)}, {", ".join(f"('{h}', '/', 'block', 0)" for h in LISTED_HOSTS)}),
+    p AS (
+      SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+      FROM pages),
+    m AS (
+      SELECT p.page_id, p.host, p.path, r.host || r.path AS rule, r.verdict, r.priority,
+        row_number() OVER (PARTITION BY p.page_id ORDER BY r.priority DESC NULLS LAST, len(r.host || r.path) DESC) AS k
+      FROM p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+    SELECT page_id, host, path, CASE WHEN priority = 1 THEN rule END AS rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
+    """,
     "op2_neardup": """
     WITH RECURSIVE w AS (
       SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bidloom.llm import bpe, langid, neardup, packing, quality, secrets, urlfilter
+from bidloom.llm import bpe, langid, neardup, packing, quality, secrets, toxicity, urlfilter
 from bidloom.llm.common import crc_bucket, read
 
 
@@ -23,6 +24,15 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents", "doc_id", "text")
+    held_out = crc_bucket("doc_id", 5) == 0
+    labels = read(spark, sf_dir, "labels", "doc_id", "toxic").where(~held_out).withColumnRenamed("doc_id", "id")
+    model = toxicity.train(documents.withColumnRenamed("doc_id", "id"), labels)
+    found = toxicity.score(documents, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 #: The rules of the query, and listed hosts (labels under the example domains).
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
@@ -54,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_neardup": op2_neardup,
     "op4_bpe": op4_bpe,
+    "op5_toxicity": op5_toxicity,
     "op6_urlfilter": op6_urlfilter,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidloom.llm import bpe, langid, neardup, packing, quality, secrets, toxicity, urlfilter
+from bidloom.llm import bpe, langid, neardup, packing, pages, quality, secrets, toxicity, urlfilter
 from bidloom.llm.common import crc_bucket, read
 
 
@@ -20,6 +20,10 @@ def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), n_words=3, part=85, whole=100)
 
 
+def op3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -63,6 +67,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_neardup": op2_neardup,
+    "op3_pages": op3_pages,
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
     "op6_urlfilter": op6_urlfilter,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidloom.llm import bpe, langid, neardup, packing, pages, quality, secrets, toxicity, urlfilter
+from bidloom.llm import bpe, flac, langid, neardup, packing, pages, quality, secrets, toxicity, urlfilter
 from bidloom.llm.common import crc_bucket, read
 
 
@@ -49,6 +49,10 @@ def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(read(spark, sf_dir, "pages", "page_id", "url"), rules, listed)
 
 
+def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.round_trip(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
     "op6_urlfilter": op6_urlfilter,
+    "op7_flac": op7_flac,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_langid": op10_langid,

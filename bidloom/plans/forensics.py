@@ -7,17 +7,16 @@ from pyspark.sql import functions as F
 from bidloom.operators import pools
 from bidloom.plans.registry import query
 from bidloom.sources import views
-
-BIDS = "bid AS (SELECT l_partkey AS tender_id, l_suppkey AS bidder_id, max(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2)"
+from bidloom.sources.views import with_cte
 
 
 @query(
     "w1_zscore_pool",
     f"""
-    WITH {BIDS}, m AS (
+    {with_cte("bid_v")}, m AS (
       SELECT *, count(*) OVER w AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) OVER w AS DOUBLE) AS s,
         CAST(sum(CAST(CAST(value AS DECIMAL(18,2)) * CAST(value AS DECIMAL(18,2)) AS DECIMAL(38,4))) OVER w AS DOUBLE) AS q
-      FROM bid WHERE value > 0 WINDOW w AS (PARTITION BY tender_id)),
+      FROM bid_v WHERE value > 0 WINDOW w AS (PARTITION BY tender_id)),
     z AS (SELECT tender_id, bidder_id, n, s / n AS mean, sqrt(greatest(q / n - (s / n) * (s / n), 0)) AS sd, value FROM m)
     SELECT tender_id, bidder_id, n AS pool_size, round((value - mean) / sd, 4) AS z,
       CASE WHEN value > mean THEN 'above' ELSE 'below' END AS side,

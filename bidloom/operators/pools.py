@@ -33,3 +33,47 @@ def zscore_pool(bids: DataFrame, keys: list[str], value: str, flag_at: float = 1
         F.when(F.col("z") > 0, "above").otherwise("below").alias("side"),
         F.when(F.abs("z") > high_at, "high").otherwise("medium").alias("severity"),
     )
+
+
+def benford(values: DataFrame, keys: list[str], value: str, least: int = 15, critical: float = 15.507, high_at: float = 25.0) -> DataFrame:
+    """First-digit test of each pool (A3): chi-square against log10(1 + 1/d), and the digit furthest off.
+
+    Pools of under ``least`` positive values give nothing. Digits are counted before anything is gathered.
+    """
+    from bidloom.functions.values import first_digit
+
+    digits = values.select(*keys, first_digit(F.col(value)).alias("digit")).where("digit is not null")
+    counted = digits.groupBy(*keys, "digit").agg(F.count("*").alias("n"))
+    wide = counted.groupBy(*keys).agg(F.sum("n").alias("n_values"), F.map_from_entries(F.collect_list(F.struct("digit", "n"))).alias("seen")).where(F.col("n_values") >= least)
+    every = wide.select(*keys, "n_values", F.explode(F.sequence(F.lit(1), F.lit(9))).alias("digit"), "seen")
+    expected = F.col("n_values") * F.log10(1 + 1 / F.col("digit"))
+    off = every.select(*keys, "n_values", "digit", expected.alias("expected"), F.coalesce(F.try_element_at("seen", F.col("digit")), F.lit(0)).alias("n"))
+    term = (F.col("n") - F.col("expected")) * (F.col("n") - F.col("expected")) / F.col("expected")
+    share = F.abs(F.col("n") - F.col("expected")) / F.col("expected")
+    found = off.groupBy(*keys).agg(F.first("n_values").alias("n_values"), F.round(F.sum(F.round(term, 6).cast("decimal(28,6)")), 4).cast("double").alias("chi_square"), F.max(F.struct(share.alias("share"), (-F.col("digit")).alias("digit"))).alias("worst"))
+    return found.where(F.col("chi_square") > critical).select(*keys, "n_values", "chi_square", (-F.col("worst.digit")).alias("worst_digit"), F.when(F.col("chi_square") > high_at, "high").otherwise("medium").alias("severity"))
+
+
+def bid_spread(bids: DataFrame, keys: list[str], value: str, low: float = 0.05, high: float = 0.80, least: int = 3) -> DataFrame:
+    """Pools whose bids lie too close together or too far apart (A4), by the population coefficient of variation."""
+    n, mean, deviation = exact_moments(value)
+    pools = bids.where(F.col(value) > 0).groupBy(*keys).agg(n.alias("n_bidders"), mean.alias("mean"), deviation.alias("sd")).where(F.col("n_bidders") >= least)
+    pools = pools.withColumn("cv", F.col("sd") / F.col("mean"))
+    signal = F.when(F.col("cv") < low, "price_fixing").when(F.col("cv") > high, "cover_bidding")
+    return pools.select(*keys, "n_bidders", "cv", signal.alias("signal"), F.when(F.col("cv") < low, "high").otherwise("medium").alias("severity")).where("signal is not null")
+
+
+def shared_value(rows: DataFrame, keys: list[str], value: Column, bidder: str, least: int = 2) -> DataFrame:
+    """Values that several bidders of a pool have in common (J9, J10, A5, A6): (keys, value, bidder_ids sorted)."""
+    pairs = rows.select(*keys, value.alias("value"), F.col(bidder).alias("bidder")).where("value is not null and value <> ''").distinct()
+    return pairs.groupBy(*keys, "value").agg(F.array_sort(F.collect_list("bidder")).alias("bidder_ids")).where(F.size("bidder_ids") >= least)
+
+
+def sequential_instruments(instruments: DataFrame, keys: list[str], number: str, bidder: str, most: int = 5, high_at: int = 2) -> DataFrame:
+    """Neighbouring instrument numbers of different bidders at most ``most`` apart (W2): the first run of four digits or more counts."""
+    digits = F.regexp_extract(F.col(number), r"(\d{4,})", 1)
+    numbered = instruments.select(*keys, F.col(bidder).alias("a"), digits.try_cast("decimal(38,0)").alias("number")).where("number is not null")
+    order = Window.partitionBy(*keys).orderBy("number", "a")
+    near = numbered.select("*", F.lead("a").over(order).alias("b"), F.lead("number").over(order).alias("next"))
+    near = near.where((F.col("a") != F.col("b")) & (F.col("next") - F.col("number") <= most)).withColumn("gap", (F.col("next") - F.col("number")).cast("bigint"))
+    return near.select(*keys, "a", "b", "gap", F.when(F.col("gap") <= high_at, "high").otherwise("medium").alias("severity"))

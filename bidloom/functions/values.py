@@ -64,9 +64,10 @@ def threshold_rupees(stated: Column, value: Column, unit: Column) -> Column:
 
 def humanised(amount: Column) -> Column:
     """An amount as crore, lakh or rupee with two decimals."""
+    whole = lambda unit: F.floor((amount * 100 + unit // 2) / unit) / 100  # noqa: E731  hundredths in whole numbers: halves go up
     return (
-        F.when(amount >= 10_000_000, F.format_string("%.2f crore", F.round(amount / 10_000_000, 2)))
-        .when(amount >= 100_000, F.format_string("%.2f lakh", F.round(amount / 100_000, 2)))
+        F.when(amount >= 10_000_000, F.format_string("%.2f crore", whole(10_000_000)))
+        .when(amount >= 100_000, F.format_string("%.2f lakh", whole(100_000)))
         .otherwise(F.format_string("%.2f rupee", amount.cast("double")))
     )
 

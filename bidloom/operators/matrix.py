@@ -140,3 +140,19 @@ def top_flags(flags: DataFrame, k: int, order: list) -> DataFrame:
     """The first k flags of each tender by severity, then ``order`` (K2)."""
     rank = F.row_number().over(Window.partitionBy("tender_id").orderBy(severity_rank(F.col("severity")), *order))
     return flags.withColumn("k", rank).where(F.col("k") <= k)
+
+
+def apply_decisions(cells: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The last decision on each cell (W13): final verdict, whether a second officer has to concur, and the cell's next state."""
+    last = decisions.groupBy(F.col("evaluation_id").alias("e")).agg(F.max_by(F.struct("decision", "new"), "at").alias("d"))
+    joined = cells.join(last, F.col("evaluation_id") == F.col("e"))
+    override = F.col("d.decision") == "override"
+    concur = F.col("second_officer") | override & (F.col("route") == "mandatory_review")
+    state = F.when(concur, "awaiting_concurrence").when(override, "overridden").otherwise("confirmed")
+    return joined.select("evaluation_id", F.when(override, F.col("d.new")).otherwise(F.col("verdict")).alias("final_verdict"), concur.alias("concurrence"), state.alias("state"))
+
+
+def snapshots(cells: DataFrame) -> DataFrame:
+    """One JSON record for each cell (H5, A23): schema version, keys, verdict, route and confidence parts."""
+    record = F.struct(F.lit(1).alias("schema_version"), *CELL, "criterion_id", "verdict", "basis", "route", "triggers", "breakdown")
+    return cells.select("tender_id", "evaluation_id", F.to_json(record).alias("snapshot"))

@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from bidloom.plans import audit, cells, documents, forensics, streams  # noqa: E402, F401  the modules register their queries
+from bidloom.plans import audit, cells, documents, forensics, streams, work  # noqa: E402, F401  the modules register their queries

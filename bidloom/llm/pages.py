@@ -6,7 +6,7 @@ the group's wrapper by simple tree matching: the largest set of node pairs that
 Slots of the wrapper whose text is the same on all pages are template, those whose text varies are content; copies of a page
 count once. The main region is the element marked as such (main, article), or else the smallest one that holds nearly all
 varying text. Its blocks are the text, without elements whose role isn't the article's (menus, footers, notices, adverts,
-forms, comments), and without constant slots that enough different pages confirm.
+forms, comments), and, where the page marks no main element, without constant slots that enough different pages confirm.
 
 Null and empty pages have an empty text; null URLs are one host of their own. Repeated rows get repeated results, deep or
 broken markup is read as far as it goes, and an empty table gives no rows. Only the named columns are read.
@@ -280,7 +280,7 @@ def wrap(documents: list[str]) -> list[str]:
     template = {x for x, n in held.items() if enough and n == len(different)}
     out = []
     for (marked, found), page in zip(chosen, pages, strict=True):
-        kept = [x not in template for x in page]
+        kept = [marked is not None or x not in template for x in page]
         if marked is None:
             region = _region(found, [len(t) * k for (_, t), k in zip(page, kept, strict=True)])
             kept = [k and (region is None or region in above) for k, (_, above) in zip(kept, found, strict=True)]

@@ -161,6 +161,7 @@ def post_review_checks(cells: DataFrame, kept: DataFrame | None = None) -> DataF
 def second_officers(requests: DataFrame, officers: DataFrame) -> DataFrame:
     """Who concurs with each request (W8): the first reviewer by name, else senior, never the one who asks."""
     rank = F.when(F.col("role") == "reviewer", 0).when(F.col("role") == "senior", 1)
-    able = F.broadcast(officers.where(rank.isNotNull()).groupBy().agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "name", "officer_id"))).alias("able")).select(F.slice("able", 1, 2).alias("able")))  # one row of two officers
+    first = officers.where(rank.isNotNull()).orderBy(rank, "name", "officer_id").limit(2)
+    able = first.agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "name", "officer_id")))).scalar()
     chosen = F.element_at(F.filter("able", lambda o: o["officer_id"] != F.col("requested_by")), 1)
-    return requests.crossJoin(able).withColumn("target", F.when(F.size(F.filter("able", lambda o: o["officer_id"] != F.col("requested_by"))) > 0, chosen["officer_id"])).drop("able")
+    return requests.withColumn("able", able).withColumn("target", F.when(F.size(F.filter("able", lambda o: o["officer_id"] != F.col("requested_by"))) > 0, chosen["officer_id"])).drop("able")

@@ -96,8 +96,7 @@ METADATA = "m AS (SELECT event_id, ts AS created, CASE WHEN event_id % 5 = 0 THE
 
 def _metadata(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("created"), F.when(F.col("event_id") % 5 == 0, F.col("ts") - F.expr("interval 1 hour")).otherwise(F.col("ts") + F.expr("interval 1 hour")).alias("modified"))
-    last = table(spark, sf_dir, "events").agg((F.max("ts") - F.expr("interval 2 days")).alias("as_of"))
-    return events.join(F.broadcast(last))  # one row
+    return events.withColumn("as_of", table(spark, sf_dir, "events").agg(F.max("ts") - F.expr("interval 2 days")).scalar())
 
 
 @query("t9_metadata_consistency", f"WITH {METADATA} SELECT event_id, 'future_creation_date' AS finding, 'high' AS severity FROM m WHERE created > as_of UNION ALL SELECT event_id, 'modification_before_creation', 'medium' FROM m WHERE modified < created")
@@ -192,10 +191,10 @@ def s4_file_formats(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", V.file_format(F.concat(F.lit("f"), k.cast("string"), end)).alias("format"))
 
 
-@query("p1_p3_units", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Crore' WHEN 1 THEN 'lac.' WHEN 2 THEN 'L' ELSE 'thousand' END AS unit, CAST(trunc(CAST(o_totalprice / 1000 AS DECIMAL(18,2)) * CASE o_orderkey % 4 WHEN 0 THEN 10000000 WHEN 1 THEN 100000 WHEN 2 THEN 100000 ELSE 1 END) AS BIGINT) AS rupees,
-    CAST(trunc(CAST(o_totalprice / 1000 AS DECIMAL(18,2)) * CASE o_orderkey % 4 WHEN 0 THEN 10000000 WHEN 1 THEN CASE WHEN CAST(o_totalprice / 1000 AS DECIMAL(18,2)) < 1000 THEN 10000000 ELSE 1 END WHEN 2 THEN 100000 ELSE CASE WHEN CAST(o_totalprice / 1000 AS DECIMAL(18,2)) < 1000 THEN 10000000 ELSE 1 END END) AS BIGINT) AS threshold FROM orders""")
+@query("p1_p3_units", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Crore' WHEN 1 THEN 'lac.' WHEN 2 THEN 'L' ELSE 'thousand' END AS unit, CAST(trunc(CAST(CAST(trunc(o_totalprice) AS BIGINT) % 3000 + 0.25 AS DECIMAL(18,2)) * CASE o_orderkey % 4 WHEN 0 THEN 10000000 WHEN 1 THEN 100000 WHEN 2 THEN 100000 ELSE 1 END) AS BIGINT) AS rupees,
+    CAST(trunc(CAST(CAST(trunc(o_totalprice) AS BIGINT) % 3000 + 0.25 AS DECIMAL(18,2)) * CASE o_orderkey % 4 WHEN 0 THEN 10000000 WHEN 1 THEN CASE WHEN CAST(CAST(trunc(o_totalprice) AS BIGINT) % 3000 + 0.25 AS DECIMAL(18,2)) < 1000 THEN 10000000 ELSE 1 END WHEN 2 THEN 100000 ELSE CASE WHEN CAST(CAST(trunc(o_totalprice) AS BIGINT) % 3000 + 0.25 AS DECIMAL(18,2)) < 1000 THEN 10000000 ELSE 1 END END) AS BIGINT) AS threshold FROM orders""")
 def p1_p3_units(spark, sf_dir):
-    k, v = F.col("o_orderkey"), (F.col("o_totalprice") / 1000).cast("decimal(18,2)")
+    k, v = F.col("o_orderkey"), (F.col("o_totalprice").cast("bigint") % 3000 + F.lit("0.25").cast("decimal(4,2)")).cast("decimal(18,2)")
     unit = F.when(k % 4 == 0, "Crore").when(k % 4 == 1, "lac.").when(k % 4 == 2, "L").otherwise("thousand")
     exact = F.when(k % 4 == 1, "x").otherwise(unit)
     threshold = (v * V.lookup(F.lower(F.trim(exact)), V.UNITS, F.when(v < 1000, F.lit(10_000_000)).otherwise(F.lit(1)))).cast("bigint")

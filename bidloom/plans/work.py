@@ -142,7 +142,7 @@ def a24_context_rollup(spark, sf_dir):
 @query("a26_corpus_counts", "SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS precedents, (SELECT count(*) FROM supplier WHERE s_acctbal < 0) AS registry")
 def a26_corpus_counts(spark, sf_dir):
     one = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").agg(F.count("*").alias("precedents"))
-    return one.join(table(spark, sf_dir, "supplier").where("s_acctbal < 0").agg(F.count("*").alias("registry")))  # one row each
+    return one.withColumn("registry", table(spark, sf_dir, "supplier").where("s_acctbal < 0").agg(F.count("*")).scalar())
 
 
 @query("u4_cited_documents", "WITH d AS (SELECT source AS tender_id, doc_id, n_chars > 300 AS complete FROM documents), c AS (SELECT tender_id, doc_id FROM d WHERE doc_id % 5 = 0 AND tender_id NOT IN ('src1', 'src2')) SELECT DISTINCT * FROM c UNION ALL SELECT tender_id, doc_id FROM d WHERE complete AND tender_id NOT IN (SELECT tender_id FROM c)")

@@ -20,7 +20,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from bidloom.llm.common import WHITE, buffer, keyed
+from bidloom.llm.common import buffer, keyed, lean, WHITE
 
 #: Distinct pieces are joined to texts of about this many bytes.
 JOIN_BYTES = 1 << 16
@@ -114,7 +114,7 @@ def decode(df: DataFrame, path: str, pattern: str, id_column: str = "doc_id", id
             raw = [encoding.decode_bytes(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["id", "raw"])
 
-    return df.selectExpr(f"`{id_column}` as id", f"`{ids_column}` as ids").mapInArrow(run, "id long, raw binary").withColumnRenamed("id", id_column)
+    return df.selectExpr(f"`{id_column}` as id", f"`{ids_column}` as ids").mapInArrow(lean(run), "id long, raw binary").withColumnRenamed("id", id_column)
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Rows of an Arrow batch; Spark's own default suits narrow rows, not whole texts.
+BATCH_ROWS = "2000"
+
+# Freed Arrow buffers go back to the system; workers are kept for other stages, and should be small then.
+pa.set_memory_pool(pa.system_memory_pool())
+_libc = ctypes.CDLL(None)
+
 #: The white space of the word pattern [^\x20\x09-\x0D]+.
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 #: Texts are handled in slices of about this many bytes, so memory doesn't follow the batch size.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 6 << 20
 SLICE_ROWS = 8192
 
 
@@ -32,9 +40,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches for whole texts, unless the job has set a size of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where its C library can."""
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A function over batches that keeps no freed memory when its partition ends."""
+
+    def held(batches):
+        yield from run(batches)
+        trim()
+
+    return held
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -42,6 +73,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     """Columns of one driver table."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
@@ -127,10 +159,11 @@ def shingles(of: np.ndarray, word_hash: np.ndarray, n: int) -> tuple[np.ndarray,
 def keyed(fn, df: DataFrame, schema: str) -> DataFrame:
     """mapInArrow over slices of (id, text): fn(slice) gives the columns after the id, as a list of arrays."""
     names = StructType.fromDDL(schema).names
+    small_batches(df.sparkSession)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), *fn(part.column(1))], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from bidloom.llm.common import buffer, keyed
+from bidloom.llm.common import buffer, keyed, lean
 
 RATE, BLOCK, PAD = 8000, 1024, 64
 #: Lanes that are decoded together at most.
@@ -485,7 +485,7 @@ def pcm_blocks(df: DataFrame, id_column: str = "doc_id", media_column: str = "me
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
-    found = df.selectExpr(f"`{id_column}` as id", f"`{media_column}` as media").mapInArrow(run, "id long, block int, sample_offset long, samples int, pcm binary")
+    found = df.selectExpr(f"`{id_column}` as id", f"`{media_column}` as media").mapInArrow(lean(run), "id long, block int, sample_offset long, samples int, pcm binary")
     return found.withColumnRenamed("id", id_column)
 
 

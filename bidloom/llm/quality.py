@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidloom.llm.common import WHITE, buffer, hashes, materialise, mix, slices, sums, words
+from bidloom.llm.common import buffer, hashes, lean, materialise, mix, slices, sums, words, WHITE
 from bidloom.llm.common import shingles as windows
 
 #: Character classes: bytes of lower-case, upper-case, digits, white space, sentence marks, brackets and quotes, symbols; others are bytes of letters beyond ASCII.
@@ -96,7 +96,7 @@ def corpus_counts(df: DataFrame, text_column: str = "text", lang_column: str = "
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.nulls(len(at), pa.binary()), pa.array(at // (STEPS + 1), pa.int32()), pa.array(at % (STEPS + 1), pa.int32()), pa.array(n[at], pa.int64())], names=names)
 
-    return df.selectExpr(f"`{text_column}` as text", f"`{lang_column}` as lang").mapInArrow(run, "lang string, word binary, class int, step int, n long")
+    return df.selectExpr(f"`{text_column}` as text", f"`{lang_column}` as lang").mapInArrow(lean(run), "lang string, word binary, class int, step int, n long")
 
 
 def _medians(rows: list) -> np.ndarray:
@@ -244,7 +244,7 @@ def judge(df: DataFrame, model: dict[str, dict], id_column: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays(columns, names=["id", *names, "class_distance", "word_distance", "base_failed", "kept"])
 
     schema = f"id long, {', '.join(f'{x} long' for x in names)}, class_distance double, word_distance double, base_failed boolean, kept boolean"
-    return df.selectExpr(f"`{id_column}` as id", f"`{text_column}` as text", f"`{lang_column}` as lang").mapInArrow(run, schema).withColumnRenamed("id", id_column)
+    return df.selectExpr(f"`{id_column}` as id", f"`{text_column}` as text", f"`{lang_column}` as lang").mapInArrow(lean(run), schema).withColumnRenamed("id", id_column)
 
 
 def quality(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
@@ -262,4 +262,4 @@ def keep(df: DataFrame, text_column: str = "text", lang_column: str = "lang") ->
             for part in slices(batch, text):
                 yield part.filter(pa.array(_verdicts(part.column(text), part.column(lang), model)[-1]))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)

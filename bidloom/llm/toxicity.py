@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidloom.llm.common import buffer, materialise, slices, words
+from bidloom.llm.common import buffer, lean, materialise, slices, words
 
 #: The labelled rows that are fitted on (those with the smallest hash of the id), the features kept, and the two penalties.
 SAMPLE_ROWS = 20_000
@@ -116,7 +116,7 @@ def select_features(labelled: DataFrame, count: int = FEATURES) -> list[int]:
                 hit = np.bincount(flat[bad == 1], minlength=len(known))
                 yield pa.RecordBatch.from_arrays([pa.array(list(known), pa.int64()), pa.array(total), pa.array(hit)], names=["feature", "n", "toxic"])
 
-    counts = labelled.mapInArrow(run, "feature long, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("t")).where("n >= 3")
+    counts = labelled.mapInArrow(lean(run), "feature long, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("t")).where("n >= 3")
     totals = labelled.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     n, t = float(totals["n"]), float(totals["t"] or 0)
     if not 0 < t < n:
@@ -168,7 +168,7 @@ def train(df: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, count: int
                 moved = [y if len(x) != len(y) or (x != y).any() else None for x, y in zip(own, other, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(own, kind), pa.array(moved, kind)], names=["toxic", "own", "swapped"])
 
-    found = labelled.mapInArrow(run, "toxic int, own array<short>, swapped array<short>").toArrow()
+    found = labelled.mapInArrow(lean(run), "toxic int, own array<short>, swapped array<short>").toArrow()
     toxic = found.column("toxic").to_numpy().astype(float)
     if not len(toxic):
         return Model({}, 0.0)
@@ -189,4 +189,4 @@ def score(df: DataFrame, model: Model, id_column: str = "doc_id", text_column: s
                 z = np.array([weights[x].sum() if len(x) else 0.0 for x in _rows(part.column(1), known)]) + model.intercept
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=["id", "score"])
 
-    return df.selectExpr(f"`{id_column}` as id", f"`{text_column}` as text").mapInArrow(run, "id long, score double").withColumnRenamed("id", id_column)
+    return df.selectExpr(f"`{id_column}` as id", f"`{text_column}` as text").mapInArrow(lean(run), "id long, score double").withColumnRenamed("id", id_column)

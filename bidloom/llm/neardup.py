@@ -8,10 +8,12 @@ longest common prefix, provided that the first DEPTH values agree. The orders ar
 
 The first round takes the NEAR nearest in all orders. That compares small regions whole; classes of crowded regions go on to
 deeper rounds, which order them by other values and look FAR to either side, past all that is already in the same group, and
-take the few most alike by signature. Deeper rounds end when IDLE of them in a row link nothing. So the work for a class is
-bounded by the rounds, however large its region is. Pairs whose signatures differ by far more than chance allows are left
-out; all others are confirmed on the full sets, exactly. A pair at the threshold s shares no tree's first values with
-probability (1 - s ** DEPTH) ** TREES, under 1e-8 at 0.8.
+take the few most alike by signature. Deeper rounds end when IDLE of them in a row link nothing. They only make the groups large
+before the rest: there, every pair of crowded classes that shares a region of any tree, is in two groups and hasn't been
+tested is looked at, by blocks of rows. Regions of one group need nothing then; a region of many groups that stay apart costs
+the square of its rows. Pairs whose signatures differ by far more than chance allows are left out; all others are confirmed
+on the full sets, exactly. A pair at the threshold s shares no tree's first values with probability
+(1 - s ** DEPTH) ** TREES, under 1e-8 at 0.8.
 
 Texts that are null or have no word have the empty set and are linked with nothing. Rows that share an id count as one
 document with several texts; a null id gets one made from the text, and its component is null where no document of the
@@ -24,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,8 @@ DEVIATIONS = 4.5
 MOST_FILTERED = 4_000_000
 #: Rows of an order that one task reads, about.
 ORDER_ROWS = 100_000
+#: Rows of a block in the rest.
+BLOCK = 128
 #: Ids from here on stand for null.
 NO_ID = 1 << 62
 
@@ -111,12 +116,14 @@ def _orders(classes: DataFrame, trees: list[int], turn: int) -> DataFrame:
 
 
 def _nearest(ordered: DataFrame) -> DataFrame:
-    """(a, b), a < b: rows at most NEAR places apart in a region; and (a, null) for rows of regions with more."""
+    """(a, b), a < b: rows at most NEAR places apart in a region; and (a, null) for rows of regions with more, and for those
+    at both ends of a partition, where a region may go on in the next."""
 
     def run(batches):
-        region, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        region, ids, edge = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             kept = len(ids)
+            edge = np.concatenate([edge, batch.column(2).to_numpy()[: NEAR + 1]])[: NEAR + 1]
             region = np.concatenate([region, batch.column(0).to_numpy()])
             ids = np.concatenate([ids, batch.column(2).to_numpy()])
             found = [np.zeros((2, 0), np.int64)]
@@ -131,6 +138,8 @@ def _nearest(ordered: DataFrame) -> DataFrame:
             region, ids = region[-NEAR - 1 :], ids[-NEAR - 1 :]
             none = pa.nulls(len(crowded), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[0], crowded])), pa.concat_arrays([pa.array(pairs[1]), none])], names=["a", "b"])
+        edge = np.unique(np.concatenate([edge, ids]))
+        yield pa.RecordBatch.from_arrays([pa.array(edge), pa.nulls(len(edge), pa.int64())], names=["a", "b"])
 
     return ordered.mapInArrow(lean(run), "a long, b long")
 
@@ -173,6 +182,59 @@ def _sorted(classes: DataFrame, trees: list[int], turn: int, rows: int) -> DataF
     return _orders(classes, trees, turn).repartitionByRange(parts, "region", "rest", "id").sortWithinPartitions("region", "rest", "id")
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(block, region, least, most, ids, groups, sketches): rows of a region, at most BLOCK, and their least and greatest group."""
+
+    def run(batches):
+        made = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            region, ids, group = (batch.column(i).to_numpy() for i in (0, 2, 3))
+            place = np.arange(len(region))
+            first = np.maximum.accumulate(np.where(np.append(True, region[1:] != region[:-1]), place, 0))
+            cuts = np.flatnonzero((place - first) % BLOCK == 0)
+            ends, sketch = np.append(cuts[1:], len(region)), _sketches(batch.column(4))
+            cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())  # noqa: B023, E731
+            columns = [made + np.arange(len(cuts)), region[cuts], np.minimum.reduceat(group, cuts), np.maximum.reduceat(group, cuts)]
+            made += len(cuts)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), cut(ids), cut(group), cut(sketch)], names=["block", "region", "least", "most", "ids", "groups", "sketches"])
+
+    return rows.mapInArrow(lean(run), "block long, region long, least long, most long, ids binary, groups binary, sketches binary")
+
+
+def _rest(held: DataFrame, trees: list[int], n_deep: int, least: float) -> DataFrame:
+    """(a, b, group_a, group_b), a < b: all pairs of different groups in a region of any tree whose sketches are alike enough."""
+    mixed = _orders(held, trees, 0).groupBy(F.col("region").alias("mixed")).agg(F.min("group").alias("one"), F.max("group").alias("other")).where("one <> other").select("mixed")
+    rows = _orders(held, trees, 1).join(mixed, F.col("region") == F.col("mixed"), "left_semi")
+    parts = max(1, n_deep * len(trees) // (ORDER_ROWS // 5))
+    blocks = materialise(_blocks(rows.repartitionByRange(parts, "region", "group", "id").sortWithinPartitions("region", "group", "id")), "blocks")
+    one, two = (blocks.select(*(F.col(c).alias(f"{c}_{x}") for c in ("block", "region", "least", "most"))) for x in "ab")
+    apart = (F.col("least_a") != F.col("most_a")) | (F.col("least_b") != F.col("most_b")) | (F.col("least_a") != F.col("least_b"))
+    pairs = one.join(two, (F.col("region_a") == F.col("region_b")) & (F.col("block_a") <= F.col("block_b")) & apart).select("block_a", "block_b")
+    for x in "ab":
+        pairs = pairs.join(blocks.select(F.col("block").alias("of"), *(F.col(c).alias(f"{c}_{x}") for c in ("ids", "groups", "sketches"))), F.col(f"block_{x}") == F.col("of")).drop("of")
+
+    def run(batches):
+        for batch in batches:
+            found = [np.zeros((4, 0), np.int64)]
+            for r in batch.to_pylist():
+                (ids_a, ids_b), (group_a, group_b) = ([np.frombuffer(r[f"{c}_{x}"], np.int64) for x in "ab"] for c in ("ids", "groups"))
+                one, two = (np.frombuffer(r[f"sketches_{x}"], np.uint8).reshape(len(ids), -1) for x, ids in (("a", ids_a), ("b", ids_b)))
+                for at in range(0, len(one), 16):
+                    good = ((one[at : at + 16, None] == two).mean(2) >= least) & (group_a[at : at + 16, None] != group_b)
+                    i, j = np.nonzero(good)
+                    i += at
+                    turned = ids_a[i] > ids_b[j]
+                    pair = np.stack([ids_a[i], ids_b[j], group_a[i], group_b[j]])
+                    pair[:, turned] = pair[:, turned][[1, 0, 3, 2]]
+                    found.append(pair)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(found, 1), axis=1)], names=["a", "b", "group_a", "group_b"])
+
+    found = pairs.select(*(f"{c}_{x}" for x in "ab" for c in ("ids", "groups", "sketches"))).mapInArrow(lean(run), "a long, b long, group_a long, group_b long")
+    return found.dropDuplicates(["a", "b"])
+
+
 def _alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """Pairs whose signatures agree in a share of at least ``least`` of their values."""
     one, two = (classes.select(F.col("id").alias(f"id_{x}"), F.col("signature").alias(f"signature_{x}")) for x in "ab")
@@ -275,19 +337,31 @@ def class_groups(classes: DataFrame, documents: DataFrame, n_words: int, part: i
     labels = materialise(components(_confirmed(likely, sets, part, whole)), "labels")
     deep = materialise(classes.join(crowded.withColumnRenamed("id", "deep"), F.col("id") == F.col("deep"), "left_semi").select("id", "signature"), "deep")
     n_deep, tested, idle, held = deep.count(), likely, 0, None
+
+    def grouped():
+        return materialise(deep.join(labels.withColumnRenamed("id", "label_of"), F.col("id") == F.col("label_of"), "left").select("id", "signature", F.coalesce("component", "id").alias("group")), "held")
+
+    def untested(pairs):
+        return materialise(pairs.join(tested.select(F.col("a").alias("old_a"), F.col("b").alias("old_b")), (F.col("a") == F.col("old_a")) & (F.col("b") == F.col("old_b")), "left_anti"), "more")
+
+    def linked(new):
+        return merged(labels, new.select(F.col("group_a").alias("a"), F.col("group_b").alias("b")))
+
     for turn in range(1, ROUNDS + 1):
         if not n_deep or idle == IDLE:
             break
         if held is None:
-            held = materialise(deep.join(labels.withColumnRenamed("id", "label_of"), F.col("id") == F.col("label_of"), "left").select("id", "signature", F.coalesce("component", "id").alias("group")), "held")
-        more = _deeper(_sorted(held, [t for t in trees if t % PART == turn % PART], turn, n_deep), least).dropDuplicates(["a", "b"])
-        more = materialise(more.join(tested.select(F.col("a").alias("old_a"), F.col("b").alias("old_b")), (F.col("a") == F.col("old_a")) & (F.col("b") == F.col("old_b")), "left_anti"), "more")
+            held = grouped()
+        more = untested(_deeper(_sorted(held, [t for t in trees if t % PART == turn % PART], turn, n_deep), least).dropDuplicates(["a", "b"]))
         new = materialise(_confirmed(more, sets, part, whole), "links")
         tested = tested.select("a", "b").union(more.select("a", "b"))
         if new.isEmpty():
             idle += 1
         else:
-            idle, held, labels = 0, None, merged(labels, new.select(F.col("group_a").alias("a"), F.col("group_b").alias("b")))
+            idle, held, labels = 0, None, linked(new)
+    if n_deep:
+        new = materialise(_confirmed(untested(_rest(held or grouped(), trees, n_deep, least)), sets, part, whole), "links")
+        labels = labels if new.isEmpty() else linked(new)
     return labels
 
 

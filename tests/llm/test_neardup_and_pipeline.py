@@ -97,6 +97,30 @@ def test_crowded_regions(spark):
     assert [(x["doc_id"], x["component_id"]) for x in found.orderBy("doc_id").collect()] == [(a, c) for a, _, c in brute(rows, 3, 85, 100)]
 
 
+def near_threshold():
+    """Texts of one family, most pairs of them just under the threshold, and some just over it."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(400):
+        own = list(base)
+        for _ in range(5):
+            own[r.randrange(300)] = f"v{r.randint(0, 10**6)}"
+        rows.append((i, " ".join(own)))
+        if i % 2:
+            at = next(k for k in range(300) if rows[i - 1][1].split()[k] != base[k])
+            own[at] = rows[i - 1][1].split()[at]
+            rows[i] = (i, " ".join(own))
+    return rows
+
+
+def test_near_threshold(spark):
+    """Pairs that fail don't hide those that hold."""
+    rows = near_threshold()
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100)
+    assert [(x["doc_id"], x["component_id"]) for x in found.orderBy("doc_id").collect()] == [(a, c) for a, _, c in brute(rows, 3, 85, 100)]
+
+
 def test_stages(spark):
     import corpus_pipeline as pipeline
 

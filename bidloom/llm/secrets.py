@@ -1,13 +1,14 @@
 """Secret scan with a recursive decoding worklist.
 
 Each text is scanned as it stands (the base spans), then its layers are unwrapped: URL escapes, Unicode escapes and
-compatibility forms, base64 runs, and compressed bytes inside those. Every new layer is scanned and unwrapped again until
+compatibility forms, base64 runs, and compressed bytes inside those or under escapes. Every new layer is scanned and unwrapped again until
 none is new; a layer already seen at the same place is dropped, which ends cycles. A layer carries, for each character, the
 span of the text it came from, so what is found inside is reported in the text's own code points. A base64 run is one unit:
 whatever its content holds maps to the whole run.
 
 Null and empty texts have no spans. Rows are handled one by one (repeated rows give repeated results) and only the named
-columns are read. A decompressed layer of more than ``most_bytes`` isn't unwrapped; ``oversize`` then says so.
+columns are read. Bytes that are no UTF-8 or UTF-16 are read as Latin-1. A decompressed layer of more than ``most_bytes`` is
+handled in blocks that overlap by ``OVERLAP`` bytes and so is never held whole; ``oversize`` says so. All members of compressed bytes are read.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ import lzma
 import re
 import unicodedata
 import zlib
+from collections.abc import Iterator
 from typing import NamedTuple
 from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,9 +50,17 @@ MAYBE_SECRET = rf"(?i:{ASSIGN})|AKIA[A-Z0-9]{{16}}|[0-9a-f]{{24}}"
 MAYBE_LAYER = r"%[0-9A-Fa-f]{2}|%u[0-9A-Fa-f]{4}|\\[uUxX]|&#|[A-Za-z0-9+/_-]{16}|[\x{AD}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}\x{FF01}-\x{FF5E}\x{1D400}-\x{1D7FF}\x{E0000}-\x{E007F}]"
 
 MOST_BYTES = 64 << 20
+#: Bytes that the blocks of a large layer share.
+OVERLAP = 1 << 20
 
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|%u[0-9A-Fa-f]{4}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
+#: Runs of bytes as escapes and plain characters, for compressed bytes; and how those begin.
+URL_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~-])+")
+ESCAPED_BYTES = re.compile(r"""(?:\\x[0-9A-Fa-f]{2}|\\[\\'"nrtabfv0]|[ !#-&(-\[\]-~])+""")
+ONE_BYTE = re.compile(r"%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\.|.", re.DOTALL)
+PLAIN = dict(zip("nrtabfv0", "\n\r\t\a\b\f\v\0", strict=True))
+MAGIC = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]+={0,2}")
 ODD = re.compile("[\xad​-‏⁠-⁤﻿！-～\U0001d400-\U0001d7ff\U000e0000-\U000e007f]")
@@ -63,10 +74,6 @@ class Layer(NamedTuple):
     ends: np.ndarray
 
 
-class Oversize(Exception):
-    """A decompressed layer is larger than the limit."""
-
-
 def matches(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all secrets that stand plainly in a text."""
     out = []
@@ -123,29 +130,89 @@ def _surrogates(layer: Layer) -> Layer:
     return _replaced(layer, re.compile("[\ud800-\udbff][\udc00-\udfff]"), lambda x: (x.encode("utf-16", "surrogatepass").decode("utf-16"), [2])) or layer
 
 
-def _inflate(raw: bytes, most: int) -> bytes | None:
-    """The content of gzip, zlib, bzip2, xz or zstandard bytes, or None."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
-            tool = zlib.decompressobj(47)
-            out = tool.decompress(raw, most + 1)
-        elif raw[:3] == b"BZh":
-            out = bz2.BZ2Decompressor().decompress(raw, most + 1)
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            out = lzma.LZMADecompressor().decompress(raw, most + 1)
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            out = zstandard.ZstdDecompressor().stream_reader(raw).read(most + 1)
-        else:
-            return None
-    except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        return None
-    if len(out) > most:
-        raise Oversize
-    return out
+def _tool(raw: bytes):
+    """A decompressor for gzip, zlib, bzip2, xz or zstandard bytes, or None."""
+    if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
+        return zlib.decompressobj(47)
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True) if raw[:4] == b"\x28\xb5\x2f\xfd" else None
 
 
-def _readable(raw: bytes) -> str | None:
-    """Bytes as text: UTF-8, or UTF-16 where zero bytes say so."""
+def _pieces(raw: bytes, size: int, left: list[int]) -> Iterator[bytes]:
+    """The content of compressed bytes in pieces of at most ``size``, member after member; it ends where they are damaged. In
+    the end ``left`` has the number of bytes after the last member."""
+    left[:] = [0]
+    try:
+        while raw and (tool := _tool(raw)) is not None:
+            if isinstance(tool, zstandard.ZstdDecompressionReader):
+                while piece := tool.read(size):
+                    yield piece
+                return
+            rest = raw
+            while not tool.eof:
+                piece = tool.decompress(rest, size)
+                rest = getattr(tool, "unconsumed_tail", b"")
+                if piece:
+                    yield piece
+                elif not rest:
+                    break
+            raw = tool.unused_data
+            left[:] = [len(raw)]
+    except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
+        return
+
+
+def _blocks(raw: bytes, most: int, left: list[int]) -> Iterator[bytes]:
+    """The content of compressed bytes in blocks of at most ``most`` bytes, each beginning with the end of the one before."""
+    shared = min(OVERLAP, most // 2)
+    block = bytearray()
+    for piece in _pieces(raw, max(1, most - shared - 1), left):
+        if len(block) + len(piece) > most:
+            yield bytes(block)
+            del block[: max(0, len(block) - shared) & ~1]
+        block += piece
+    if block:
+        yield bytes(block)
+
+
+def _whole(block: bytes, first: bool) -> bytes:
+    """A block of a large layer less the bytes of UTF-8 characters that its ends cut; the blocks beside it have them."""
+    start = 0 if first else next((i for i in range(min(4, len(block))) if block[i] & 0xC0 != 0x80), 0)
+    for i in range(1, min(4, len(block)) + 1):
+        if block[-i] & 0xC0 != 0x80:
+            size = 1 if block[-i] < 0xC0 else 2 if block[-i] < 0xE0 else 3 if block[-i] < 0xF0 else 4
+            return block[start : len(block) - i if size > i else None]
+    return block[start:]
+
+
+def _texts(raw: bytes, most: int, over: list[bool], left: list[int]) -> Iterator[str]:
+    """Bytes as text; where they are compressed, their content, in blocks where it is large (``over`` then gets an entry)."""
+    seen = set()
+    while _tool(raw) is not None and raw not in seen:
+        seen.add(raw)
+        blocks = _blocks(raw, most, left if len(seen) == 1 else [])
+        below = next(blocks, None)
+        if below is None:
+            break
+        if (second := next(blocks, None)) is not None:
+            over.append(True)
+            mark = below[:2] if below[:2] in (b"\xff\xfe", b"\xfe\xff") else b""
+            wide = mark or below[1::2].count(0) > len(below) // 4
+            yield _readable(below[: len(below) & ~1] if wide else _whole(below, True))
+            while second is not None:
+                yield _readable(mark + second[: len(second) & ~1] if wide else _whole(second, False))
+                second = next(blocks, None)
+            return
+        raw = below
+    if raw:
+        yield _readable(raw)
+
+
+def _readable(raw: bytes) -> str:
+    """Bytes as text: UTF-8, UTF-16 where zero bytes say so, or Latin-1."""
     try:
         if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
             return raw.decode("utf-16")
@@ -153,7 +220,7 @@ def _readable(raw: bytes) -> str | None:
             return raw.decode("utf-16-le")
         return raw.decode()
     except UnicodeDecodeError:
-        return None
+        return raw.decode("latin-1")
 
 
 def _bytes_of(run: str) -> bytes | None:
@@ -165,53 +232,82 @@ def _bytes_of(run: str) -> bytes | None:
         return None
 
 
-def _unwrapped(layer: Layer, runs: set, most: int) -> list[Layer]:
-    """All layers one step below; ``runs`` has the base64 runs of this text already opened, by place."""
-    out = []
+def _hash(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+
+
+def _byte_run(run: str) -> tuple[bytes, list[int]]:
+    """The bytes of a run of escapes and plain characters, and where each ends in it."""
+    raw, ends = bytearray(), []
+    for m in ONE_BYTE.finditer(run):
+        one = m[0]
+        raw.append(int(one[-2:], 16) if len(one) > 2 else ord(PLAIN.get(one[1], one[1])) if len(one) == 2 else ord(one))
+        ends.append(m.end())
+    return bytes(raw), ends
+
+
+def _unwrapped(layer: Layer, runs: set, most: int, over: list[bool]) -> Iterator[Layer]:
+    """All layers one step below, one at a time; ``runs`` has the runs of this text already opened, by place."""
     text = layer.text
+
+    def inside(inner: str, begin: int, end: int) -> Layer:
+        return Layer(inner, np.broadcast_to(np.int64(begin), len(inner)), np.broadcast_to(np.int64(end), len(inner)))
+
     if "%" in text and (new := _replaced(layer, URL, _percent)):
-        out.append(new)
+        yield new
     if ("\\" in text or "&#" in text or "%u" in text) and (new := _replaced(layer, ESCAPE, _escape)):
-        out.append(_surrogates(new))
+        yield _surrogates(new)
     if not text.isascii() and ODD.search(text) and (new := _replaced(layer, ODD, _compatible)):
-        out.append(new)
+        yield new
+    for sign, pattern in (("%", URL_BYTES), ("\\x", ESCAPED_BYTES)):
+        for m in pattern.finditer(text) if sign in text else ():
+            if sign not in m[0]:
+                continue
+            raw, ends = _byte_run(m[0])
+            for at in MAGIC.finditer(raw):
+                a = m.start() + (ends[at.start() - 1] if at.start() else 0)
+                begin, left = int(layer.starts[a]), [0]
+                part = raw[at.start() :]
+                if (key := (begin, int(layer.ends[m.end() - 1]), xxhash.xxh3_128_digest(part))) in runs or next(_pieces(part, 1, []), None) is None:
+                    continue
+                runs.add(key)
+                for _ in _pieces(part, 1 << 16, left):
+                    pass
+                end = int(layer.ends[m.start() + ends[len(raw) - 1 - left[0]] - 1])
+                for inner in _texts(part, most, over, []):
+                    yield inside(inner, begin, end)
     found = [m.span() for m in BASE64.finditer(text)]
     if "\n" in text:
         found += [m.span() for m in WRAPPED.finditer(text)]
     for a, b in found:
         begin, end = int(layer.starts[a]), int(layer.ends[b - 1])
-        if (key := (begin, end, text[a:b])) in runs:
+        if (key := (begin, end, _hash(text[a:b]))) in runs:
             continue
         runs.add(key)
-        raw, seen = _bytes_of(text[a:b]), set()
-        while raw is not None and (below := _inflate(raw, most)) is not None and below not in seen:
-            seen.add(below)
-            raw = below
-        if raw and (inner := _readable(raw)):
-            out.append(Layer(inner, np.full(len(inner), begin), np.full(len(inner), end)))
-    return out
+        if raw := _bytes_of(text[a:b]):
+            for inner in _texts(raw, most, over, []):
+                yield inside(inner, begin, end)
 
 
 def scan(text: str, most_bytes: int = MOST_BYTES) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], bool]:
     """(base spans, all spans, oversize) of one text; spans by start, then kind as listed, then end."""
     base = matches(text)
-    spans, seen, runs, oversize = set(base), set(), set(), False
+    spans, seen, runs, over = set(base), set(), set(), []
     place = np.arange(len(text) + 1)
-    work = [Layer(text, place[:-1], place[1:])]
+    work = [iter([Layer(text, place[:-1], place[1:])])]
     while work:
-        layer = work.pop()
-        key = (layer.text, int(layer.starts[0]), int(layer.ends[-1])) if layer.text else ("", 0, 0)
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        key = (_hash(layer.text), int(layer.starts[0]), int(layer.ends[-1])) if layer.text else (b"", 0, 0)
         if key in seen:
             continue
         seen.add(key)
         if layer.text is not text:
             spans |= {(kind, int(layer.starts[a : b].min()), int(layer.ends[a:b].max())) for kind, a, b in matches(layer.text)}
-        try:
-            work += _unwrapped(layer, runs, most_bytes)
-        except Oversize:
-            oversize = True
+        work.append(_unwrapped(layer, runs, most_bytes, over))
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
-    return sorted(base, key=order), sorted(spans, key=order), oversize
+    return sorted(base, key=order), sorted(spans, key=order), bool(over)
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:

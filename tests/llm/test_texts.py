@@ -59,6 +59,21 @@ def test_bombs_are_reported():
     assert secrets.scan(bomb, most_bytes=1_000_000)[2]
 
 
+def test_a_bomb_hides_nothing():
+    secret = "token: abcdefgh"
+    bomb = base64.b64encode(zlib.compress(b"0 " * 1_000_000 + secret.encode() + b" 0" * 500_000)).decode()
+    text = f"{encoded(secret)} {bomb} {encoded('see ' + encoded(secret))} {urllib.parse.quote(secret, safe='')}"
+    _, spans, oversize = secrets.scan(text, most_bytes=100_000)
+    assert oversize and {text[a:b] for _, a, b in spans} == set(text.split())
+
+
+@pytest.mark.parametrize("wrap", [lambda b: urllib.parse.quote_from_bytes(b, safe=""), lambda b: repr(b)[2:-1], lambda b: "".join(f"\\x{x:02x}" for x in b), lambda b: base64.b64encode(b).decode()])
+@pytest.mark.parametrize("pack", [lambda s: gzip.compress(s), zlib.compress, lambda s: gzip.compress(b"first ") + gzip.compress(s), lambda s: gzip.compress(b"\xff\xe9 " + s)])
+def test_compressed_bytes_under_escapes(wrap, pack):
+    hidden = wrap(pack(b"token: abcdefgh"))
+    assert ("assign", 2, 2 + len(hidden)) in secrets.scan(f"x '{hidden}' y".replace("'", "", 1))[1]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.text(alphabet='password=:" %3D\\u0041AKI0f&#;é', max_size=60))
 def test_base_spans_stay(text):

@@ -6,8 +6,9 @@ successor seen c times c / (n + u), and u / (n + u) to go on to the next shorter
 The statistics are then frozen, and a text's code length in bits under each language is exact for them. The shortest code
 names the language; its score is the probability that the code lengths give it against the other languages.
 
-Four-byte strings stand for nodes with their successors; each language keeps its ``max_nodes`` most frequent ones (ties by
-value), which bounds the model, and shorter contexts are sums over those. Texts start after three newlines.
+Four-byte strings stand for nodes with their successors; all nodes of all languages count. Where distinct strings times
+languages are at most MOST_CELLS, the model goes to every task; beyond, it stays a table, and the distinct strings of the texts
+are priced by joins with it. Both give the same code lengths. Texts start after three newlines.
 
 Null texts, and texts without a letter, get ``und`` and score 0. Repeated rows get repeated results; without training rows all
 texts are ``und``. An empty table gives no rows. Only the id, text and language columns are read.
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from bidloom.llm.common import buffer, lean, materialise, slices
 
-MAX_NODES = 120_000
-MAX_LANGUAGES = 64
+#: Most prices (distinct strings times languages, 8 bytes each, and half as much again for shorter ones) that go to every task.
+MOST_CELLS = 8_000_000
 #: A task's counts are written out when it has this many nodes.
 TABLE_NODES = 1_000_000
 START = np.frombuffer(b"\n\n\n", np.uint8)
@@ -54,7 +55,7 @@ def gram_counts(df: DataFrame, text_column: str, lang_column: str) -> DataFrame:
     names = ["lang", "gram", "n"]
 
     def out(lang, found):
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(found.index.to_numpy().astype(np.int64)), pa.array(found.to_numpy().astype(np.int64))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.index.to_numpy().astype(np.int64)), pa.array(found.to_numpy().astype(np.int64))], names=names)
 
     def run(batches):
         tables: dict[str, pd.Series] = {}
@@ -136,18 +137,71 @@ def _bits(first: Order | None, orders: list[Order], keys: np.ndarray) -> np.ndar
     return out
 
 
-def train(df: DataFrame, text_column: str = "text", lang_column: str = "lang", max_nodes: int = MAX_NODES) -> Model:
-    """A model from all rows; at most MAX_LANGUAGES x ``max_nodes`` counts come to the driver."""
+class Table(NamedTuple):
+    """Statistics too large for a task: languages, and (lang, gram, n) in Spark."""
+
+    languages: list[str]
+    counts: DataFrame
+
+
+def train(df: DataFrame, text_column: str = "text", lang_column: str = "lang", most_cells: int = MOST_CELLS) -> Model | Table:
+    """A model from all rows; counts come to the driver only where all prices are at most ``most_cells``."""
     counts = gram_counts(df, text_column, lang_column).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "grams")
-    sizes = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    if counts.select("gram").distinct().count() * len(languages) > most_cells:
+        return Table(languages, counts)
+    every = counts.toArrow()
     found = {}
-    for lang in sorted(r["lang"] for r in sizes):
-        top = counts.where(F.col("lang") == lang).select("gram", "n").orderBy(F.desc("n"), "gram").limit(max_nodes).toArrow()
-        found[lang] = top.column("gram").to_numpy(), top.column("n").to_numpy()
+    for lang in languages:
+        own = every.filter(pc.equal(every.column("lang"), lang))
+        found[lang] = own.column("gram").to_numpy(), own.column("n").to_numpy()
     return freeze(found)
 
 
+def _prices(table: Table, wanted: DataFrame) -> DataFrame:
+    """(gram, lang, bits) of the wanted grams under each language, by joins with the statistics of orders 0 to 3."""
+    out = wanted.select("gram", F.explode(F.array(*map(F.lit, table.languages))).alias("lang"), F.lit(8.0).alias("bits"))
+    for order in range(4):
+        mask = (1 << 8 * (order + 1)) - 1
+        nodes = table.counts.groupBy(F.col("lang").alias("node_lang"), F.col("gram").bitwiseAND(mask).alias("node")).agg(F.sum("n").alias("n"))
+        contexts = nodes.groupBy(F.col("node_lang").alias("context_lang"), F.shiftright("node", 8).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        key = F.col("gram").bitwiseAND(mask)
+        out = out.join(nodes, (F.col("lang") == F.col("node_lang")) & (key == F.col("node")), "left")
+        out = out.join(contexts, (F.col("lang") == F.col("context_lang")) & (F.shiftright(key, 8) == F.col("context")), "left")
+        both = F.col("total") + F.col("kinds")
+        bits = F.when(F.col("n").isNotNull(), -F.log2(F.col("n") / both)).when(F.col("total").isNotNull(), F.col("bits") - F.log2(F.col("kinds") / both)).otherwise(F.col("bits"))
+        out = out.select("gram", "lang", bits.alias("bits"))
+    return out
+
+
+def _decided(df: DataFrame, table: Table, text_column: str) -> DataFrame:
+    """The rows of ``df`` with (_lang, _score, _bits), by joins."""
+    rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 1):
+                gram, offsets = _grams(*buffer(part.column(1)))
+                row = np.repeat(np.arange(part.num_rows), np.diff(offsets)).astype(np.uint64)
+                key, n = np.unique(row << np.uint64(32) | gram, return_counts=True)
+                own = part.column(0).to_numpy()[(key >> np.uint64(32)).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n.astype(np.int64))], names=["row", "gram", "times"])
+
+    grams = materialise(rows.select("_row", F.col(text_column).alias("text")).mapInArrow(lean(run), "row long, gram long, times long"), "text_grams")
+    prices = materialise(_prices(table, grams.select("gram").distinct()), "prices").withColumnRenamed("gram", "priced")
+    bits = grams.join(prices, F.col("gram") == F.col("priced")).groupBy("row", "lang").agg(F.sum(F.col("times") * F.col("bits")).alias("bits"), F.sum("times").alias("size"))
+    best = bits.groupBy(F.col("row").alias("_best_row")).agg(F.min(F.struct("bits", "lang")).alias("best"), F.max("size").alias("_size"))
+    best = best.select("_best_row", F.col("best.bits").alias("_least"), F.col("best.lang").alias("_best"), "_size")
+    share = F.pow(F.lit(2.0), F.greatest(F.col("_least") - F.col("bits"), F.lit(-1000.0)))
+    scored = bits.select("row", "bits").join(best, F.col("row") == F.col("_best_row")).groupBy("_best_row", "_least", "_best", "_size").agg((1 / F.sum(share)).alias("_share"))
+    found = rows.join(scored, F.col("_row") == F.col("_best_row"), "left")
+    letters = F.coalesce(F.col(text_column).rlike(LETTER), F.lit(False))
+    return found.select(
+        *(F.col(f"`{c}`") for c in df.columns), F.when(letters, F.col("_best")).otherwise("und").alias("_lang"), F.when(letters, F.col("_share")).otherwise(0.0).alias("_score"), F.coalesce(F.col("_least") / F.col("_size"), F.lit(0.0)).alias("_bits")
+    )
+
+
 def code_lengths(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bits of each text (rows) under each language (columns), and bytes of each text."""
     data, offsets = buffer(texts)
@@ -176,9 +230,12 @@ def decide(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.nda
     return np.where(letters, names, "und").tolist(), np.where(letters, score, 0.0), np.where(size > 0, least / np.maximum(size, 1), 0.0)
 
 
-def predict(df: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def predict(df: DataFrame, model: Model | Table, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, lang_pred, score, bits_per_byte) for each row."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_LANGUAGES and max_nodes
+    if isinstance(model, Table):
+        found = _decided(df.selectExpr(f"`{id_column}` as id", f"`{text_column}` as text"), model, "text")
+        return found.select(F.col("id").cast("long").alias(id_column), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_bits").alias("bits_per_byte"))
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_CELLS
 
     def run(batches):
         for batch in batches:
@@ -190,8 +247,10 @@ def predict(df: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     return found.withColumnRenamed("id", id_column)
 
 
-def keep(df: DataFrame, model: Model, least_score: float = 0.5, most_bits: float = 7.0, text_column: str = "text") -> DataFrame:
+def keep(df: DataFrame, model: Model | Table, least_score: float = 0.5, most_bits: float = 7.0, text_column: str = "text") -> DataFrame:
     """The rows, with all their columns, whose text has a language: not ``und``, score and code length within the limits."""
+    if isinstance(model, Table):
+        return _decided(df, model, text_column).where((F.col("_lang") != "und") & (F.col("_score") >= least_score) & (F.col("_bits") <= most_bits)).drop("_lang", "_score", "_bits")
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -209,3 +209,15 @@ def test_small_table_oracle(spark, duck):
 
     for name, sql in SQL.items():
         same_rows(QUERIES[name](spark, SMALL), duck, sql)
+
+
+def test_all_languages_and_nodes_count(spark):
+    """Seventy languages, each of its own letter; and both forms of the model give the same."""
+    rows = [(i, (chr(0x4E00 + 7 * i) + "a ") * (200 - i), f"l{i:02}") for i in range(70)]
+    frame = spark.createDataFrame([*rows, (70, None, "l00"), (71, "12 34", None)], "doc_id long, text string, lang string")
+    model, table = langid.train(frame), langid.train(frame, most_cells=0)
+    assert len(model.languages) == len(table.languages) == 70
+    one, two = (sorted(map(tuple, langid.predict(frame, m).collect())) for m in (model, table))
+    assert [x[:2] for x in one] == [x[:2] for x in two] == [*((i, f"l{i:02}") for i in range(70)), (70, "und"), (71, "und")]
+    assert np.allclose([x[2:] for x in one], [x[2:] for x in two])
+    assert sorted(map(tuple, langid.keep(frame, model).collect())) == sorted(map(tuple, langid.keep(frame, table).collect()))

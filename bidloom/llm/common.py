@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,23 +19,28 @@ from pyspark.sql.types import StructType
 #: Rows of an Arrow batch; Spark's own default suits narrow rows, not whole texts.
 BATCH_ROWS = "2000"
 
-# Freed Arrow buffers go back to the system; workers are kept for other stages, and should be small then.
+# Freed Arrow buffers go back to the system; workers are kept for other stages, and should be small then. Arrays over
+# four megabytes are mapped by themselves (the C library would raise that limit as it goes), so they too go back at once.
 pa.set_memory_pool(pa.system_memory_pool())
 _libc = ctypes.CDLL(None)
+if hasattr(_libc, "mallopt"):
+    _libc.mallopt(-3, 1 << 22)
 
 #: The white space of the word pattern [^\x20\x09-\x0D]+.
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 #: Texts are handled in slices of about this many bytes, so memory doesn't follow the batch size.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 SLICE_ROWS = 8192
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a new local one, kept in the setting."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset and all runs in one process (tests), a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.bidloom.shared", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.bidloom.shared", found)
     return found
@@ -68,7 +74,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` stored and nothing reads any more."""
+    for table in tables:
+        if path := table.__dict__.get("stored_at"):
+            folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:

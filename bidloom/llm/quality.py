@@ -1,9 +1,10 @@
 """Quality rules by distribution divergence.
 
 References are learned from the whole table: for each language, the median share of each character class over its documents
-(which a part of odd documents doesn't move) and the histogram of its most common words. A document's two histograms are compared with its language's by Jensen-Shannon distance (root of the divergence
-in bits, 0 to 1). Short texts are noisy, so each comparison has a least length, below which it passes. Documents whose
-language is null or has no reference are held against the nearest reference.
+(which a part of odd documents doesn't move) and the histogram of its most common words. They are a table, one small row for
+each language, that documents are joined with. A document's two histograms are compared with its language's by Jensen-Shannon
+distance (root of the divergence in bits, 0 to 1). Short texts are noisy, so each comparison has a least length, below which it
+passes. Documents whose language is null are held against the nearest reference of the ``NEAREST`` languages with most words.
 
 Null text counts as empty (no words, not kept: too few words). Repeated rows get repeated results; a language with few
 documents still has a reference. An empty table gives no rows. Only the id, text and language columns are read.
@@ -17,10 +18,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidloom.llm.common import buffer, hashes, lean, materialise, mix, slices, sums, words, WHITE
+from bidloom.llm.common import buffer, discard, hashes, lean, materialise, mix, slices, sums, words, WHITE
 from bidloom.llm.common import shingles as windows
 
 #: Character classes: bytes of lower-case, upper-case, digits, white space, sentence marks, brackets and quotes, symbols; others are bytes of letters beyond ASCII.
@@ -37,9 +38,9 @@ for _chars, _class in ((b"abcdefghijklmnopqrstuvwxyz", 0), (b"ABCDEFGHIJKLMNOPQR
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
-#: Words of a reference; the languages that have one (the most frequent values of the language column).
+#: Words of a reference; and the languages against which documents without a language are held.
 COMMON_WORDS = 64
-MOST_LANGUAGES = 64
+NEAREST = 64
 #: Distances above these reject a text; below the least numbers of characters and words they aren't judged. Shares of few
 #: characters vary, by about 1 / sqrt(characters), so that times CLASS_SLACK is added.
 CLASS_DISTANCE, CLASS_SLACK, CLASS_LEAST = 0.17, 1.8, 200
@@ -99,32 +100,64 @@ def corpus_counts(df: DataFrame, text_column: str = "text", lang_column: str = "
     return df.selectExpr(f"`{text_column}` as text", f"`{lang_column}` as lang").mapInArrow(lean(run), "lang string, word binary, class int, step int, n long")
 
 
-def _medians(rows: list) -> np.ndarray:
+class Reference(NamedTuple):
+    """Class shares, hashes of common words with their shares, and the share of all other words."""
+
+    classes: np.ndarray
+    words: np.ndarray
+    shares: np.ndarray
+    rest: float
+
+    def packed(self) -> bytes:
+        return np.concatenate([self.classes, [self.rest], self.words.view(np.float64), self.shares]).tobytes()
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> Reference:
+        values = np.frombuffer(raw, np.float64)
+        k = (len(values) - 9) // 2
+        return cls(values[:8], values[9 : 9 + k].view(np.uint64), values[9 + k :], float(values[8]))
+
+
+class References(NamedTuple):
+    """A table (of, reference, words) with a row for each language, and the references of the NEAREST largest languages."""
+
+    table: DataFrame
+    nearest: list[bytes]
+
+
+def _medians(steps: list) -> np.ndarray:
     """Median share of each class from its counts by step; they are scaled to a sum of 1."""
     counts = np.zeros((8, STEPS + 1))
-    for r in rows:
+    for r in steps:
         counts[r["class"], r["step"]] = r["n"]
     upto = counts.cumsum(1)
     middle = np.array([(np.searchsorted(u, u[-1] / 2) + 0.5) / STEPS for u in upto])
     return middle / middle.sum()
 
 
-def references(df: DataFrame, text_column: str = "text", lang_column: str = "lang") -> dict[str, dict]:
-    """By language: class shares, and common words with their shares and the share of all others.
-
-    What comes to the driver is bounded: MOST_LANGUAGES languages with COMMON_WORDS words and 8 x 513 counts each.
-    """
+def references(df: DataFrame, text_column: str = "text", lang_column: str = "lang") -> References:
+    """References of all languages. A language's row gathers COMMON_WORDS words and 8 x 513 counts at most."""
     counts = materialise(corpus_counts(df, text_column, lang_column).groupBy("lang", "word", "class", "step").agg(F.sum("n").alias("n")), "quality-counts")
-    word = F.col("class").isNull()
-    totals = {r["lang"]: r["words"] or 0 for r in counts.groupBy("lang").agg(F.sum(F.when(word, F.col("n"))).alias("words")).orderBy(F.desc("words"), "lang").limit(MOST_LANGUAGES).collect()}
-    out = {}
-    for lang, total in totals.items():
-        top = counts.where((F.col("lang") == lang) & word).orderBy(F.desc("n"), "word").limit(COMMON_WORDS).collect()
-        own = {bytes(r["word"]): r["n"] / total for r in top}
-        steps = counts.where((F.col("lang") == lang) & ~word).collect()
-        if steps:
-            out[lang] = {"classes": _medians(steps), "words": own, "rest": max(0.0, 1 - sum(own.values()))}
-    return out
+    of_words, of_shares = counts.where("class is null"), counts.where("class is not null")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    top = of_words.withColumn("k", rank).where(F.col("k") <= COMMON_WORDS).groupBy(F.col("lang").alias("top_of")).agg(F.collect_list(F.struct("word", "n")).alias("top"))
+    total = of_words.groupBy(F.col("lang").alias("total_of")).agg(F.sum("n").alias("words"))
+    steps = of_shares.groupBy("lang").agg(F.collect_list(F.struct("class", "step", "n")).alias("steps"))
+    every = steps.join(top, F.col("lang") == F.col("top_of"), "left").join(total, F.col("lang") == F.col("total_of"), "left")
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                all_words, own = r["words"] or 0, r["top"] or []
+                shares = np.array([x["n"] / all_words for x in own])
+                made = Reference(_medians(r["steps"]), hashes(pa.array([x["word"] for x in own], pa.binary())), shares, max(0.0, 1 - shares.sum()))
+                rows.append((r["lang"], made.packed(), all_words))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.binary(), pa.int64()))], names=["of", "reference", "words"])
+
+    found = materialise(every.select("lang", "steps", "top", "words").mapInArrow(lean(run), "of string, reference binary, words long"), "references")
+    discard(counts)
+    return References(found, [bytes(r["reference"]) for r in found.orderBy(F.desc("words"), "of").limit(NEAREST).collect()])
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -201,50 +234,70 @@ def _dup_lines(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return dup
 
 
-def divergences(c: Counts, langs: list, model: dict[str, dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class distance, characters, word distance) of each text from its language's reference, or the nearest."""
-    n, names = len(c.n_words), list(model)
+def _distances(c: Counts, share: np.ndarray, bare: np.ndarray, rows: np.ndarray, which: np.ndarray, model: list[Reference]) -> tuple[np.ndarray, np.ndarray]:
+    """(class distance, word distance) of the texts ``rows``, each from its own reference (``which`` of the model)."""
+    by_class = distance(share[rows], np.stack([r.classes for r in model])[which])
+    size = COMMON_WORDS + 1
+    known = np.concatenate([mix(r.words + mix(np.full(len(r.words), i + 1, np.uint64))) for i, r in enumerate(model)])
+    slot = np.concatenate([np.arange(len(r.words)) for r in model])
+    order = np.argsort(known)
+    known, slot = np.append(known[order], np.uint64(0)), np.append(slot[order], COMMON_WORDS)
+    place = np.full(len(share), -1)
+    place[rows] = np.arange(len(rows))
+    owner = np.repeat(place, c.n_words)
+    mine = owner >= 0
+    owner = owner[mine]
+    word = mix((bare[c.code[mine]] if len(c.code) else np.zeros(0, np.uint64)) + mix((which[owner] + 1).astype(np.uint64)))
+    at = np.searchsorted(known[:-1], word)
+    to = np.where(known[at] == word, slot[at], COMMON_WORDS)
+    seen = np.bincount(owner * size + to, minlength=len(rows) * size).reshape(len(rows), size) / np.maximum(c.n_words[rows], 1)[:, None]
+    shares = np.zeros((len(model), size))
+    for i, r in enumerate(model):
+        shares[i, : len(r.shares)], shares[i, -1] = r.shares, r.rest
+    return by_class, distance(seen, shares[which])
+
+
+def divergences(c: Counts, references_: pa.Array, nearest: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class distance, characters, word distance) of each text from its reference, or where that is null from the nearest."""
+    n = len(c.n_words)
     classes = _class_counts(c.data, c.offsets)
     chars = classes.sum(1)
-    if not names:
-        return np.zeros(n), chars, np.zeros(n)
     share = classes / np.maximum(chars, 1)[:, None]
-    slot = {w: i for i, w in enumerate(dict.fromkeys(w for m in model.values() for w in m["words"]))}
-    size = len(slot) + 1
-    to = np.fromiter((slot.get(w, size - 1) for w in _bare(c.distinct)), np.int64, len(c.distinct))
-    owner = np.repeat(np.arange(n), c.n_words)
-    seen = np.bincount(owner * size + (to[c.code] if len(c.code) else 0), minlength=n * size).reshape(n, size) / np.maximum(c.n_words, 1)[:, None]
-    by_class, by_word = np.zeros((len(names), n)), np.zeros((len(names), n))
-    for k, m in enumerate(model.values()):
-        by_class[k] = distance(share, m["classes"])
-        own = seen[:, [slot[w] for w in m["words"]]]
-        by_word[k] = distance(np.column_stack([own, np.clip((c.n_words > 0) - own.sum(1), 0, 1)]), np.array([*m["words"].values(), m["rest"]]))
-    place = {x: i for i, x in enumerate(names)}
-    own = np.array([place.get(x, -1) for x in langs])
-    pick = lambda m: np.where(own >= 0, m[np.maximum(own, 0), np.arange(n)], m.min(0))
-    return pick(by_class), chars, pick(by_word)
-
-
-def _verdicts(texts: pa.Array, langs: pa.Array, model: dict[str, dict]) -> tuple[Counts, np.ndarray, np.ndarray, np.ndarray]:
+    bare = hashes(pa.array(_bare(c.distinct), pa.binary()))
+    by_class, by_word = np.zeros(n), np.zeros(n)
+    coded = references_.dictionary_encode()
+    which = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    own, none = np.flatnonzero(which >= 0), np.flatnonzero(which < 0)
+    if len(own):
+        by_class[own], by_word[own] = _distances(c, share, bare, own, which[own], [Reference.unpacked(x) for x in coded.dictionary.to_pylist()])
+    if len(none) and nearest:
+        each = [_distances(c, share, bare, none, np.zeros(len(none), np.int64), [Reference.unpacked(x)]) for x in nearest]
+        by_class[none], by_word[none] = np.min([x for x, _ in each], 0), np.min([x for _, x in each], 0)
+    return by_class, chars, by_word
+
+
+def _verdicts(texts: pa.Array, references_: pa.Array, nearest: list[bytes]) -> tuple[Counts, np.ndarray, np.ndarray, np.ndarray]:
     c = rule_counts(texts)
-    by_class, chars, by_word = divergences(c, langs.to_pylist(), model)
+    by_class, chars, by_word = divergences(c, references_, nearest)
     off = (by_class > CLASS_DISTANCE + CLASS_SLACK / np.sqrt(np.maximum(chars, 1))) & (chars >= CLASS_LEAST) | (by_word > WORD_DISTANCE) & (c.n_words >= WORD_LEAST)
     return c, by_class, by_word, ~c.failed & ~off
 
 
-def judge(df: DataFrame, model: dict[str, dict], id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+def judge(df: DataFrame, model: References, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """One row for each row: the rule counts, both distances, base_failed and kept."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    nearest = model.nearest  # NEAREST small rows at most
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 1):
-                c, by_class, by_word, kept = _verdicts(part.column(1), part.column(2), model)
+                c, by_class, by_word, kept = _verdicts(part.column(1), part.column(2), nearest)
                 columns = [part.column(0), *(pa.array(getattr(c, x), pa.int64()) for x in names), pa.array(by_class), pa.array(by_word), pa.array(c.failed), pa.array(kept)]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", *names, "class_distance", "word_distance", "base_failed", "kept"])
 
     schema = f"id long, {', '.join(f'{x} long' for x in names)}, class_distance double, word_distance double, base_failed boolean, kept boolean"
-    return df.selectExpr(f"`{id_column}` as id", f"`{text_column}` as text", f"`{lang_column}` as lang").mapInArrow(lean(run), schema).withColumnRenamed("id", id_column)
+    rows = df.selectExpr(f"`{id_column}` as id", f"`{text_column}` as text", f"`{lang_column}` as lang").join(model.table, F.col("lang") == F.col("of"), "left")
+    return rows.select("id", "text", "reference").mapInArrow(lean(run), schema).withColumnRenamed("id", id_column)
 
 
 def quality(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
@@ -255,11 +308,14 @@ def quality(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 def keep(df: DataFrame, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """The rows, with all their columns, that the rules keep."""
     model = references(df, text_column, lang_column)
+    nearest, n, longest = model.nearest, len(df.columns), max(map(len, df.columns))
+    of, reference = ("_" * longest + x for x in ("of", "reference"))  # names that no column has
 
     def run(batches):
         for batch in batches:
-            text, lang = batch.schema.get_field_index(text_column), batch.schema.get_field_index(lang_column)
+            text = batch.schema.get_field_index(text_column)
             for part in slices(batch, text):
-                yield part.filter(pa.array(_verdicts(part.column(text), part.column(lang), model)[-1]))
+                yield part.filter(pa.array(_verdicts(part.column(text), part.column(n), nearest)[-1])).select(range(n))
 
-    return df.mapInArrow(lean(run), df.schema)
+    rows = df.join(model.table.select(F.col("of").alias(of), F.col("reference").alias(reference)), F.col(f"`{lang_column}`") == F.col(of), "left").drop(of)
+    return rows.mapInArrow(lean(run), df.schema)

@@ -2,13 +2,16 @@
 
 Features are the words of a text and their first four to six characters, each present or not, so length doesn't matter. On a
 bounded sample of labelled rows, Spark counts each feature's documents by label and the ``features`` most telling ones
-(chi-square) are kept. A logistic model over them is then fitted with a second penalty: each sample text that mentions an
-identity group is paired with itself after swapping the term for another group's, and the square of the difference of the two
-scores (as log-odds) is added to the loss. So a neutral mention of a group doesn't move the score.
+(chi-square) are kept, and with them those of all identity terms. A logistic model over them is then fitted with a second
+penalty over counterfactual pairs: each sample text that mentions an identity group with itself after swapping the term for
+another group's, and a bounded share of all sample texts (``MENTIONS``) with themselves and a group's term put in. The square of
+the difference of a pair's scores (as log-odds) is added to the loss. So a neutral mention of a group doesn't move the score,
+also where the sample mentions none.
 
 Null and empty texts have no features and score by the intercept. Labels that are null are left out, several labels of an id
-count as the highest, repeated rows get repeated scores, and an empty table gives no rows. Without any label of either kind
-the score is the same for all. Only the id and text columns are read.
+count as the highest, of several texts of an id the one with the smallest hash is learned from, repeated rows get repeated
+scores, and an empty table gives no rows. Without any label of either kind the score is the same for all. Only the id and text
+columns are read.
 """
 
 from __future__ import annotations
@@ -21,13 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidloom.llm.common import buffer, lean, materialise, slices, words
+from bidloom.llm.common import buffer, discard, lean, materialise, slices, words
 
 #: The labelled rows that are fitted on (those with the smallest hash of the id), the features kept, and the two penalties.
 SAMPLE_ROWS = 20_000
 FEATURES = 2048
 RIDGE, COUNTERFACTUAL = 2e-5, 1.0
 STEPS = 250
+#: Sample texts that get a group's term put in, at most; each of the terms is put into as many of them.
+MENTIONS = 4000
 MARKS = b".,;:!?-()[]\"'#*$%&|<>"
 PREFIXES = (4, 5, 6)
 
@@ -42,6 +47,9 @@ IDENTITY = [
 SWAP = {a.encode(): b.encode() for row in IDENTITY for a, b in zip(row.split(), [*row.split()[1:], row.split()[0]], strict=True)}
 
 
+TERMS = tuple(dict.fromkeys(SWAP))
+
+
 class Model(NamedTuple):
     """Feature hashes with their weights, and the intercept."""
 
@@ -75,10 +83,24 @@ def _present(texts: pa.Array, swap: bool = False) -> tuple[np.ndarray, np.ndarra
     return pairs // width, pairs % width, plain
 
 
-def _rows(texts: pa.Array, known: dict[int, int], swap: bool = False) -> list[np.ndarray]:
-    """For each text the sorted numbers of the known features that it has."""
+#: Words whose features a worker remembers.
+REMEMBERED = 200_000
+
+
+def _numbers(word: bytes, known: dict[int, int], memory: dict[bytes, tuple]) -> tuple:
+    """The numbers of a word's known features."""
+    if (found := memory.get(word)) is None:
+        found = tuple(known[h] for h in features(word) if h in known)
+        if len(memory) < REMEMBERED:
+            memory[word] = found
+    return found
+
+
+def _hits(texts: pa.Array, known: dict[int, int], swap: bool = False, memory: dict[bytes, tuple] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, number) of the known features that each text has, in order."""
     text, code, plain = _present(texts, swap)
-    numbers = [[known[h] for h in features(w) if h in known] for w in plain]
+    memory = {} if memory is None else memory
+    numbers = [_numbers(w, known, memory) for w in plain]
     many = np.fromiter(map(len, numbers), np.int64, len(numbers))
     flat = np.fromiter((x for n in numbers for x in n), np.int64, int(many.sum()))
     begin = np.cumsum(many) - many
@@ -87,14 +109,21 @@ def _rows(texts: pa.Array, known: dict[int, int], swap: bool = False) -> list[np
     size = many[code]
     at = np.repeat(begin[code] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
     pairs = np.unique(np.repeat(text, size) * max(len(known), 1) + flat[at])
-    return np.split(pairs % max(len(known), 1), np.searchsorted(pairs // max(len(known), 1), np.arange(1, len(texts))))
+    return pairs // max(len(known), 1), pairs % max(len(known), 1)
+
+
+def _rows(texts: pa.Array, known: dict[int, int], swap: bool = False) -> list[np.ndarray]:
+    """For each text the sorted numbers of the known features that it has."""
+    text, number = _hits(texts, known, swap)
+    return np.split(number, np.searchsorted(text, np.arange(1, len(texts))))
 
 
 def sample(df: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, toxic) of the ``rows`` labelled ids with the smallest hash. ``df`` has (id, text), ``labels`` (id, toxic)."""
+    """(text, toxic) of the ``rows`` labelled ids with the smallest hash, one text of each. ``df`` has (id, text), ``labels`` (id, toxic)."""
     chosen = labels.where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(rows).select(F.col("id").alias("label_of"), "toxic")
-    return df.join(F.broadcast(chosen), F.col("id") == F.col("label_of")).select("text", "toxic")  # ``rows`` rows at most
+    found = df.select("id", "text").join(F.broadcast(chosen), F.col("id") == F.col("label_of"))  # ``rows`` rows at most
+    return found.groupBy("id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "toxic")
 
 
 def select_features(labelled: DataFrame, count: int = FEATURES) -> list[int]:
@@ -154,10 +183,21 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, swapped: list[tuple[int, np.
     return w[:-1], float(w[-1])
 
 
+def mentions(own: list[np.ndarray], known: dict[int, int], most: int = MENTIONS) -> list[tuple[int, np.ndarray]]:
+    """(text, its features with a term put in) for evenly chosen texts, the terms in turn."""
+    term = [np.array([known[h] for h in features(t) if h in known], np.int64) for t in TERMS]
+    chosen = range(0, len(own), max(1, -(-len(own) // most)))
+    return [(i, np.union1d(own[i], term[k % len(term)])) for k, i in enumerate(chosen)]
+
+
 def train(df: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, count: int = FEATURES) -> Model:
     """A model from ``df`` (id, text) and ``labels`` (id, toxic); the driver gets the features of at most ``rows`` texts."""
     labelled = materialise(sample(df, labels, rows), "labelled")
-    chosen = select_features(labelled, count)
+    telling = select_features(labelled, count)
+    if not telling:
+        discard(labelled)
+        return Model({}, 0.0)
+    chosen = list(dict.fromkeys([*telling, *(h for term in TERMS for h in features(term))]))
     known = {h: i for i, h in enumerate(chosen)}
 
     def run(batches):
@@ -169,12 +209,11 @@ def train(df: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, count: int
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(own, kind), pa.array(moved, kind)], names=["toxic", "own", "swapped"])
 
     found = labelled.mapInArrow(lean(run), "toxic int, own array<short>, swapped array<short>").toArrow()
+    discard(labelled)
     toxic = found.column("toxic").to_numpy().astype(float)
-    if not len(toxic):
-        return Model({}, 0.0)
     own = [np.array(x, np.int64) for x in found.column("own").to_pylist()]
     swapped = [(i, np.array(x, np.int64)) for i, x in enumerate(found.column("swapped").to_pylist()) if x is not None]
-    weights, intercept = fit(own, toxic, swapped, len(chosen))
+    weights, intercept = fit(own, toxic, swapped + mentions(own, known), len(chosen))
     return Model(dict(zip(chosen, weights.tolist(), strict=True)), intercept)
 
 
@@ -184,9 +223,11 @@ def score(df: DataFrame, model: Model, id_column: str = "doc_id", text_column: s
     weights = np.array(list(model.weights.values()))
 
     def run(batches):
+        memory: dict[bytes, tuple] = {}
         for batch in batches:
             for part in slices(batch, 1):
-                z = np.array([weights[x].sum() if len(x) else 0.0 for x in _rows(part.column(1), known)]) + model.intercept
+                text, number = _hits(part.column(1), known, memory=memory)
+                z = (np.bincount(text, weights[number], part.num_rows) if len(text) else np.zeros(part.num_rows)) + model.intercept
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=["id", "score"])
 
     return df.selectExpr(f"`{id_column}` as id", f"`{text_column}` as text").mapInArrow(lean(run), "id long, score double").withColumnRenamed("id", id_column)

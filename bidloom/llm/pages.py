@@ -1,12 +1,16 @@
 """Main text of pages by wrapper induction over pages of the same host.
 
 Pages of a host are dealt to groups of about ``GROUP_PAGES``; hosts with more pages are salted, so no group grows with its
-host. Within a group a page's DOM is a small tree (runs of equal siblings are one node), and each page's tree is aligned with
-the group's wrapper by simple tree matching: the largest set of node pairs that keeps parents and the order of siblings.
-Slots of the wrapper whose text is the same on all pages are template, those whose text varies are content; copies of a page
-count once. The main region is the element marked as such (main, article), or else the smallest one that holds nearly all
-varying text. Its blocks are the text, without elements whose role isn't the article's (menus, footers, notices, adverts,
-forms, comments), and, where the page marks no main element, without constant slots that enough different pages confirm.
+host. Within a group a page's DOM is a small tree (runs of equal siblings are one node). The group's wrapper is the union of
+these trees: one after the other is aligned with it by simple tree matching (the largest set of node pairs that keeps parents
+and the order of siblings), and what finds no partner is put in. Slots of the wrapper whose text is the same on all pages are
+template, those whose text varies are content; copies of a page count once, and ``TEMPLATE_PAGES`` different pages have to agree.
+So a banner that a host repeats goes also where it stands inside the article and nothing in the markup says what it is. Where
+template would be over ``MOST_TEMPLATE`` of a marked article, the pages are versions of one text, and it stays.
+
+The main region is the element marked as such (main, article), or else the smallest one that holds nearly all varying text. Its
+blocks are the text, without template and without elements whose tag or role isn't the article's (menus, footers, notices,
+adverts, forms, comments): those vary from page to page as content does, so alignment alone can't tell them.
 
 Null and empty pages have an empty text; null URLs are one host of their own. Repeated rows get repeated results, deep or
 broken markup is read as far as it goes, and an empty table gives no rows. Only the named columns are read.
@@ -25,14 +29,17 @@ from pyspark.sql import functions as F
 
 from bidloom.llm.urlfilter import host_of
 
-#: Pages of one group, about; a constant slot counts as template when so many different pages have it.
-GROUP_PAGES, TEMPLATE_PAGES = 64, 8
+#: Pages of one group, about; a constant slot counts as template when all different pages have it, so many at least.
+GROUP_PAGES, TEMPLATE_PAGES = 64, 3
+#: The share of a marked article that may be template.
+MOST_TEMPLATE = 0.25
 #: Salted hosts that are broadcast; if more hosts are as large, their table is joined instead.
 MOST_BROADCAST = 100_000
 #: Levels of the DOM that are aligned; what is deeper belongs to its ancestor's slot.
 LEVELS = 24
 
 #: Fixed values of HTML: elements without content, elements whose content is not markup, blocks, and what ends an open p.
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6", "hgroup")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
@@ -63,8 +70,9 @@ class Node:
 
 
 @functools.lru_cache(1 << 14)
-def _roles(attributes: str) -> tuple[frozenset, bool]:
-    values = " ".join(x for m in ROLE.findall(attributes) for x in m)
+def _roles(attributes: str, heading: bool = False) -> tuple[frozenset, bool]:
+    """Words of class, id, role and label (a heading's id names its section, not its role), and whether an element is hidden."""
+    values = " ".join(x for m in ROLE.finditer(attributes) for x in m.groups() if x and not (heading and m[0].lstrip()[:2].lower() == "id"))
     return frozenset(x.lower() for x in PARTS.findall(values)), bool(HIDDEN.search(attributes))
 
 
@@ -94,7 +102,7 @@ def parse(page: str) -> Node:
             _close(stack, ("p",), {"table", "td", "th", "button", "object"})
         if tag in SAME_ENDS:
             _close(stack, CELL.get(tag, (tag,)), SAME_ENDS[tag])
-        roles, hidden = _roles(m[3]) if m[3] and not m[3].isspace() else (frozenset(), False)
+        roles, hidden = _roles(m[3], tag in HEADINGS) if m[3] and not m[3].isspace() else (frozenset(), False)
         node = Node(tag, roles, hidden)
         stack[-1].parts.append(node)
         if tag in RAW:
@@ -124,7 +132,11 @@ def outside(node: Node, in_article: bool) -> bool:
         return True
     if node.tag in ("html", "body", "main") or node.tag == "article" and not node.roles & {"comment", "comments", "reply", "ad", "advert", "sponsored", "promo", "related"}:
         return False
-    return node.tag == "header" and not in_article or bool(node.roles & ROLES)
+    return _is_header(node) and not in_article or bool(node.roles & ROLES - {"header"})
+
+
+def _is_header(node: Node) -> bool:
+    return node.tag == "header" or "header" in node.roles
 
 
 def blocks(region: Node, in_article: bool) -> list[tuple[str, list[Node]]]:
@@ -156,8 +168,8 @@ def blocks(region: Node, in_article: bool) -> list[tuple[str, list[Node]]]:
                     flush()
                 continue
             parts = part.parts
-            if tag == "header":
-                parts = [x for x in parts if isinstance(x, Node) and x.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "hgroup")]
+            if _is_header(part) and tag not in HEADINGS:
+                parts = [x for x in parts if isinstance(x, Node) and x.tag in HEADINGS]
             if tag in BLOCK:
                 flush()
             above.append(part)
@@ -262,11 +274,24 @@ def _region(found: list[tuple[str, list[Node]]], weights: list[int]) -> Node | N
         at, level = best, level + 1
 
 
+def union(a: tuple, b: tuple) -> tuple:
+    """Two shapes laid over each other: aligned children once, all others in their order; a's where the roots differ."""
+    if a == b or a[0] != b[0]:
+        return a
+    out, i, j = [], 0, 0
+    for x, y in (*matching(a, b)[1], (len(a[1]), len(b[1]))):
+        out += [*a[1][i:x], *b[1][j:y]]
+        if x < len(a[1]):
+            out.append(union(a[1][x], b[1][y]))
+        i, j = x + 1, y + 1
+    return a[0], tuple(out)
+
+
 def wrap(documents: list[str]) -> list[str]:
-    """Main texts of pages of one host."""
+    """Main texts of pages of one host; their order doesn't matter."""
     roots = [parse(x) for x in documents]
     shapes = [shape(x) for x in roots]
-    wrapper = max(Counter(shapes).items(), key=lambda x: (x[1], len(str(x[0]))))[0]
+    wrapper = functools.reduce(union, sorted(set(shapes), key=str))
     pages, chosen = [], []
     for root, own in zip(roots, shapes, strict=True):
         marked, to = _marked(root), places(wrapper, own)
@@ -280,7 +305,9 @@ def wrap(documents: list[str]) -> list[str]:
     template = {x for x, n in held.items() if enough and n == len(different)}
     out = []
     for (marked, found), page in zip(chosen, pages, strict=True):
-        kept = [marked is not None or x not in template for x in page]
+        kept = [x not in template for x in page]
+        if marked is not None and sum(len(t) for (_, t), k in zip(page, kept, strict=True) if k) < (1 - MOST_TEMPLATE) * sum(len(t) for _, t in page):
+            kept = [True] * len(page)
         if marked is None:
             region = _region(found, [len(t) * k for (_, t), k in zip(page, kept, strict=True)])
             kept = [k and (region is None or region in above) for k, (_, above) in zip(kept, found, strict=True)]

@@ -37,7 +37,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-#: The rules of the query, and listed hosts (labels under the example domains).
+#: The rules of the query, and listed URLs (labels under the example domains; no table has a list).
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 LISTED_HOSTS = [f"{label}.example.{top}" for label in LISTED_LABELS for top in ("com", "net", "org")]
@@ -45,7 +45,7 @@ LISTED_HOSTS = [f"{label}.example.{top}" for label in LISTED_LABELS for top in (
 
 def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    listed = spark.createDataFrame([(host, "/") for host in LISTED_HOSTS], "host string, path string")
+    listed = spark.createDataFrame([(f"http://www.{host}:80",) for host in LISTED_HOSTS], "url string")
     return urlfilter.judged(read(spark, sf_dir, "pages", "page_id", "url"), rules, listed)
 
 
@@ -85,14 +85,16 @@ SQL: dict[str, str] = {
     "op6_urlfilter": f"""
     WITH rules(host, path, verdict, priority) AS (
       VALUES {", ".join(f"('{h}', '{p}', '{v}', 1)" for h, p, v in URL_RULES)}, {", ".join(f"('{h}', '/', 'block', 0)" for h in LISTED_HOSTS)}),
-    p AS (
+    u AS (
       SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
       FROM pages),
+    p AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '^(?:www\\.)?(.*?)\\.?(?::[0-9]*)?$', '\\1') AS plain FROM u),
     m AS (
       SELECT p.page_id, p.host, p.path, r.host || r.path AS rule, r.verdict, r.priority,
         row_number() OVER (PARTITION BY p.page_id ORDER BY r.priority DESC NULLS LAST, len(r.host || r.path) DESC) AS k
-      FROM p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+      FROM p LEFT JOIN rules r ON r.priority = 1 AND (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+        OR r.priority = 0 AND (p.plain = r.host OR ends_with(p.plain, '.' || r.host)))
     SELECT page_id, host, path, CASE WHEN priority = 1 THEN rule END AS rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
     """,
     "op2_neardup": """

@@ -3,10 +3,12 @@
 Each text is scanned as it stands (the base spans), then its layers are unwrapped: URL escapes, Unicode escapes and
 compatibility forms, base64 runs, and compressed bytes inside those or under escapes. Every new layer is scanned and unwrapped again until
 none is new; a layer already seen at the same place is dropped, which ends cycles. A layer carries, for each character, the
-span of the text it came from, so what is found inside is reported in the text's own code points. A base64 run is one unit:
-whatever its content holds maps to the whole run.
+span of the text it came from, so what is found inside is reported in the text's own code points. A base64 run may stand beside
+other characters of its alphabet (a path, an underscore), so it is decoded from each of its first four characters, which meets
+any place where one could begin. Plain content maps to the groups of four characters that hold it, compressed content to the
+characters from its first byte to its last.
 
-Null and empty texts have no spans. Rows are handled one by one (repeated rows give repeated results) and only the named
+Null and empty texts have no spans, an empty table gives no rows. Rows are handled one by one (repeated rows give repeated results) and only the named
 columns are read. Bytes that are no UTF-8 or UTF-16 are read as Latin-1. A decompressed layer of more than ``most_bytes`` is
 handled in blocks that overlap by ``OVERLAP`` bytes and so is never held whole; ``oversize`` says so. All members of compressed bytes are read.
 """
@@ -14,7 +16,6 @@ handled in blocks that overlap by ``OVERLAP`` bytes and so is never held whole;
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import html
@@ -60,6 +61,7 @@ URL_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~-])+")
 ESCAPED_BYTES = re.compile(r"""(?:\\x[0-9A-Fa-f]{2}|\\[\\'"nrtabfv0]|[ !#-&(-\[\]-~])+""")
 ONE_BYTE = re.compile(r"%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\.|.", re.DOTALL)
 PLAIN = dict(zip("nrtabfv0", "\n\r\t\a\b\f\v\0", strict=True))
+STANDARD = str.maketrans("-_", "+/")
 MAGIC = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]+={0,2}")
@@ -141,12 +143,13 @@ def _tool(raw: bytes):
     return zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True) if raw[:4] == b"\x28\xb5\x2f\xfd" else None
 
 
-def _pieces(raw: bytes, size: int, left: list[int]) -> Iterator[bytes]:
+def _pieces(raw: bytes, size: int, left: list[int], bare: bool = False) -> Iterator[bytes]:
     """The content of compressed bytes in pieces of at most ``size``, member after member; it ends where they are damaged. In
     the end ``left`` has the number of bytes after the last member."""
     left[:] = [0]
     try:
-        while raw and (tool := _tool(raw)) is not None:
+        while raw and (tool := zlib.decompressobj(-15) if bare else _tool(raw)) is not None:
+            bare = False
             if isinstance(tool, zstandard.ZstdDecompressionReader):
                 while piece := tool.read(size):
                     yield piece
@@ -165,11 +168,11 @@ def _pieces(raw: bytes, size: int, left: list[int]) -> Iterator[bytes]:
         return
 
 
-def _blocks(raw: bytes, most: int, left: list[int]) -> Iterator[bytes]:
+def _blocks(raw: bytes, most: int, left: list[int], bare: bool = False) -> Iterator[bytes]:
     """The content of compressed bytes in blocks of at most ``most`` bytes, each beginning with the end of the one before."""
     shared = min(OVERLAP, most // 2)
     block = bytearray()
-    for piece in _pieces(raw, max(1, most - shared - 1), left):
+    for piece in _pieces(raw, max(1, most - shared - 1), left, bare):
         if len(block) + len(piece) > most:
             yield bytes(block)
             del block[: max(0, len(block) - shared) & ~1]
@@ -188,12 +191,14 @@ def _whole(block: bytes, first: bool) -> bytes:
     return block[start:]
 
 
-def _texts(raw: bytes, most: int, over: list[bool], left: list[int]) -> Iterator[str]:
-    """Bytes as text; where they are compressed, their content, in blocks where it is large (``over`` then gets an entry)."""
+def _texts(raw: bytes, most: int, over: list[bool], left: list[int], bare: bool = False) -> Iterator[str]:
+    """Bytes as text; where they are compressed (``bare``: without a header), their content, in blocks where it is large
+    (``over`` then gets an entry)."""
     seen = set()
-    while _tool(raw) is not None and raw not in seen:
+    while (bare or _tool(raw) is not None) and raw not in seen:
         seen.add(raw)
-        blocks = _blocks(raw, most, left if len(seen) == 1 else [])
+        blocks = _blocks(raw, most, left if len(seen) == 1 else [], bare)
+        bare = False
         below = next(blocks, None)
         if below is None:
             break
@@ -223,13 +228,70 @@ def _readable(raw: bytes) -> str:
         return raw.decode("latin-1")
 
 
-def _bytes_of(run: str) -> bytes | None:
-    run = "".join(run.split()).rstrip("=").replace("-", "+").replace("_", "/")
-    run = run[: len(run) - (len(run) % 4 == 1)]
+def _is_deflate(raw: bytes) -> bool:
+    """Are bytes that aren't text a whole deflate stream without a header?"""
+    if len(raw) < 8 or _is_text(raw):
+        return False
+    tool, rest = zlib.decompressobj(-15), raw
     try:
-        return base64.b64decode(run + "=" * (-len(run) % 4))
-    except (binascii.Error, ValueError):
-        return None
+        while not tool.eof and rest:
+            tool.decompress(rest, 1 << 16)
+            rest = tool.unconsumed_tail
+    except zlib.error:
+        return False
+    return tool.eof
+
+
+def _is_text(raw: bytes) -> bool:
+    try:
+        raw.decode()
+        return True
+    except UnicodeDecodeError:
+        return False
+
+
+def _bytes_of(run: str) -> bytes:
+    """The bytes of characters of the base64 alphabet; what is left over in the end counts for nothing."""
+    run = run.translate(STANDARD)
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    return base64.b64decode(run + "=" * (-len(run) % 4))
+
+
+def _opened(layer: Layer, a: int, b: int, most: int, over: list[bool]) -> Iterator[Layer]:
+    """The layers that a base64 run a:b of a layer may hold."""
+    run = layer.text[a:b]
+    solid = run.rstrip("=")
+    if solid.isascii() and not any(c in solid for c in "\r\n"):
+        at = np.arange(a, a + len(solid))
+    else:
+        at = a + np.flatnonzero([not c.isspace() for c in solid])
+        solid = "".join(solid.split())
+    starts, ends = layer.starts[at], layer.ends[at]
+    stop = int(layer.ends[b - 1])
+    for shift in range(min(4, max(1, len(solid) - 11))):
+        raw = _bytes_of(solid[shift:])
+        group = shift + 4 * (np.arange(len(raw)) // 3)
+        begin, end = starts[group], np.where(group + 4 < len(solid), ends[np.minimum(group + 3, len(solid) - 1)], stop)
+        whole = lambda inner, x, y: Layer(inner, np.broadcast_to(begin[x], len(inner)), np.broadcast_to(end[y], len(inner)))  # noqa: B023, E731
+        if _tool(raw) is None and _is_deflate(raw):
+            for inner in _texts(raw, most, over, [], bare=True):
+                yield whole(inner, 0, -1)
+        for m in MAGIC.finditer(raw):
+            part, left = raw[m.start() :], [0]
+            if next(_pieces(part, 1, []), None) is not None:
+                for inner in _texts(part, most, over, left):
+                    yield whole(inner, m.start(), -1)
+        text = _readable(raw)
+        if len(text) == len(raw):
+            yield Layer(text, begin, end)
+            continue
+        size = np.fromiter((len(c.encode("utf-8", "surrogatepass")) for c in text), np.int64, len(text))
+        if size.sum() == len(raw):
+            last = np.cumsum(size) - 1
+            yield Layer(text, begin[last - size + 1], end[last])
+            continue
+        yield Layer(raw.decode("latin-1"), begin, end)
+        yield whole(text, 0, -1)
 
 
 def _hash(text: str) -> bytes:
@@ -280,13 +342,9 @@ def _unwrapped(layer: Layer, runs: set, most: int, over: list[bool]) -> Iterator
     if "\n" in text:
         found += [m.span() for m in WRAPPED.finditer(text)]
     for a, b in found:
-        begin, end = int(layer.starts[a]), int(layer.ends[b - 1])
-        if (key := (begin, end, _hash(text[a:b]))) in runs:
-            continue
-        runs.add(key)
-        if raw := _bytes_of(text[a:b]):
-            for inner in _texts(raw, most, over, []):
-                yield inside(inner, begin, end)
+        if (key := (int(layer.starts[a]), int(layer.ends[b - 1]), _hash(text[a:b]))) not in runs:
+            runs.add(key)
+            yield from _opened(layer, a, b, most, over)
 
 
 def scan(text: str, most_bytes: int = MOST_BYTES) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], bool]:

@@ -47,7 +47,24 @@ def test_base_spans(text, spans):
 def test_layers_map_to_the_text(wrap):
     hidden = wrap("token: abcdefgh")
     _, spans, _ = secrets.scan(f"x {hidden} y")
-    assert ("assign", 2, 2 + len(hidden)) in spans
+    assert any(kind == "assign" and 2 <= a <= 6 and b == 2 + len(hidden) for kind, a, b in spans)  # the groups that hold it
+
+
+@pytest.mark.parametrize("before", ["", "/api/v1/", "id-", "blob_", "x", "ab", "https://h.example.com/p/q/"])
+@pytest.mark.parametrize("after", ["", "/next", "-z", " tail"])
+@pytest.mark.parametrize("pack", [lambda b: b, gzip.compress, lambda b: zlib.compress(b, wbits=-15), lambda b: b"\xff\xfe\xfa " + b])
+def test_base64_beside_its_own_alphabet(before, after, pack):
+    """Wherever a run begins, the secret is found, and its span lies in the run and decodes to all of the secret."""
+    secret = b"password = hunter2hunter2"
+    run = base64.b64encode(pack(secret)).decode().rstrip("=")
+    if pack(secret) != secret and zlib.compress(secret, wbits=-15) == pack(secret) and (before or after.startswith(("/", "-"))):
+        return  # a stream without a header can only be told where it is the whole run
+    text = f"see {before}{run}{after}"
+    spans = [(a, b) for kind, a, b in secrets.scan(text)[1] if kind == "assign"]
+    begin, end = text.index(run), text.index(run) + len(run)
+    assert any(begin - 4 < a < end and begin < b for a, b in spans)
+    if pack(secret) == secret and not after.startswith(("/", "-")):
+        assert any(begin - 4 < a and b == end for a, b in spans)
 
 
 def test_url_spans_are_exact():
@@ -64,7 +81,7 @@ def test_a_bomb_hides_nothing():
     bomb = base64.b64encode(zlib.compress(b"0 " * 1_000_000 + secret.encode() + b" 0" * 500_000)).decode()
     text = f"{encoded(secret)} {bomb} {encoded('see ' + encoded(secret))} {urllib.parse.quote(secret, safe='')}"
     _, spans, oversize = secrets.scan(text, most_bytes=100_000)
-    assert oversize and {text[a:b] for _, a, b in spans} == set(text.split())
+    assert oversize and {text[a:b] for _, a, b in spans} == {x[4:] if i == 2 else x for i, x in enumerate(text.split())}
 
 
 @pytest.mark.parametrize("wrap", [lambda b: urllib.parse.quote_from_bytes(b, safe=""), lambda b: repr(b)[2:-1], lambda b: "".join(f"\\x{x:02x}" for x in b), lambda b: base64.b64encode(b).decode()])
@@ -86,9 +103,10 @@ def test_secret_tables(spark):
     rows = [(1, "a password=abcdef"), (2, None), (3, ""), (1, "a password=abcdef"), (None, encoded("my token = abcdefgh"))]
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1))
     found = secrets.digest(frame).collect()
-    assert sorted((r["n_assign"], r["spans"]) for r in found) == [(0, ""), (0, ""), (0, "assign:0:28"), (1, "assign:2:17"), (1, "assign:2:17")]
+    assert sorted((r["n_assign"], r["spans"]) for r in found) == [(0, ""), (0, ""), (0, "assign:4:28"), (1, "assign:2:17"), (1, "assign:2:17")]
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(frame).collect()}
-    assert clean == {1: "a [secret]", 2: None, 3: "", None: "[secret]"}
+    assert clean == {1: "a [secret]", 2: None, 3: "", None: "bXkg[secret]"}
+    assert secrets.digest(frame.limit(0)).count() == 0
     assert {(r["doc_id"], tuple(map(tuple, r["base"]))) for r in secrets.find(frame).where("doc_id = 1").collect()} == {(1, (("assign", 2, 17),))}
 
 
@@ -221,3 +239,26 @@ def test_all_languages_and_nodes_count(spark):
     assert [x[:2] for x in one] == [x[:2] for x in two] == [*((i, f"l{i:02}") for i in range(70)), (70, "und"), (71, "und")]
     assert np.allclose([x[2:] for x in one], [x[2:] for x in two])
     assert sorted(map(tuple, langid.keep(frame, model).collect())) == sorted(map(tuple, langid.keep(frame, table).collect()))
+
+
+def test_neutral_mentions_keep_their_verdict(spark):
+    """A telling word that begins like group terms, and texts without any mention: putting a term in moves no verdict."""
+    rows = [(i, f"you are {'immiserable chrislike' if i % 2 else 'kind and good'} today w{i % 7}", i % 2) for i in range(400)]
+    frame = spark.createDataFrame(rows, "id long, text string, toxic int")
+    model = toxicity.train(frame.select("id", "text"), frame.select("id", "toxic"))
+    clean = [f"you are kind and good today {t.decode()}" for t in toxicity.TERMS]
+    bad = [f"you are immiserable chrislike today {t.decode()}" for t in toxicity.TERMS]
+    found = spark.createDataFrame(enumerate([clean[0].rsplit(" ", 1)[0], *clean, bad[0].rsplit(" ", 1)[0], *bad]), "id long, text string")
+    score = [r["score"] for r in toxicity.score(found, model, "id").orderBy("id").collect()]
+    n = len(clean) + 1
+    assert max(score[:n]) < 0.5 < min(score[n:])
+    odds = np.log(np.array(score) / (1 - np.array(score)))
+    assert np.abs(odds[1:n] - odds[0]).max() < 1 and np.abs(odds[n + 1 :] - odds[n]).max() < 1
+
+
+def test_toxicity_odd_tables(spark):
+    frame = spark.createDataFrame([(1, "bad w"), (1, "bad w"), (1, "other"), (2, "good w"), (None, None)], "id long, text string").withColumn("score", F.lit(1)).withColumn("toxic", F.lit("x"))
+    labels = spark.createDataFrame([(1, 1), (1, None), (2, 0), (None, 1)], "id long, toxic int")
+    assert toxicity.sample(frame, labels).count() == 2
+    assert toxicity.score(frame, toxicity.train(frame, labels), "id").count() == 5
+    assert toxicity.score(frame.limit(0), toxicity.train(frame.limit(0), labels), "id").count() == 0

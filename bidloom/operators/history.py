@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Fixed value: what the first event of a chain links to.
 GENESIS = "0" * 64
@@ -22,20 +26,39 @@ def link_hash(prev: Column, kind: Column, data: Column, actor: Column, at: Colum
     return F.sha2(F.concat_ws("|", prev, kind, F.coalesce(data, F.lit("")), actor.cast("string"), at), 256)
 
 
-def chained(events: DataFrame, key: str, order: str, kind: str, data: str, actor: str, at: str) -> DataFrame:
+def chained(events: DataFrame, key: str, order: str, kind: str, data: str, actor: str, at: str, tails: DataFrame | None = None) -> DataFrame:
     """The events with prev_hash and entry_hash (H3). A chain is serial within its key; keys are built side by side.
 
-    ``at`` is text. A key's events are gathered, so one key's log has to fit in a task.
+    ``at`` is text. A key's events come sorted, and only the last hash is carried from one to the next, so a log of any length
+    takes no memory. ``tails`` (key, tail) has the last hashes of chains that go on; others begin with GENESIS. A null kind, actor
+    or time is left out of the hash, null data count as empty.
     """
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, kind, data, actor, at))).alias("rows"))
-    start = F.struct(F.lit(GENESIS).alias("tail"), F.expr("cast(array() as array<struct<prev_hash:string,entry_hash:string>>)").alias("links"))
-
-    def step(acc: Column, x: Column) -> Column:
-        entry = link_hash(acc["tail"], x[kind], x[data], x[actor], x[at])
-        return F.struct(entry.alias("tail"), F.concat(acc["links"], F.array(F.struct(acc["tail"].alias("prev_hash"), entry.alias("entry_hash")))).alias("links"))
-
-    links = rows.withColumn("links", F.aggregate("rows", start, step)["links"])
-    return links.select(key, F.explode(F.arrays_zip("rows", "links")).alias("z")).select(key, "z.rows.*", "z.links.*")
+    columns = [key, order, kind, data, actor, at]
+    rows = events.select(*columns)
+    if tails is None:
+        rows = rows.withColumn("_tail", F.lit(GENESIS))
+    else:
+        last = tails.select(F.col(key).alias("_tail_of"), F.col("tail").alias("_last"))
+        rows = rows.join(last, F.col(key) == F.col("_tail_of"), "left").select(*columns, F.coalesce("_last", F.lit(GENESIS)).alias("_tail"))
+    parts = [F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate((kind, data, actor, at))]
+    ordered = rows.select(*columns, F.col(key).cast("string").alias("_key"), "_tail", *parts).repartition(key).sortWithinPartitions(key, order)
+    schema = StructType([*rows.select(*columns).schema.fields, *StructType.fromDDL("prev_hash string, entry_hash string").fields])
+
+    def run(batches):
+        begun, own, prev = False, None, GENESIS
+        for batch in batches:
+            before, after = [], []
+            for chain, tail, *row in zip(*(batch.column(i).to_pylist() for i in range(len(columns), batch.num_columns)), strict=True):
+                if not begun or chain != own:
+                    begun, own, prev = True, chain, tail
+                row[1] = row[1] or ""
+                entry = hashlib.sha256("|".join([prev, *(x for x in row if x is not None)]).encode()).hexdigest()
+                before.append(prev)
+                after.append(entry)
+                prev = entry
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(before, pa.string()), pa.array(after, pa.string())], names=schema.names)
+
+    return ordered.mapInArrow(run, schema)
 
 
 def chain_breaks(events: DataFrame, key: str, order: str, kind: str, data: str, actor: str, at: str) -> DataFrame:
@@ -82,6 +105,26 @@ def revisions(edits: DataFrame, keys: list[str], order: list[str], body: str, au
     return changed.select(*keys, *order, F.row_number().over(by).alias("revision"), "body_before", F.col(body).alias("body_after"), F.when(F.col(author) == "ai", "ai").otherwise("co-authored").alias("authored_by"))
 
 
+def corrigendum_numbers(documents: DataFrame, stored: DataFrame, key: str = "tender_id", document: str = "document") -> DataFrame:
+    """(key, document, number) of the documents that have no number yet (W7): they go on from the largest stored one of their key,
+    in the order of the documents. ``stored`` has (key, document, number); a document gets a number once."""
+    known = stored.select(key, document)
+    new = documents.select(key, document).distinct().join(known, [key, document], "left_anti")
+    most = stored.groupBy(F.col(key).alias("_key")).agg(F.max("number").alias("_most"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(document))
+    return new.join(most, F.col(key) == F.col("_key"), "left").select(key, document, (place + F.coalesce("_most", F.lit(0))).cast("bigint").alias("number"))
+
+
+def keyset_page(rows: DataFrame, order: str, size: int, after=None, descending: bool = False) -> DataFrame:
+    """One page of a log (W9): the next ``size`` rows beyond the cursor ``after``, and one more, which says whether a page follows.
+
+    The cursor is the last row's ``order`` value; it becomes a filter of the scan, so no earlier row is read again.
+    """
+    if after is not None:
+        rows = rows.where(F.col(order) < after if descending else F.col(order) > after)
+    return rows.orderBy(F.desc(order) if descending else F.asc(order)).limit(size + 1)
+
+
 def as_of(facts: DataFrame, versions_: DataFrame, key: str, at: str, created: str, version: str) -> DataFrame:
     """The highest version that existed when each fact came (J14): one pass over both, ordered by time.
 
@@ -123,9 +166,18 @@ def reproduce_diff(stored: DataFrame, recomputed: DataFrame, key: str, exact: li
 
 
 def manifest(files: DataFrame, key: str, path: str, content: Column) -> tuple[DataFrame, DataFrame]:
-    """(key, path, sha256) of all files, and each key's manifest hash over its sorted entries."""
+    """(key, path, sha256) of all files, and each key's manifest hash.
+
+    The hash has three levels: entries are sorted and hashed in 65,536 buckets by the hash of their path, the buckets in 256 by
+    the first half of that, and those for the key, so a task gathers a 65,536th of a key's entries, or 256 hashes.
+    """
     entries = files.select(key, F.col(path).alias("path"), F.sha2(content, 256).alias("sha256"))
-    seals = entries.groupBy(key).agg(F.count("*").alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "path", "sha256"))), "\n"), 256).alias("manifest_hash"))
+    sealed = lambda lines: F.sha2(F.array_join(F.array_sort(F.collect_list(lines)), "\n"), 256).alias("seal")
+    bucket = F.substring(F.sha2(F.col("path"), 256), 1, 4).alias("bucket")
+    line = F.concat_ws(" ", "bucket", "seal")
+    low = entries.withColumn("bucket", bucket).groupBy(key, "bucket").agg(F.count("*").alias("files"), sealed(F.concat_ws(" ", "path", "sha256")))
+    high = low.groupBy(key, F.substring("bucket", 1, 2).alias("upper")).agg(F.sum("files").alias("files"), sealed(line))
+    seals = high.groupBy(key).agg(F.sum("files").alias("files"), sealed(F.concat_ws(" ", "upper", "seal")).alias("manifest_hash"))
     return entries, seals
 
 
@@ -139,8 +191,6 @@ def verify_manifest(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 def signature(versions_: dict[str, str]) -> str:
     """The first 16 hex digits of the hash of all component versions, in order of name (H7)."""
-    import hashlib
-
     return hashlib.sha256("|".join(f"{k}:{v}" for k, v in sorted(versions_.items())).encode()).hexdigest()[:16]
 
 

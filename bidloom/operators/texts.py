@@ -129,20 +129,21 @@ def tokens(text: Column) -> Column:
 
 
 def checklist_matches(items: DataFrame, documents: DataFrame) -> DataFrame:
-    """For each item and bidder the document that fits its label best.
+    """For each item and bidder of a tender the document that fits the item's label best.
 
-    items (item_id, label, wants_type), documents (bidder_id, doc_id, filename, doc_type). The score is the share of label
-    tokens in the file name, and 0.3 more for the type; under 0.4 nothing fits, from 0.7 on the item is present, else partial.
-    Items and documents meet on a token or the type, so documents that can't score aren't compared.
+    items (tender_id, item_id, label, wants_type), documents (tender_id, bidder_id, doc_id, filename, doc_type). The score is the
+    share of label tokens in the file name, and 0.3 more for the type; under 0.4 nothing fits, from 0.7 on the item is present,
+    else partial. Items and documents meet on a token of their tender, so documents that can't score aren't compared; what a
+    bidder misses is looked for within its tender.
     """
-    wanted = items.select("item_id", tokens(F.col("label")).alias("label_tokens"), F.lower("wants_type").alias("wants_type")).where(F.size("label_tokens") > 0)
-    own = documents.select("bidder_id", "doc_id", tokens(F.col("filename")).alias("file_tokens"), F.lower("doc_type").alias("doc_type"))
-    by_token = wanted.select("item_id", F.explode("label_tokens").alias("t")).join(own.select("bidder_id", "doc_id", F.explode("file_tokens").alias("u")), F.col("t") == F.col("u")).select("item_id", "bidder_id", "doc_id")
-    near = by_token.distinct()
-    scored = near.join(wanted, "item_id").join(own, ["bidder_id", "doc_id"])
-    score = F.size(F.array_intersect("label_tokens", "file_tokens")) / F.size("label_tokens") + F.when(F.col("wants_type") == F.col("doc_type"), 0.3).otherwise(0.0)
-    best = scored.select("item_id", "bidder_id", "doc_id", F.round(score, 4).alias("score")).groupBy("item_id", "bidder_id").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("order"))).alias("best"))
-    every = wanted.select("item_id").join(own.select("bidder_id").distinct())
-    joined = every.join(best.where("best.score >= 0.4").select(F.col("item_id").alias("i"), F.col("bidder_id").alias("b"), "best"), (F.col("item_id") == F.col("i")) & (F.col("bidder_id") == F.col("b")), "left")
+    wanted = items.select("tender_id", "item_id", tokens(F.col("label")).alias("label_tokens"), F.lower("wants_type").alias("wants_type")).where(F.size("label_tokens") > 0)
+    own = documents.select("tender_id", "bidder_id", "doc_id", tokens(F.col("filename")).alias("file_tokens"), F.lower("doc_type").alias("doc_type"))
+    one = wanted.select("tender_id", "item_id", "wants_type", F.size("label_tokens").alias("size"), F.explode("label_tokens").alias("token"))
+    two = own.select("tender_id", "bidder_id", "doc_id", "doc_type", F.explode("file_tokens").alias("token"))
+    met = one.join(two, ["tender_id", "token"]).groupBy("tender_id", "item_id", "bidder_id", "doc_id").agg(F.count("*").alias("common"), F.first("size").alias("size"), F.first(F.col("wants_type") == F.col("doc_type")).alias("same"))
+    score = F.round(F.col("common") / F.col("size") + F.when(F.col("same"), 0.3).otherwise(0.0), 4)
+    best = met.select("tender_id", "item_id", "bidder_id", "doc_id", score.alias("score")).where("score >= 0.4").groupBy("tender_id", "item_id", "bidder_id").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("order"))).alias("best"))
+    every = wanted.select("tender_id", "item_id").join(own.select("tender_id", "bidder_id").distinct(), "tender_id")
+    joined = every.join(best, ["tender_id", "item_id", "bidder_id"], "left")
     state = F.when(F.col("best.score") >= 0.7, "present").when(F.col("best").isNotNull(), "partial").otherwise("missing")
-    return joined.select("item_id", "bidder_id", (-F.col("best.order")).alias("doc_id"), state.alias("state"), F.least(F.lit(1.0), F.coalesce("best.score", F.lit(0.0))).alias("confidence"))
+    return joined.select("tender_id", "item_id", "bidder_id", (-F.col("best.order")).alias("doc_id"), state.alias("state"), F.least(F.lit(1.0), F.coalesce("best.score", F.lit(0.0))).alias("confidence"))

@@ -52,6 +52,19 @@ def cached_responses(prompts: DataFrame, log: DataFrame) -> DataFrame:
     return prompts.join(last, F.col("prompt_hash") == F.col("h"), "left").drop("h")
 
 
+def reverse_citations(citations: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """(kind, target, cell): the cells that cite a word or a page (J3). ``targets`` has for each column of ``citations`` the
+    table of one column whose values count."""
+    found = []
+    for kind, wanted in targets.items():
+        key = wanted.columns[0]
+        found.append(citations.join(wanted, F.col(kind) == F.col(key)).select(F.lit(kind).alias("kind"), F.col(key).alias("target"), "cell"))
+    out = found[0]
+    for part in found[1:]:
+        out = out.union(part)
+    return out
+
+
 def cited_documents(citations: DataFrame, documents: DataFrame) -> DataFrame:
     """Documents cited in each tender, all complete ones where none is (U4)."""
     cited = citations.select("tender_id", "doc_id").distinct()

@@ -74,7 +74,7 @@ def a20_events_by_day(spark, sf_dir):
 @query("k3_decision_timeline", "SELECT event_id, user_id AS tender_id, event_type || ' of ' || CAST(props->>'$.k' AS VARCHAR) AS summary FROM events WHERE event_type IN ('purchase', 'error')")
 def k3_decision_timeline(spark, sf_dir):
     events = table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "error"))
-    return events.select("event_id", F.col("user_id").alias("tender_id"), F.concat("event_type", F.lit(" of "), F.get_json_object("props", "$.k")).alias("summary")).orderBy("event_id")
+    return events.select("event_id", F.col("user_id").alias("tender_id"), F.concat("event_type", F.lit(" of "), F.get_json_object("props", "$.k")).alias("summary"))
 
 
 @query("k4_latest_turns", "WITH k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) SELECT conv_id, turn, role FROM k WHERE k <= 3")
@@ -82,7 +82,7 @@ def k4_latest_turns(spark, sf_dir):
     from pyspark.sql import Window
 
     k = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role").withColumn("k", k).where("k <= 3").drop("k").orderBy("conv_id", "turn")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role").withColumn("k", k).where("k <= 3").drop("k")
 
 
 @query("w3_w4_latest_per_key", "WITH k AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, event_type, event_id, value FROM k WHERE k = 1")
@@ -111,17 +111,17 @@ def w5_section_revisions(spark, sf_dir):
     return history.revisions(edits, ["conv_id"], ["turn"], "body", "author").select("conv_id", "turn", "revision", "authored_by")
 
 
-@query("a18_authorship", "SELECT conv_id, count(*) FILTER (role = 'assistant') AS ai, count(*) FILTER (role <> 'assistant') AS officer, count(*) AS sections FROM conversations GROUP BY 1")
+@query("a18_authorship", "SELECT conv_id, count(*) FILTER (role = 'assistant') AS ai, count(*) FILTER (role = 'system') AS officer, count(*) FILTER (role = 'user') AS co_authored, count(*) AS sections FROM conversations GROUP BY 1")
 def a18_authorship(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("ai"), F.count_if(F.col("role") != "assistant").alias("officer"), F.count("*").alias("sections"))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("ai"), F.count_if(F.col("role") == "system").alias("officer"), F.count_if(F.col("role") == "user").alias("co_authored"), F.count("*").alias("sections"))
 
 
-@query("w7_corrigendum_numbers", "WITH d AS (SELECT DISTINCT source, text FROM documents), n AS (SELECT source, md5(text) AS m FROM d) SELECT source, m AS document, row_number() OVER (PARTITION BY source ORDER BY m) + 10 AS number FROM n")
+@query("w7_corrigendum_numbers", """WITH d AS (SELECT DISTINCT source, md5(text) AS document FROM documents), k AS (SELECT source, md5(text) AS document, max(doc_id) AS number FROM documents WHERE doc_id % 3 = 0 AND source <> 'src1' GROUP BY 1, 2), m AS (SELECT source, max(number) AS most FROM k GROUP BY 1),
+    n AS (SELECT * FROM d ANTI JOIN k USING (source, document)) SELECT n.source, document, row_number() OVER (PARTITION BY n.source ORDER BY document) + coalesce(most, 0) AS number FROM n LEFT JOIN m ON m.source = n.source""")
 def w7_corrigendum_numbers(spark, sf_dir):
-    from pyspark.sql import Window
-
-    docs = table(spark, sf_dir, "documents").select("source", F.md5("text").alias("document")).distinct()
-    return docs.withColumn("number", (F.row_number().over(Window.partitionBy("source").orderBy("document")) + 10).cast("bigint"))
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.md5("text").alias("document"))
+    stored = docs.where("doc_id % 3 = 0 and source <> 'src1'").groupBy("source", "document").agg(F.max("doc_id").alias("number"))
+    return history.corrigendum_numbers(docs, stored, "source")
 
 
 @query("j14_version_in_force", """WITH v AS (SELECT o_custkey AS k, o_orderdate AS created, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version FROM orders), f AS (SELECT l_orderkey, l_linenumber, l_partkey, o_custkey AS k, l_shipdate AS shipped FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
@@ -137,7 +137,12 @@ def j14_version_in_force(spark, sf_dir):
 
 @query("w9_keyset_page", "SELECT event_id, event_type FROM events WHERE event_id > 500 AND event_type = 'view' ORDER BY event_id LIMIT 51")
 def w9_keyset_page(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_id > 500 and event_type = 'view'").select("event_id", "event_type").orderBy("event_id").limit(51)
+    return history.keyset_page(table(spark, sf_dir, "events").where("event_type = 'view'").select("event_id", "event_type"), "event_id", 50, after=500)
+
+
+@query("w9_keyset_page_back", "SELECT event_id, event_type FROM events WHERE event_id < 500 AND event_type = 'view' ORDER BY event_id DESC LIMIT 51")
+def w9_keyset_page_back(spark, sf_dir):
+    return history.keyset_page(table(spark, sf_dir, "events").where("event_type = 'view'").select("event_id", "event_type"), "event_id", 50, after=500, descending=True)
 
 
 @query("w10_event_context", "WITH w AS (SELECT user_id, event_id, event_type, list(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS around FROM events) SELECT user_id, event_id, around FROM w WHERE event_type = 'error'")
@@ -192,7 +197,8 @@ def h7_signature_drift(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("tender_id")).agg(F.count_if(stored != current).alias("drifted"), F.count("*").alias("cells"))
 
 
-@query("s8_manifest", "WITH e AS (SELECT source, CAST(doc_id AS VARCHAR) AS path, sha256(text) AS sha FROM documents) SELECT source, count(*) AS files, sha256(string_agg(path || ' ' || sha, chr(10) ORDER BY path || ' ' || sha)) AS manifest_hash FROM e GROUP BY 1")
+@query("s8_manifest", """WITH e AS (SELECT source, CAST(doc_id AS VARCHAR) AS path, sha256(text) AS sha FROM documents), l AS (SELECT source, substr(sha256(path), 1, 4) AS b, count(*) AS n, sha256(string_agg(path || ' ' || sha, chr(10) ORDER BY path || ' ' || sha)) AS seal FROM e GROUP BY 1, 2),
+    h AS (SELECT source, substr(b, 1, 2) AS u, sum(n) AS n, sha256(string_agg(b || ' ' || seal, chr(10) ORDER BY b || ' ' || seal)) AS seal FROM l GROUP BY 1, 2) SELECT source, CAST(sum(n) AS BIGINT) AS files, sha256(string_agg(u || ' ' || seal, chr(10) ORDER BY u || ' ' || seal)) AS manifest_hash FROM h GROUP BY 1""")
 def s8_manifest(spark, sf_dir):
     files = table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("path"), "text")
     return history.manifest(files, "source", "path", F.col("text"))[1]
@@ -231,7 +237,7 @@ def w8_second_officer(spark, sf_dir):
 @query("k5_officer_inbox", f"WITH {OFFICERS} SELECT o_orderkey, officer_id, o_orderdate FROM orders JOIN o ON o_custkey % 100 = officer_id WHERE o_orderstatus = 'O' AND role = 'reviewer'")
 def k5_officer_inbox(spark, sf_dir):
     open_ = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select("o_orderkey", (F.col("o_custkey") % 100).alias("target"), "o_orderdate")
-    return open_.join(_officers(spark, sf_dir).where("role = 'reviewer'"), F.col("target") == F.col("officer_id")).select("o_orderkey", "officer_id", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey")
+    return open_.join(_officers(spark, sf_dir).where("role = 'reviewer'"), F.col("target") == F.col("officer_id")).select("o_orderkey", "officer_id", "o_orderdate")
 
 
 @query("w13_officer_decisions", f"""{with_cte('routed_v')}, d AS (SELECT evaluation_id, bidder_id % 3 AS k FROM routed_v WHERE bidder_id % 3 <> 2)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bidloom.operators import evidence, matrix
@@ -190,9 +191,11 @@ def a15_recommendation_lists(spark, sf_dir):
     SELECT t.tender_id, b || ' bidders, ' || c || ' criteria, ' || coalesce(n, 0) || ' need review.' AS lay_of_land, review_items, risks FROM t LEFT JOIN r ON r.tender_id = t.tender_id LEFT JOIN f ON f.tender_id = t.tender_id""")
 def a17_brief(spark, sf_dir):
     c, flags = views.cells(spark, sf_dir), views.flags(spark, sf_dir)
-    items = F.slice(F.array_sort(F.collect_list(F.when(F.col("route") != "auto_commit", F.col("evaluation_id")))), 1, 8)
+    ordered = Window.partitionBy("tender_id").orderBy("evaluation_id")
+    items = c.where("route <> 'auto_commit'").select("tender_id", "evaluation_id").withColumn("k", F.row_number().over(ordered)).where("k <= 8")
+    items = items.groupBy("tender_id").agg(F.array_sort(F.collect_list("evaluation_id")).alias("review_items"))
     text = F.format_string("%d bidders, %d criteria, %d need review.", F.countDistinct("bidder_id"), F.countDistinct("criterion_id"), F.count_if(F.col("route") != "auto_commit"))
-    land = c.groupBy("tender_id").agg(text.alias("lay_of_land"), F.when(F.size(items) > 0, items).alias("review_items"))
+    land = c.groupBy("tender_id").agg(text.alias("lay_of_land")).join(items, "tender_id", "left")
     top = matrix.top_flags(flags.where(F.col("severity").isin("high", "medium")), 6, [F.col("evaluation_id")])
     risks = top.groupBy("tender_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "evaluation_id"))), lambda x: x["evaluation_id"]).alias("risks"))
     return land.join(risks, "tender_id", "left")

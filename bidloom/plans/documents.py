@@ -163,9 +163,9 @@ def t16_tokens(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_sort(texts.tokens(F.col("p_name"))).alias("tokens"))
 
 
-@query("s5_document_text", "SELECT conv_id, substr(string_agg('[Page ' || turn || ']' || chr(10) || text, chr(10) ORDER BY turn, text), 1, 2000) AS text FROM conversations GROUP BY 1")
+@query("s5_document_text", "SELECT conv_id, substr(string_agg('[Page ' || turn || ']' || chr(10) || text, chr(10) ORDER BY turn, text), 1, 24000) AS text FROM conversations GROUP BY 1")
 def s5_document_text(spark, sf_dir):
-    return texts.assembled(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text", 2000)
+    return texts.assembled(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text", 24_000)
 
 
 @query("s1_filtered_listing", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' AND o_totalprice > 200000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
@@ -214,14 +214,14 @@ def p3_humanised(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", V.humanised(amount).alias("amount"))
 
 
-@query("p20_p28_criteria_text", f"""WITH t AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'Annual turnover certificate ' WHEN 1 THEN 'GST registration ' WHEN 2 THEN 'Net worth ' WHEN 3 THEN 'ISO and PAN ' WHEN 4 THEN 'EMD deposit ' WHEN 5 THEN 'MSME status ' ELSE '' END || substr(text, 1, 200) AS text FROM documents), l AS (SELECT doc_id, lower(text) AS s FROM t)
+@query("p20_p28_criteria_text", f"""WITH t AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'Annual turnover certificate ' WHEN 1 THEN 'GST registration ' WHEN 2 THEN 'Net worth ' WHEN 3 THEN 'ISO and PAN ' WHEN 4 THEN 'EMD deposit ' WHEN 5 THEN 'MSME status ' ELSE '' END || text AS text FROM documents), l AS (SELECT doc_id, lower(text) AS s FROM t)
     SELECT doc_id, CASE WHEN contains(s, 'turnover') THEN 'turnover' WHEN contains(s, 'net worth') THEN 'net worth' WHEN contains(s, 'emd') OR contains(s, 'earnest') THEN 'emd' ELSE '' END AS hint,
       CASE WHEN contains(s, 'gst') THEN 'gst' WHEN contains(s, 'pan') OR contains(s, 'permanent account') THEN 'pan' WHEN contains(s, 'iso') THEN 'iso' WHEN contains(s, 'msme') OR contains(s, 'udyam') THEN 'udyam' ELSE 'unknown' END AS kind,
       list_filter(regexp_extract_all(s, '[a-z]+'), lambda w: len(w) > 3 AND w NOT IN ({", ".join(f"'{w}'" for w in V.SEARCH_STOP)}))[1:8] AS terms FROM l""")
 def p20_p28_criteria_text(spark, sf_dir):
     k = F.col("doc_id")
     start = F.when(k % 7 == 0, "Annual turnover certificate ").when(k % 7 == 1, "GST registration ").when(k % 7 == 2, "Net worth ").when(k % 7 == 3, "ISO and PAN ").when(k % 7 == 4, "EMD deposit ").when(k % 7 == 5, "MSME status ").otherwise("")
-    criteria = table(spark, sf_dir, "documents").select("doc_id", F.concat(start, F.substring("text", 1, 200)).alias("t"))
+    criteria = table(spark, sf_dir, "documents").select("doc_id", F.concat(start, "text").alias("t"))
     return criteria.select("doc_id", V.label_hint(F.col("t")).alias("hint"), V.certificate_kind(F.col("t")).alias("kind"), V.search_terms(F.col("t")).alias("terms"))
 
 
@@ -250,13 +250,15 @@ def j15_first_page(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first_text"))
 
 
-@query("j16_checklist", """WITH i AS (SELECT p_partkey AS item_id, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS lt, lower(p_brand) AS ty FROM part WHERE p_partkey <= 40),
-    d AS (SELECT p_type AS bidder_id, p_partkey AS doc_id, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS ft, lower(p_brand) AS ty FROM part),
-    s AS (SELECT item_id, bidder_id, doc_id, round(len(list_intersect(lt, ft)) / len(lt) + CASE WHEN i.ty = d.ty THEN 0.3 ELSE 0 END, 4) AS score FROM i JOIN d ON len(list_intersect(lt, ft)) > 0),
-    b AS (SELECT *, row_number() OVER (PARTITION BY item_id, bidder_id ORDER BY score DESC, doc_id) AS k FROM s WHERE score >= 0.4)
-    SELECT i.item_id, m.bidder_id, b.doc_id, CASE WHEN b.score >= 0.7 THEN 'present' WHEN b.score IS NOT NULL THEN 'partial' ELSE 'missing' END AS state FROM i CROSS JOIN (SELECT DISTINCT bidder_id FROM d) m LEFT JOIN b ON b.item_id = i.item_id AND b.bidder_id = m.bidder_id AND b.k = 1""")
+@query("j16_checklist", """WITH i AS (SELECT p_brand AS tender_id, p_partkey AS item_id, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS lt, p_size % 5 AS ty FROM part),
+    d AS (SELECT p_brand AS tender_id, p_type AS bidder_id, p_partkey AS doc_id, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS ft, p_size % 5 AS ty FROM part),
+    s AS (SELECT i.tender_id, item_id, bidder_id, doc_id, round(len(list_intersect(lt, ft)) / len(lt) + CASE WHEN i.ty = d.ty THEN 0.3 ELSE 0 END, 4) AS score FROM i JOIN d ON i.tender_id = d.tender_id AND len(list_intersect(lt, ft)) > 0),
+    b AS (SELECT *, row_number() OVER (PARTITION BY tender_id, item_id, bidder_id ORDER BY score DESC, doc_id) AS k FROM s WHERE score >= 0.4)
+    SELECT i.tender_id, i.item_id, m.bidder_id, b.doc_id, CASE WHEN b.score >= 0.7 THEN 'present' WHEN b.score IS NOT NULL THEN 'partial' ELSE 'missing' END AS state
+    FROM i JOIN (SELECT DISTINCT tender_id, bidder_id FROM d) m ON i.tender_id = m.tender_id LEFT JOIN b ON b.tender_id = i.tender_id AND b.item_id = i.item_id AND b.bidder_id = m.bidder_id AND b.k = 1""")
 def j16_checklist(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
-    items = parts.where("p_partkey <= 40").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("label"), F.col("p_brand").alias("wants_type"))
-    files = parts.select(F.col("p_type").alias("bidder_id"), F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("filename"), F.col("p_brand").alias("doc_type"))
-    return texts.checklist_matches(items, files).select("item_id", "bidder_id", "doc_id", "state")
+    kind = (F.col("p_size") % 5).cast("string")
+    items = parts.select(F.col("p_brand").alias("tender_id"), F.col("p_partkey").alias("item_id"), F.col("p_name").alias("label"), kind.alias("wants_type"))
+    files = parts.select(F.col("p_brand").alias("tender_id"), F.col("p_type").alias("bidder_id"), F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("filename"), kind.alias("doc_type"))
+    return texts.checklist_matches(items, files).select("tender_id", "item_id", "bidder_id", "doc_id", "state")

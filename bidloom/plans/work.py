@@ -55,11 +55,14 @@ def j2_forward_citations(spark, sf_dir):
     return lines.join(words, F.col("l_partkey") == F.col("p_partkey"), "left").join(pages, F.col("l_suppkey") == F.col("s_suppkey"), "left").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "word", "page")
 
 
-@query("j3_reverse_citations", "SELECT p_partkey AS word, count(DISTINCT l_orderkey) AS cells, count(*) AS citations FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
+@query("j3_reverse_citations", """WITH c AS (SELECT 'word' AS kind, p_partkey AS target, l_orderkey AS cell FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 25 UNION ALL SELECT 'page', s_suppkey, l_orderkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_acctbal > 0)
+    SELECT kind, target, count(DISTINCT cell) AS cells, count(*) AS citations FROM c GROUP BY 1, 2""")
 def j3_reverse_citations(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    joined = lines.join(table(spark, sf_dir, "part").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
-    return joined.groupBy(F.col("p_partkey").alias("word")).agg(F.countDistinct("l_orderkey").alias("cells"), F.count("*").alias("citations"))
+    citations = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cell"), F.col("l_partkey").alias("word"), F.col("l_suppkey").alias("page"))
+    words = table(spark, sf_dir, "part").where("p_size > 25").select("p_partkey")
+    pages = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select("s_suppkey")
+    found = workflow.reverse_citations(citations, {"word": words, "page": pages})
+    return found.groupBy("kind", "target").agg(F.countDistinct("cell").alias("cells"), F.count("*").alias("citations"))
 
 
 @query("j17_precedents", """WITH c AS (SELECT p_partkey AS id, p_brand AS d, p_type AS t, string_split(lower(p_name), ' ') AS w, p_retailprice AS created FROM part), q AS (SELECT * FROM c WHERE id % 20 = 0),
@@ -112,12 +115,11 @@ def a11_documents_by_type(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("bidder_id"), F.col("lang").alias("doc_type")).agg(F.count("*").alias("files"), F.sum("n_chars").alias("pages"))
 
 
-@query("a12_a13_checklist_status", """WITH r AS (SELECT l_suppkey AS bidder_id, 'item ' || l_linenumber AS label, CASE l_returnflag WHEN 'N' THEN 'present' WHEN 'A' THEN 'partial' ELSE 'missing' END AS state, l_linenumber % 3 = 0 AS m, l_orderkey % 2 = 0 AS ok FROM lineitem WHERE l_partkey % 50 = 0)
+@query("a12_a13_checklist_status", """WITH r AS (SELECT l_suppkey AS bidder_id, 'item ' || l_linenumber AS label, CASE l_returnflag WHEN 'N' THEN 'present' WHEN 'A' THEN 'partial' ELSE 'missing' END AS state, l_linenumber % 3 = 0 AS m, l_orderkey % 2 = 0 AS ok FROM lineitem)
     SELECT bidder_id, count(*) FILTER (state = 'present') AS present, count(*) FILTER (state = 'partial') AS partial, count(*) FILTER (state = 'missing' AND m) AS missing_mandatory, coalesce(list_sort(list_distinct(list(label) FILTER (state = 'missing' AND m)))[1:3], []) AS missing_labels,
       CASE WHEN count(*) FILTER (state = 'missing' AND m AND NOT ok) > 0 THEN 'preliminary_failed' ELSE 'passed' END AS outcome FROM r GROUP BY 1""")
 def a12_a13_checklist_status(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_partkey % 50 = 0")
-    responses = lines.select(
+    responses = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("bidder_id"), F.concat(F.lit("item "), F.col("l_linenumber").cast("string")).alias("label"), F.when(F.col("l_returnflag") == "N", "present").when(F.col("l_returnflag") == "A", "partial").otherwise("missing").alias("state"),
         (F.col("l_linenumber") % 3 == 0).alias("is_mandatory"), F.when(F.col("l_orderkey") % 2 == 0, "accepted").alias("officer_decision"),
     )

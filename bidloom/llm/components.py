@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidloom.llm.common import materialise
+from bidloom.llm.common import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for each id of ``links`` (a, b) but the smallest of its component; component is that smallest id.
 
-    Each round is stored, so lineage stays short, and ends when the stars no longer change. Null ends and self-links count for
+    Each round is stored (the last one's table can be discarded), so lineage stays short, and ends when the stars no longer change. Null ends and self-links count for
     nothing; an empty table gives no rows.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -33,6 +33,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before or not state[0]:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        before = state
-        edges = materialise(_small_star(_large_star(edges)), "edges")
+            out = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            out.stored_at = edges.stored_at
+            return out
+        before, old = state, edges
+        edges = materialise(_small_star(_large_star(old)), "edges")
+        discard(old)

@@ -8,12 +8,13 @@ longest common prefix, provided that the first DEPTH values agree. The orders ar
 
 The first round takes the NEAR nearest in all orders. That compares small regions whole; classes of crowded regions go on to
 deeper rounds, which order them by other values and look FAR to either side, past all that is already in the same group, and
-take the few most alike by signature. Deeper rounds end when IDLE of them in a row link nothing. They only make the groups large
-before the rest: there, every pair of crowded classes that shares a region of any tree, is in two groups and hasn't been
-tested is looked at, by blocks of rows. Regions of one group need nothing then; a region of many groups that stay apart costs
-the square of its rows. Pairs whose signatures differ by far more than chance allows are left out; all others are confirmed
-on the full sets, exactly. A pair at the threshold s shares no tree's first values with probability
-(1 - s ** DEPTH) ** TREES, under 1e-8 at 0.8.
+take the few most alike by signature. Deeper rounds end when one of them links little. They only make the groups large
+before the rest: there, every pair of crowded classes that shares a region of any tree and is in two groups is looked at, by
+blocks of rows, in the first tree that has both. Regions of one group need nothing then; a region of many groups that stay
+apart costs the square of its rows, but gives no pairs: a bitmap of each set bounds the intersection from above, so nearly all
+pairs below the threshold end in their block, for certain. Pairs whose signatures differ by far more than chance allows are
+left out too; all others are confirmed on the full sets, exactly. A pair at the threshold s shares no tree's first values with
+probability (1 - s ** DEPTH) ** TREES, under 1e-8 at 0.8.
 
 Texts that are null or have no word have the empty set and are linked with nothing. Rows that share an id count as one
 document with several texts; a null id gets one made from the text, and its component is null where no document of the
@@ -27,23 +28,24 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidloom.llm.common import buffer, hashes, keyed, lean, materialise, mix, shingles, slices, words
+from bidloom.llm.common import buffer, discard, hashes, keyed, lean, materialise, mix, shingles, slices, words
 from bidloom.llm.components import components
 
 TREES, DEPTH, NEAR = 28, 3, 1
-#: Of deeper rounds: places looked at, pairs kept for a row, orders (every fourth), rounds at most, and rounds without a link that end them.
-FAR, ALIKE, PART, ROUNDS, IDLE = 64, 2, 4, 24, 2
-#: Pairs are left out when their signatures agree less than the threshold by so many standard deviations.
-DEVIATIONS = 4.5
+#: Of deeper rounds: places looked at, pairs kept for a row, orders (every fourth), rounds at most; they end when a round links
+#: less than one in so many rows. They save work and lose nothing, as the rest looks at all that they leave.
+FAR, ALIKE, PART, ROUNDS, WORTH = 64, 2, 4, 24, 50
+#: Pairs are left out when their signatures agree less than the threshold by so many standard deviations (chance: under 1e-8).
+DEVIATIONS = 6
 #: Up to so many ids, the texts of candidates are picked by a Bloom filter of at most 16 MB, beyond by a join.
 MOST_FILTERED = 4_000_000
 #: Rows of an order that one task reads, about.
 ORDER_ROWS = 100_000
-#: Rows of a block in the rest.
-BLOCK = 128
+#: Rows of a block in the rest, and bytes of bitmaps that are compared at once.
+BLOCK, COMPARED = 128, 1 << 22
 #: Ids from here on stand for null.
 NO_ID = 1 << 62
 
@@ -91,6 +93,14 @@ def _sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), size)
 
 
+def _region_of(values: np.ndarray, tree: int) -> np.ndarray:
+    """A hash of a tree and its first values."""
+    region = np.full(len(values), tree + 1, np.uint64)
+    for i in range(DEPTH):
+        region = mix(region * np.uint64(0xA0761D6478BD642F) + values[:, (tree * DEPTH + i) % values.shape[1]])
+    return region
+
+
 def _orders(classes: DataFrame, trees: list[int], turn: int) -> DataFrame:
     """(region, rest, id, group, sketch): a row for each class and tree. Region is a hash of the tree and its first values,
     rest the next four (from ``turn`` on); sketch, a byte of each value, is left out (null) at turn 0."""
@@ -104,9 +114,7 @@ def _orders(classes: DataFrame, trees: list[int], turn: int) -> DataFrame:
             sketch = pa.array([x.tobytes() for x in bytes_], pa.binary()) if turn else pa.nulls(batch.num_rows, pa.binary())
             width = values.shape[1]
             for tree in trees:
-                region = np.full(len(values), tree + 1, np.uint64)
-                for i in range(DEPTH):
-                    region = mix(region * np.uint64(0xA0761D6478BD642F) + values[:, (tree * DEPTH + i) % width])
+                region = _region_of(values, tree)
                 rest = np.zeros(len(values), np.uint64)
                 for i in range(DEPTH, DEPTH + 4):
                     rest = rest << np.uint64(16) | (mix(values[:, (tree * DEPTH + 4 * turn + i) % width]) & np.uint64(0xFFFF))
@@ -182,57 +190,170 @@ def _sorted(classes: DataFrame, trees: list[int], turn: int, rows: int) -> DataF
     return _orders(classes, trees, turn).repartitionByRange(parts, "region", "rest", "id").sortWithinPartitions("region", "rest", "id")
 
 
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """(id, size, bits): a set's size, and a bitmap with at least eight bits for each of its shingles (a power of two)."""
+
+    def run(batches):
+        for batch in batches:
+            size, maps = [], []
+            for x in batch.column(1).to_pylist():
+                x = np.frombuffer(x, np.uint64)
+                bits = np.zeros(8 << max(0, (len(x) - 1).bit_length()), np.uint8)
+                bits[(x & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+                size.append(len(x))
+                maps.append(np.packbits(bits, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(maps, pa.binary())], names=["id", "size", "bits"])
+
+    return sets.select("id", "shingles").mapInArrow(lean(run), "id long, size long, bits binary")
+
+
+def _folded(bits: bytes, width: int) -> np.ndarray:
+    """A bitmap of ``width`` bytes, made by laying the parts of a wider one over each other."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(-1, width), 0)
+
+
+def _possible(one: list[bytes], two: list[bytes], size_one: np.ndarray, size_two: np.ndarray, i: np.ndarray, j: np.ndarray, part: int, whole: int) -> np.ndarray:
+    """Which pairs (i of one, j of two) may reach the threshold.
+
+    A bit that only one bitmap has stands for a shingle that only that set has, so the bits bound the intersection from above.
+    """
+    small, large = np.minimum(size_one[i], size_two[j]), np.maximum(size_one[i], size_two[j])
+    good = whole * small >= part * large
+    width = np.minimum(np.array([len(x) for x in one])[i], np.array([len(x) for x in two])[j])
+    for w in np.unique(width[good]).tolist():
+        mine = np.flatnonzero(good & (width == w))
+        sides = []
+        for bits, at in ((one, i[mine]), (two, j[mine])):
+            rows, place = np.unique(at, return_inverse=True)
+            sides.append((np.stack([_folded(bits[r], w) for r in rows.tolist()]), place))
+        for k in range(0, len(mine), max(1, COMPARED // w)):
+            at = mine[k : k + max(1, COMPARED // w)]
+            x, y = (table[place[k : k + len(at)]] for table, place in sides)
+            most = np.minimum(size_one[i[at]] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), size_two[j[at]] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+            good[at] = whole * most >= part * (size_one[i[at]] + size_two[j[at]] - most)
+    return good
+
+
+def _regions(held: DataFrame, trees: list[int]) -> DataFrame:
+    """(region, tree, id, group): the region of each class in each tree."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                values = _sketches(batch.column(2)).view(np.uint32).astype(np.uint64)
+                for k, tree in enumerate(trees):
+                    yield pa.RecordBatch.from_arrays([pa.array(_region_of(values, tree).view(np.int64)), pa.array(np.full(len(values), k, np.int32)), batch.column(0), batch.column(1)], names=["region", "tree", "id", "group"])
+
+    return held.select("id", "group", "signature").mapInArrow(lean(run), "region long, tree int, id long, group long")
+
+
+def _members(held: DataFrame, trees: list[int]) -> DataFrame:
+    """(region, tree, id, group, sketch, regions, size, bits): a row for each class and tree of its ``mixed`` (a bit each);
+    ``regions`` are those of all trees."""
+    names = ["region", "tree", "id", "group", "sketch", "regions", "size", "bits"]
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = _sketches(batch.column(2)).view(np.uint32).astype(np.uint64)
+            sketch = pa.array([x.tobytes() for x in (values * np.uint64(0x9E3779B1) >> np.uint64(20)).astype(np.uint8)], pa.binary())
+            regions = np.stack([_region_of(values, tree) for tree in trees], 1)
+            packed, mixed = pa.array([x.tobytes() for x in regions], pa.binary()), batch.column(5).to_numpy()
+            for k in range(len(trees)):
+                own = pa.array(np.flatnonzero(mixed >> k & 1))
+                columns = [pa.array(regions[:, k].view(np.int64)), pa.array(np.full(len(values), k, np.int32)), batch.column(0), batch.column(1), sketch, packed, batch.column(3), batch.column(4)]
+                yield pa.RecordBatch.from_arrays([x.take(own) for x in columns], names=names)
+
+    return held.select("id", "group", "signature", "size", "bits", "mixed").mapInArrow(lean(run), "region long, tree int, id long, group long, sketch binary, regions binary, size long, bits binary")
+
+
+#: What a block holds of its rows, end to end.
+HELD = ("ids", "groups", "sizes", "sketches", "all_regions", "bitmaps")
+
+
 def _blocks(rows: DataFrame) -> DataFrame:
-    """(block, region, least, most, ids, groups, sketches): rows of a region, at most BLOCK, and their least and greatest group."""
+    """(block, region, tree, least, most, and HELD): rows of a region, at most BLOCK, and their least and greatest group."""
 
     def run(batches):
         made = TaskContext.get().partitionId() << 40
         for batch in batches:
             if not batch.num_rows:
                 continue
-            region, ids, group = (batch.column(i).to_numpy() for i in (0, 2, 3))
+            region, tree, ids, group, size = (batch.column(i).to_numpy() for i in (0, 1, 2, 3, 6))
             place = np.arange(len(region))
             first = np.maximum.accumulate(np.where(np.append(True, region[1:] != region[:-1]), place, 0))
             cuts = np.flatnonzero((place - first) % BLOCK == 0)
-            ends, sketch = np.append(cuts[1:], len(region)), _sketches(batch.column(4))
-            cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())  # noqa: B023, E731
-            columns = [made + np.arange(len(cuts)), region[cuts], np.minimum.reduceat(group, cuts), np.maximum.reduceat(group, cuts)]
+            ends = np.append(cuts[1:], len(region))
+            columns = [made + np.arange(len(cuts)), region[cuts], tree[cuts], np.minimum.reduceat(group, cuts), np.maximum.reduceat(group, cuts)]
             made += len(cuts)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), cut(ids), cut(group), cut(sketch)], names=["block", "region", "least", "most", "ids", "groups", "sketches"])
-
-    return rows.mapInArrow(lean(run), "block long, region long, least long, most long, ids binary, groups binary, sketches binary")
-
-
-def _rest(held: DataFrame, trees: list[int], n_deep: int, least: float) -> DataFrame:
-    """(a, b, group_a, group_b), a < b: all pairs of different groups in a region of any tree whose sketches are alike enough."""
-    mixed = _orders(held, trees, 0).groupBy(F.col("region").alias("mixed")).agg(F.min("group").alias("one"), F.max("group").alias("other")).where("one <> other").select("mixed")
-    rows = _orders(held, trees, 1).join(mixed, F.col("region") == F.col("mixed"), "left_semi")
+            held = [[x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)] for x in (ids, group, size)]
+            held += [[b"".join(x[a:b]) for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)] for x in (batch.column(i).to_pylist() for i in (4, 5, 7))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *(pa.array(x, pa.binary()) for x in held)], names=["block", "region", "tree", "least", "most", *HELD])
+
+    return rows.mapInArrow(lean(run), f"block long, region long, tree int, least long, most long, {', '.join(f'{x} binary' for x in HELD)}")
+
+
+def _block_pairs(one: dict, two: dict, tree: int, least: float, part: int, whole: int) -> np.ndarray:
+    """(a, b, group_a, group_b) of two blocks' rows that may be linked and meet in no earlier tree."""
+    sides = []
+    for r in (one, two):
+        ids, group, size = (np.frombuffer(r[x], np.int64) for x in ("ids", "groups", "sizes"))
+        width = np.where(size > 1, np.exp2(np.ceil(np.log2(np.maximum(size, 1)))), 1).astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(width)]).tolist()
+        sides.append((ids, group, size, np.frombuffer(r["sketches"], np.uint8).reshape(len(ids), -1), np.frombuffer(r["all_regions"], np.int64).reshape(len(ids), -1), [r["bitmaps"][a:b] for a, b in zip(at[:-1], at[1:], strict=True)]))
+    (ids_a, group_a, size_a, one_sketch, regions_a, bits_a), (ids_b, group_b, size_b, two_sketch, regions_b, bits_b) = sides
+    found = []
+    for k in range(0, len(ids_a), 16):
+        apart = group_a[k : k + 16, None] != group_b
+        if one is two:
+            apart &= np.arange(k, k + len(apart))[:, None] < np.arange(len(ids_b))
+        i, j = np.nonzero(apart & ((one_sketch[k : k + 16, None] == two_sketch).mean(2) >= least))
+        found.append(np.stack([i + k, j]))
+    i, j = np.concatenate(found, 1)
+    new = ~(regions_a[i, :tree] == regions_b[j, :tree]).any(1)
+    i, j = i[new], j[new]
+    good = _possible(bits_a, bits_b, size_a, size_b, i, j, part, whole)
+    i, j = i[good], j[good]
+    turned = ids_a[i] > ids_b[j]
+    pair = np.stack([ids_a[i], ids_b[j], group_a[i], group_b[j]])
+    pair[:, turned] = pair[:, turned][[1, 0, 3, 2]]
+    return pair
+
+
+def _rest(held: DataFrame, sets: DataFrame, trees: list[int], n_deep: int, least: float, part: int, whole: int) -> DataFrame:
+    """(a, b, group_a, group_b), a < b: the pairs of different groups in a region of any tree that may be linked, each once.
+
+    Blocks are compared with themselves where they are; only regions of several blocks are joined.
+    """
+    regions = _regions(held, trees)
+    mixed = regions.groupBy(F.col("region").alias("mixed_region")).agg(F.min("group").alias("one"), F.max("group").alias("other")).where("one <> other").select("mixed_region")
+    masks = regions.join(mixed, F.col("region") == F.col("mixed_region"), "left_semi").groupBy(F.col("id").alias("mask_of")).agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("mixed"))
+    known = held.join(masks, F.col("id") == F.col("mask_of")).join(_bitmaps(sets).withColumnRenamed("id", "set_of"), F.col("id") == F.col("set_of"))
     parts = max(1, n_deep * len(trees) // (ORDER_ROWS // 5))
-    blocks = materialise(_blocks(rows.repartitionByRange(parts, "region", "group", "id").sortWithinPartitions("region", "group", "id")), "blocks")
-    one, two = (blocks.select(*(F.col(c).alias(f"{c}_{x}") for c in ("block", "region", "least", "most"))) for x in "ab")
+    blocks = materialise(_blocks(_members(known, trees).repartitionByRange(parts, "region", "group", "id").sortWithinPartitions("region", "group", "id")), "blocks")
+    several = blocks.groupBy(F.col("region").alias("region_of")).agg(F.count("*").alias("n")).where("n > 1")
+    wide = blocks.join(several.select("region_of"), F.col("region") == F.col("region_of"), "left_semi")
+    one, two = (wide.select(*(F.col(c).alias(f"{c}_{x}") for c in ("block", "region", "tree", "least", "most"))) for x in "ab")
     apart = (F.col("least_a") != F.col("most_a")) | (F.col("least_b") != F.col("most_b")) | (F.col("least_a") != F.col("least_b"))
-    pairs = one.join(two, (F.col("region_a") == F.col("region_b")) & (F.col("block_a") <= F.col("block_b")) & apart).select("block_a", "block_b")
+    pairs = one.join(two, (F.col("region_a") == F.col("region_b")) & (F.col("block_a") < F.col("block_b")) & apart).select("block_a", "block_b", F.col("tree_a").alias("tree"))
     for x in "ab":
-        pairs = pairs.join(blocks.select(F.col("block").alias("of"), *(F.col(c).alias(f"{c}_{x}") for c in ("ids", "groups", "sketches"))), F.col(f"block_{x}") == F.col("of")).drop("of")
+        pairs = pairs.join(wide.select(F.col("block").alias("of"), *(F.col(c).alias(f"{c}_{x}") for c in HELD)), F.col(f"block_{x}") == F.col("of")).drop("of")
 
     def run(batches):
         for batch in batches:
             found = [np.zeros((4, 0), np.int64)]
             for r in batch.to_pylist():
-                (ids_a, ids_b), (group_a, group_b) = ([np.frombuffer(r[f"{c}_{x}"], np.int64) for x in "ab"] for c in ("ids", "groups"))
-                one, two = (np.frombuffer(r[f"sketches_{x}"], np.uint8).reshape(len(ids), -1) for x, ids in (("a", ids_a), ("b", ids_b)))
-                for at in range(0, len(one), 16):
-                    good = ((one[at : at + 16, None] == two).mean(2) >= least) & (group_a[at : at + 16, None] != group_b)
-                    i, j = np.nonzero(good)
-                    i += at
-                    turned = ids_a[i] > ids_b[j]
-                    pair = np.stack([ids_a[i], ids_b[j], group_a[i], group_b[j]])
-                    pair[:, turned] = pair[:, turned][[1, 0, 3, 2]]
-                    found.append(pair)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(found, 1), axis=1)], names=["a", "b", "group_a", "group_b"])
-
-    found = pairs.select(*(f"{c}_{x}" for x in "ab" for c in ("ids", "groups", "sketches"))).mapInArrow(lean(run), "a long, b long, group_a long, group_b long")
-    return found.dropDuplicates(["a", "b"])
+                one = {c: r[f"{c}_a"] for c in HELD}
+                two = {c: r[f"{c}_b"] for c in HELD} if "ids_b" in r else one
+                found.append(_block_pairs(one, two, r["tree"], least, part, whole))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, 1)], names=["a", "b", "group_a", "group_b"])
+
+    schema = "a long, b long, group_a long, group_b long"
+    within = blocks.where("least <> most").select("tree", *(F.col(c).alias(f"{c}_a") for c in HELD)).mapInArrow(lean(run), schema)
+    out = materialise(within.union(pairs.select("tree", *(f"{c}_{x}" for x in "ab" for c in HELD)).mapInArrow(lean(run), schema)), "more")
+    discard(blocks)
+    return out
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -260,7 +381,8 @@ def _marks(ids: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets_of(documents: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
-    """(id, shingles): the sets of documents with the wanted ids, and perhaps of a few others; texts aren't shuffled.
+    """(id, shingles), stored: the sets of documents with the wanted ids (all sets of an id with several texts), and perhaps of
+    a few others; texts aren't shuffled.
 
     A Bloom filter with 32 bits for each wanted id goes to all tasks. Where there are more than MOST_FILTERED, a join picks
     the documents.
@@ -290,7 +412,10 @@ def _sets_of(documents: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame
             for part in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in _sets(part.column(1), n_words)], pa.binary())], names=["id", "shingles"])
 
-    return chosen.select("id", "text").mapInArrow(lean(run), "id long, shingles binary")
+    found = materialise(chosen.select("id", "text").mapInArrow(lean(run), "id long, shingles binary").dropDuplicates(["id", "shingles"]), "sets")
+    if shared is not None:
+        shared.destroy()
+    return found
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
@@ -317,10 +442,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> Data
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (id, component) after linking groups: ``links`` (a, b) has components, or ids without a label."""
-    moved = materialise(components(links), "moved")
+    found = components(links)
+    moved = materialise(found, "moved")
+    discard(found)
     to = moved.select(F.col("id").alias("was"), F.col("component").alias("now"))
     kept = labels.join(to, F.col("component") == F.col("was"), "left").select("id", F.coalesce("now", "component").alias("component"))
-    return materialise(kept.union(moved), "labels")
+    out = materialise(kept.union(moved), "labels")
+    discard(moved, labels)
+    return out
 
 
 def class_groups(classes: DataFrame, documents: DataFrame, n_words: int, part: int, whole: int) -> DataFrame:
@@ -333,35 +462,45 @@ def class_groups(classes: DataFrame, documents: DataFrame, n_words: int, part: i
     likely = materialise(_alike(near.where("b is not null"), classes, least), "likely")
     crowded = near.where("b is null").select(F.col("a").alias("id")).distinct()
     wanted = materialise(likely.select(F.explode(F.array("a", "b")).alias("id")).union(crowded).distinct(), "wanted")
-    sets = materialise(_sets_of(documents, wanted, n_words).dropDuplicates(["id"]), "sets")
-    labels = materialise(components(_confirmed(likely, sets, part, whole)), "labels")
+    sets = _sets_of(documents, wanted, n_words)
+    found = components(_confirmed(likely, sets, part, whole))
+    labels = materialise(found, "labels")
     deep = materialise(classes.join(crowded.withColumnRenamed("id", "deep"), F.col("id") == F.col("deep"), "left_semi").select("id", "signature"), "deep")
-    n_deep, tested, idle, held = deep.count(), likely, 0, None
+    discard(found, near, wanted)
+    n_deep, tested, going, held = deep.count(), [likely], True, None
 
     def grouped():
         return materialise(deep.join(labels.withColumnRenamed("id", "label_of"), F.col("id") == F.col("label_of"), "left").select("id", "signature", F.coalesce("component", "id").alias("group")), "held")
 
     def untested(pairs):
-        return materialise(pairs.join(tested.select(F.col("a").alias("old_a"), F.col("b").alias("old_b")), (F.col("a") == F.col("old_a")) & (F.col("b") == F.col("old_b")), "left_anti"), "more")
+        for old in tested:
+            pairs = pairs.join(old.select(F.col("a").alias("old_a"), F.col("b").alias("old_b")), (F.col("a") == F.col("old_a")) & (F.col("b") == F.col("old_b")), "left_anti")
+        return materialise(pairs, "more")
 
     def linked(new):
         return merged(labels, new.select(F.col("group_a").alias("a"), F.col("group_b").alias("b")))
 
     for turn in range(1, ROUNDS + 1):
-        if not n_deep or idle == IDLE:
+        if not n_deep or not going:
             break
-        if held is None:
-            held = grouped()
+        held = held or grouped()
         more = untested(_deeper(_sorted(held, [t for t in trees if t % PART == turn % PART], turn, n_deep), least).dropDuplicates(["a", "b"]))
+        tested.append(more)
         new = materialise(_confirmed(more, sets, part, whole), "links")
-        tested = tested.select("a", "b").union(more.select("a", "b"))
-        if new.isEmpty():
-            idle += 1
-        else:
-            idle, held, labels = 0, None, linked(new)
+        n_new = new.count()
+        going = n_new * WORTH >= n_deep
+        if n_new:
+            labels = linked(new)
+            discard(held)
+            held = None
+        discard(new)
     if n_deep:
-        new = materialise(_confirmed(untested(_rest(held or grouped(), trees, n_deep, least)), sets, part, whole), "links")
+        held = held or grouped()
+        more = _rest(held, sets, trees, n_deep, least, part, whole)
+        new = materialise(_confirmed(more, sets, part, whole), "links")
         labels = labels if new.isEmpty() else linked(new)
+        discard(held, more, new)
+    discard(sets, deep, *tested)
     return labels
 
 
@@ -396,12 +535,12 @@ def near_duplicates(df: DataFrame, n_words: int = 5, part: int = 80, whole: int
 
 
 def keep_one(df: DataFrame, n_words: int = 5, part: int = 80, whole: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows, with all their columns, that are the first of their group; of rows that share an id one stays."""
+    """The rows, with all their columns, that are the first of their group; of rows that share an id the one whose text has the
+    smallest hash (then the smallest text) stays."""
     found = groups(df, n_words, part, whole, id_column, text_column)
     lost = found.where(F.col("id") != F.col("component")).select(F.col("id").alias("lost")).distinct()
     made = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text_column), 3)
     key = "_row_key" + "_" * sum(c.startswith("_row_key") for c in df.columns)
-    keyed_rows = df.withColumn(key, F.coalesce(F.col(id_column).cast("long"), made))
-    return keyed_rows.join(lost, F.col(key) == F.col("lost"), "left_anti").dropDuplicates([key]).drop(key)
-
-
+    keyed_rows = df.withColumn(key, F.coalesce(F.col(id_column).cast("long"), made)).join(lost, F.col(key) == F.col("lost"), "left_anti")
+    first = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text_column), text_column))
+    return keyed_rows.withColumn(f"{key}_", first).where(F.col(f"{key}_") == 1).drop(key, f"{key}_")

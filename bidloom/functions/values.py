@@ -38,6 +38,30 @@ PROGRESS_STEPS = {
     "report": ("REPORT_GENERATED", "FINALIZED"),
 }
 
+#: How far a tender is in each state, in percent.
+PROGRESS = {
+    "DRAFT": 5, "DOCUMENTS_PENDING": 10, "DOCUMENTS_PROCESSING": 20, "DOCUMENTS_READY": 30, "CRITERIA_EXTRACTING": 35, "CRITERIA_PENDING_REVIEW": 45, "CRITERIA_APPROVED": 55, "CHECKLIST_PENDING": 60,
+    "PRELIMINARY_DONE": 65, "EVALUATING": 75, "EVALUATIONS_COMPUTED": 85, "HITL_PENDING": 90, "EVALUATION_COMPLETE": 95, "REPORT_GENERATED": 98, "FINALIZED": 100,
+}
+
+#: The audit events of each group; others belong to ``other``.
+EVENT_GROUPS = {
+    "lifecycle": ("tender_created", "tender_metadata_updated", "tender_state_transition", "tender_deleted"),
+    "document": ("document_received", "document_processed", "document_failed"),
+    "criteria": ("criteria_extracted", "criterion_edited", "criterion_version_created", "criteria_approved", "criterion_amended"),
+    "bidder": ("bidder_registered", "bidder_excluded", "bidder_emd_recorded", "bidder_debarment_checked"),
+    "verification": ("verification_run",),
+    "evaluation": ("evaluation_computed", "evaluation_decided", "second_officer_decided", "concurrence_requested", "concurrence_decided", "anomaly_flagged", "anomaly_dismissed", "evidence_citation_recorded"),
+    "human": ("officer_comment_added", "post_review_check_answered", "tec_draft_generated", "tec_section_authored", "tec_section_revised", "tec_report_finalised", "studio_doc_created", "studio_doc_message", "studio_doc_finalised"),
+    "report": ("report_generated", "report_signed", "brief_generated", "vault_generated", "reproduce_attempted"),
+    "chat": ("copilot_message", "decision_replay_captured"),
+    "checklist": ("checklist_extracted", "checklist_response_decided", "preliminary_finalised"),
+    "corrigendum": ("corrigendum_received", "corrigendum_summarised", "corrigendum_applied", "corrigendum_rejected"),
+}
+
+#: Regions by the last letter of a firm's registration number.
+FRN_REGIONS = {"N": "Northern", "S": "Southern", "E": "Eastern", "W": "Western", "C": "Central"}
+
 
 def _case(pairs: list[tuple[Column, Column]], otherwise: Column | None = None) -> Column:
     out = reduce(lambda acc, p: acc.when(*p), pairs[1:], F.when(*pairs[0]))
@@ -123,6 +147,21 @@ def step_of(state: Column) -> Column:
     return lookup(state, {s: step for step, states in PROGRESS_STEPS.items() for s in states}, F.lit("report"))
 
 
+def progress_of(state: Column) -> Column:
+    """How far a tender is, in percent (P22); 0 for unknown states."""
+    return lookup(state, PROGRESS, F.lit(0))
+
+
+def evaluation_state(route: Column, second: Column, decided: Column) -> Column:
+    """The state of a cell's evaluation (P22): committed alone, resolved by a decision, or waiting for one or two officers."""
+    return F.when(route == "auto_commit", "auto_committed").when(F.coalesce(decided, F.lit(False)), "resolved").when(F.coalesce(second, F.lit(False)), "pending_second_officer").otherwise("pending_review")
+
+
+def event_group(kind: Column) -> Column:
+    """The group of an audit event."""
+    return _case([(kind.isin(*kinds), F.lit(group)) for group, kinds in EVENT_GROUPS.items()], F.lit("other"))
+
+
 def content_hash(**fields: Column) -> Column:
     """A record's hash that doesn't depend on the order of its fields."""
     parts = [F.concat(F.lit(f"{k}="), F.coalesce(v.cast("string"), F.lit(""))) for k, v in sorted(fields.items())]

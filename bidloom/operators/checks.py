@@ -14,18 +14,19 @@ def _clean(name: str) -> Column:
     return F.upper(F.trim(F.coalesce(F.col(name).cast("string"), F.lit(""))))
 
 
-def _result(status: Column, confidence: Column, note: Column | None = None) -> Column:
-    return F.struct(status.alias("status"), confidence.cast("double").alias("confidence"), (F.lit("") if note is None else note).alias("note"))
+def _result(status: Column, confidence: Column, note: Column | None = None, details: Column | None = None) -> Column:
+    read = F.lit(None) if details is None else details
+    return F.struct(status.alias("status"), confidence.cast("double").alias("confidence"), (F.lit("") if note is None else note).alias("note"), read.cast("map<string,string>").alias("details"))
 
 
-def _format(name: str, pattern: str, absent: tuple[str, float], bad: float, good: float, extra: Column | None = None) -> Column:
-    """absent, malformed or verified, each with its confidence."""
+def _format(name: str, pattern: str, absent: tuple[str, float], bad: float, good: float, extra: Column | None = None, details: Column | None = None) -> Column:
+    """absent, malformed or verified, each with its confidence; ``details`` are what a well-formed number says."""
     v = _clean(name)
     ok = v.rlike(pattern) if extra is None else extra
     return (
         F.when(v == "", _result(F.lit(absent[0]), F.lit(absent[1])))
         .when(~ok, _result(F.lit("mismatch"), F.lit(bad)))
-        .otherwise(_result(F.lit("verified"), F.lit(good)))
+        .otherwise(_result(F.lit("verified"), F.lit(good), details=details))
     )
 
 
@@ -62,7 +63,9 @@ def verify_udin() -> Column:
 
 
 def verify_frn() -> Column:
-    return _format("frn", V.FRN, ("not_found", 0.7), 0.9, 0.80)
+    """Format, and the region that the last letter stands for (V4)."""
+    region = V.lookup(F.substring(_clean("frn"), 7, 1), V.FRN_REGIONS, F.lit("Unknown"))
+    return _format("frn", V.FRN, ("not_found", 0.7), 0.9, 0.80, details=F.create_map(F.lit("region"), region))
 
 
 def verify_udyam() -> Column:
@@ -70,7 +73,11 @@ def verify_udyam() -> Column:
 
 
 def verify_cin() -> Column:
-    return _format("cin", V.CIN, ("not_found", 0.6), 0.9, 0.82)
+    """Format, and the listing, state and year of incorporation that the number holds (V6)."""
+    v = _clean("cin")
+    listing = F.when(F.substring(v, 1, 1) == "L", "Listed").otherwise("Unlisted")
+    read = {"listing": listing, "state": F.substring(v, 7, 2), "year": F.substring(v, 9, 4)}
+    return _format("cin", V.CIN, ("not_found", 0.6), 0.9, 0.82, details=F.create_map(*(x for k, c in read.items() for x in (F.lit(k), c))))
 
 
 def verify_debarment() -> Column:

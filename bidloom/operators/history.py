@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,27 @@ TRANSITIONS = {
 }
 
 
+#: Allowed moves of an evaluation.
+EVALUATION_MOVES = {"pending_review": ["resolved", "pending_second_officer"], "pending_second_officer": ["resolved", "pending_review"], "auto_committed": [], "resolved": []}
+
+#: The decisions of a timeline and how each is put; braces name a field of the event's data.
+DECISIONS = {
+    "evaluation_decided": "Officer {decision} → {final_verdict}", "second_officer_decided": "Second officer {decision}", "concurrence_decided": "Concurrence {decision}",
+    "tec_report_finalised": "TEC report sealed ({section_count} sections)", "criteria_approved": "Criteria approved ({criteria_count} criteria)", "tender_state_transition": "State → {target_state}",
+}
+
+
+def decision_timeline(events: DataFrame, kind: str = "event_type", data: str = "event_data") -> DataFrame:
+    """The events that are decisions, with a one-line ``summary`` (K3). A field that the data lack, or data that are no JSON, is ?."""
+
+    def line(template: str) -> Column:
+        parts = enumerate(re.split(r"\{(\w+)\}", template))
+        return F.concat(*(F.coalesce(F.get_json_object(data, f"$.{part}"), F.lit("?")) if i % 2 else F.lit(part) for i, part in parts))
+
+    lines = F.coalesce(*(F.when(F.col(kind) == name, line(template)) for name, template in DECISIONS.items()))
+    return events.where(F.col(kind).isin(*DECISIONS)).withColumn("summary", lines)
+
+
 def link_hash(prev: Column, kind: Column, data: Column, actor: Column, at: Column) -> Column:
     """The hash of an event and of what precedes it."""
     return F.sha2(F.concat_ws("|", prev, kind, F.coalesce(data, F.lit("")), actor.cast("string"), at), 256)

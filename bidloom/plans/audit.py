@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bidloom.functions import values as V
 from bidloom.operators import history, matrix
 from bidloom.plans.registry import query
 from bidloom.sources import views
@@ -59,6 +60,21 @@ def a19_p22_lifecycle(spark, sf_dir):
     return last.withColumn("step", step_of(lookup(F.col("state"), {"O": "DRAFT", "P": "EVALUATING"}, F.lit("FINALIZED"))))
 
 
+LIFECYCLE = list(V.PROGRESS)
+
+
+@query("p22_progress", f"SELECT o_orderkey, state, CASE state {' '.join(f"WHEN '{s}' THEN {n}" for s, n in V.PROGRESS.items())} ELSE 0 END AS progress FROM (SELECT o_orderkey, ({LIFECYCLE + ['ARCHIVED']})[o_orderkey % {len(LIFECYCLE) + 1} + 1] AS state FROM orders)")
+def p22_progress(spark, sf_dir):
+    states = F.array(*map(F.lit, [*LIFECYCLE, "ARCHIVED"]))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(states, (F.col("o_orderkey") % (len(LIFECYCLE) + 1) + 1).cast("int")).alias("state"))
+    return rows.withColumn("progress", V.progress_of(F.col("state")))
+
+
+@query("p22_evaluation_state", f"""{with_cte('routed_v')} SELECT evaluation_id, CASE WHEN route = 'auto_commit' THEN 'auto_committed' WHEN bidder_id % 3 = 0 THEN 'resolved' WHEN second_officer THEN 'pending_second_officer' ELSE 'pending_review' END AS state FROM routed_v""")
+def p22_evaluation_state(spark, sf_dir):
+    return views.cells(spark, sf_dir).select("evaluation_id", V.evaluation_state(F.col("route"), F.col("second_officer"), F.col("bidder_id") % 3 == 0).alias("state"))
+
+
 @query("a19_dashboard", "WITH l AS (SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS state FROM orders GROUP BY 1) SELECT count(*) AS total, count(*) FILTER (state <> 'F') AS active, count(*) FILTER (state = 'P') AS pending_review FROM l")
 def a19_dashboard(spark, sf_dir):
     last = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("state"))
@@ -77,6 +93,20 @@ def k3_decision_timeline(spark, sf_dir):
     return events.select("event_id", F.col("user_id").alias("tender_id"), F.concat("event_type", F.lit(" of "), F.get_json_object("props", "$.k")).alias("summary"))
 
 
+TIMELINE_KINDS = [*history.DECISIONS, "tender_created", "anomaly_flagged"]
+TIMELINE_DATA = "CASE WHEN event_id % 11 = 0 THEN '{broken' ELSE '{\"decision\":\"d' || event_id % 3 || '\",\"final_verdict\":\"PASS\",\"section_count\":' || event_id % 9 || ',\"target_state\":\"DRAFT\"}' END"
+
+
+@query("k3_six_decisions", f"""WITH e AS (SELECT event_id, user_id AS tender_id, ({TIMELINE_KINDS})[event_id % {len(TIMELINE_KINDS)} + 1] AS event_type, event_id % 11 = 0 AS broken, 'd' || event_id % 3 AS decision, CAST(event_id % 9 AS VARCHAR) AS sections FROM events)
+    SELECT event_id, tender_id, event_type, CASE event_type WHEN 'evaluation_decided' THEN 'Officer ' || CASE WHEN broken THEN '?' ELSE decision END || ' → ' || CASE WHEN broken THEN '?' ELSE 'PASS' END WHEN 'second_officer_decided' THEN 'Second officer ' || CASE WHEN broken THEN '?' ELSE decision END
+      WHEN 'concurrence_decided' THEN 'Concurrence ' || CASE WHEN broken THEN '?' ELSE decision END WHEN 'tec_report_finalised' THEN 'TEC report sealed (' || CASE WHEN broken THEN '?' ELSE sections END || ' sections)' WHEN 'criteria_approved' THEN 'Criteria approved (? criteria)'
+      ELSE 'State → ' || CASE WHEN broken THEN '?' ELSE 'DRAFT' END END AS summary FROM e WHERE event_type NOT IN ('tender_created', 'anomaly_flagged')""")
+def k3_six_decisions(spark, sf_dir):
+    kinds = F.array(*map(F.lit, TIMELINE_KINDS))
+    events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("tender_id"), F.element_at(kinds, (F.col("event_id") % len(TIMELINE_KINDS) + 1).cast("int")).alias("event_type"), F.expr(TIMELINE_DATA).alias("event_data"))
+    return history.decision_timeline(events).drop("event_data")
+
+
 @query("k4_latest_turns", "WITH k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) SELECT conv_id, turn, role FROM k WHERE k <= 3")
 def k4_latest_turns(spark, sf_dir):
     from pyspark.sql import Window

@@ -245,6 +245,17 @@ def p26_p27_event_search(spark, sf_dir):
     return events.where(F.contains(F.lower(F.concat_ws(" ", "event_type", "props")), F.lit("7}"))).select("event_id", groups.alias("grp"))
 
 
+AUDIT_KINDS = [k for kinds in V.EVENT_GROUPS.values() for k in kinds]
+
+
+@query("p26_audit_groups", f"""WITH g(grp, kinds) AS (VALUES {', '.join(f"('{g}', {list(kinds)})" for g, kinds in V.EVENT_GROUPS.items())}), e AS (SELECT user_id AS tender_id, ({[*AUDIT_KINDS, 'unheard_of']})[event_id % {len(AUDIT_KINDS) + 1} + 1] AS kind FROM events)
+    SELECT tender_id, coalesce(grp, 'other') AS grp, count(*) AS events FROM e LEFT JOIN (SELECT grp, unnest(kinds) AS kind FROM g) u ON u.kind = e.kind GROUP BY 1, 2""")
+def p26_audit_groups(spark, sf_dir):
+    kinds = F.array(*map(F.lit, [*AUDIT_KINDS, "unheard_of"]))
+    kind = F.element_at(kinds, (F.col("event_id") % (len(AUDIT_KINDS) + 1) + 1).cast("int"))
+    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("tender_id"), V.event_group(kind).alias("grp")).agg(F.count("*").alias("events"))
+
+
 @query("j15_first_page", "SELECT conv_id, arg_min(text, turn) AS first_text FROM conversations GROUP BY 1")
 def j15_first_page(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first_text"))

@@ -183,6 +183,16 @@ def v1_v8_verifiers(spark, sf_dir):
     return checks.verify_all(checked, F.lit(AS_OF).cast("date")).select("bidder_id", "verifier", "status", "confidence")
 
 
+@query("v4_v6_registry_details", f"""WITH {CLAIMS} SELECT bidder_id, CASE WHEN regexp_matches(frn, '{V.FRN}') THEN CASE substr(frn, 7, 1) WHEN 'N' THEN 'Northern' WHEN 'S' THEN 'Southern' WHEN 'E' THEN 'Eastern' WHEN 'W' THEN 'Western' WHEN 'C' THEN 'Central' ELSE 'Unknown' END END AS region,
+    CASE WHEN regexp_matches(cin, '{V.CIN}') THEN CASE WHEN cin[1] = 'L' THEN 'Listed' ELSE 'Unlisted' END END AS listing, CASE WHEN regexp_matches(cin, '{V.CIN}') THEN cin[7:8] END AS state, CASE WHEN regexp_matches(cin, '{V.CIN}') THEN cin[9:12] END AS year
+    FROM (SELECT bidder_id, CASE WHEN k % 6 = 0 THEN frn ELSE left(frn, 6) || substr('NSEWCQ', CAST(k % 6 + 1 AS INT), 1) END AS frn, cin FROM claims)""")
+def v4_v6_registry_details(spark, sf_dir):
+    letter = F.expr("substr('NSEWCQ', cast(bidder_id % 6 + 1 as int), 1)")
+    claims = _claims(spark, sf_dir).withColumn("frn", F.when(F.col("bidder_id") % 6 == 0, F.col("frn")).otherwise(F.concat(F.substring("frn", 1, 6), letter)))
+    read = claims.select("bidder_id", checks.verify_frn().alias("frn"), checks.verify_cin().alias("cin"))
+    return read.select("bidder_id", F.col("frn.details")["region"].alias("region"), *(F.col("cin.details")[k].alias(k) for k in ("listing", "state", "year")))
+
+
 @query("j5_verifier_matrix", f"""WITH {CLAIMS}, {REGISTRY}, {DEBARRED} SELECT c.bidder_id, v.verifier, CASE WHEN v.verifier = 'debarment' THEN CASE WHEN b.rank = 0 THEN 'mismatch' ELSE 'verified' END END AS status FROM claims c CROSS JOIN (VALUES ('pan'), ('gst'), ('udin'), ('frn'), ('udyam'), ('mca'), ('debarment')) v(verifier) LEFT JOIN best b ON b.bidder_id = c.bidder_id""")
 def j5_verifier_matrix(spark, sf_dir):
     claims = _claims(spark, sf_dir)

@@ -152,7 +152,67 @@ def apply_decisions(cells: DataFrame, decisions: DataFrame) -> DataFrame:
     return joined.select("evaluation_id", F.when(override, F.col("d.new")).otherwise(F.col("verdict")).alias("final_verdict"), concur.alias("concurrence"), state.alias("state"))
 
 
-def snapshots(cells: DataFrame) -> DataFrame:
-    """One JSON record for each cell (H5, A23): schema version, keys, verdict, route and confidence parts."""
-    record = F.struct(F.lit(1).alias("schema_version"), *CELL, "criterion_id", "verdict", "basis", "route", "triggers", "breakdown")
-    return cells.select("tender_id", "evaluation_id", F.to_json(record).alias("snapshot"))
+def _nested(rows: DataFrame, keys: list[str], name: str, fields: list[str]) -> DataFrame:
+    """The rows of each key as one sorted array of structs; callers nest only what a key bounds."""
+    return rows.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+
+
+def _json(*fields: Column) -> Column:
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("snapshot")
+
+
+def tender_snapshots(tenders: DataFrame, bidders: DataFrame, criteria: DataFrame, cells: DataFrame, flags: DataFrame, corrigenda: DataFrame, most_flags: int = 30) -> DataFrame:
+    """(tender_id, bidder_id, snapshot): the state of tenders as nested JSON (A23), in rows that no number of bidders makes longer.
+
+    A tender's head (bidder_id null) holds its own columns, its criteria, its ``most_flags`` most severe open flags and its corrigenda
+    in order of ``sequence_number``; each bidder's row holds the bidder's columns and cells, one for each criterion. All tables have
+    tender_id; other columns go into the JSON as they are. A tender or bidder without rows in a table has an empty list there.
+    """
+    own = lambda frame, *but: [c for c in frame.columns if c not in but]
+    first = top_flags(flags, most_flags, ["flag_type", F.asc_nulls_first("bidder_id"), F.asc_nulls_first("evaluation_id")]).withColumnRenamed("k", "place")
+    numbered = ["sequence_number", *own(corrigenda, "tender_id", "sequence_number")]
+    lists = {"criteria": (criteria, own(criteria, "tender_id")), "open_anomalies": (first, ["place", *own(flags, "tender_id")]), "corrigenda": (corrigenda, numbered)}
+    head = tenders
+    for name, (rows, fields) in lists.items():
+        found = _nested(rows, ["tender_id"], f"_{name}", fields)
+        head = head.join(found, F.col("tender_id") == F.col("_tender_id"), "left").drop("_tender_id")
+    head = head.select("tender_id", F.lit(None).cast(bidders.schema["bidder_id"].dataType).alias("bidder_id"), _json(F.struct(*tenders.columns).alias("tender"), *(F.coalesce(f"_{n}", F.array()).alias(n) for n in lists)))
+    judged = _nested(cells, CELL, "_cells", own(cells, *CELL))
+    each = bidders.join(judged, (F.col("tender_id") == F.col("_tender_id")) & (F.col("bidder_id") == F.col("_bidder_id")), "left")
+    each = each.select(*CELL, _json(F.struct(*own(bidders, "tender_id")).alias("bidder"), F.coalesce("_cells", F.array()).alias("evaluations")))
+    return head.union(each)
+
+
+def decision_snapshots(cells: DataFrame, bidders: DataFrame, decisions: DataFrame, hashes: dict[str, Column]) -> DataFrame:
+    """(tender_id, evaluation_id, snapshot): all that a cell's decision rests on as nested JSON (H5).
+
+    cells as ``evidence.route`` leaves them, bidders (bidder_id, name), decisions (evaluation_id, decision, officer_id, decided_at,
+    second_officer_id, second_decision) with at most one row for each cell; ``hashes`` names columns of cells. Without a bidder or
+    decision its fields are null.
+    """
+    named = bidders.select(F.col("bidder_id").alias("_bidder"), F.col("name").alias("_name"))
+    made = decisions.select(F.col("evaluation_id").alias("_cell"), "decision", "officer_id", "decided_at", "second_officer_id", "second_decision")
+    joined = cells.join(named, F.col("bidder_id") == F.col("_bidder"), "left").join(made, F.col("evaluation_id") == F.col("_cell"), "left")
+    branch = lambda of: F.when(F.size(f"{of}_figures") > 0, F.struct(F.col(f"{of}_figures").alias("figures"), F.col(f"{of}_confidence").alias("confidence")))
+    return joined.select("tender_id", "evaluation_id", _json(
+        F.lit("1.0").alias("schema_version"), "tender_id", "evaluation_id",
+        F.struct(F.col("criterion_id").alias("id"), F.col("criterion_type").alias("type"), "rule", "periods", F.col("threshold").alias("threshold_value"), "is_mandatory").alias("criterion"),
+        F.struct(F.col("bidder_id").alias("id"), F.col("_name").alias("name")).alias("bidder"), "verdict", "confidence", F.col("breakdown").alias("confidence_breakdown"), "route", F.col("triggers").alias("routing_reason"),
+        F.struct("figures", "has_documents").alias("evidence"), F.struct(branch("rules").alias("rules"), branch("model").alias("model"), "dissent").alias("branches"), F.col("severities").alias("anomalies"),
+        F.struct("decision", "officer_id", "decided_at").alias("officer_decision"), F.struct(F.col("second_officer_id").alias("officer_id"), F.col("second_decision").alias("decision")).alias("second_officer"),
+        F.struct(*(c.alias(k) for k, c in hashes.items())).alias("hashes"),
+    ))
+
+
+def evidence_export(parts: dict[str, DataFrame], path: str) -> DataFrame:
+    """Writes each tender's tables as JSON records under tender_id and part, and gives (tender_id, part, record) read back.
+
+    ``parts`` has the timeline, decisions, cited documents and corrigenda (or others) by name, all with tender_id. The rows are dealt by
+    tender, part and a hash of the record, so a large tender is written by many tasks.
+    """
+    union = None
+    for name, rows in parts.items():
+        one = rows.select("tender_id", F.lit(name).alias("part"), F.to_json(F.struct(*(c for c in rows.columns if c != "tender_id")), {"ignoreNullFields": "false"}).alias("record"))
+        union = one if union is None else union.union(one)
+    union.repartition("tender_id", "part", F.pmod(F.xxhash64("record"), F.lit(16))).write.partitionBy("tender_id", "part").json(path)
+    return union.sparkSession.read.schema("record string, tender_id string, part string").json(path)

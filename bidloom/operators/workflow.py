@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bidloom.operators.matrix import merged_flags, severity_rank
+
 
 def registry_additions(entries: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """The entries to append (S6): keys upper-cased, those already stored and repeats left out."""
@@ -72,23 +74,35 @@ def cited_documents(citations: DataFrame, documents: DataFrame) -> DataFrame:
     return cited.union(rest)
 
 
-def provenance(cells: DataFrame, flags: DataFrame, most_flags: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Typed nodes and labelled edges of every cell (U5): criterion, bidder, value, branches, verdict, dissent, flags."""
-    cell = F.col("evaluation_id")
-    node = lambda kind, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(kind).alias("kind"), F.concat_ws(":", F.lit(kind), cell).alias("node")))
-    edge = lambda a, b, label, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.concat_ws(":", F.lit(a), cell).alias("source"), F.concat_ws(":", F.lit(b), cell).alias("target"), F.lit(label).alias("label")))
-    rules, model, dissent = F.size("rules_figures") > 0, F.size("model_figures") > 0, F.col("dissent").isNotNull()
-    value = rules | model
-    nodes = F.array_compact(F.array(node("criterion"), node("bidder"), node("verdict"), node("value", value), node("rules", rules), node("model", model), node("dissent", dissent)))
-    edges = F.array_compact(F.array(edge("criterion", "verdict", "asks"), edge("bidder", "verdict", "answers"), edge("rules", "value", "found", rules), edge("model", "value", "found", model), edge("value", "verdict", "decides", value), edge("dissent", "verdict", "disputes", dissent)))
-    rank = F.row_number().over(Window.partitionBy("evaluation_id").orderBy("severity", "flag_type"))
-    kept = flags.where("evaluation_id is not null").withColumn("k", rank).where(F.col("k") <= most_flags)
-    own = kept.select("evaluation_id", F.lit("flag").alias("kind"), F.concat_ws(":", F.lit("flag"), "evaluation_id", F.col("k").cast("string")).alias("node"))
-    warn = kept.select("evaluation_id", F.concat_ws(":", F.lit("flag"), "evaluation_id", F.col("k").cast("string")).alias("source"), F.concat_ws(":", F.lit("verdict"), "evaluation_id").alias("target"), F.lit("warns").alias("label"))
-    return (
-        cells.select("evaluation_id", F.explode(nodes).alias("n")).select("evaluation_id", "n.*").union(own),
-        cells.select("evaluation_id", F.explode(edges).alias("e")).select("evaluation_id", "e.*").union(warn),
-    )
+def provenance(cells: DataFrame, flags: DataFrame, decisions: DataFrame, comments: DataFrame, most_flags: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Typed nodes (evaluation_id, kind, node) and labelled edges (evaluation_id, source, target, label) of every cell.
+
+    Nodes: criterion, bidder, document, value (also where none was found), branches, verdict, dissent, the ``most_flags`` most severe flags
+    of the cell's bidder, decision and comments. decisions (evaluation_id, decision) and comments (evaluation_id, notes) have at most one
+    row for each cell. Nodes of a cell are named by their kind, flags also by their place.
+    """
+    made = decisions.select(F.col("evaluation_id").alias("_d"), "decision")
+    noted = comments.select(F.col("evaluation_id").alias("_c"), "notes")
+    rank = F.row_number().over(Window.partitionBy("tender_id", "bidder_id").orderBy(severity_rank(F.col("severity")), "flag_type", F.asc_nulls_first("evaluation_id")))
+    kept = flags.withColumn("k", rank).where(F.col("k") <= most_flags).groupBy(F.col("tender_id").alias("_t"), F.col("bidder_id").alias("_b")).agg(F.count("*").cast("int").alias("raised"))
+    wide = cells.join(kept, (F.col("tender_id") == F.col("_t")) & (F.col("bidder_id") == F.col("_b")), "left").join(made, F.col("evaluation_id") == F.col("_d"), "left").join(noted, F.col("evaluation_id") == F.col("_c"), "left")
+    always = F.lit(True)
+    rules, model, document = F.size("rules_figures") > 0, F.size("model_figures") > 0, F.col("has_documents")
+    value, decided, noted_ = F.size("figures") > 0, F.col("decision").isNotNull(), F.coalesce("notes", F.lit(0)) > 0
+    there = {"criterion": always, "bidder": always, "document": document, "value": always, "rules": rules, "model": model, "verdict": always, "dissent": F.col("dissent").isNotNull(), "decision": decided, "comments": noted_}
+    links = [
+        ("criterion", "bidder", "evaluated against", always), ("bidder", "document", "evidence from", document), ("document", "value", "extracted", document & value), ("document", "value", "not found in", document & ~value),
+        ("bidder", "value", "no evidence", ~document), ("value", "rules", "rules analysis", rules), ("value", "model", "model analysis", model), ("rules", "verdict", "contributes", rules), ("model", "verdict", "contributes", model),
+        ("value", "verdict", "determines", ~rules & ~model), ("verdict", "dissent", "challenged by", F.col("dissent").isNotNull()), ("verdict", "decision", "decided", decided),
+        ("decision", "comments", "annotated", decided & noted_), ("verdict", "comments", "annotated", ~decided & noted_),
+    ]
+    raised = F.when(F.col("raised") > 0, F.sequence(F.lit(1), F.col("raised"))).otherwise(F.expr("cast(array() as array<int>)"))
+    flag = lambda k: F.concat(F.lit("flag_"), k.cast("string"))
+    nodes = F.array_compact(F.array(*(F.when(when, F.struct(F.lit(kind).alias("kind"), F.lit(kind).alias("node"))) for kind, when in there.items())))
+    edges = F.array_compact(F.array(*(F.when(when, F.struct(F.lit(a).alias("source"), F.lit(b).alias("target"), F.lit(label).alias("label"))) for a, b, label, when in links)))
+    nodes = F.concat(nodes, F.transform(raised, lambda k: F.struct(F.lit("flag").alias("kind"), flag(k).alias("node"))))
+    edges = F.concat(edges, F.transform(raised, lambda k: F.struct(F.lit("verdict").alias("source"), flag(k).alias("target"), F.lit("flagged").alias("label"))))
+    return wide.select("evaluation_id", F.explode(nodes).alias("n")).select("evaluation_id", "n.*"), wide.select("evaluation_id", F.explode(edges).alias("e")).select("evaluation_id", "e.*")
 
 
 def checklist_status(responses: DataFrame, keys: list[str], most: int = 3) -> DataFrame:
@@ -120,8 +134,6 @@ def detector(name: str):
 
 def screen(tables: dict[str, DataFrame], names: list[str] | None = None) -> DataFrame:
     """All flags of the chosen detectors, merged."""
-    from bidloom.operators.matrix import merged_flags
-
     return merged_flags([DETECTORS[n](tables) for n in (names or DETECTORS)])
 
 

@@ -285,6 +285,56 @@ def h6_precedents(spark, sf_dir):
     return cells.select("evaluation_id", "tender_id", "criterion_id", F.format_string("override on %s: %s became PASS", "criterion_id", "verdict").alias("interpretation"))
 
 
-@query("h5_a23_snapshots", None)
+CORRIGENDA = "corrigendum_v AS (SELECT p_brand AS tender_id, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_type) AS BIGINT) AS sequence_number, p_type AS title, list_sort(list(DISTINCT p_size)) AS versions FROM part GROUP BY p_brand, p_type)"
+
+
+def corrigenda(spark, sf_dir):
+    """(tender_id, sequence_number, title, versions): a corrigendum of a brand for each type of part."""
+    from pyspark.sql import Window
+
+    found = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("tender_id"), F.col("p_type").alias("title")).agg(F.array_sort(F.collect_set("p_size")).alias("versions"))
+    place = F.row_number().over(Window.partitionBy("tender_id").orderBy("title"))
+    return found.select("tender_id", place.cast("bigint").alias("sequence_number"), "title", "versions")
+
+
+@query("a23_tender_snapshots", f"""{with_cte('flag_v', 'routed_v')}, {CORRIGENDA}, t AS (SELECT p_brand AS tender_id, min(p_type) AS title, count(*) AS lots FROM part GROUP BY 1),
+    fk AS (SELECT *, row_number() OVER (PARTITION BY tender_id ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, flag_type, bidder_id NULLS FIRST, evaluation_id NULLS FIRST) AS k FROM flag_v),
+    f AS (SELECT tender_id, list(struct_pack(place := k, bidder_id := bidder_id, evaluation_id := evaluation_id, severity := severity, flag_type := flag_type) ORDER BY k) AS fs FROM fk WHERE k <= 30 GROUP BY 1),
+    c AS (SELECT tender_id, list(struct_pack(criterion_id := criterion_id, is_mandatory := is_mandatory) ORDER BY criterion_id) AS cs FROM (SELECT DISTINCT tender_id, criterion_id, is_mandatory FROM routed_v) GROUP BY 1),
+    g AS (SELECT tender_id, list(struct_pack(sequence_number := sequence_number, title := title) ORDER BY sequence_number) AS gs FROM corrigendum_v GROUP BY 1)
+    SELECT t.tender_id, NULL AS bidder_id, CAST(to_json(struct_pack(tender := struct_pack(tender_id := t.tender_id, title := title, lots := lots), criteria := coalesce(cs, []), open_anomalies := coalesce(fs, []), corrigenda := coalesce(gs, []))) AS VARCHAR) AS snapshot
+    FROM t LEFT JOIN c ON c.tender_id = t.tender_id LEFT JOIN f ON f.tender_id = t.tender_id LEFT JOIN g ON g.tender_id = t.tender_id
+    UNION ALL SELECT tender_id, bidder_id, CAST(to_json(struct_pack(bidder := struct_pack(bidder_id := bidder_id, company_name := s_name), evaluations := list(struct_pack(criterion_id := criterion_id, verdict := verdict, route := route) ORDER BY criterion_id))) AS VARCHAR)
+    FROM routed_v JOIN supplier ON bidder_id = s_suppkey GROUP BY tender_id, bidder_id, s_name""")
+def a23_tender_snapshots(spark, sf_dir):
+    cells = views.cells(spark, sf_dir)
+    tenders = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("tender_id")).agg(F.min("p_type").alias("title"), F.count("*").alias("lots"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("bidder_id"), F.col("s_name").alias("company_name"))
+    bidders = cells.select("tender_id", "bidder_id").distinct().join(suppliers, "bidder_id").select("tender_id", "bidder_id", "company_name")
+    criteria = cells.select("tender_id", "criterion_id", "is_mandatory").distinct()
+    return matrix.tender_snapshots(tenders, bidders, criteria, cells.select("tender_id", "bidder_id", "criterion_id", "verdict", "route"), views.flags(spark, sf_dir).select("tender_id", "bidder_id", "evaluation_id", "severity", "flag_type"), corrigenda(spark, sf_dir).drop("versions"))
+
+
+@query("h5_a23_snapshots", f"""{with_cte('routed_v')} SELECT evaluation_id, CAST(to_json(struct_pack(id := bidder_id, name := s_name)) AS VARCHAR) AS bidder, verdict, route,
+    CAST(to_json(struct_pack(figures := figures, has_documents := has_documents)) AS VARCHAR) AS evidence,
+    CAST(to_json(struct_pack(decision := CASE bidder_id % 3 WHEN 0 THEN 'confirm' WHEN 1 THEN 'override' END, officer_id := CASE WHEN bidder_id % 3 <> 2 THEN bidder_id % 7 END, decided_at := CASE WHEN bidder_id % 3 <> 2 THEN '2024-01-01' END)) AS VARCHAR) AS officer_decision,
+    CAST(to_json(struct_pack(officer_id := CASE WHEN bidder_id % 3 = 1 THEN bidder_id % 5 END, decision := CASE WHEN bidder_id % 3 = 1 THEN 'concur' END)) AS VARCHAR) AS second_officer,
+    CAST(to_json(struct_pack(pipeline_signature := '{history.signature({'router': 'v2', 'rules': 'v3'})}', verdict_prompt := sha256(evaluation_id))) AS VARCHAR) AS hashes, json_array_length(to_json(rules_figures)) AS rules_figures
+    FROM routed_v LEFT JOIN supplier ON bidder_id = s_suppkey""")
 def h5_a23_snapshots(spark, sf_dir):
-    return matrix.snapshots(views.cells(spark, sf_dir))
+    found = matrix.decision_snapshots(views.cells(spark, sf_dir), _named(spark, sf_dir), _decided(spark, sf_dir), {"pipeline_signature": F.lit(history.signature({"router": "v2", "rules": "v3"})), "verdict_prompt": F.sha2("evaluation_id", 256)})
+    part = lambda name: F.get_json_object("snapshot", f"$.{name}").alias(name)
+    figures = F.coalesce(F.json_array_length(F.get_json_object("snapshot", "$.branches.rules.figures")), F.lit(0)).alias("rules_figures")
+    return found.select("evaluation_id", *map(part, ("bidder", "verdict", "route", "evidence", "officer_decision", "second_officer", "hashes")), figures)
+
+
+def _named(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("bidder_id"), F.col("s_name").alias("name"))
+
+
+def _decided(spark, sf_dir):
+    k = F.col("bidder_id")
+    return views.cells(spark, sf_dir).where(k % 3 != 2).select(
+        "evaluation_id", F.when(k % 3 == 1, "override").otherwise("confirm").alias("decision"), (k % 7).alias("officer_id"), F.lit("2024-01-01").alias("decided_at"),
+        F.when(k % 3 == 1, k % 5).alias("second_officer_id"), F.when(k % 3 == 1, "concur").alias("second_decision"),
+    )

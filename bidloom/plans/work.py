@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bidloom.functions import values as V
 from bidloom.operators import matrix, workflow
+from bidloom.plans.audit import CORRIGENDA, corrigenda
 from bidloom.plans.cells import COUNTS
 from bidloom.plans.registry import query
 from bidloom.sources import views
@@ -23,11 +24,20 @@ def s6_registry_append(spark, sf_dir):
     return workflow.registry_additions(entries, stored, ["brand", "kind"])
 
 
-@query("s7_evidence_export", f"{with_cte('routed_v')} SELECT tender_id, count(*) AS records FROM routed_v GROUP BY 1")
+@query("s7_evidence_export", f"""{with_cte('routed_v')}, {CORRIGENDA}, x AS (SELECT tender_id, 'decisions' AS part, CAST(to_json(struct_pack(evaluation_id := evaluation_id, verdict := verdict, route := route)) AS VARCHAR) AS record FROM routed_v
+    UNION ALL SELECT DISTINCT p_brand, 'documents', CAST(to_json(struct_pack(doc_id := l_orderkey)) AS VARCHAR) FROM lineitem JOIN part ON l_partkey = p_partkey
+    UNION ALL SELECT p_brand, 'timeline', CAST(to_json(struct_pack(at := l_shipdate::DATE::VARCHAR, event := l_returnflag, doc_id := l_orderkey)) AS VARCHAR) FROM lineitem JOIN part ON l_partkey = p_partkey
+    UNION ALL SELECT tender_id, 'corrigenda', CAST(to_json(struct_pack(sequence_number := sequence_number, title := title, versions := versions)) AS VARCHAR) FROM corrigendum_v)
+    SELECT tender_id, part, count(*) AS records, min(record) AS first, max(record) AS last FROM x GROUP BY 1, 2""")
 def s7_evidence_export(spark, sf_dir):
-    path = new_path(spark, "export")
-    matrix.snapshots(views.cells(spark, sf_dir)).write.partitionBy("tender_id").json(path)
-    return spark.read.schema("evaluation_id string, snapshot string, tender_id string").json(path).groupBy("tender_id").agg(F.count("*").alias("records"))
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", F.date_format("l_shipdate", "yyyy-MM-dd").alias("at"), F.col("l_returnflag").alias("event"), F.col("l_orderkey").alias("doc_id"))
+    cited = lines.join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("tender_id")), F.col("l_partkey") == F.col("p_partkey"))
+    parts = {
+        "decisions": views.cells(spark, sf_dir).select("tender_id", "evaluation_id", "verdict", "route"), "documents": workflow.cited_documents(cited, cited.withColumn("complete", F.lit(True))),
+        "timeline": cited.select("tender_id", "at", "event", "doc_id"), "corrigenda": corrigenda(spark, sf_dir),
+    }
+    found = matrix.evidence_export(parts, new_path(spark, "export"))
+    return found.groupBy("tender_id", "part").agg(F.count("*").alias("records"), F.min("record").alias("first"), F.max("record").alias("last"))
 
 
 @query("p25_data_quality", """SELECT 'orders' AS table, 'status' AS rule, count(*) FILTER (o_orderstatus NOT IN ('O', 'F')) AS violations FROM orders UNION ALL SELECT 'orders', 'price', count(*) FILTER (NOT o_totalprice BETWEEN 1000 AND 300000) FROM orders
@@ -153,11 +163,22 @@ def u4_cited_documents(spark, sf_dir):
     return workflow.cited_documents(docs.where((F.col("doc_id") % 5 == 0) & ~F.col("tender_id").isin("src1", "src2")), docs)
 
 
-@query("u5_provenance_graph", f"""{with_cte('flag_v')}, n AS (SELECT count(*) AS cells, count(*) FILTER (len(rules_figures) > 0) AS r, count(*) FILTER (len(model_figures) > 0) AS m, count(*) FILTER (len(rules_figures) > 0 OR len(model_figures) > 0) AS v, count(*) FILTER (dissent IS NOT NULL) AS d FROM cell_v), f AS (SELECT count(*) AS f FROM flag_v WHERE evaluation_id IS NOT NULL)
-    SELECT 'nodes' AS part, 3 * cells + v + r + m + d + f AS n FROM n, f UNION ALL SELECT 'edges', 2 * cells + r + m + v + d + f FROM n, f""")
+@query("u5_provenance_graph", f"""{with_cte('flag_v', 'cell_v')}, k AS (SELECT tender_id, bidder_id, CAST(least(count(*), 5) AS INT) AS raised FROM flag_v GROUP BY 1, 2),
+    w AS (SELECT c.evaluation_id, has_documents AS doc, len(figures) > 0 AS val, len(rules_figures) > 0 AS r, len(model_figures) > 0 AS m, dissent IS NOT NULL AS d, c.bidder_id % 3 <> 2 AS o, c.bidder_id % 4 = 0 AS n, coalesce(raised, 0) AS raised FROM cell_v c LEFT JOIN k ON k.tender_id = c.tender_id AND k.bidder_id = c.bidder_id),
+    g AS (SELECT evaluation_id, unnest(list_concat(['criterion>bidder>evaluated against'], CASE WHEN doc THEN ['bidder>document>evidence from', CASE WHEN val THEN 'document>value>extracted' ELSE 'document>value>not found in' END] ELSE ['bidder>value>no evidence'] END,
+      CASE WHEN r THEN ['value>rules>rules analysis', 'rules>verdict>contributes'] ELSE [] END, CASE WHEN m THEN ['value>model>model analysis', 'model>verdict>contributes'] ELSE [] END, CASE WHEN r OR m THEN [] ELSE ['value>verdict>determines'] END,
+      CASE WHEN d THEN ['verdict>dissent>challenged by'] ELSE [] END, CASE WHEN o THEN ['verdict>decision>decided'] ELSE [] END, CASE WHEN n THEN [CASE WHEN o THEN 'decision' ELSE 'verdict' END || '>comments>annotated'] ELSE [] END,
+      list_transform(range(1, raised + 1), lambda i: 'verdict>flag_' || i || '>flagged'))) AS item FROM w),
+    p AS (SELECT evaluation_id, unnest(list_concat(['criterion', 'bidder', 'value', 'verdict'], CASE WHEN doc THEN ['document'] ELSE [] END, CASE WHEN r THEN ['rules'] ELSE [] END, CASE WHEN m THEN ['model'] ELSE [] END, CASE WHEN d THEN ['dissent'] ELSE [] END,
+      CASE WHEN o THEN ['decision'] ELSE [] END, CASE WHEN n THEN ['comments'] ELSE [] END, list_transform(range(1, raised + 1), lambda i: 'flag_' || i))) AS item FROM w)
+    SELECT 'edge' AS part, * FROM g UNION ALL SELECT 'node', * FROM p""")
 def u5_provenance_graph(spark, sf_dir):
-    nodes, edges = workflow.provenance(views.cells(spark, sf_dir), views.flags(spark, sf_dir))
-    return nodes.agg(F.count("*").alias("n")).select(F.lit("nodes").alias("part"), "n").union(edges.agg(F.count("*").alias("n")).select(F.lit("edges").alias("part"), "n"))
+    cells = views.cells(spark, sf_dir)
+    decisions = cells.where("bidder_id % 3 <> 2").select("evaluation_id", F.lit("confirm").alias("decision"))
+    comments = cells.where("bidder_id % 4 = 0").select("evaluation_id", F.lit(1).alias("notes"))
+    nodes, edges = workflow.provenance(cells, views.flags(spark, sf_dir), decisions, comments)
+    edges = edges.select(F.lit("edge").alias("part"), "evaluation_id", F.concat_ws(">", "source", "target", "label").alias("item"))
+    return edges.union(nodes.select(F.lit("node"), "evaluation_id", "node"))
 
 
 @query("u6_token_sets", "WITH p AS (SELECT p_partkey AS k, list_distinct(string_split(p_name, ' ')) AS a, list_distinct(string_split(p_name || ' ' || p_type, ' ')) AS b FROM part) SELECT k, CAST(len(list_intersect(a, b)) AS INT) AS common, CAST(len(list_distinct(list_concat(a, b))) AS INT) AS total, CAST(len(list_filter(b, lambda x: NOT list_contains(a, x))) AS INT) AS added FROM p")

@@ -105,7 +105,7 @@ _RULES = "\n".join(
     for k, (rule, n, t, _) in CRITERIA.items()
 )
 CTE["cell_v"] = f"""
-  SELECT tender_id, bidder_id, criterion_id, tender_id || '/' || CAST(bidder_id AS VARCHAR) || '/' || criterion_id AS evaluation_id, figures, agreement, extraction_confidence, rules_figures, model_figures,
+  SELECT tender_id, bidder_id, criterion_id, tender_id || '/' || CAST(bidder_id AS VARCHAR) || '/' || criterion_id AS evaluation_id, figures, agreement, extraction_confidence, rules_figures, model_figures, has_documents,
     criterion_id IN ('A', 'N') AS is_mandatory, criterion_id = 'N' AS override_permitted,
     CASE WHEN bidder_id % 11 = 0 THEN 'high' WHEN bidder_id % 11 = 1 THEN 'medium' WHEN bidder_id % 11 = 2 THEN 'low' END AS dissent,
     CASE WHEN len(figures) = 0 THEN CASE WHEN extraction_confidence >= 0.5 THEN 'FAIL' ELSE 'REVIEW' END

@@ -216,3 +216,15 @@ def evidence_export(parts: dict[str, DataFrame], path: str) -> DataFrame:
         union = one if union is None else union.union(one)
     union.repartition("tender_id", "part", F.pmod(F.xxhash64("record"), F.lit(16))).write.partitionBy("tender_id", "part").json(path)
     return union.sparkSession.read.schema("record string, tender_id string, part string").json(path)
+
+
+def context_rollup(base: DataFrame, parts: dict[str, DataFrame], most: int = 8000) -> DataFrame:
+    """All that is known of a tender in one row (A24): the columns of ``base`` and of each part, and a ``context`` of at most ``most``
+    characters for a reader. Every table has one row for each tender_id; a part's columns get its name before them, and are null
+    where it says nothing of a tender."""
+    out = base
+    for name, rows in parts.items():
+        named = rows.select(F.col("tender_id").alias("_of"), *(F.col(c).alias(f"{name}_{c}") for c in rows.columns if c != "tender_id"))
+        out = out.join(named, F.col("tender_id") == F.col("_of"), "left").drop("_of")
+    facts = F.to_json(F.struct(*(c for c in out.columns)), {"ignoreNullFields": "false"})
+    return out.withColumn("context", F.substring(facts, 1, most))

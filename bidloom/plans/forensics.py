@@ -122,7 +122,7 @@ CLAIMS = """claim_v AS (SELECT c_custkey AS bidder_id, substr('ABCDEFGHIJKLMNOPQ
     CASE WHEN k % 11 = 0 THEN NULL ELSE CASE WHEN k % 2 = 0 THEN 'U' ELSE 'X' END || '12345HR' || '2001' || 'PTC' || lpad(CAST(k AS VARCHAR), 6, '0') END AS cin FROM claim_v)"""
 
 
-def _claims(spark, sf_dir):
+def claims_of(spark, sf_dir):
     k = F.col("c_custkey")
     pad = lambda n: F.lpad(k.cast("string"), n, "0")
     pan = F.concat(F.expr("substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', cast(c_custkey % 26 + 1 as int), 1)"), F.lit("AA"), F.expr("substr('CCCFTP', cast(c_custkey % 6 + 1 as int), 1)"), F.lit("B"), F.lpad((k % 10000).cast("string"), 4, "0"), F.when(k % 9 == 0, "1").otherwise("Z"))
@@ -141,7 +141,7 @@ def _claims(spark, sf_dir):
     CASE WHEN NOT regexp_matches(gstin, '{V.GSTIN}') THEN 'medium' WHEN substr(gstin, 3, 10) <> pan THEN 'high' END AS severity FROM claims""")
 def p7_p8_identifier_formats(spark, sf_dir):
     same = F.substring("gstin", 3, 10) == F.col("pan")
-    return _claims(spark, sf_dir).select("bidder_id", V.matches(F.col("pan"), V.PAN).alias("pan_ok"), V.matches(F.col("gstin"), V.GSTIN).alias("gstin_ok"), same.alias("pan_in_gstin"), F.when(~V.matches(F.col("gstin"), V.GSTIN), "medium").when(~same, "high").alias("severity"))
+    return claims_of(spark, sf_dir).select("bidder_id", V.matches(F.col("pan"), V.PAN).alias("pan_ok"), V.matches(F.col("gstin"), V.GSTIN).alias("gstin_ok"), same.alias("pan_in_gstin"), F.when(~V.matches(F.col("gstin"), V.GSTIN), "medium").when(~same, "high").alias("severity"))
 
 
 REGISTRY = f"r AS (SELECT bidder_id AS entry_id, CASE WHEN bidder_id % 2 = 0 THEN pan ELSE '' END AS pan, CASE WHEN bidder_id % 3 = 0 THEN gstin ELSE '' END AS gstin, upper(company_name) || ' Pvt Ltd' AS company_name, CASE WHEN bidder_id % 20 = 0 THEN NULL ELSE DATE '2023-01-01' + CAST(bidder_id % 900 AS INT) END AS debarred_until FROM claims WHERE bidder_id % 10 = 0)"
@@ -149,7 +149,7 @@ REGISTRY = f"r AS (SELECT bidder_id AS entry_id, CASE WHEN bidder_id % 2 = 0 THE
 
 def _registry(spark, sf_dir):
     k = F.col("bidder_id")
-    return _claims(spark, sf_dir).where(k % 10 == 0).select(
+    return claims_of(spark, sf_dir).where(k % 10 == 0).select(
         k.alias("entry_id"), F.when(k % 2 == 0, F.col("pan")).otherwise("").alias("pan"), F.when(k % 3 == 0, F.col("gstin")).otherwise("").alias("gstin"), F.concat(F.upper("company_name"), F.lit(" Pvt Ltd")).alias("company_name"),
         F.when(k % 20 != 0, F.date_add(F.lit("2023-01-01").cast("date"), (k % 900).cast("int"))).alias("debarred_until"),
     )
@@ -164,7 +164,7 @@ DEBARRED = f"""live AS (SELECT * FROM r WHERE debarred_until IS NULL OR debarred
 
 @query("j8_debarment", f"""WITH {CLAIMS}, {REGISTRY}, {DEBARRED} SELECT c.bidder_id, coalesce(hits, 0) AS hits, CASE rank WHEN 0 THEN 'confirmed_debarred' WHEN 1 THEN 'flagged' ELSE 'clear' END AS state FROM claims c LEFT JOIN best b ON b.bidder_id = c.bidder_id""")
 def j8_debarment(spark, sf_dir):
-    return checks.debarment(_claims(spark, sf_dir), _registry(spark, sf_dir), F.lit(AS_OF).cast("date")).select("bidder_id", "hits", "state")
+    return checks.debarment(claims_of(spark, sf_dir), _registry(spark, sf_dir), F.lit(AS_OF).cast("date")).select("bidder_id", "hits", "state")
 
 
 @query("v1_v8_verifiers", f"""WITH {CLAIMS}, {REGISTRY}, {DEBARRED},
@@ -178,7 +178,7 @@ def j8_debarment(spark, sf_dir):
     UNION ALL SELECT bidder_id, 'mca', CASE WHEN cin IS NULL THEN 'not_found' WHEN NOT regexp_matches(cin, '{V.CIN}') THEN 'mismatch' ELSE 'verified' END, CASE WHEN cin IS NULL THEN 0.6 WHEN NOT regexp_matches(cin, '{V.CIN}') THEN 0.9 ELSE 0.82 END FROM p
     UNION ALL SELECT bidder_id, 'debarment', CASE WHEN rank = 0 THEN 'mismatch' ELSE 'verified' END, CASE WHEN rank = 0 THEN 0.92 ELSE 0.95 END FROM p""")
 def v1_v8_verifiers(spark, sf_dir):
-    claims = _claims(spark, sf_dir)
+    claims = claims_of(spark, sf_dir)
     checked = claims.join(checks.debarment(claims, _registry(spark, sf_dir), F.lit(AS_OF).cast("date")).select("bidder_id", "debarment_confidence"), "bidder_id")
     return checks.verify_all(checked, F.lit(AS_OF).cast("date")).select("bidder_id", "verifier", "status", "confidence")
 
@@ -188,14 +188,14 @@ def v1_v8_verifiers(spark, sf_dir):
     FROM (SELECT bidder_id, CASE WHEN k % 6 = 0 THEN frn ELSE left(frn, 6) || substr('NSEWCQ', CAST(k % 6 + 1 AS INT), 1) END AS frn, cin FROM claims)""")
 def v4_v6_registry_details(spark, sf_dir):
     letter = F.expr("substr('NSEWCQ', cast(bidder_id % 6 + 1 as int), 1)")
-    claims = _claims(spark, sf_dir).withColumn("frn", F.when(F.col("bidder_id") % 6 == 0, F.col("frn")).otherwise(F.concat(F.substring("frn", 1, 6), letter)))
+    claims = claims_of(spark, sf_dir).withColumn("frn", F.when(F.col("bidder_id") % 6 == 0, F.col("frn")).otherwise(F.concat(F.substring("frn", 1, 6), letter)))
     read = claims.select("bidder_id", checks.verify_frn().alias("frn"), checks.verify_cin().alias("cin"))
     return read.select("bidder_id", F.col("frn.details")["region"].alias("region"), *(F.col("cin.details")[k].alias(k) for k in ("listing", "state", "year")))
 
 
 @query("j5_verifier_matrix", f"""WITH {CLAIMS}, {REGISTRY}, {DEBARRED} SELECT c.bidder_id, v.verifier, CASE WHEN v.verifier = 'debarment' THEN CASE WHEN b.rank = 0 THEN 'mismatch' ELSE 'verified' END END AS status FROM claims c CROSS JOIN (VALUES ('pan'), ('gst'), ('udin'), ('frn'), ('udyam'), ('mca'), ('debarment')) v(verifier) LEFT JOIN best b ON b.bidder_id = c.bidder_id""")
 def j5_verifier_matrix(spark, sf_dir):
-    claims = _claims(spark, sf_dir)
+    claims = claims_of(spark, sf_dir)
     checked = claims.join(checks.debarment(claims, _registry(spark, sf_dir), F.lit(AS_OF).cast("date")).select("bidder_id", "debarment_confidence"), "bidder_id")
     results = checks.verify_all(checked, F.lit(AS_OF).cast("date"), {"debarment": checks.VERIFIERS["debarment"]}).select(F.col("bidder_id").alias("b"), F.col("verifier").alias("v"), "status")
     wide = claims.select("bidder_id", F.explode(F.array(*map(F.lit, checks.VERIFIERS))).alias("verifier"))

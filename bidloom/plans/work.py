@@ -6,9 +6,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from bidloom.functions import values as V
-from bidloom.operators import matrix, workflow
+from bidloom.operators import checks, matrix, workflow
 from bidloom.plans.audit import CORRIGENDA, corrigenda
 from bidloom.plans.cells import COUNTS
+from bidloom.plans.forensics import CLAIMS, claims_of
 from bidloom.plans.registry import query
 from bidloom.sources import views
 from bidloom.sources.shared import new_path
@@ -141,14 +142,34 @@ def a22_page_confidence(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("document")).agg(F.round(F.avg(F.col("l_discount").cast("decimal(18,4)")), 6).cast("double").alias("confidence"), F.count("*").alias("words"))
 
 
-@query("a24_context_rollup", f"""{with_cte('flag_v', 'routed_v')}, c AS ({COUNTS}), v AS (SELECT tender_id, sum(passes) AS passes, sum(fails) AS fails, sum(reviews) AS reviews, count(*) AS bidders FROM c GROUP BY 1),
-    f AS (SELECT tender_id, count(*) AS flags, count(*) FILTER (severity = 'high') AS high FROM flag_v GROUP BY 1), o AS (SELECT tender_id, count(*) AS open FROM routed_v WHERE route <> 'auto_commit' GROUP BY 1)
-    SELECT v.tender_id, CAST(passes AS BIGINT) AS passes, CAST(fails AS BIGINT) AS fails, CAST(reviews AS BIGINT) AS reviews, bidders, flags, high, open FROM v LEFT JOIN f USING (tender_id) LEFT JOIN o USING (tender_id)""")
+@query("a24_context_rollup", f"""{with_cte('flag_v', 'routed_v')}, {CLAIMS}, c AS ({COUNTS}), v AS (SELECT tender_id, CAST(sum(passes) AS BIGINT) AS passes, CAST(sum(fails) AS BIGINT) AS fails, CAST(sum(reviews) AS BIGINT) AS reviews, count(*) AS bidders FROM c GROUP BY 1),
+    f AS (SELECT tender_id, count(*) AS flags, count(*) FILTER (severity = 'high') AS high FROM flag_v GROUP BY 1), o AS (SELECT tender_id, count(*) FILTER (route <> 'auto_commit') AS review, count(*) FILTER (second_officer) AS second FROM routed_v GROUP BY 1),
+    n AS (SELECT tender_id, count(*) AS notes FROM routed_v WHERE bidder_id % 4 = 0 GROUP BY 1), d AS (SELECT p_brand AS tender_id, count(DISTINCT l_orderkey) AS files, count(*) AS pages FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+    r AS (SELECT p_brand AS tender_id, CASE l_returnflag WHEN 'N' THEN 'present' WHEN 'A' THEN 'partial' ELSE 'missing' END AS state, l_linenumber % 3 = 0 AS m, l_orderkey % 2 = 0 AS ok FROM lineitem JOIN part ON l_partkey = p_partkey),
+    k AS (SELECT tender_id, count(*) FILTER (state = 'present') AS present, count(*) FILTER (state = 'partial') AS partial, count(*) FILTER (state = 'missing' AND m) AS missing_mandatory, CASE WHEN count(*) FILTER (state = 'missing' AND m AND NOT ok) > 0 THEN 'preliminary_failed' ELSE 'passed' END AS outcome FROM r GROUP BY 1),
+    s AS (SELECT bidder_id, CASE WHEN frn IS NULL THEN 'not_found' WHEN NOT regexp_matches(frn, '{V.FRN}') THEN 'mismatch' ELSE 'verified' END AS status FROM claims UNION ALL SELECT bidder_id, CASE WHEN cin IS NULL THEN 'not_found' WHEN NOT regexp_matches(cin, '{V.CIN}') THEN 'mismatch' ELSE 'verified' END FROM claims),
+    y AS (SELECT tender_id, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status = 'mismatch') AS mismatch, count(*) FILTER (status = 'not_found') AS not_found FROM (SELECT DISTINCT tender_id, bidder_id FROM routed_v) JOIN s USING (bidder_id) GROUP BY 1)
+    SELECT v.*, flags AS flags_flags, high AS flags_high, review AS requests_review, second AS requests_second, notes AS comments_notes, files AS documents_files, pages AS documents_pages, present AS checklist_present, partial AS checklist_partial,
+      missing_mandatory AS checklist_missing_mandatory, outcome AS checklist_outcome, verified AS verifications_verified, mismatch AS verifications_mismatch, not_found AS verifications_not_found
+    FROM v LEFT JOIN f ON f.tender_id = v.tender_id LEFT JOIN o ON o.tender_id = v.tender_id LEFT JOIN n ON n.tender_id = v.tender_id LEFT JOIN d ON d.tender_id = v.tender_id LEFT JOIN k ON k.tender_id = v.tender_id LEFT JOIN y ON y.tender_id = v.tender_id""")
 def a24_context_rollup(spark, sf_dir):
     cells = views.cells(spark, sf_dir)
     counts = matrix.verdict_counts(cells, ["tender_id", "bidder_id"]).groupBy("tender_id").agg(F.sum("passes").alias("passes"), F.sum("fails").alias("fails"), F.sum("reviews").alias("reviews"), F.count("*").alias("bidders"))
-    flags = views.flags(spark, sf_dir).groupBy("tender_id").agg(F.count("*").alias("flags"), F.count_if(F.col("severity") == "high").alias("high"))
-    return counts.join(flags, "tender_id", "left").join(cells.where("route <> 'auto_commit'").groupBy("tender_id").agg(F.count("*").alias("open")), "tender_id", "left")
+    brands = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("tender_id"))
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_returnflag").join(brands, F.col("l_partkey") == F.col("p_partkey"))
+    responses = lines.select(
+        "tender_id", F.concat(F.lit("item "), F.col("l_linenumber").cast("string")).alias("label"), F.when(F.col("l_returnflag") == "N", "present").when(F.col("l_returnflag") == "A", "partial").otherwise("missing").alias("state"),
+        (F.col("l_linenumber") % 3 == 0).alias("is_mandatory"), F.when(F.col("l_orderkey") % 2 == 0, "accepted").alias("officer_decision"),
+    )
+    verified = checks.verify_all(claims_of(spark, sf_dir), F.lit("2024-01-01").cast("date"), {k: checks.VERIFIERS[k] for k in ("frn", "mca")})
+    verified = cells.select("tender_id", "bidder_id").distinct().join(verified, "bidder_id").groupBy("tender_id").agg(*(F.count_if(F.col("status") == x).alias(x) for x in ("verified", "mismatch", "not_found")))
+    parts = {
+        "flags": views.flags(spark, sf_dir).groupBy("tender_id").agg(F.count("*").alias("flags"), F.count_if(F.col("severity") == "high").alias("high")),
+        "requests": cells.groupBy("tender_id").agg(F.count_if(F.col("route") != "auto_commit").alias("review"), F.count_if("second_officer").alias("second")),
+        "comments": cells.where("bidder_id % 4 = 0").groupBy("tender_id").agg(F.count("*").alias("notes")), "documents": lines.groupBy("tender_id").agg(F.countDistinct("l_orderkey").alias("files"), F.count("*").alias("pages")),
+        "checklist": workflow.checklist_status(responses, ["tender_id"]).drop("missing_labels"), "verifications": verified,
+    }
+    return matrix.context_rollup(counts, parts).drop("context")
 
 
 @query("a26_corpus_counts", "SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS precedents, (SELECT count(*) FROM supplier WHERE s_acctbal < 0) AS registry")

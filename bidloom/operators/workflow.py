@@ -54,6 +54,26 @@ def cached_responses(prompts: DataFrame, log: DataFrame) -> DataFrame:
     return prompts.join(last, F.col("prompt_hash") == F.col("h"), "left").drop("h")
 
 
+#: The columns of a findings table (F3): what a provider answered to a prompt in one run, one row for each finding.
+FINDINGS = ("prompt_hash", "run", "finding", "confidence", "error")
+
+
+def findings_for(cells: DataFrame, findings: DataFrame) -> DataFrame:
+    """(evaluation_id, run, finding, confidence): a provider's findings on each cell's prompt (F3), from its last run without an error.
+
+    cells (evaluation_id, prompt_hash), findings as in FINDINGS, ``run`` in order of time. A run with an error in any row counts as
+    failed. A cell without a prompt, or whose prompt has no good run, keeps one row with nulls.
+    """
+    missing = set(FINDINGS) - set(findings.columns)
+    if missing:
+        raise ValueError(f"the findings lack {sorted(missing)}")
+    runs = findings.groupBy("prompt_hash", "run").agg(F.bool_and(F.col("error").isNull()).alias("good"))
+    last = runs.where("good").groupBy(F.col("prompt_hash").alias("_h")).agg(F.max("run").alias("_run"))
+    chosen = findings.join(last, (F.col("prompt_hash") == F.col("_h")) & (F.col("run") == F.col("_run"))).select("_h", "run", "finding", "confidence")
+    asked = cells.select("evaluation_id", F.col("prompt_hash").alias("_asked"))
+    return asked.join(chosen, F.col("_asked") == F.col("_h"), "left").select("evaluation_id", "run", "finding", "confidence")
+
+
 def reverse_citations(citations: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     """(kind, target, cell): the cells that cite a word or a page (J3). ``targets`` has for each column of ``citations`` the
     table of one column whose values count."""

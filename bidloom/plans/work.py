@@ -91,6 +91,13 @@ def j18_response_cache(spark, sf_dir):
     return workflow.cached_responses(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("prompt_hash")), log)
 
 
+@query("f3_findings", """WITH f AS (SELECT user_id AS h, event_id % 4 AS run, event_id AS finding, value AS confidence, event_type = 'error' AS bad FROM events), g AS (SELECT h, run FROM f GROUP BY 1, 2 HAVING NOT bool_or(bad)), l AS (SELECT h, max(run) AS run FROM g GROUP BY 1)
+    SELECT c_custkey AS evaluation_id, f.run, f.finding, f.confidence FROM customer LEFT JOIN l ON l.h = c_custkey LEFT JOIN f ON f.h = l.h AND f.run = l.run""")
+def f3_findings(spark, sf_dir):
+    findings = table(spark, sf_dir, "events").select(F.col("user_id").alias("prompt_hash"), (F.col("event_id") % 4).alias("run"), F.col("event_id").alias("finding"), F.col("value").alias("confidence"), F.when(F.col("event_type") == "error", "failed").alias("error"))
+    return workflow.findings_for(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("evaluation_id"), F.col("c_custkey").alias("prompt_hash")), findings)
+
+
 @query("j25_review_context", f"""{with_cte('flag_v', 'routed_v')}, f AS (SELECT evaluation_id, list(severity || ':' || flag_type ORDER BY severity || ':' || flag_type) AS flags FROM flag_v WHERE evaluation_id IS NOT NULL GROUP BY 1)
     SELECT r.evaluation_id, verdict, s_name AS company, flags FROM routed_v r JOIN supplier ON bidder_id = s_suppkey LEFT JOIN f ON f.evaluation_id = r.evaluation_id WHERE second_officer""")
 def j25_review_context(spark, sf_dir):

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a new local one where that is unset, as in tests."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset and all runs in one process (tests), a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.bidloom.shared", None)
     if not found:
+        if not spark.conf.get("spark.master").startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.bidloom.shared", found)
     return found

@@ -125,9 +125,9 @@ def sums(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(upto[offsets])
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Words of each text: (first word of each text and the end, code of each word, distinct words as bytes)."""
-    solid = ~WHITE[data]
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words of each text, divided by the bytes that ``between`` marks: (first word of each text and the end, code of each word, distinct words as bytes)."""
+    solid = ~between[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     edge = offsets[:-1][offsets[:-1] < len(data)]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidloom.llm import bpe, flac, langid, neardup, packing, pages, quality, secrets, toxicity, urlfilter
+from bidloom.llm import alignment, bpe, flac, langid, licenses, neardup, packing, pages, periodic, quality, secrets, toxicity, urlfilter
 from bidloom.llm.common import crc_bucket, read
 
 
@@ -68,6 +68,18 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(documents, model).select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents", "doc_id", "text")).withColumn("spans", F.to_json("spans"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(read(spark, sf_dir, "documents", "doc_id", "text"), periodic.planted())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_neardup": op2_neardup,
@@ -79,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_langid": op10_langid,
+    "op11_licenses": op11_licenses,
+    "op12_alignment": op12_alignment,
+    "op13_periodic": op13_periodic,
 }
 
 SQL: dict[str, str] = {

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from bidloom.operators import segments
+
 #: Fixed value: what the first event of a chain links to.
 GENESIS = "0" * 64
 
@@ -86,20 +88,19 @@ def chained(events: DataFrame, key: str, order: str, kind: str, data: str, actor
 def chain_breaks(events: DataFrame, key: str, order: str, kind: str, data: str, actor: str, at: str) -> DataFrame:
     """Per key the number of events and the first break of the chain (H1): where and of which kind, null if it holds.
 
-    Every row is checked against the one before it, so nothing here is serial.
+    Every row is checked against the one before it. A key's log is cut into segments that are checked side by side, and the last
+    hash of a segment goes on to the next one, so a log with most of all rows is no single task's.
     """
-    before = F.lag("entry_hash").over(Window.partitionBy(key).orderBy(order))
-    broken = F.when(F.col("prev_hash") != F.coalesce(before, F.lit(GENESIS)), "link").when(F.col("entry_hash") != link_hash(F.col("prev_hash"), F.col(kind), F.col(data), F.col(actor), F.col(at)), "content")
-    checked = events.withColumn("broken", broken)
+    broken = F.when(F.col("prev_hash") != F.coalesce("_before", F.lit(GENESIS)), "link").when(F.col("entry_hash") != link_hash(F.col("prev_hash"), F.col(kind), F.col(data), F.col(actor), F.col(at)), "content")
+    checked = segments.previous(events, [key], [order], "entry_hash", "_before").withColumn("broken", broken)
     return checked.groupBy(key).agg(F.count("*").alias("events"), F.min(F.when(F.col("broken").isNotNull(), F.struct(F.col(order).alias("at"), "broken"))).alias("first")).select(key, "events", F.col("first.at").alias("first_break"), F.col("first.broken").alias("kind"), F.col("first").isNull().alias("valid"))
 
 
-def illegal_transitions(moves: DataFrame, key: str, order: str, allowed: dict[str, list[str]] = TRANSITIONS) -> DataFrame:
+def illegal_transitions(moves: DataFrame, key: str, order: list[str], allowed: dict[str, list[str]] = TRANSITIONS) -> DataFrame:
     """Transitions (from_state, to_state) that aren't allowed, or don't start where the last one ended (H4)."""
     pairs = F.array(*(F.lit(f"{a}>{b}") for a, to in allowed.items() for b in to)) if any(allowed.values()) else F.array(F.lit(""))
-    before = F.lag("to_state").over(Window.partitionBy(key).orderBy(order))
     forbidden = ~F.array_contains(pairs, F.concat_ws(">", "from_state", "to_state"))
-    found = moves.withColumn("before", before).select("*", forbidden.alias("forbidden"), (F.col("before").isNotNull() & (F.col("before") != F.col("from_state"))).alias("gap"))
+    found = segments.previous(moves, [key], order, "to_state", "before").select("*", forbidden.alias("forbidden"), (F.col("before").isNotNull() & (F.col("before") != F.col("from_state"))).alias("gap"))
     return found.where("forbidden or gap").drop("before")
 
 
@@ -129,12 +130,13 @@ def revisions(edits: DataFrame, keys: list[str], order: list[str], body: str, au
 
 def corrigendum_numbers(documents: DataFrame, stored: DataFrame, key: str = "tender_id", document: str = "document") -> DataFrame:
     """(key, document, number) of the documents that have no number yet (W7): they go on from the largest stored one of their key,
-    in the order of the documents. ``stored`` has (key, document, number); a document gets a number once."""
+    in the order of the documents. ``stored`` has (key, document, number); a document gets a number once. A key with most of all
+    documents is numbered in segments."""
     known = stored.select(key, document)
     new = documents.select(key, document).distinct().join(known, [key, document], "left_anti")
     most = stored.groupBy(F.col(key).alias("_key")).agg(F.max("number").alias("_most"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(document))
-    return new.join(most, F.col(key) == F.col("_key"), "left").select(key, document, (place + F.coalesce("_most", F.lit(0))).cast("bigint").alias("number"))
+    placed = segments.ranked(new, [key], [document], "_place")
+    return placed.join(most, F.col(key) == F.col("_key"), "left").select(key, document, (F.col("_place") + F.coalesce("_most", F.lit(0))).cast("bigint").alias("number"))
 
 
 def keyset_page(rows: DataFrame, order: str, size: int, after=None, descending: bool = False) -> DataFrame:
@@ -150,31 +152,46 @@ def keyset_page(rows: DataFrame, order: str, size: int, after=None, descending:
 def as_of(facts: DataFrame, versions_: DataFrame, key: str, at: str, created: str, version: str) -> DataFrame:
     """The highest version that existed when each fact came (J14): one pass over both, ordered by time.
 
-    Versions and facts are merged by key and time, and a running maximum carries the version on; a version of the same moment counts.
+    Versions and facts are merged by key and time, and a running maximum carries the version on, also over the segments that a key
+    with many rows is cut into; a version of the same moment counts.
     """
     merged = facts.select("*", F.lit(1).alias("_fact"), F.col(at).alias("_at"), F.lit(None).cast("int").alias("_v")).unionByName(
         versions_.select(key, F.lit(0).alias("_fact"), F.col(created).alias("_at"), F.col(version).cast("int").alias("_v")), allowMissingColumns=True
     )
-    upto = Window.partitionBy(key).orderBy("_at", "_fact").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return merged.withColumn("version_in_force", F.max("_v").over(upto)).where("_fact = 1").drop("_fact", "_at", "_v")
+    return segments.running(merged, [key], ["_at", "_fact"], {"version_in_force": ("max", F.col("_v"))}).where("_fact = 1").drop("_fact", "_at", "_v")
 
 
 def state_as_of(cells: DataFrame, snapshots: DataFrame, states: DataFrame, points: DataFrame) -> DataFrame:
     """For each (tender, time) of ``points``: cells that existed, those decided by then and since, verdicts of the latest snapshot
-    up to then (the cell's own where there is none), and the tender's state (H2, A25).
+    up to then (the cell's own where there is none), and the tender's state (H2, A25). Points without a cell give no row.
 
-    cells (tender_id, cell, created, verdict, decided_at), snapshots (cell, at, verdict), states (tender_id, at, to_state).
+    cells (tender_id, cell, created, verdict, decided_at), snapshots (cell, at, id, verdict), states (tender_id, at, id, to_state);
+    ids settle ties of a time. All become changes of counts at a time: a cell adds one to its verdict when it is created, a snapshot
+    takes one from the verdict before it and adds one to its own. Running sums then answer all points of a tender in one pass,
+    so their number costs rows and not products with the cells; a tender with most of all changes is summed in segments.
     """
-    held = points.join(cells.withColumnRenamed("tender_id", "t"), F.col("tender_id") == F.col("t")).where(F.col("created") <= F.col("point")).drop("t")
-    seen = held.select("tender_id", "point", "cell").join(snapshots.select(F.col("cell").alias("c"), F.col("at"), F.col("verdict").alias("then")), F.col("cell") == F.col("c")).where(F.col("at") <= F.col("point"))
-    last = seen.groupBy(F.col("tender_id").alias("lt"), F.col("point").alias("lp"), F.col("cell").alias("lc")).agg(F.max_by("then", "at").alias("then"))
-    joined = held.join(last, (F.col("tender_id") == F.col("lt")) & (F.col("point") == F.col("lp")) & (F.col("cell") == F.col("lc")), "left").withColumn("verdict_then", F.coalesce("then", "verdict"))
-    counted = joined.groupBy("tender_id", "point").agg(
-        F.count("*").alias("cells"), F.count_if(F.col("decided_at") <= F.col("point")).alias("decided"), F.count_if(F.col("decided_at") > F.col("point")).alias("decided_later"),
-        *(F.count_if(F.col("verdict_then") == v).alias(n) for v, n in (("PASS", "passes"), ("FAIL", "fails"), ("REVIEW", "reviews"))),
-    )
-    moved = points.join(states.withColumnRenamed("tender_id", "t"), F.col("tender_id") == F.col("t")).where(F.col("at") <= F.col("point")).groupBy(F.col("tender_id").alias("st"), F.col("point").alias("sp")).agg(F.max_by("to_state", "at").alias("state"))
-    return counted.join(moved, (F.col("tender_id") == F.col("st")) & (F.col("point") == F.col("sp")), "left").drop("st", "sp")
+    verdicts = {"passes": "PASS", "fails": "FAIL", "reviews": "REVIEW"}
+    counts = ["cells", "decided", "decided_later", *verdicts]
+
+    def change(tender: str, at: Column, **by: Column | int) -> list[Column]:
+        return [F.col(tender).alias("tender_id"), at.alias("at"), *(F.lit(by.get(c, 0)).cast("bigint").alias(c) for c in counts)]
+
+    def one(when: Column) -> Column:
+        return F.when(when, 1).otherwise(0)
+
+    made = cells.select(*change("tender_id", F.col("created"), cells=1, decided_later=one(F.col("decided_at") > F.col("created")), **{n: one(F.col("verdict") == v) for n, v in verdicts.items()}))
+    decided = cells.where("decided_at is not null").select(*change("tender_id", F.greatest("created", "decided_at"), decided=1, decided_later=-one(F.col("decided_at") > F.col("created"))))
+    own = cells.select(F.col("cell").alias("_cell"), "tender_id", "created", F.col("verdict").alias("_own"))
+    seen = segments.previous(snapshots.select("cell", "at", "id", "verdict"), ["cell"], ["at", "id"], "verdict", "_before").join(own, F.col("cell") == F.col("_cell"))
+    before = F.coalesce("_before", "_own")
+    turned = seen.select(*change("tender_id", F.greatest("at", "created"), **{n: one(F.col("verdict") == v) - one(before == v) for n, v in verdicts.items()}))
+    changes = made.union(decided).union(turned).groupBy("tender_id", "at").agg(*(F.sum(c).alias(c) for c in counts))
+    moved = states.groupBy("tender_id", "at").agg(F.max_by("to_state", "id").alias("to_state"))
+    asked = points.select("tender_id", F.col("point").alias("at")).distinct().withColumn("_point", F.lit(1))
+    sweep = changes.unionByName(moved, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True).withColumn("_point", F.coalesce("_point", F.lit(0)))
+    sums = {c: ("sum", F.coalesce(f"_{c}", F.lit(0))) for c in counts}
+    found = segments.running(sweep.withColumnsRenamed({c: f"_{c}" for c in counts}), ["tender_id"], ["at", "_point"], sums | {"state": ("last", F.col("to_state"))})
+    return found.where((F.col("_point") == 1) & (F.col("cells") > 0)).select("tender_id", F.col("at").alias("point"), *counts, "state")
 
 
 def reproduce_diff(stored: DataFrame, recomputed: DataFrame, key: str, exact: list[str], close: list[str], tolerance: float = 1e-3) -> DataFrame:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_moments(value: str, window=None) -> tuple[Column, Column, Column]:
+def exact_moments(value: str) -> tuple[Column, Column, Column]:
     """(n, mean, population deviation) from exact decimal sums, so the result doesn't depend on row order."""
     v = F.col(value).cast("decimal(18,2)")
     n, s, q = F.count(v), F.sum(v), F.sum((v * v).cast("decimal(38,4)"))
-    if window is not None:
-        n, s, q = n.over(window), s.over(window), q.over(window)
     n, s, q = n, s.cast("double"), q.cast("double")
     mean = s / n
     return n, mean, F.sqrt(F.greatest(q / n - mean * mean, F.lit(0.0)))
@@ -20,13 +20,14 @@ def exact_moments(value: str, window=None) -> tuple[Column, Column, Column]:
 def zscore_pool(bids: DataFrame, keys: list[str], value: str, flag_at: float = 1.5, high_at: float = 2.5, least: int = 3) -> DataFrame:
     """Values further than ``flag_at`` deviations from the mean of their pool.
 
-    Pools of under ``least`` positive values, or without spread, give nothing. Null and non-positive values take no part.
+    Pools of under ``least`` positive values, or without spread, give nothing. Null and non-positive values take no part. A pool
+    is summed in parts and its moments are joined back, so no task sees a whole pool.
     """
-    pool = Window.partitionBy(*keys)
     positive = bids.where(F.col(value) > 0)
-    n, mean, deviation = exact_moments(value, pool)
-    scored = positive.select("*", n.alias("pool_size"), mean.alias("pool_mean"), deviation.alias("pool_sd"))
-    scored = scored.where((F.col("pool_size") >= least) & (F.col("pool_sd") > 0))
+    n, mean, deviation = exact_moments(value)
+    pools = positive.groupBy(*(F.col(k).alias(f"_of_{k}") for k in keys)).agg(n.alias("pool_size"), mean.alias("pool_mean"), deviation.alias("pool_sd")).where((F.col("pool_size") >= least) & (F.col("pool_sd") > 0))
+    own = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys))
+    scored = positive.join(pools, own).drop(*(f"_of_{k}" for k in keys))
     scored = scored.withColumn("z", (F.col(value).cast("double") - F.col("pool_mean")) / F.col("pool_sd"))
     return scored.where(F.abs("z") > flag_at).select(
         "*",

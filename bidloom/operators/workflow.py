@@ -28,14 +28,26 @@ def orphans(table: str, rows: DataFrame, key: str, parents: DataFrame, parent_ke
     return lost.agg(F.count("*").alias("violations")).select(F.lit(table).alias("table"), F.lit(f"{key} has a parent").alias("rule"), "violations")
 
 
+def posting_lists(corpus: DataFrame, k: int) -> DataFrame:
+    """(department, term, found, created): the ``k`` + 1 newest precedents of each department and term.
+
+    Each task keeps its own newest before the shuffle (a limit of the rank), so a term that all precedents have costs k + 1 rows
+    of a task.
+    """
+    terms = corpus.select("department", F.col("id").alias("found"), "created", F.explode(F.array_distinct("terms")).alias("term"))
+    newest = F.row_number().over(Window.partitionBy("department", "term").orderBy(F.desc("created"), "found"))
+    return terms.withColumn("n", newest).where(F.col("n") <= k + 1).drop("n")
+
+
 def precedents(queries: DataFrame, corpus: DataFrame, k: int = 3) -> DataFrame:
     """For each query the k newest precedents of its department that share a search term, else of its type and department.
 
-    queries (id, department, kind, terms), corpus (id, department, kind, terms, created). A precedent isn't its own.
+    queries (id, department, kind, terms), corpus (id, department, kind, terms, created). A precedent isn't its own. A query meets
+    the newest k + 1 of each of its terms: its own newest k are among them, as it is at most one of those itself.
     """
-    by_term = queries.select(F.col("id").alias("query"), "department", F.explode("terms").alias("term")).join(
-        corpus.select(F.col("id").alias("found"), F.col("department").alias("d"), "created", F.explode("terms").alias("t")), (F.col("department") == F.col("d")) & (F.col("term") == F.col("t")) & (F.col("query") != F.col("found"))
-    )
+    lists = posting_lists(corpus, k).withColumnsRenamed({"department": "d", "term": "t"})
+    asked = queries.select(F.col("id").alias("query"), "department", F.explode("terms").alias("term"))
+    by_term = asked.join(lists, (F.col("department") == F.col("d")) & (F.col("term") == F.col("t")) & (F.col("query") != F.col("found")))
     hits = by_term.select("query", "found", "created").distinct()
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("created"), "found"))
     top = hits.withColumn("k", rank).where(F.col("k") <= k).select("query", "found", "k", F.lit("terms").alias("basis"))

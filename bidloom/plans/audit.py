@@ -48,8 +48,8 @@ def h4_transition_legality(spark, sf_dir):
 
     by = Window.partitionBy("tender_id").orderBy("at", "id")
     moves = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("tender_id"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"), F.col("o_orderstatus").alias("to_state"))
-    moves = moves.withColumn("from_state", F.coalesce(F.lag("to_state").over(by), F.lit("O"))).withColumn("step", F.struct("at", "id"))
-    return history.illegal_transitions(moves, "tender_id", "step", {"O": ["F", "P"], "P": ["F"], "F": ["O"]}).select("tender_id", "id", "from_state", "to_state")
+    moves = moves.withColumn("from_state", F.coalesce(F.lag("to_state").over(by), F.lit("O")))
+    return history.illegal_transitions(moves, "tender_id", ["at", "id"], {"O": ["F", "P"], "P": ["F"], "F": ["O"]}).select("tender_id", "id", "from_state", "to_state")
 
 
 @query("a19_p22_lifecycle", "SELECT o_custkey AS tender_id, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS state, CASE arg_max(o_orderstatus, (o_orderdate, o_orderkey)) WHEN 'O' THEN 'setup' WHEN 'P' THEN 'evaluation' ELSE 'report' END AS step FROM orders GROUP BY 1")
@@ -192,24 +192,26 @@ def w11_recent_merged(spark, sf_dir):
 
 
 REPLAY = """c AS (SELECT o_custkey AS tender_id, o_orderkey AS cell, o_orderdate AS created, CASE o_orderstatus WHEN 'O' THEN 'PASS' WHEN 'F' THEN 'FAIL' ELSE 'REVIEW' END AS verdict, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 400 DAY END AS decided_at FROM orders),
-  s AS (SELECT l_orderkey AS cell, l_shipdate AS at, arg_max(CASE l_returnflag WHEN 'A' THEN 'FAIL' WHEN 'N' THEN 'PASS' ELSE 'REVIEW' END, l_linenumber * 10000000 + l_partkey) AS verdict FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1, 2),
-  p AS (SELECT DISTINCT tender_id, TIMESTAMP '1996-07-01' AS point FROM c)"""
+  s AS (SELECT l_orderkey AS cell, l_shipdate AS at, arg_max(CASE l_returnflag WHEN 'A' THEN 'FAIL' WHEN 'N' THEN 'PASS' ELSE 'REVIEW' END, l_linenumber * 10000000 + l_partkey) AS verdict FROM lineitem GROUP BY 1, 2),
+  p AS (SELECT DISTINCT tender_id, created AS point FROM c UNION SELECT DISTINCT tender_id, TIMESTAMP '1996-07-01' FROM c)"""
 
 
 @query("h2_state_as_of", f"""WITH {REPLAY}, h AS (SELECT c.*, p.point FROM p JOIN c ON c.tender_id = p.tender_id AND c.created <= p.point),
-    x AS (SELECT h.*, coalesce((SELECT arg_max(s.verdict, s.at) FROM s WHERE s.cell = h.cell AND s.at <= h.point), h.verdict) AS v FROM h),
-    n AS (SELECT tender_id, count(*) AS cells, count(*) FILTER (decided_at <= point) AS decided, count(*) FILTER (decided_at > point) AS decided_later, count(*) FILTER (v = 'PASS') AS passes, count(*) FILTER (v = 'FAIL') AS fails, count(*) FILTER (v = 'REVIEW') AS reviews FROM x GROUP BY 1)
-    SELECT n.*, (SELECT arg_max(o_orderstatus, o_orderdate) FROM orders WHERE o_custkey = n.tender_id AND o_orderdate <= TIMESTAMP '1996-07-01') IS NOT NULL AS has_state FROM n""")
+    l AS (SELECT h.cell, h.point, arg_max(s.verdict, s.at) AS v FROM h JOIN s ON s.cell = h.cell AND s.at <= h.point GROUP BY 1, 2),
+    x AS (SELECT h.*, coalesce(l.v, h.verdict) AS v FROM h LEFT JOIN l ON l.cell = h.cell AND l.point = h.point),
+    n AS (SELECT tender_id, point, count(*) AS cells, count(*) FILTER (decided_at <= point) AS decided, count(*) FILTER (decided_at > point) AS decided_later, count(*) FILTER (v = 'PASS') AS passes, count(*) FILTER (v = 'FAIL') AS fails, count(*) FILTER (v = 'REVIEW') AS reviews FROM x GROUP BY 1, 2),
+    m AS (SELECT p.tender_id, p.point, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS state FROM p JOIN orders ON o_custkey = p.tender_id AND o_orderdate <= p.point GROUP BY 1, 2)
+    SELECT n.*, m.state FROM n LEFT JOIN m ON m.tender_id = n.tender_id AND m.point = n.point""")
 def h2_state_as_of(spark, sf_dir):
+    """Each tender at every time one of its cells was made, and at one fixed time."""
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     verdict = F.when(F.col("o_orderstatus") == "O", "PASS").when(F.col("o_orderstatus") == "F", "FAIL").otherwise("REVIEW")
     cells = orders.select(F.col("o_custkey").alias("tender_id"), F.col("o_orderkey").alias("cell"), F.col("o_orderdate").alias("created"), verdict.alias("verdict"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate") + F.expr("interval 400 days")).alias("decided_at"))
     seen = F.when(F.col("l_returnflag") == "A", "FAIL").when(F.col("l_returnflag") == "N", "PASS").otherwise("REVIEW")
-    snapshots = lines.where("l_orderkey % 2 = 0").groupBy(F.col("l_orderkey").alias("cell"), F.col("l_shipdate").alias("at")).agg(F.max_by(seen, F.col("l_linenumber").cast("bigint") * 10_000_000 + F.col("l_partkey")).alias("verdict"))
-    states = orders.select(F.col("o_custkey").alias("tender_id"), F.col("o_orderdate").alias("at"), F.col("o_orderstatus").alias("to_state"))
-    points = cells.select("tender_id").distinct().withColumn("point", F.lit("1996-07-01 00:00:00").cast("timestamp_ntz"))
-    found = history.state_as_of(cells, snapshots, states, points)
-    return found.select("tender_id", "cells", "decided", "decided_later", "passes", "fails", "reviews", F.col("state").isNotNull().alias("has_state"))
+    snapshots = lines.select(F.col("l_orderkey").alias("cell"), F.col("l_shipdate").alias("at"), (F.col("l_linenumber").cast("bigint") * 10_000_000 + F.col("l_partkey")).alias("id"), seen.alias("verdict"))
+    states = orders.select(F.col("o_custkey").alias("tender_id"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("to_state"))
+    fixed = cells.select("tender_id", F.lit("1996-07-01 00:00:00").cast("timestamp_ntz").alias("point"))
+    return history.state_as_of(cells, snapshots, states, cells.select("tender_id", F.col("created").alias("point")).union(fixed))
 
 
 @query("j24_reproduce_diff", f"""{with_cte('cell_v')}, r AS (SELECT evaluation_id, CASE WHEN bidder_id % 17 = 0 THEN 'REVIEW' ELSE verdict END AS verdict, confidence + CASE WHEN bidder_id % 13 = 0 THEN 0.002 WHEN bidder_id % 13 = 1 THEN 0.0005 ELSE 0 END AS confidence FROM cell_v),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,7 +13,7 @@ def folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where that is unset and all runs in one process (tests), a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.bidloom.shared", None)
     if not found:
-        if not spark.conf.get("spark.master").startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master")):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.bidloom.shared", found)
@@ -23,6 +24,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
     """Run a stream over all that is there now and read its result back, each batch's rows with ``batch``.
 

@@ -47,7 +47,7 @@ def test_states_and_groups(spark):
     assert [tuple(r) for r in found] == [(5, "verification"), (100, "other"), (0, "other")]
     assert set(V.PROGRESS) == set(history.TRANSITIONS) == {s for states in V.PROGRESS_STEPS.values() for s in states}
     moves = spark.createDataFrame([("e", 1, "pending_review", "resolved"), ("e", 2, "resolved", "pending_review")], "cell string, at int, from_state string, to_state string")
-    assert [r["at"] for r in history.illegal_transitions(moves, "cell", "at", history.EVALUATION_MOVES).collect()] == [2]
+    assert [r["at"] for r in history.illegal_transitions(moves, "cell", ["at"], history.EVALUATION_MOVES).collect()] == [2]
 
 
 def test_registry_details(spark):

@@ -238,10 +238,9 @@ class Texts(NamedTuple):
 
 
 def read_texts(texts: pa.Array, path_a: str, path_b: str) -> Texts:
-    """Cut texts, each with a space before it, into pieces, and align the distinct ones. Null and empty texts have no pieces."""
+    """Cut texts, each with a space before it, into pieces, and align the distinct ones. Null and empty texts aren't valid."""
     texts = pc.fill_null(texts, "")
-    spaced = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise("", texts, " "))
-    data, offsets = buffer(spaced)
+    data, offsets = buffer(pc.binary_join_element_wise("", texts, " "))
     cut = np.zeros(len(data) + 1, bool)
     if len(data) > 1:
         before, lead = data[:-1], np.concatenate([[0], data[:-2]])
@@ -256,7 +255,7 @@ def read_texts(texts: pa.Array, path_a: str, path_b: str) -> Texts:
     of = np.searchsorted(cuts, offsets)
     pieces = align_pieces(distinct, byte_level(path_a), piece_level(path_b))
     bad = np.concatenate([[0], np.cumsum(~pieces.good[code])])[of]
-    return Texts(of, code, distinct, pieces, (np.diff(bad) == 0) & (np.diff(of) > 0))
+    return Texts(of, code, distinct, pieces, (np.diff(bad) == 0) & (np.diff(offsets) > 1))
 
 
 def _pairs(p: Pieces, width: int) -> tuple[np.ndarray, np.ndarray]:

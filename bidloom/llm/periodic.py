@@ -177,10 +177,8 @@ def explode(df: DataFrame, plant: Column | None = None, id_column: str = "doc_id
                 clean = np.array([not x for x in found])
                 digest = _digest(np.repeat(clean, np.diff(of)), of, code, distinct)
                 tiles = pa.array(found, pa.list_(pa.struct([("octave", pa.int32()), ("first", pa.int64()), ("begin", pa.int64()), ("finish", pa.int64()), ("words", pa.binary())])))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pc.if_else(pa.array(clean), pa.scalar(None, pa.string()), part.column(3)), pa.array(np.diff(of), pa.int64()), pa.array(digest, mask=~clean), tiles],
-                    names=names,
-                )
+                texts = part.column(3).take(pa.array(np.arange(part.num_rows), mask=clean))  # null where clean
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), texts, pa.array(np.diff(of), pa.int64()), pa.array(digest, mask=~clean), tiles], names=names)
 
     kind = df.select(id_column).schema[0].dataType.simpleString()
     schema = f"row long, id {kind}, plant long, text string, n_words long, collapsed_sha256 string, tiles {TILES}"

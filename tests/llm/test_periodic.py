@@ -101,6 +101,19 @@ def test_repeats_nulls_and_nothing(spark):
     assert sorted(runs, key=str) == [(5, 1, []), (5, 40, [(0, 2, 40)]), (5, 40, [(0, 2, 40)])]
 
 
+def test_texts_of_several_slices(spark):
+    """A batch of more bytes than a slice has, with and without runs."""
+    r = random.Random(8)
+    rows = [(i, " ".join(f"{r.randrange(10**6)}" for _ in range(9000)) + " x y" * (i % 3 * 8)) for i in range(60)]
+    found = {r["doc_id"]: tuple(r) for r in periodic.digest(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), periodic.planted()).collect()}
+    for i, text in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            w = text.split()
+            n = 16 * (i % 3)
+            sha = hashlib.sha256(" ".join(w[: len(w) - n + 2] if n else w).encode()).hexdigest()
+            assert (found[i][1], found[i][7]) == (int(n > 0), sha)
+
+
 def test_words_of_one_long_text_are_spread(spark):
     """Tiles of one text go to several tasks."""
     from pyspark.sql import functions as F

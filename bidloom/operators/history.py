@@ -8,7 +8,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, NumericType, StructType
 
 from bidloom.operators import segments
 
@@ -194,14 +194,40 @@ def state_as_of(cells: DataFrame, snapshots: DataFrame, states: DataFrame, point
     return found.where((F.col("_point") == 1) & (F.col("cells") > 0)).select("tender_id", F.col("at").alias("point"), *counts, "state")
 
 
-def reproduce_diff(stored: DataFrame, recomputed: DataFrame, key: str, exact: list[str], close: list[str], tolerance: float = 1e-3) -> DataFrame:
-    """Cells whose recomputed fields differ (J24): (key, differing fields); missing on either side counts as all."""
-    two = recomputed.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in [*exact, *close]))
-    joined = stored.join(two, F.col(key) == F.col("_key"), "full")
-    apart = [F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), F.lit(c)) for c in exact]
-    apart += [F.when(F.coalesce(F.abs(F.col(c) - F.col(f"_{c}")) > tolerance, ~F.col(c).eqNullSafe(F.col(f"_{c}"))), F.lit(c)) for c in close]
-    fields = F.array_compact(F.array(*apart))
-    return joined.select(F.coalesce(key, "_key").alias(key), fields.alias("differing")).where(F.size("differing") > 0)
+def _differing(a: Column, b: Column, kind: DataType, path: Column, tolerance: float) -> Column:
+    """An array of the paths at which two values of a type differ."""
+    none = F.expr("cast(array() as array<string>)")
+    here = F.array(path)
+    if isinstance(kind, StructType):
+        inner = F.concat(none, *(_differing(a[f.name], b[f.name], f.dataType, F.concat(path, F.lit("." + f.name)), tolerance) for f in kind.fields))
+    elif isinstance(kind, ArrayType):
+        each = lambda i: _differing(F.get(a, i), F.get(b, i), kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), tolerance)
+        inner = F.when(F.size(a) != F.size(b), here).when(F.size(a) == 0, none).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.size(a) - 1), each)))
+    elif isinstance(kind, MapType):
+        keys = F.array_sort(F.map_keys(a))
+        each = lambda k: _differing(F.try_element_at(a, k), F.try_element_at(b, k), kind.valueType, F.concat(path, F.lit("["), k.cast("string"), F.lit("]")), tolerance)
+        inner = F.when(keys != F.array_sort(F.map_keys(b)), here).when(F.size(keys) == 0, none).otherwise(F.flatten(F.transform(keys, each)))
+    elif isinstance(kind, NumericType):
+        inner = F.when(a.eqNullSafe(b) | (F.abs(a - b) <= tolerance), none).otherwise(here)
+    else:
+        inner = F.when(a.eqNullSafe(b), none).otherwise(here)
+    return F.when(a.isNull() & b.isNull(), none).when(a.isNull() | b.isNull(), here).otherwise(inner)
+
+
+def reproduce_diff(stored: DataFrame, recomputed: DataFrame, key: str, tolerance: float = 1e-3) -> DataFrame:
+    """Rows whose recomputed columns differ (J24): (key, differing), an array of paths such as ``value.figures[2]`` in schema order.
+
+    Structs, arrays and maps are walked by their type down to the leaves; numbers may differ by ``tolerance``. A list of another
+    length, a map with other keys and a value that is null on one side only differ as a whole. A row that is missing on either side
+    differs in all columns.
+    """
+    fields = [f for f in stored.schema.fields if f.name != key]
+    one = stored.select(F.col(key).alias("_key_a"), *(F.col(f.name).alias(f"_a_{f.name}") for f in fields))
+    two = recomputed.select(F.col(key).alias("_key_b"), *(F.col(f.name).cast(f.dataType).alias(f"_b_{f.name}") for f in fields))
+    paths = F.concat(*(_differing(F.col(f"_a_{f.name}"), F.col(f"_b_{f.name}"), f.dataType, F.lit(f.name), tolerance) for f in fields))
+    lone = F.col("_key_a").isNull() | F.col("_key_b").isNull()
+    found = F.when(lone, F.array(*(F.lit(f.name) for f in fields))).otherwise(paths)
+    return one.join(two, F.col("_key_a") == F.col("_key_b"), "full").select(F.coalesce("_key_a", "_key_b").alias(key), found.alias("differing")).where(F.size("differing") > 0)
 
 
 def manifest(files: DataFrame, key: str, path: str, content: Column) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidloom.functions import values as V
+from bidloom.operators import segments
 
 #: Patterns of amounts, certificates, dates, attestations, injected instructions and active content.
 RUPEES = r"(?i)(?:Rs\.?|INR|₹)\s*([\d,]+(?:\.\d+)?)\s*(?:\(\s*[A-Za-z][A-Za-z\s\-]{0,40}\)\s*)?(crore|lakh|lac|cr|l)\b"
@@ -99,6 +100,58 @@ def structure_findings(files: DataFrame, id_column: str, text: Column, first_byt
     return files.select(id_column, F.explode(F.filter(findings, lambda x: x.isNotNull())).alias("f")).select(id_column, "f.*")
 
 
+#: Ranks of severities, worst first.
+SEVERITIES = {"critical": 0, "high": 1, "medium": 2, "low": 3}
+
+
+def security_findings(parts: dict[str, DataFrame], id_column: str) -> DataFrame:
+    """All findings of a document's scans (T7 to T10) in one table (T11): (id, scan, finding, severity, worst), ``worst`` being the
+    most severe of the document's own. Each part has the id and a severity, and is named by its scan; a part without a ``finding`` column finds what its name says."""
+    found = None
+    for name, rows in parts.items():
+        finding = F.col("finding") if "finding" in rows.columns else F.lit(name)
+        one = rows.select(F.col(id_column), F.lit(name).alias("scan"), finding.alias("finding"), "severity")
+        found = one if found is None else found.union(one)
+    rank = F.coalesce(*(F.when(F.col("severity") == s, n) for s, n in SEVERITIES.items()), F.lit(len(SEVERITIES)))
+    worst = found.groupBy(F.col(id_column).alias("_of")).agg(F.min_by("severity", rank).alias("worst"))
+    return found.join(worst, F.col(id_column).eqNullSafe(F.col("_of"))).drop("_of")
+
+
+def scanned_documents(pages: DataFrame, key: str, text: str, least: int = 100) -> DataFrame:
+    """(key, pages, chars, scanned): whether a document has under ``least`` characters of text for each of its pages."""
+    counted = pages.groupBy(key).agg(F.count("*").alias("pages"), F.coalesce(F.sum(F.length(F.trim(text))), F.lit(0)).alias("chars"))
+    return counted.withColumn("scanned", F.col("chars") < least * F.col("pages"))
+
+
+def reading_order(words: DataFrame, key: str) -> DataFrame:
+    """Words (key, page, word, x_min, y_min) with their ``place`` in the document (T14): by page, line and column, from 1. A document
+    of any number of words is numbered in segments."""
+    return segments.ranked(words, [key], ["page", "y_min", "x_min", "word"], "place")
+
+
+def phrase_places(words: DataFrame, quotes: DataFrame, key: str) -> DataFrame:
+    """(key, quote, page, x_min, y_min, place): where each quote (key, quote) first stands in its document, as whole words in reading
+    order, over line and page ends too (T14). Quotes that don't stand there give no row; case doesn't count.
+
+    The words of a quote meet the document's by equality, each hit names the place where the quote would begin, and a place that all
+    of them name is one.
+    """
+    placed = reading_order(words, key)
+    wanted = quotes.select(F.col(key).alias("_key"), "quote", F.split(F.trim(F.regexp_replace(F.lower("quote"), r"\s+", " ")), " ").alias("_tokens")).where("_tokens[0] <> ''").distinct()
+    token = wanted.select("_key", "quote", F.size("_tokens").alias("_n"), F.posexplode("_tokens").alias("_i", "_token"))
+    met = placed.join(token, (F.col(key) == F.col("_key")) & (F.lower("word") == F.col("_token")))
+    begun = met.groupBy(key, "quote", (F.col("place") - F.col("_i")).alias("place"), "_n").agg(F.count("*").alias("_met")).where("_met = _n")
+    first = begun.groupBy(F.col(key).alias("_key"), "quote").agg(F.min("place").alias("_place"))
+    return placed.join(first, (F.col(key) == F.col("_key")) & (F.col("place") == F.col("_place"))).select(key, "quote", "page", "x_min", "y_min", "place")
+
+
+def first_words(words: DataFrame, quotes: DataFrame, key: str) -> DataFrame:
+    """(key, page, word, x_min, y_min): the first word in reading order that equals the first word of a document's quote."""
+    wanted = quotes.select(F.col(key).alias("_key"), F.lower(F.element_at(F.split(F.trim("quote"), r"\s+"), 1)).alias("_token"))
+    hits = words.join(wanted, (F.col(key) == F.col("_key")) & (F.lower("word") == F.col("_token")))
+    return hits.groupBy(key).agg(F.min(F.struct("page", "y_min", "x_min", "word")).alias("w")).select(key, "w.page", "w.word", "w.x_min", "w.y_min")
+
+
 def locate_page(needles: DataFrame, pages: DataFrame, key: str, needle: str, page: str, text: str, first: int = 40) -> DataFrame:
     """The first page of a document that has the start of a quote (T6): (key, needle, page); documents without it give nothing."""
     wanted = needles.select(F.col(key).alias("k"), F.col(needle).alias("needle"))

@@ -214,12 +214,22 @@ def h2_state_as_of(spark, sf_dir):
     return history.state_as_of(cells, snapshots, states, cells.select("tender_id", F.col("created").alias("point")).union(fixed))
 
 
-@query("j24_reproduce_diff", f"""{with_cte('cell_v')}, r AS (SELECT evaluation_id, CASE WHEN bidder_id % 17 = 0 THEN 'REVIEW' ELSE verdict END AS verdict, confidence + CASE WHEN bidder_id % 13 = 0 THEN 0.002 WHEN bidder_id % 13 = 1 THEN 0.0005 ELSE 0 END AS confidence FROM cell_v),
-    d AS (SELECT c.evaluation_id, list_concat(CASE WHEN c.verdict <> r.verdict THEN ['verdict'] ELSE [] END, CASE WHEN abs(c.confidence - r.confidence) > 0.001 THEN ['confidence'] ELSE [] END) AS differing FROM cell_v c JOIN r USING (evaluation_id)) SELECT * FROM d WHERE len(differing) > 0""")
+@query("j24_reproduce_diff", f"""{with_cte('cell_v')}, r AS (SELECT evaluation_id, CASE WHEN bidder_id % 17 = 0 THEN 'REVIEW' ELSE verdict END AS verdict, confidence + CASE WHEN bidder_id % 13 = 0 THEN 0.002 WHEN bidder_id % 13 = 1 THEN 0.0005 ELSE 0 END AS confidence,
+      CASE WHEN bidder_id % 3 = 0 THEN list_append(figures, 1) ELSE list_transform(figures, lambda f: f + f % 2) END AS figures, bidder_id % 19 = 0 AS lost, CASE WHEN bidder_id % 23 = 0 THEN 'agree' ELSE agreement END AS agreement FROM cell_v),
+    d AS (SELECT c.evaluation_id, list_concat(CASE WHEN c.verdict <> r.verdict THEN ['verdict'] ELSE [] END, CASE WHEN abs(c.confidence - r.confidence) > 0.001 THEN ['confidence'] ELSE [] END,
+      CASE WHEN lost THEN ['value'] ELSE list_concat(CASE WHEN c.agreement <> r.agreement THEN ['value.agreement'] ELSE [] END, CASE WHEN len(c.figures) <> len(r.figures) THEN ['value.figures'] ELSE list_filter(list_transform(range(1, len(c.figures) + 1), lambda i: CASE WHEN c.figures[i] <> r.figures[i] THEN 'value.figures[' || (i - 1) || ']' END), lambda x: x IS NOT NULL) END) END) AS differing
+      FROM cell_v c JOIN r USING (evaluation_id)) SELECT * FROM d WHERE len(differing) > 0""")
 def j24_reproduce_diff(spark, sf_dir):
-    cells = views.cells(spark, sf_dir).select("bidder_id", "evaluation_id", "verdict", "confidence")
-    again = cells.select("evaluation_id", F.when(F.col("bidder_id") % 17 == 0, "REVIEW").otherwise(F.col("verdict")).alias("verdict"), (F.col("confidence") + F.when(F.col("bidder_id") % 13 == 0, 0.002).when(F.col("bidder_id") % 13 == 1, 0.0005).otherwise(0.0)).alias("confidence"))
-    return history.reproduce_diff(cells.drop("bidder_id"), again, "evaluation_id", ["verdict"], ["confidence"])
+    k = F.col("bidder_id")
+    cells = views.cells(spark, sf_dir)
+    value = lambda agreement, figures: F.struct(agreement.alias("agreement"), figures.alias("figures"))
+    stored = cells.select("evaluation_id", "verdict", "confidence", value(F.col("agreement"), F.col("figures")).alias("value"))
+    figures = F.when(k % 3 == 0, F.array_append("figures", F.lit(1).cast("bigint"))).otherwise(F.transform("figures", lambda f: f + f % 2))
+    again = cells.select(
+        "evaluation_id", F.when(k % 17 == 0, "REVIEW").otherwise(F.col("verdict")).alias("verdict"), (F.col("confidence") + F.when(k % 13 == 0, 0.002).when(k % 13 == 1, 0.0005).otherwise(0.0)).alias("confidence"),
+        F.when(k % 19 != 0, value(F.when(k % 23 == 0, "agree").otherwise(F.col("agreement")), figures)).alias("value"),
+    )
+    return history.reproduce_diff(stored, again, "evaluation_id")
 
 
 @query("h7_signature_drift", f"SELECT o_orderpriority AS tender_id, count(*) FILTER (CASE WHEN o_orderkey % 9 = 0 THEN 'old' ELSE '{history.signature({'rules': 'v3', 'router': 'v2'})}' END <> '{history.signature({'rules': 'v3', 'router': 'v2'})}') AS drifted, count(*) AS cells FROM orders GROUP BY 1")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bidloom.functions import values as V
-from bidloom.operators import texts
+from bidloom.operators import history, texts
 from bidloom.plans.registry import query
+from bidloom.sources import files
+from bidloom.sources.shared import new_path
 from bidloom.sources.tables import table
 
 #: A bidder's letter made from an order; the same expression serves Spark and DuckDB.
@@ -120,18 +122,35 @@ def t10_structure_scan(spark, sf_dir):
     return texts.structure_findings(_files(spark, sf_dir), "page_id", F.col("body"))
 
 
-@query("t11_security_findings", rf"""WITH {FILES}, {SCREENED}, a AS ({STRUCTURE_SQL}), u AS (SELECT 'page' AS kind, page_id AS id, finding, severity FROM a UNION ALL SELECT 'document', doc_id, 'prompt_injection', 'critical' FROM d WHERE regexp_matches(text, '{texts.INJECTION}'))
-    SELECT kind, id, count(*) AS findings, min(CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END) AS worst FROM u GROUP BY 1, 2""")
-def t11_security_findings(spark, sf_dir):
-    a = texts.structure_findings(_files(spark, sf_dir), "page_id", F.col("body")).select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "finding", "severity")
-    b = texts.injections(_screened(spark, sf_dir), "doc_id", "text").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.lit("prompt_injection").alias("finding"), "severity")
-    rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "high", 1).otherwise(2)
-    return a.unionByName(b).groupBy("kind", "id").agg(F.count("*").alias("findings"), F.min(rank).alias("worst"))
+@query("t10_raw_structure", f"WITH {FILES} SELECT 'page_id=' || page_id AS file, finding, severity FROM ({STRUCTURE_SQL})")
+def t10_raw_structure(spark, sf_dir):
+    """The same scan over files: each page is written as one and its bytes are read back."""
+    folder = files.write_files(_files(spark, sf_dir).withColumn("of", F.col("page_id")), ["page_id"], "of", "body", new_path(spark, "html"))
+    read = files.raw_files(spark, folder, "*.txt").select(files.kept_in(F.col("path")).alias("file"), "content")
+    return texts.structure_findings(read, "file", files.head(F.col("content")))
 
 
-@query("t12_scanned_documents", "SELECT conv_id, count(*) AS pages, sum(len(trim(text))) < 400 * count(*) AS scanned FROM conversations GROUP BY 1")
+@query("t11_security_findings", rf"""WITH {FILES}, {SCREENED}, w AS (SELECT doc_id, text, len(list_filter(regexp_split_to_array(text || ' ' || text, '\s+'), lambda x: x <> '')) AS stored, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS seen FROM documents),
+    u AS (SELECT 'page ' || page_id AS id, 'structure' AS scan, finding, severity FROM ({STRUCTURE_SQL}) UNION ALL SELECT 'document ' || doc_id, 'prompt_injection', 'prompt_injection', 'critical' FROM d WHERE regexp_matches(text, '{texts.INJECTION}')
+      UNION ALL SELECT 'document ' || doc_id, 'hidden_text', 'hidden_text', 'high' FROM w WHERE doc_id % 9 = 0 AND seen >= 5 AND 2 * stored > 3 * seen
+      UNION ALL SELECT 'document ' || doc_id, 'metadata', 'modification_before_creation', 'medium' FROM documents WHERE doc_id % 4 = 1),
+    k AS (SELECT *, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END AS r FROM u) SELECT id, scan, finding, severity, first_value(severity) OVER (PARTITION BY id ORDER BY r) AS worst FROM k""")
+def t11_security_findings(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("id"))
+    day = F.lit("2024-01-02").cast("date")
+    doubled = F.when(F.col("doc_id") % 9 == 0, F.concat_ws(" ", "text", "text")).otherwise(F.col("text"))
+    parts = {
+        "structure": texts.structure_findings(_files(spark, sf_dir).withColumn("id", F.concat(F.lit("page "), F.col("page_id").cast("string"))), "id", F.col("body")),
+        "prompt_injection": texts.injections(_screened(spark, sf_dir).withColumn("id", F.concat(F.lit("document "), F.col("doc_id").cast("string"))), "id", "text"),
+        "hidden_text": texts.hidden_text(docs, "id", doubled, F.col("text"), ratio=1.5),
+        "metadata": texts.metadata_findings(docs.select("id", day.alias("made"), F.date_sub(day, F.when(F.col("doc_id") % 4 == 1, 1).otherwise(0)).alias("changed")), "id", "made", "changed", F.lit("2024-06-01").cast("date")),
+    }
+    return texts.security_findings(parts, "id")
+
+
+@query("t12_scanned_documents", "SELECT conv_id, count(*) AS pages, CAST(sum(len(trim(text))) AS BIGINT) AS chars, sum(len(trim(text))) < 100 * count(*) AS scanned FROM conversations GROUP BY 1")
 def t12_scanned_documents(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("pages"), (F.sum(F.length(F.trim("text"))) < 400 * F.count("*")).alias("scanned"))
+    return texts.scanned_documents(table(spark, sf_dir, "conversations"), "conv_id", "text")
 
 
 @query("t13_word_boxes", """WITH w AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM conversations), x AS (SELECT conv_id, turn, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM w),
@@ -142,13 +161,32 @@ def t13_word_boxes(spark, sf_dir):
     return texts.word_boxes(lines, ["conv_id", "turn"], "text", "x0", "x1").select("conv_id", "turn", "pos", "word", F.round("x_min", 6).alias("x_min"), F.round("x_max", 6).alias("x_max"))
 
 
-@query("t14_word_highlight", """WITH w AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM conversations), x AS (SELECT conv_id, turn, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM w),
-    q AS (SELECT conv_id, lower(string_split(text, ' ')[1]) AS token FROM conversations WHERE turn = 1) SELECT conv_id, min(turn * 100000 + pos) AS first_place FROM x JOIN q USING (conv_id) WHERE lower(word) = token GROUP BY 1""")
-def t14_word_highlight(spark, sf_dir):
+#: Words of turns in reading order: a turn is a page of one line.
+WORDS = r"w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM conversations), x AS (SELECT conv_id, turn, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM w)"
+
+
+def _words(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    quotes = turns.where("turn = 1").select("conv_id", F.lower(F.element_at(F.split("text", " "), 1)).alias("token"))
-    words = turns.select("conv_id", "turn", F.posexplode(F.filter(F.split("text", " "), lambda w: w != "")).alias("pos", "word"))
-    return words.join(quotes, (words["conv_id"] == quotes["conv_id"]) & (F.lower("word") == F.col("token"))).groupBy(words["conv_id"]).agg(F.min(F.col("turn") * 100000 + F.col("pos")).alias("first_place"))
+    words = turns.select("conv_id", F.col("turn").alias("page"), F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("pos", "word"))
+    return words.select("conv_id", "page", "word", F.col("pos").cast("double").alias("x_min"), F.lit(0.0).alias("y_min"))
+
+
+@query("t14_word_highlight", f"""WITH {WORDS}, q AS (SELECT conv_id, lower(w[1]) AS token FROM w WHERE turn = 1), h AS (SELECT x.*, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) AS k FROM x JOIN q USING (conv_id) WHERE lower(word) = token)
+    SELECT conv_id, turn AS page, word, CAST(pos AS DOUBLE) AS x_min, 0.0::DOUBLE AS y_min FROM h WHERE k = 1""")
+def t14_word_highlight(spark, sf_dir):
+    return texts.first_words(_words(spark, sf_dir), table(spark, sf_dir, "conversations").where("turn = 1").select("conv_id", F.col("text").alias("quote")), "conv_id")
+
+
+@query("t14_phrase_places", f"""WITH {WORDS}, n AS (SELECT *, lower(word) AS l, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) AS place FROM x), q AS (SELECT y.conv_id, y.w[len(y.w) - 1] || ' ' || y.w[len(y.w)] || '  ' || lower(z.w[1]) AS quote, lower(y.w[len(y.w) - 1]) AS a, lower(y.w[len(y.w)]) AS b, lower(z.w[1]) AS c FROM w y JOIN w z ON z.conv_id = y.conv_id AND z.turn = y.turn + 1 WHERE len(y.w) >= 2 AND len(z.w) >= 1),
+    h AS (SELECT DISTINCT q.conv_id, quote, n.turn, n.pos, n.place FROM q JOIN n ON n.conv_id = q.conv_id AND n.l = q.a JOIN n m ON m.conv_id = q.conv_id AND m.place = n.place + 1 AND m.l = q.b JOIN n o ON o.conv_id = q.conv_id AND o.place = n.place + 2 AND o.l = q.c)
+    SELECT conv_id, quote, arg_min(turn, place) AS page, CAST(arg_min(pos, place) AS DOUBLE) AS x_min, 0.0::DOUBLE AS y_min, min(place) AS place FROM h GROUP BY 1, 2""")
+def t14_phrase_places(spark, sf_dir):
+    """Quotes of the last two words of each turn and the first of the next."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w")).where("size(w) >= 1")
+    after = turns.select(F.col("conv_id").alias("c"), (F.col("turn") - 1).alias("t"), F.element_at("w", 1).alias("next"))
+    quotes = turns.where("size(w) >= 2").join(after, (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")))
+    quote = F.concat(F.element_at("w", -2), F.lit(" "), F.element_at("w", -1), F.lit("  "), F.lower("next"))
+    return texts.phrase_places(_words(spark, sf_dir), quotes.select("conv_id", quote.alias("quote")), "conv_id")
 
 
 @query("t15_long_shingles", r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z'']+') AS w FROM documents) SELECT doc_id, CAST(CASE WHEN len(w) < 10 THEN 0 ELSE len(list_distinct(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' ')))) END AS INT) AS shingles FROM w""")
@@ -184,6 +222,39 @@ def s3_content_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content"))
 
 
+@query("s3_raw_files", "SELECT 'source=' || source || '/part=' || doc_id % 8 AS folder, CAST(sum(strlen(text) + 1) AS BIGINT) AS length, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS content FROM documents GROUP BY source, doc_id % 8")
+def s3_raw_files(spark, sf_dir):
+    """Documents written as files, eight for each source, and their bytes hashed."""
+    return _stored_files(spark, sf_dir).select("folder", "length", files.content_hash(F.col("content")).alias("content"))
+
+
+def _stored_files(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("source", (F.col("doc_id") % 8).alias("part"), "doc_id", "text")
+    folder = files.write_files(docs, ["source", "part"], "doc_id", "text", new_path(spark, "files"))
+    return files.raw_files(spark, folder, "*.txt").withColumn("folder", files.kept_in(F.col("path")))
+
+
+@query("s8_raw_manifest", """WITH e AS (SELECT source, 'source=' || source || '/part=' || doc_id % 8 AS path, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS sha FROM documents GROUP BY source, doc_id % 8), l AS (SELECT source, substr(sha256(path), 1, 4) AS b, count(*) AS n, sha256(string_agg(path || ' ' || sha, chr(10) ORDER BY path || ' ' || sha)) AS seal FROM e GROUP BY 1, 2),
+    h AS (SELECT source, substr(b, 1, 2) AS u, sum(n) AS n, sha256(string_agg(b || ' ' || seal, chr(10) ORDER BY b || ' ' || seal)) AS seal FROM l GROUP BY 1, 2) SELECT source, CAST(sum(n) AS BIGINT) AS files, sha256(string_agg(u || ' ' || seal, chr(10) ORDER BY u || ' ' || seal)) AS manifest_hash FROM h GROUP BY 1""")
+def s8_raw_manifest(spark, sf_dir):
+    found = _stored_files(spark, sf_dir).withColumn("source", F.regexp_extract("folder", "source=([^/]*)", 1))
+    return history.manifest(found, "source", "folder", F.col("content"))[1]
+
+
+@query("s9_raw_verify", """WITH p AS (SELECT DISTINCT source, doc_id % 8 AS part FROM documents) SELECT source AS key, 'source=' || source || '/part=' || part AS path, CASE part WHEN 0 THEN 'MISSING' WHEN 1 THEN 'TAMPERED' WHEN 2 THEN 'EXTRA' ELSE 'OK' END AS status FROM p""")
+def s9_raw_verify(spark, sf_dir):
+    """A folder against the manifest of an earlier one: files are missing, changed and new by its listing and bytes."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("key"), (F.col("doc_id") % 8).alias("part"), "doc_id", "text")
+
+    def entries(rows):
+        folder = files.write_files(rows.withColumnRenamed("key", "source"), ["source", "part"], "doc_id", "text", new_path(spark, "files"))
+        read = files.raw_files(spark, folder, "*.txt").withColumn("folder", files.kept_in(F.col("path")))
+        return history.manifest(read.withColumn("key", F.regexp_extract("folder", "source=([^/]*)", 1)), "key", "folder", F.col("content"))[0]
+
+    changed = docs.where("part <> 0").withColumn("text", F.when(F.col("part") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return history.verify_manifest(entries(docs.where("part <> 2")), entries(changed))
+
+
 @query("s4_file_formats", "WITH f AS (SELECT page_id, 'f' || page_id || CASE page_id % 6 WHEN 0 THEN '.PDF' WHEN 1 THEN '.docx' WHEN 2 THEN '.jpeg' WHEN 3 THEN '.tar.gz' WHEN 4 THEN '' ELSE '.tiff' END AS name FROM pages) SELECT page_id, CASE WHEN ends_with(lower(name), '.pdf') THEN 'pdf' WHEN ends_with(name, '.docx') THEN 'docx' WHEN ends_with(name, '.jpeg') OR ends_with(name, '.tiff') THEN 'image' ELSE 'unknown' END AS format FROM f")
 def s4_file_formats(spark, sf_dir):
     k = F.col("page_id")

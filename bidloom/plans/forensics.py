@@ -101,7 +101,7 @@ def j12_lookalike_companies(spark, sf_dir):
 
 @query("j13_copied_prose", r"""WITH w AS (SELECT lang AS tender_id, source AS bidder, regexp_extract_all(lower(text), '[a-z'']+') AS w FROM documents),
     s AS (SELECT DISTINCT tender_id, bidder, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' '))) AS h FROM w WHERE len(w) >= 10)
-    SELECT x.tender_id, x.bidder AS a, y.bidder AS b, count(*) AS common FROM s x JOIN s y ON x.tender_id = y.tender_id AND x.h = y.h AND x.bidder < y.bidder GROUP BY 1, 2, 3 HAVING count(*) >= 2""")
+    SELECT x.tender_id, x.bidder AS a, y.bidder AS b, count(*) AS common, min(x.h) AS sample FROM s x JOIN s y ON x.tender_id = y.tender_id AND x.h = y.h AND x.bidder < y.bidder GROUP BY 1, 2, 3 HAVING count(*) >= 2""")
 def j13_copied_prose(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("tender_id"), F.col("source").alias("bidder"), "text")
     return pairs.copied_prose(docs, "tender_id", "bidder", "text")

@@ -29,6 +29,8 @@ from bidloom.llm.common import buffer, lean, materialise, slices
 
 #: Most prices (distinct strings times languages, 8 bytes each, and half as much again for shorter ones) that go to every task.
 MOST_CELLS = 8_000_000
+#: Digits behind the point of a price, and the type of exact sums, where the model is a table.
+PLACES, EXACT = 9, "decimal(38,9)"
 #: A task's counts are written out when it has this many nodes.
 TABLE_NODES = 1_000_000
 START = np.frombuffer(b"\n\n\n", np.uint8)
@@ -175,9 +177,11 @@ def _prices(table: Table, wanted: DataFrame) -> DataFrame:
     return out
 
 
-def _decided(df: DataFrame, table: Table, text_column: str) -> DataFrame:
-    """The rows of ``df`` with (_lang, _score, _bits), by joins."""
-    rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+def _decided(df: DataFrame, table: Table, text_column: str) -> tuple[DataFrame, list[str]]:
+    """The rows of ``df`` with language, score and bits, by joins; and the names of those three, which no column of ``df`` has."""
+    longest = max(map(len, df.columns))
+    row, best_row, least, best_of, size, share_of, lang_, score_, bits_ = ("_" * longest + x for x in ("row", "best_row", "least", "best", "size", "share", "lang", "score", "bits"))
+    rows = materialise(df.withColumn(row, F.monotonically_increasing_id()), "rows")
 
     def run(batches):
         for batch in batches:
@@ -188,18 +192,21 @@ def _decided(df: DataFrame, table: Table, text_column: str) -> DataFrame:
                 own = part.column(0).to_numpy()[(key >> np.uint64(32)).astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n.astype(np.int64))], names=["row", "gram", "times"])
 
-    grams = materialise(rows.select("_row", F.col(text_column).alias("text")).mapInArrow(lean(run), "row long, gram long, times long"), "text_grams")
+    grams = materialise(rows.select(F.col(row).alias("row"), F.col(f"`{text_column}`").alias("text")).mapInArrow(lean(run), "row long, gram long, times long"), "text_grams")
     prices = materialise(_prices(table, grams.select("gram").distinct()), "prices").withColumnRenamed("gram", "priced")
-    bits = grams.join(prices, F.col("gram") == F.col("priced")).groupBy("row", "lang").agg(F.sum(F.col("times") * F.col("bits")).alias("bits"), F.sum("times").alias("size"))
-    best = bits.groupBy(F.col("row").alias("_best_row")).agg(F.min(F.struct("bits", "lang")).alias("best"), F.max("size").alias("_size"))
-    best = best.select("_best_row", F.col("best.bits").alias("_least"), F.col("best.lang").alias("_best"), "_size")
-    share = F.pow(F.lit(2.0), F.greatest(F.col("_least") - F.col("bits"), F.lit(-1000.0)))
-    scored = bits.select("row", "bits").join(best, F.col("row") == F.col("_best_row")).groupBy("_best_row", "_least", "_best", "_size").agg((1 / F.sum(share)).alias("_share"))
-    found = rows.join(scored, F.col("_row") == F.col("_best_row"), "left")
-    letters = F.coalesce(F.col(text_column).rlike(LETTER), F.lit(False))
+    # Exact sums of a fixed number of digits, so a result doesn't depend on the order in which rows meet.
+    cost = F.sum((F.col("times") * F.round("bits", PLACES)).cast(EXACT)).cast("double")
+    bits = grams.join(prices, F.col("gram") == F.col("priced")).groupBy("row", "lang").agg(cost.alias("bits"), F.sum("times").alias("size"))
+    best = bits.groupBy(F.col("row").alias("of_row")).agg(F.min(F.struct("bits", "lang")).alias("best"), F.max("size").alias(size))
+    best = best.select("of_row", F.col("best.bits").alias("least"), F.col("best.lang").alias("best_lang"), size)
+    share = F.pow(F.lit(2.0), F.greatest(F.col("least") - F.col("bits"), F.lit(-1000.0)))
+    met = bits.select("row", "bits").join(best, F.col("row") == F.col("of_row"))
+    scored = met.groupBy(F.col("of_row").alias(best_row), F.col("least").alias(least), F.col("best_lang").alias(best_of), size).agg((1 / F.sum(F.round(share, PLACES).cast(EXACT)).cast("double")).alias(share_of))
+    found = rows.join(scored, F.col(row) == F.col(best_row), "left")
+    letters = F.coalesce(F.col(f"`{text_column}`").rlike(LETTER), F.lit(False))
     return found.select(
-        *(F.col(f"`{c}`") for c in df.columns), F.when(letters, F.col("_best")).otherwise("und").alias("_lang"), F.when(letters, F.col("_share")).otherwise(0.0).alias("_score"), F.coalesce(F.col("_least") / F.col("_size"), F.lit(0.0)).alias("_bits")
-    )
+        *(F.col(f"`{c}`") for c in df.columns), F.when(letters, F.col(best_of)).otherwise("und").alias(lang_), F.when(letters, F.col(share_of)).otherwise(0.0).alias(score_), F.coalesce(F.col(least) / F.col(size), F.lit(0.0)).alias(bits_)
+    ), [lang_, score_, bits_]
 
 
 def code_lengths(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -233,8 +240,8 @@ def decide(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.nda
 def predict(df: DataFrame, model: Model | Table, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, lang_pred, score, bits_per_byte) for each row."""
     if isinstance(model, Table):
-        found = _decided(df.selectExpr(f"`{id_column}` as id", f"`{text_column}` as text"), model, "text")
-        return found.select(F.col("id").cast("long").alias(id_column), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_bits").alias("bits_per_byte"))
+        found, (lang, score, bits) = _decided(df.selectExpr(f"`{id_column}` as id", f"`{text_column}` as text"), model, "text")
+        return found.select(F.col("id").cast("long").alias(id_column), F.col(lang).alias("lang_pred"), F.col(score).alias("score"), F.col(bits).alias("bits_per_byte"))
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_CELLS
 
     def run(batches):
@@ -250,7 +257,8 @@ def predict(df: DataFrame, model: Model | Table, id_column: str = "doc_id", text
 def keep(df: DataFrame, model: Model | Table, least_score: float = 0.5, most_bits: float = 7.0, text_column: str = "text") -> DataFrame:
     """The rows, with all their columns, whose text has a language: not ``und``, score and code length within the limits."""
     if isinstance(model, Table):
-        return _decided(df, model, text_column).where((F.col("_lang") != "und") & (F.col("_score") >= least_score) & (F.col("_bits") <= most_bits)).drop("_lang", "_score", "_bits")
+        found, (lang, score, bits) = _decided(df, model, text_column)
+        return found.where((F.col(lang) != "und") & (F.col(score) >= least_score) & (F.col(bits) <= most_bits)).drop(lang, score, bits)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -32,10 +32,10 @@ PIECE = "struct<start:bigint,length:int,ids_crc32:bigint>"
 
 @functools.cache
 def tokenizer(path: str) -> tuple[Tokenizer, np.ndarray]:
-    """The library's tokenizer for a file, and the number of bytes of each id; special tokens in a text are ordinary text."""
+    """The library's tokenizer for a file, and the number of bytes of each id. A special token's string in a text gives its id, as by the
+    library's default; none is added."""
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    vocabulary = found.get_vocab(with_added_tokens=False)
+    vocabulary = found.get_vocab(with_added_tokens=True)
     lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
     lengths[list(vocabulary.values())] = [len(x) for x in vocabulary]  # in byte-level vocabularies a character stands for a byte
     return found, lengths

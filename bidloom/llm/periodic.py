@@ -116,8 +116,10 @@ def primitive(z: list[int], q: int) -> bool:
 
 
 def solve(octave: int, first: int, begin: int, finish: int, own: list[int]) -> list[tuple[int, int, int]]:
-    """(period, begin, finish) of fragments: places in a text at which words are equal to those a period on."""
-    out = []
+    """(period, begin, finish) of fragments: places in a text at which words are equal to those a period on. Those of neighbouring
+    boundaries that touch are one."""
+    out: list[tuple[int, int, int]] = []
+    last: dict[int, int] = {}  # a period's latest fragment
     for b in range(first, finish + 1, octave):
         at = b - begin
         ahead = own[at : at + 3 * octave]
@@ -131,7 +133,11 @@ def solve(octave: int, first: int, begin: int, finish: int, own: list[int]) -> l
             place = len(mirror) + 1 + edge - (at + q)
             k = back[place] if mirror and at + q <= edge else 0
             if f + k and (f >= octave or k >= octave or f + k >= max(q, LEAST - q)) and (q > len(ahead) or primitive(z, q)):
-                out.append((q, b - k, b + f))
+                if (i := last.get(q)) is not None and b - k <= out[i][2]:
+                    out[i] = (q, out[i][1], b + f)
+                else:
+                    last[q] = len(out)
+                    out.append((q, b - k, b + f))
     return out
 
 
@@ -198,7 +204,9 @@ def fragments(exploded: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["row", "period", "begin", "finish"])
 
     tiles = exploded.where(F.size("tiles") > 0).select("row", F.explode("tiles").alias("tile")).select("row", "tile.*")
-    return tiles.repartition("row", "octave", "first").mapInArrow(lean(run), FRAGMENT)
+    # A number of its own keeps small tables from being dealt to few tasks: tiles are few bytes and much work.
+    parts = int(exploded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tiles.repartition(parts, "row", "octave", "first").mapInArrow(lean(run), FRAGMENT)
 
 
 def stitched(found: DataFrame) -> DataFrame:

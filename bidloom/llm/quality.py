@@ -4,7 +4,7 @@ References are learned from the whole table: for each language, the median share
 (which a part of odd documents doesn't move) and the histogram of its most common words. They are a table, one small row for
 each language, that documents are joined with. A document's two histograms are compared with its language's by Jensen-Shannon
 distance (root of the divergence in bits, 0 to 1). Short texts are noisy, so each comparison has a least length, below which it
-passes. Documents whose language is null are held against the nearest reference of the ``NEAREST`` languages with most words.
+passes. Documents whose language is null are held against the nearest reference of all languages.
 
 Null text counts as empty (no words, not kept: too few words). Repeated rows get repeated results; a language with few
 documents still has a reference. An empty table gives no rows. Only the id, text and language columns are read.
@@ -38,9 +38,10 @@ for _chars, _class in ((b"abcdefghijklmnopqrstuvwxyz", 0), (b"ABCDEFGHIJKLMNOPQR
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
-#: Words of a reference; and the languages against which documents without a language are held.
+#: Words of a reference.
 COMMON_WORDS = 64
-NEAREST = 64
+#: Most languages (about 1.2 KB each) whose references go to every task, for documents without a language; with more, the job stops.
+MOST_LANGUAGES = 50_000
 #: Distances above these reject a text; below the least numbers of characters and words they aren't judged. Shares of few
 #: characters vary, by about 1 / sqrt(characters), so that times CLASS_SLACK is added.
 CLASS_DISTANCE, CLASS_SLACK, CLASS_LEAST = 0.17, 1.8, 200
@@ -119,7 +120,7 @@ class Reference(NamedTuple):
 
 
 class References(NamedTuple):
-    """A table (of, reference, words) with a row for each language, and the references of the NEAREST largest languages."""
+    """A table (of, reference, words) with a row for each language, and the references of all of them."""
 
     table: DataFrame
     nearest: list[bytes]
@@ -157,7 +158,9 @@ def references(df: DataFrame, text_column: str = "text", lang_column: str = "lan
 
     found = materialise(every.select("lang", "steps", "top", "words").mapInArrow(lean(run), "of string, reference binary, words long"), "references")
     discard(counts)
-    return References(found, [bytes(r["reference"]) for r in found.orderBy(F.desc("words"), "of").limit(NEAREST).collect()])
+    if (n := found.count()) > MOST_LANGUAGES:
+        raise ValueError(f"{n} languages are more than MOST_LANGUAGES; is the language column one?")
+    return References(found, [bytes(r["reference"]) for r in found.orderBy("of").collect()])
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -286,7 +289,7 @@ def _verdicts(texts: pa.Array, references_: pa.Array, nearest: list[bytes]) -> t
 def judge(df: DataFrame, model: References, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """One row for each row: the rule counts, both distances, base_failed and kept."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    nearest = model.nearest  # NEAREST small rows at most
+    nearest = model.nearest  # MOST_LANGUAGES small rows at most
 
     def run(batches):
         for batch in batches:

@@ -262,3 +262,27 @@ def test_toxicity_odd_tables(spark):
     assert toxicity.sample(frame, labels).count() == 2
     assert toxicity.score(frame, toxicity.train(frame, labels), "id").count() == 5
     assert toxicity.score(frame.limit(0), toxicity.train(frame.limit(0), labels), "id").count() == 0
+
+
+def test_language_tables_leave_clashing_columns_alone(spark):
+    """Both forms of the model keep a table's own columns, whatever their names, and give repeated rows the same."""
+    r = np.random.default_rng(3)
+    make = lambda words: " ".join(r.choice(words, 30))
+    rows = [(i, make(["the", "of", "and"]) if i % 2 else make(["der", "und", "ein"]), "en" if i % 2 else "de", "mine", i, None) for i in range(20)]
+    rows += [rows[3], rows[3], (99, "123 456", None, "mine", 7, None), (98, None, "en", "mine", 8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _lang string, _row long, _bits double")
+    kept = [sorted(map(tuple, langid.keep(df, langid.train(df, most_cells=cells)).collect()), key=str) for cells in (langid.MOST_CELLS, 0)]
+    assert kept[0] == kept[1] == sorted([x for x in rows if x[0] < 98], key=str)
+    found = [sorted((x["doc_id"], x["lang_pred"], round(x["score"], 6), round(x["bits_per_byte"], 6)) for x in langid.predict(df, langid.train(df, most_cells=cells)).collect()) for cells in (langid.MOST_CELLS, 0)]
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+    assert langid.keep(df.limit(0), langid.train(df, most_cells=0)).count() == 0
+
+
+def test_texts_without_a_language_meet_all_references(spark):
+    """Of 70 languages the one with fewest words still counts for a text whose language is null."""
+    words = lambda k: [f"{chr(97 + k // 26)}{chr(97 + k % 26)}{x}" for x in "qwertzuiop"]
+    r = np.random.default_rng(5)
+    text = lambda k, n: " ".join(r.choice(words(k), n))
+    rows = [(k, text(k, 400 if k else 130), f"l{k}") for k in range(70) for _ in range(2 if k else 1)] + [(1000, text(0, 200), None), (1001, text(0, 200), None)]
+    found = {x["doc_id"]: x for x in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("doc_id >= 1000").collect()}
+    assert all(x["word_distance"] < 0.4 for x in found.values())

@@ -69,7 +69,6 @@ def test_packing(spark):
     texts = [*ODD, *ODD]
     found = packing.pack_documents(frame(spark, texts), JSON, max_tokens=64).collect()
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     ids = [tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
     by_document: dict[int, list] = {}
     by_sequence: dict[int, list] = {}
@@ -88,5 +87,14 @@ def test_packing(spark):
         assert sum(p["length"] for p in pieces) <= 64
 
 
+def test_special_strings_are_the_librarys(spark):
+    """Ids are those of the library with its defaults, also where a text holds a special token's string, beside white space or not."""
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y", "<|endoftext|>\n<|endoftext|> <|endo", "é <|endoftext|>é"]
+    plain = Tokenizer.from_file(JSON)
+    ids, at = packing.token_ids(pa.array(texts), JSON)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids[: at[1]].tolist() == [64, 220, 50256, 275]
+
+
 def test_packing_nothing(spark):
     assert packing.pack_documents(frame(spark, ["x"]).limit(0), JSON).count() == 0

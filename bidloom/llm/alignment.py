@@ -48,6 +48,8 @@ PART = 64
 SALTS = 16
 #: Bytes of texts that are encoded together; more of them repeat than in a smaller slice.
 SLICE = 6 << 20
+#: Pieces whose ids a worker keeps for later slices (about 100 bytes each).
+KNOWN_PIECES = 500_000
 
 #: White space before which no token of either kind goes on, and the mark that B reads as a space.
 CUT = np.zeros(256, bool)
@@ -201,11 +203,42 @@ def _encoded(distinct: pa.Array, side: Side, apart: np.ndarray) -> tuple[np.ndar
     return flat, to, good
 
 
-def align_pieces(distinct: pa.Array, a: Side, b: Side) -> Pieces:
+class _Known:
+    """Pieces that this worker has encoded before, with their ids: at most KNOWN_PIECES, then it begins anew with the latest."""
+
+    def __init__(self):
+        self.pieces, self.ids, self.at, self.good = pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, bool)
+
+    def encoded(self, distinct: pa.Array, side: Side, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``_encoded``; only pieces that aren't known go to the library."""
+        where = pc.index_in(distinct, value_set=self.pieces)
+        new = where.is_null().to_numpy(zero_copy_only=False)
+        fresh = distinct.filter(pa.array(new))
+        ids, at, good = _encoded(fresh, side, apart[new])
+        every, ends, goods = np.concatenate([self.ids, ids]), np.concatenate([self.at, self.at[-1] + at[1:]]), np.concatenate([self.good, good])
+        place = pc.fill_null(where, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[new] = len(self.pieces) + np.arange(len(fresh))
+        start, size = ends[place], np.diff(ends)[place]
+        out = every[spread(start, size)], np.concatenate([[0], np.cumsum(size)]), goods[place]
+        if len(ends) > KNOWN_PIECES:
+            self.pieces, (self.ids, self.at, self.good) = pa.concat_arrays([distinct]), out
+        else:
+            self.pieces, self.ids, self.at, self.good = pa.concat_arrays([self.pieces, fresh]), every, ends, goods
+        return out
+
+
+@functools.cache
+def _known(side: str, path: str) -> _Known:
+    """What a worker knows of a tokenizer's pieces."""
+    return _Known()
+
+
+def align_pieces(distinct: pa.Array, path_a: str, path_b: str) -> Pieces:
     """Encode and align distinct pieces, each of which begins with white space."""
     odd = pc.match_substring_regex(distinct.cast(pa.string()), f"\r|{MARK}").to_numpy(zero_copy_only=False).astype(bool)
-    ids_a, at_a, good_a = _encoded(distinct, a, np.zeros(len(distinct), bool))
-    ids_b, at_b, good_b = _encoded(distinct, b, odd)
+    a, b = byte_level(path_a), piece_level(path_b)
+    ids_a, at_a, good_a = _known("a", path_a).encoded(distinct, a, np.zeros(len(distinct), bool))
+    ids_b, at_b, good_b = _known("b", path_b).encoded(distinct, b, odd)
     good = good_a & good_b
 
     def kept(ids, at):
@@ -253,7 +286,7 @@ def read_texts(texts: pa.Array, path_a: str, path_b: str) -> Texts:
     else:
         cuts, code, distinct = np.zeros(1, np.int64), np.zeros(0, np.int64), pa.array([], pa.binary())
     of = np.searchsorted(cuts, offsets)
-    pieces = align_pieces(distinct, byte_level(path_a), piece_level(path_b))
+    pieces = align_pieces(distinct, path_a, path_b)
     bad = np.concatenate([[0], np.cumsum(~pieces.good[code])])[of]
     return Texts(of, code, distinct, pieces, (np.diff(bad) == 0) & (np.diff(offsets) > 1))
 
@@ -396,12 +429,10 @@ def digest(df: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id", t
                     extra = []
                 data, told = _told(p)
                 size = np.diff(told)[t.code]
-                upto = np.concatenate([[0], np.cumsum(size)])[t.of]
                 sha = []
                 for row, (a, b) in enumerate(zip(t.of[:-1].tolist(), t.of[1:].tolist(), strict=True)):
                     text = data[spread(told[:-1][t.code[a:b]], size[a:b])] if t.valid[row] else data[:0]
                     sha.append(hashlib.sha256(text[:-1].tobytes()).hexdigest() if len(text) else "")
-                del upto
                 yield pa.RecordBatch.from_arrays([part.column(1), *(pa.array(c, pa.int64()) for c in columns), pa.array(sha), *extra], names=names)
 
     numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]

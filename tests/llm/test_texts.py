@@ -286,3 +286,67 @@ def test_texts_without_a_language_meet_all_references(spark):
     rows = [(k, text(k, 400 if k else 130), f"l{k}") for k in range(70) for _ in range(2 if k else 1)] + [(1000, text(0, 200), None), (1001, text(0, 200), None)]
     found = {x["doc_id"]: x for x in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("doc_id >= 1000").collect()}
     assert all(x["word_distance"] < 0.4 for x in found.values())
+
+
+@pytest.mark.parametrize("size", [16, 40, 64, 76, 100])
+@pytest.mark.parametrize("indent", ["", "  ", "\t", "> ", "> > ", "# ", " * "])
+def test_wrapped_base64(size, indent):
+    """Secrets over the ends of lines, of any length, indent, quotation and alphabet."""
+    for pad in range(0, 60, 7):
+        body = base64.b64encode(("?>~" * pad + " password = hunter2hunter2hunter2 tail").encode()).decode()
+        for run in (body, body.replace("+", "-").replace("/", "_")):
+            for first, end in (("", "\n"), ("key: ", "\r\n"), (indent, "\n")):
+                text = f"see\n{first}{(end + indent).join(run[i : i + size] for i in range(0, len(run), size))}{end}done"
+                assert any(kind == "assign" for kind, _, _ in secrets.scan(text)[1]), (pad, text)
+
+
+@pytest.mark.parametrize("mark", list("­͏؜᠎​‎‮⁠⁦⁩️﻿\U000e0041"))
+def test_invisible_characters(mark):
+    assert ("assign", 2, 22) in secrets.scan(f"a pass{mark}word: hunter22x z")[1]
+
+
+@pytest.mark.parametrize("word", ["ｐａｓｓｗｏｒｄ", "ⓟⓐⓢⓢⓦⓞⓡⓓ", "ᵖassword", "𝓹𝓪𝓼𝓼𝔀𝓸𝓻𝓭", "paſſword"])
+def test_characters_that_stand_for_others(word):
+    assert ("assign", 0, len(word) + 11) in secrets.scan(f"{word}: hunter22x")[1]
+
+
+def test_compression_inside_large_content_is_opened():
+    """Content too large to be held, compressed again, still shows its secrets; content before damage too."""
+    secret = b"token: abcdefgh"
+    inner = gzip.compress(np.random.default_rng(1).bytes(300_000) + b"\n" + secret + b"\n" + np.random.default_rng(2).bytes(300_000))
+    for pack in (gzip.compress, zlib.compress, lambda b: __import__("bz2").compress(b), lambda b: __import__("lzma").compress(b), lambda b: __import__("zstandard").compress(b)):
+        _, spans, over = secrets.scan(base64.b64encode(pack(inner)).decode(), most_bytes=100_000)
+        assert over and any(kind == "assign" for kind, _, _ in spans)
+    damaged = bytearray(zlib.compress(b"password = hunter2hunter2 " + np.random.default_rng(3).bytes(4000)))
+    damaged[2000:2040] = b"\xff" * 40
+    assert any(kind == "assign" for kind, _, _ in secrets.scan(base64.b64encode(bytes(damaged)).decode())[1])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab%3D\n:=& ​\xa0é", max_size=12), max_size=12))
+def test_cut_out_lines_hold_what_the_whole_has(parts):
+    """A layer of the lines around changes gives the spans that the whole text with the changes gives."""
+    text = "\n".join(["token%3Dabcdefgh", *parts, "pass​word: abcdefg"])
+    place = np.arange(len(text) + 1)
+    layer = secrets.Layer(text, place[:-1], place[1:])
+    new = secrets._replaced(layer, secrets.URL, secrets._percent)
+    whole, at = "", []
+    for m in re.finditer(r"(?:%[0-9A-Fa-f]{2})+|.", text, re.DOTALL):
+        told, lengths = secrets._percent(m[0]) if m[0][0] == "%" and len(m[0]) > 1 else (m[0], [1])
+        whole += told
+        at += (m.start() + np.concatenate([[0], np.cumsum(lengths[:-1])])).astype(int).tolist()
+    spans = lambda t, of: {(k, of[a]) for k, a, b in secrets.matches(t)}
+    assert spans(new.text, new.starts) <= spans(whole, at) <= spans(new.text, new.starts) | spans(text, place)
+
+
+def test_time_is_in_proportion_to_length():
+    """Random bytes in base64: four times the text takes about four times as long (twice that is allowed for)."""
+    import time
+
+    took = []
+    for n in (50_000, 200_000):
+        text = base64.b64encode(np.random.default_rng(n).bytes(n)).decode()
+        began = time.process_time()
+        secrets.scan(text)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.5

@@ -115,11 +115,12 @@ def flag_key(flag_type: Column, bidder_ids: Column, subject: Column) -> Column:
 
 
 #: The flag types that are known; others are stored as novel.
-FLAG_TYPES = "round_number pan_format_mismatch gstin_format_mismatch address_collision time_proximity duplicate_document sequential_dd common_signatory cover_letter_overlap benford_violation zscore_outlier bid_spread_anomaly metadata_cluster entity_resolution_match parent_company_substitution suspicious_modification_date cross_tender_appearance novel".split()
+FLAG_TYPES = "round_number pan_format_mismatch gstin_format_mismatch address_collision date_proximity duplicate_document sequential_dd common_signatory cover_letter_overlap benford_violation zscore_outlier bid_spread_anomaly metadata_cluster entity_resolution_match parent_company_substitution suspicious_modification_date cross_tender_appearance novel".split()
 
 
 def merged_flags(parts: list[DataFrame], stored: DataFrame | None = None) -> DataFrame:
-    """Union of detectors' flags with known types and severities, one row for each key (U1, U2). ``stored`` has keys already kept."""
+    """Union of detectors' flags with known types and severities, one row for each key (U1, U2): of equal findings the most severe,
+    then the one with the first bidders. ``stored`` has keys already kept, which give no row."""
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part, allowMissingColumns=True)
@@ -127,8 +128,14 @@ def merged_flags(parts: list[DataFrame], stored: DataFrame | None = None) -> Dat
         "flag_type": F.when(F.col("flag_type").isin(*FLAG_TYPES), F.col("flag_type")).otherwise("novel"),
         "severity": F.when(F.col("severity").isin("low", "medium", "high"), F.col("severity")).otherwise("medium"),
     })
-    union = union.withColumn("flag_key", flag_key(F.col("flag_type"), F.col("bidder_ids"), F.col("subject"))).dropDuplicates(["tender_id", "flag_key"])
-    return union if stored is None else union.join(stored.select("tender_id", "flag_key"), ["tender_id", "flag_key"], "left_anti")
+    keyed = union.withColumn("flag_key", flag_key(F.col("flag_type"), F.col("bidder_ids"), F.col("subject")))
+    rest = [c for c in keyed.columns if c not in ("tender_id", "flag_key")]
+    order = F.struct(severity_rank(F.col("severity")), "bidder_ids", "subject")
+    found = keyed.groupBy("tender_id", "flag_key").agg(F.min_by(F.struct(*rest), order).alias("_first")).select("tender_id", *(f"_first.{c}" for c in rest), "flag_key")
+    if stored is None:
+        return found
+    known = stored.select(F.col("tender_id").alias("_t"), F.col("flag_key").alias("_k"))
+    return found.join(known, F.col("tender_id").eqNullSafe(F.col("_t")) & (F.col("flag_key") == F.col("_k")), "left_anti")
 
 
 def fan_out(flags: DataFrame) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidloom.operators.matrix import merged_flags, severity_rank
+from bidloom.operators.matrix import severity_rank
 
 
 def registry_additions(entries: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
@@ -150,41 +148,6 @@ def checklist_status(responses: DataFrame, keys: list[str], most: int = 3) -> Da
     )
 
 
-#: Detectors (F2): name and a function from tables to flags (tender_id, flag_type, severity, bidder_ids, subject).
-DETECTORS: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = {}
-
-
-def detector(name: str):
-    """Register a detector under a name."""
-
-    def add(fn: Callable[[dict[str, DataFrame]], DataFrame]):
-        DETECTORS[name] = fn
-        return fn
-
-    return add
-
-
-def screen(tables: dict[str, DataFrame], names: list[str] | None = None) -> DataFrame:
-    """All flags of the chosen detectors, merged."""
-    return merged_flags([DETECTORS[n](tables) for n in (names or DETECTORS)])
-
-
-@detector("zscore_outlier")
-def _zscore(tables: dict[str, DataFrame]) -> DataFrame:
-    from bidloom.operators.pools import zscore_pool
-
-    found = zscore_pool(tables["bids"], ["tender_id"], "value")
-    return found.select("tender_id", F.lit("zscore_outlier").alias("flag_type"), "severity", F.array("bidder_id").alias("bidder_ids"), F.col("bidder_id").cast("string").alias("subject"))
-
-
-@detector("bid_spread_anomaly")
-def _spread(tables: dict[str, DataFrame]) -> DataFrame:
-    from bidloom.operators.pools import bid_spread
-
-    found = bid_spread(tables["bids"], ["tender_id"], "value")
-    return found.select("tender_id", F.lit("bid_spread_anomaly").alias("flag_type"), "severity", F.expr("cast(array() as array<bigint>)").alias("bidder_ids"), F.col("signal").alias("subject"))
-
-
 def extracted_by(pages: DataFrame, text: str, extractor) -> DataFrame:
     """Figures from a user's own extractor (F4): an Arrow-batched function from texts to arrays of (raw_value, unit, rupees)."""
     return pages.withColumn("figures", extractor(F.col(text)))

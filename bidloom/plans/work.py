@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from bidloom.functions import values as V
-from bidloom.operators import checks, matrix, workflow
+from bidloom.operators import checks, detectors, matrix, workflow
 from bidloom.plans.audit import CORRIGENDA, corrigenda
 from bidloom.plans.cells import COUNTS
 from bidloom.plans.forensics import CLAIMS, claims_of
@@ -215,11 +215,82 @@ def u6_token_sets(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.size(F.array_intersect(a, b)).alias("common"), F.size(F.array_union(a, b)).alias("total"), F.size(F.array_except(b, a)).alias("added"))
 
 
-@query("f2_detector_screen", f"""{with_cte("bid_v")}, m AS (SELECT *, count(*) OVER w AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) OVER w AS DOUBLE) AS s, CAST(sum(CAST(CAST(value AS DECIMAL(18,2)) * CAST(value AS DECIMAL(18,2)) AS DECIMAL(38,4))) OVER w AS DOUBLE) AS q FROM bid_v WHERE value > 0 WINDOW w AS (PARTITION BY tender_id)),
-    z AS (SELECT *, s / n AS mean, sqrt(greatest(q / n - (s / n) * (s / n), 0)) AS sd FROM m WHERE n >= 3), t AS (SELECT DISTINCT tender_id, sd / mean AS cv FROM z)
-    SELECT tender_id, 'zscore_outlier::' || bidder_id AS flag_key FROM z WHERE sd > 0 AND abs((value - mean) / sd) > 1.5 UNION ALL SELECT tender_id, 'bid_spread_anomaly::' || CASE WHEN cv < 0.05 THEN 'price_fixing' ELSE 'cover_bidding' END FROM t WHERE cv < 0.05 OR cv > 0.8""")
+#: Bidders of a tender for the screen: customers of a nation; the same expressions serve Spark and DuckDB.
+_K = "c_custkey"
+_PAN = f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST({_K} % 26 + 1 AS INT), 1) || 'AACB' || lpad(CAST({_K} % 10000 AS STRING), 4, '0') || CASE WHEN {_K} % 9 = 0 THEN '1' ELSE 'z' END"
+_NAME = f"CASE {_K} % 3 WHEN 0 THEN 'Ganga' WHEN 1 THEN 'Yamuna' ELSE 'Kaveri' END || ' ' || CASE {_K} % 5 WHEN 0 THEN 'Steel' WHEN 1 THEN 'Cable' WHEN 2 THEN 'Paper' WHEN 3 THEN 'Glass' ELSE 'Timber' END || ' ' || CASE {_K} % 7 WHEN 0 THEN 'Works' WHEN 1 THEN 'Mills' WHEN 2 THEN 'Traders' WHEN 3 THEN 'Brothers' WHEN 4 THEN 'House' WHEN 5 THEN 'Agency' ELSE 'Union' END || ' and Sons'"
+SCREEN_BIDDER = {
+    "tender_id": "'n' || c_nationkey", "bidder_id": _K, "company_name": f"{_NAME} || CASE WHEN {_K} % 2 = 0 THEN ' Pvt Ltd' ELSE '' END", "pan": _PAN,
+    "gstin": f"CASE WHEN {_K} % 12 = 5 THEN '06ZZZZZ0000Z1Z5' ELSE '06' || upper({_PAN}) || CASE WHEN {_K} % 8 = 0 THEN 'XX' ELSE '1Z5' END END", "address": f"' Plot ' || {_K} % 40 || ', Block ' || c_mktsegment",
+    "instrument": f"CASE WHEN {_K} % 4 = 0 THEN 'BG' ELSE 'DD' END", "instrument_no": f"'DD-' || (100000 + {_K})", "signatory": f"'Shri ' || CASE {_K} % 17 WHEN 0 THEN 'Anil' WHEN 1 THEN 'Ravi' WHEN 2 THEN 'Meera' ELSE 'P' || {_K} END || ' ' || CASE {_K} % 11 WHEN 0 THEN 'Sharma' WHEN 1 THEN 'Rao' ELSE 'K' || {_K} END",
+    "letter": f"{_NAME} || '. ' || {_NAME} || '. ' || {_NAME} || ' ' || {_NAME}",
+}
+SCREEN_VALUE = "CASE o_orderpriority WHEN '1-URGENT' THEN 100000 + CAST(floor(o_totalprice) AS BIGINT) % 997 WHEN '5-LOW' THEN CAST(floor(o_totalprice) AS BIGINT) % 300 * (CAST(floor(o_totalprice) AS BIGINT) % 300) ELSE CAST(floor(o_totalprice) AS BIGINT) END"
+SCREEN_FIGURE = {"tender_id": "'n' || c_nationkey", "bidder_id": _K, "label": "o_orderpriority", "value": "CAST(floor(o_totalprice) AS BIGINT) * 1000"}
+SCREEN_DOCUMENT = {"tender_id": "lang", "bidder_id": "source", "doc_id": "doc_id", "producer": "CASE WHEN doc_id % 3 = 0 THEN 'Writer-' || n_chars % 40 ELSE '' END", "creator": "'maker-' || n_chars % 30", "modified": "doc_id * 211"}
+
+
+def _expressions(columns: dict[str, str]) -> str:
+    return ", ".join(f"{e} AS {c}" for c, e in columns.items())
+
+
+SCREEN_TABLES = f"""bidders AS (SELECT {_expressions(SCREEN_BIDDER)} FROM customer), figures AS (SELECT {_expressions(SCREEN_FIGURE)} FROM orders JOIN customer ON o_custkey = c_custkey),
+    bids AS (SELECT 'n' || c_nationkey AS tender_id, o_orderpriority AS criterion_id, c_custkey AS bidder_id, max({SCREEN_VALUE}) AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3),
+    docs AS (SELECT {_expressions(SCREEN_DOCUMENT)}, sha256(text) AS sha256 FROM documents)"""
+
+
+def screen_tables(spark, sf_dir):
+    """The tables of the screen."""
+    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    exprs = lambda columns: [F.expr(e).alias(c) for c, e in columns.items()]
+    both = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    bidders = customers.select(*exprs(SCREEN_BIDDER))
+    bids = both.groupBy(F.expr("'n' || c_nationkey").alias("tender_id"), F.col("o_orderpriority").alias("criterion_id"), F.col("c_custkey").alias("bidder_id")).agg(F.max(F.expr(SCREEN_VALUE)).alias("value"))
+    documents = table(spark, sf_dir, "documents").select(*exprs(SCREEN_DOCUMENT), F.sha2("text", 256).alias("sha256"))
+    return {"bidders": bidders.withColumn("signatories", F.array("signatory")), "bids": bids, "figures": both.select(*exprs(SCREEN_FIGURE)), "documents": documents}
+
+
+_IDS = "array_to_string(list_sort(list(DISTINCT CAST({} AS VARCHAR))), ',')"
+_TWO = "array_to_string(list_sort([CAST({0}.bidder_id AS VARCHAR), CAST({1}.bidder_id AS VARCHAR)]), ',')"
+
+
+@query("f2_detector_screen", rf"""WITH {SCREEN_TABLES}, company AS (SELECT tender_id, bidder_id, list_distinct(list_filter(string_split(trim(replace(lower(trim(company_name)), 'pvt ltd', '')), ' '), lambda w: w <> '' AND w NOT IN ('the', 'of', 'and', 'for', 'in'))) AS w, regexp_extract_all(lower(letter), '[a-z'']+') AS l FROM bidders),
+    shingle AS (SELECT DISTINCT tender_id, bidder_id, unnest(list_transform(range(1, len(l) - 8), lambda i: array_to_string(l[i:i + 9], ' '))) AS h FROM company), drafts AS (SELECT *, CAST(regexp_extract(instrument_no, '(\d{{4,}})', 1) AS BIGINT) AS number FROM bidders WHERE instrument = 'DD'),
+    seq AS (SELECT *, lead(bidder_id) OVER w AS other, lead(number) OVER w - number AS gap FROM drafts WINDOW w AS (PARTITION BY tender_id ORDER BY number, bidder_id)),
+    digit AS (SELECT tender_id, CAST(substr(CAST(value AS VARCHAR), 1, 1) AS INT) AS d FROM figures WHERE value > 0), counted AS (SELECT tender_id, d, count(*) AS n FROM digit GROUP BY 1, 2), total AS (SELECT tender_id, CAST(sum(n) AS BIGINT) AS n FROM counted GROUP BY 1 HAVING sum(n) >= 15),
+    chi AS (SELECT t.tender_id, t.n, round(sum(round((coalesce(c.n, 0) - t.n * log10(1 + 1 / x.d)) * (coalesce(c.n, 0) - t.n * log10(1 + 1 / x.d)) / (t.n * log10(1 + 1 / x.d)), 6)), 4) AS chi FROM total t CROSS JOIN (SELECT unnest(range(1, 10)) AS d) x LEFT JOIN counted c ON c.tender_id = t.tender_id AND c.d = x.d GROUP BY 1, 2),
+    pool AS (SELECT tender_id, criterion_id, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean, CAST(sum(CAST(CAST(value AS DECIMAL(18,2)) * CAST(value AS DECIMAL(18,2)) AS DECIMAL(38,4))) AS DOUBLE) / count(*) AS q FROM bids WHERE value > 0 GROUP BY 1, 2 HAVING count(*) >= 3),
+    moment AS (SELECT *, sqrt(greatest(q - mean * mean, 0)) AS sd FROM pool), z AS (SELECT b.tender_id, b.bidder_id, (b.value - mean) / sd AS z FROM bids b JOIN moment m ON m.tender_id = b.tender_id AND m.criterion_id = b.criterion_id WHERE b.value > 0 AND sd > 0),
+    made AS (SELECT tender_id, bidder_id, lower(trim(CASE WHEN producer <> '' THEN producer ELSE creator END)) AS p FROM docs),
+    f AS (SELECT tender_id, 'round_number' AS flag_type, 'low' AS severity, lower(label || '::' || value) AS k FROM figures WHERE value >= 1000000 AND value % 100000 = 0
+      UNION ALL SELECT tender_id, 'pan_format_mismatch', 'medium', lower(trim(pan)) FROM bidders WHERE NOT regexp_matches(upper(pan), '{V.PAN}')
+      UNION ALL SELECT tender_id, 'gstin_format_mismatch', CASE WHEN NOT regexp_matches(gstin, '{V.GSTIN}') THEN 'medium' ELSE 'high' END, lower(gstin) FROM bidders WHERE NOT regexp_matches(gstin, '{V.GSTIN}') OR substr(gstin, 3, 10) <> upper(pan)
+      UNION ALL SELECT tender_id, 'address_collision', 'high', {_IDS.format('bidder_id')} FROM bidders GROUP BY tender_id, lower(trim(address)) HAVING count(DISTINCT bidder_id) >= 2
+      UNION ALL SELECT x.tender_id, 'date_proximity', 'medium', x.doc_id || '-' || y.doc_id FROM docs x JOIN docs y ON x.tender_id = y.tender_id AND x.bidder_id <> y.bidder_id AND y.modified - x.modified BETWEEN 0 AND 600 AND (y.modified > x.modified OR x.doc_id < y.doc_id)
+      UNION ALL SELECT tender_id, 'duplicate_document', 'high', sha256 FROM docs GROUP BY tender_id, sha256 HAVING count(DISTINCT bidder_id) >= 2
+      UNION ALL SELECT tender_id, 'sequential_dd', CASE WHEN gap <= 2 THEN 'high' ELSE 'medium' END, array_to_string(list_sort([CAST(bidder_id AS VARCHAR), CAST(other AS VARCHAR)]), ',') FROM seq WHERE bidder_id <> other AND gap <= 5
+      UNION ALL SELECT tender_id, 'common_signatory', 'high', trim(replace(lower(signatory), 'shri', '')) AS p FROM bidders GROUP BY tender_id, p HAVING count(DISTINCT bidder_id) >= 2 AND len(p) >= 5
+      UNION ALL (SELECT x.tender_id, 'cover_letter_overlap', 'high', {_TWO.format('x', 'y')} FROM shingle x JOIN shingle y ON x.tender_id = y.tender_id AND x.h = y.h AND x.bidder_id < y.bidder_id GROUP BY x.tender_id, x.bidder_id, y.bidder_id HAVING count(*) >= 2)
+      UNION ALL SELECT tender_id, 'benford_violation', CASE WHEN chi > 25 THEN 'high' ELSE 'medium' END, CAST(n AS VARCHAR) FROM chi WHERE chi > 15.507
+      UNION ALL SELECT tender_id, 'zscore_outlier', CASE WHEN abs(z) > 2.5 THEN 'high' ELSE 'medium' END, bidder_id || '::' || CAST(CAST(round(z, 2) AS DECIMAL(12,2)) AS VARCHAR) FROM z WHERE abs(z) > 1.5
+      UNION ALL SELECT tender_id, 'bid_spread_anomaly', CASE WHEN sd / mean < 0.05 THEN 'high' ELSE 'medium' END, CASE WHEN sd / mean < 0.05 THEN 'price_fixing' ELSE 'cover_bidding' END || '::' || n FROM moment WHERE sd / mean < 0.05 OR sd / mean > 0.8
+      UNION ALL SELECT tender_id, 'metadata_cluster', 'medium', substr(p, 1, 40) FROM made WHERE len(p) > 3 GROUP BY tender_id, p HAVING count(DISTINCT bidder_id) >= 2
+      UNION ALL SELECT x.tender_id, 'entity_resolution_match', 'high', {_TWO.format('x', 'y')} FROM company x JOIN company y ON x.tender_id = y.tender_id AND x.bidder_id < y.bidder_id AND len(list_intersect(x.w, y.w)) * 10 >= 6 * len(list_distinct(list_concat(x.w, y.w))))
+    SELECT tender_id, flag_type, flag_type || '::' || k AS flag_key, CASE min(CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity FROM f GROUP BY 1, 2, 3""")
 def f2_detector_screen(spark, sf_dir):
-    return workflow.screen({"bids": views.bids(spark, sf_dir)}).select("tender_id", "flag_key")
+    """All fourteen detectors over one set of tables."""
+    return detectors.screen(screen_tables(spark, sf_dir)).select("tender_id", "flag_type", "flag_key", "severity")
+
+
+@query("u2_stored_flags", f"""WITH {SCREEN_TABLES}, f AS (SELECT 'n' || c_nationkey AS tender_id, 'round_number::' || lower(o_orderpriority || '::' || CAST(floor(o_totalprice) AS BIGINT) * 1000) AS flag_key, CAST(c_custkey AS VARCHAR) AS b, o_orderstatus AS s FROM orders JOIN customer ON o_custkey = c_custkey WHERE CAST(floor(o_totalprice) AS BIGINT) % 100 = 0 AND o_totalprice >= 1000)
+    SELECT tender_id, flag_key, min(b) AS bidder_id FROM f GROUP BY 1, 2 HAVING NOT bool_or(s = 'F')""")
+def u2_stored_flags(spark, sf_dir):
+    """Flags whose keys an earlier screen has stored give no row: here one of the figures in closed orders."""
+    tables = screen_tables(spark, sf_dir)
+    closed = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    earlier = detectors.screen({"figures": closed.select(*(F.expr(e).alias(c) for c, e in SCREEN_FIGURE.items()))}, ["round_number"])
+    found = detectors.screen(tables, ["round_number"], earlier.select("tender_id", "flag_key"))
+    return found.select("tender_id", "flag_key", F.element_at("bidder_ids", 1).alias("bidder_id"))
 
 
 @query("f4_user_extractor", "SELECT o_orderkey AS id, CAST(o_orderkey % 90 + 10 AS BIGINT) * 10000000 AS rupees FROM orders")

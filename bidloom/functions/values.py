@@ -186,6 +186,15 @@ def label_hint(text: Column) -> Column:
     return _case([(t.contains("turnover"), F.lit("turnover")), (t.contains("net worth"), F.lit("net worth")), (t.contains("emd") | t.contains("earnest"), F.lit("emd"))], F.lit(""))
 
 
+#: Types that a criterion may have; another counts as the last but one.
+CRITERION_TYPES = ("numeric_threshold", "categorical_presence", "temporal_recency", "qualitative_assessment", "composite")
+
+
+def criterion_type(stated: Column) -> Column:
+    """A criterion's type (P20): what is stated if it is one, else qualitative."""
+    return F.when(stated.isin(*CRITERION_TYPES), stated).otherwise("qualitative_assessment")
+
+
 def harmonic(*parts: Column) -> Column:
     """Harmonic mean of the parts that aren't null (P12); 0 if there is none or one isn't positive."""
     present = F.filter(F.array(*(p.cast("double") for p in parts)), lambda x: x.isNotNull())

@@ -191,9 +191,61 @@ def route(cells: DataFrame, precedents: Column) -> DataFrame:
     return cells.withColumn("_route", chosen).select("*", "_route.route", "_route.reason", "_route.second_officer", triggers.alias("triggers")).drop("_route")
 
 
-def headline(verdict: Column) -> Column:
-    return F.when(verdict == "PASS", "Meets the criterion").when(verdict == "FAIL", "Does not meet the criterion").otherwise("Needs an officer's judgement")
+#: The sentences of an explanation; {} stands for what is put in.
+SAID = {
+    "PASS": "I'm {}% confident this satisfies {}.", "FAIL": "I'm {}% confident this does not satisfy {}.", "REVIEW": "I cannot determine this with confidence (currently {}%).",
+    "not_found": "I read the bidder's submission but did not find this figure. Officer to verify whether the supporting document is missing.", "no_document": "Bidder has not uploaded the relevant supporting document.",
+    "few": "Note: criterion expects {} period(s) but only {} found.", "absent": "Required document was not found in the bidder's submission.", "projects": "Found {} qualifying project(s) (required: {})",
+    "disagree": "Note: rules and LLM extractors disagreed; officer review is recommended.", "partial": "Note: only one extractor branch found a value.", "nothing": "Refer to the source document.",
+    "auto_commit": "I will record this as confirmed unless you override.", "hitl_review": "Please review and confirm. {}", "mandatory_review": "Officer review required. {}",
+}
+#: Names of the confidence components, and the unit words of amounts.
+COMPONENTS = {"ocr_quality": "Ocr Quality", "field_extraction": "Field Extraction", "entity_match": "Entity Match", "date_parsing": "Date Parsing", "semantic_match": "Semantic Match", "rules_branch": "Rules Branch", "llm_branch": "Llm Branch"}
 
 
-def next_action(route_: Column, second: Column) -> Column:
-    return F.when(route_ == "auto_commit", "No action needed").when(second, "Confirm, then ask a second officer").when(route_ == "mandatory_review", "Confirm before any exclusion").otherwise("Review and decide")
+def _said(name: str, *parts: Column) -> Column:
+    texts = SAID[name].split("{}")
+    return F.concat(*(x for t, p in zip(texts, [*parts, None], strict=True) for x in ([F.lit(t)] if t else []) + ([p.cast("string")] if p is not None else [])))
+
+
+def _amount(rupees: Column) -> Column:
+    return F.when(rupees >= 10_000_000, F.format_string("Rs. %.2f Cr", F.floor((rupees + 50_000) / 100_000) / 100)).when(rupees >= 100_000, F.format_string("Rs. %.2f L", F.floor((rupees + 500) / 1000) / 100)).otherwise(F.concat(F.lit("Rs. "), F.format_number(rupees, 0)))
+
+
+def percent(share: Column) -> Column:
+    """A share as whole percent; halves go to the even number."""
+    return F.bround(share * 100, 0).cast("int")
+
+
+def explained(cells: DataFrame) -> DataFrame:
+    """Adds headline, detail, facts, source_reference and next_action (P19), each made of what the cell holds.
+
+    Beside what ``mosaic`` and ``route`` give, cells have clause, source_doc and source_page (null: none), expected_count,
+    registration, kind and validity_date of a certificate, reasoning, and figures with threshold. Where no value was found the
+    detail says whether a document was there; else it goes by the criterion's type. What applies to no case is left out.
+    """
+    clause = F.coalesce("clause", F.lit("the criterion"))
+    pct = percent(F.col("confidence"))
+    head = F.when(F.col("verdict") == "PASS", _said("PASS", pct, clause)).when(F.col("verdict") == "FAIL", _said("FAIL", pct, clause)).otherwise(_said("REVIEW", pct))
+    kind, count = F.col("criterion_type"), F.size("figures")
+    lines = F.transform("figures", lambda f: F.concat(F.when(f >= F.col("threshold"), "✓").otherwise("✗"), F.lit(" (unspecified): "), _amount(f)))
+    figures = F.when(count > 0, F.concat(F.lit("Figures found: "), F.array_join(lines, " · ")))
+    few = F.when((count > 0) & (count < F.col("expected_count")), _said("few", F.col("expected_count"), count))
+    found = F.coalesce("found", F.lit(False))
+    certificate = F.when(found, F.concat(F.lit("Found "), F.upper(F.coalesce("kind", F.lit("certificate"))), F.lit(": "), F.coalesce("registration", F.lit("None")))).otherwise(_said("absent"))
+    validity = F.when(found & F.col("validity_date").isNotNull(), F.concat(F.lit("Validity: "), F.col("validity_date")))
+    projects = _said("projects", F.coalesce("qualifying_count", F.lit(0)), F.coalesce("required_count", F.lit(0)))
+    typed = (
+        F.when(~F.col("has_value"), F.array(F.when(F.col("has_documents"), _said("not_found")).otherwise(_said("no_document"))))
+        .when(kind == "numeric_threshold", F.array(figures, few))
+        .when(kind == "categorical_presence", F.array(certificate, validity))
+        .when(kind == "temporal_recency", F.array(projects))
+        .otherwise(F.array(F.substring("reasoning", 1, 220)))
+    )
+    note = F.when(F.col("agreement") == "disagree", _said("disagree")).when(F.col("agreement") == "partial", _said("partial"))
+    parts = F.filter(F.concat(typed, F.array(note)), lambda p: p.isNotNull())
+    detail = F.when(F.size(parts) > 0, F.array_join(parts, " ")).otherwise(_said("nothing"))
+    facts = F.array_compact(F.array(*(F.when(F.col(f"breakdown.{k}").isNotNull(), F.concat(F.lit(f"{name}: "), percent(F.col(f"breakdown.{k}")).cast("string"), F.lit("%"))) for k, name in COMPONENTS.items())))
+    source = F.when(F.col("source_doc").isNull(), "").otherwise(F.concat(F.lit("Source: doc "), F.substring("source_doc", 1, 8), F.when(F.col("source_page").isNotNull(), F.concat(F.lit(", page "), F.col("source_page").cast("string"))).otherwise("")))
+    action = F.when(F.col("route") == "auto_commit", _said("auto_commit")).when(F.col("route") == "hitl_review", _said("hitl_review", F.col("reason"))).otherwise(_said("mandatory_review", F.col("reason")))
+    return cells.select("*", head.alias("headline"), detail.alias("detail"), facts.alias("facts"), source.alias("source_reference"), action.alias("next_action"))

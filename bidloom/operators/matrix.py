@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,6 +110,29 @@ def what_if(cells: DataFrame) -> DataFrame:
     )
 
 
+def consequences(tried: DataFrame, cells: DataFrame, companies: DataFrame) -> DataFrame:
+    """(tender_id, bidder_id, criterion_id, action, new_verdict, type, text, severity): what each tried decision brings about.
+
+    ``tried`` as ``what_if`` gives it; cells (tender_id, bidder_id, criterion_id, source_doc), companies (bidder_id, company_name).
+    A decision may change the bidder's eligibility, need a second officer, and bear on other cells of the bidder that rest on the
+    same document. One that brings nothing about has no row.
+    """
+    others = cells.where("source_doc is not null").groupBy(*(F.col(c).alias(f"_{c}") for c in (*CELL, "source_doc"))).agg((F.count("*") - 1).alias("_others")).where("_others > 0")
+    own = cells.select(*(F.col(c).alias(f"_own_{c}") for c in (*CELL, "criterion_id")), F.col("source_doc").alias("_own_doc"))
+    same = reduce(Column.__and__, (F.col(c) == F.col(f"_own_{c}") for c in (*CELL, "criterion_id")))
+    joined = tried.join(own, same, "left").join(others, reduce(Column.__and__, [*(F.col(c) == F.col(f"_{c}") for c in CELL), F.col("_own_doc") == F.col("_source_doc")]), "left")
+    joined = joined.join(companies.select(F.col("bidder_id").alias("_company"), "company_name"), F.col("bidder_id") == F.col("_company"), "left")
+    was, will = F.col("was_eligible"), F.col("will_be_eligible")
+    turn = F.when(~was & will, " moves from NOT ELIGIBLE → ELIGIBLE").when(was & ~will, " moves from ELIGIBLE → NOT ELIGIBLE")
+    row = lambda when, kind, text, severity: F.when(when, F.struct(F.lit(kind).alias("type"), text.alias("text"), F.lit(severity).alias("severity")))
+    found = F.array_compact(F.array(
+        row(was != will, "eligibility", F.concat(F.coalesce("company_name", F.lit("Bidder")), turn), "high"),
+        row(F.col("concurrence_required"), "concurrence", F.lit("This triggers a concurrence request to a second officer."), "medium"),
+        row(F.col("_others").isNotNull(), "shared_source", F.concat(F.col("_others").cast("string"), F.lit(" other cell(s) reference the same source document.")), "low"),
+    ))
+    return joined.select(*CELL, "criterion_id", "action", "new_verdict", F.explode(found).alias("c")).select(*CELL, "criterion_id", "action", "new_verdict", "c.*")
+
+
 def flag_key(flag_type: Column, bidder_ids: Column, subject: Column) -> Column:
     """A key under which equal findings of several detectors fall together."""
     pool = flag_type.isin("address_collision", "sequential_dd", "cover_letter_overlap", "entity_resolution_match")

@@ -159,11 +159,21 @@ def locate_page(needles: DataFrame, pages: DataFrame, key: str, needle: str, pag
     return joined.groupBy(key, "needle").agg(F.min(page).alias("page"))
 
 
+#: Most characters of a document's text, for criteria, for evidence and for corrigenda.
+MOST_TEXT = {"criteria": 60_000, "evidence": 30_000, "corrigendum": 24_000}
+
+
 def assembled(pages: DataFrame, key: str, number: str, text: str, most: int, marked: bool = True) -> DataFrame:
-    """A document's pages in order as one text of at most ``most`` characters."""
-    rows = pages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(number, text))).alias("rows"))
-    part = (lambda r: F.concat(F.lit("[Page "), r[number].cast("string"), F.lit("]\n"), F.coalesce(r[text], F.lit("")))) if marked else (lambda r: F.coalesce(r[text], F.lit("")))
-    return rows.select(key, F.substring(F.array_join(F.transform("rows", part), "\n"), 1, most).alias("text"))
+    """A document's pages in order as one text of at most ``most`` characters (S5), with a mark before each page or without.
+
+    Where a page begins is known from the lengths of those before it (in segments for a document of many pages); only pages that
+    begin within the limit are gathered, each cut to it.
+    """
+    part = F.concat(F.lit("[Page "), F.col(number).cast("string"), F.lit("]\n"), F.coalesce(text, F.lit(""))) if marked else F.coalesce(text, F.lit(""))
+    rows = pages.select(key, number, part.alias("_part"))
+    placed = segments.running(rows, [key], [number, "_part"], {"_upto": ("sum", (F.length("_part") + 1).cast("bigint"))})
+    kept = placed.where(F.col("_upto") - F.length("_part") - 1 < most).select(key, F.struct(F.col(number).alias("n"), F.substring("_part", 1, most).alias("t")).alias("row"))
+    return kept.groupBy(key).agg(F.array_sort(F.collect_list("row")).alias("rows")).select(key, F.substring(F.array_join(F.transform("rows", lambda r: r["t"]), "\n"), 1, most).alias("text"))
 
 
 def word_boxes(lines: DataFrame, keys: list[str], text: str, x_min: str, x_max: str) -> DataFrame:

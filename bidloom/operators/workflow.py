@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,6 +150,49 @@ def checklist_status(responses: DataFrame, keys: list[str], most: int = 3) -> Da
     )
 
 
+def comments_with_author(comments: DataFrame, officers: DataFrame, cells: DataFrame) -> DataFrame:
+    """Comments (comment_id, evaluation_id, bidder_id, criterion_id, officer_id, body, affects_verdict, created) with officer_name,
+    officer_role and actionable (J28). A missing bidder or criterion is that of the comment's cell; comments without a body, a
+    target or a known officer give no row. Those that affect the verdict are the actionable ones."""
+    own = cells.select(F.col("evaluation_id").alias("_cell"), F.col("bidder_id").alias("_bidder"), F.col("criterion_id").alias("_criterion"))
+    author = officers.select(F.col("officer_id").alias("_officer"), F.col("name").alias("officer_name"), F.col("role").alias("officer_role"))
+    said = comments.where((F.trim("body") != "") & F.coalesce(F.col("evaluation_id").cast("string"), F.col("bidder_id").cast("string"), F.col("criterion_id").cast("string")).isNotNull())
+    joined = said.join(author, F.col("officer_id") == F.col("_officer")).join(own, F.col("evaluation_id") == F.col("_cell"), "left")
+    return joined.select("comment_id", "evaluation_id", F.coalesce("bidder_id", "_bidder").alias("bidder_id"), F.coalesce("criterion_id", "_criterion").alias("criterion_id"), "officer_id", "officer_name", "officer_role", "body", "created", F.coalesce("affects_verdict", F.lit(False)).alias("actionable"))
+
+
+def review_context(requests: DataFrame, cells: DataFrame, bidders: DataFrame, criteria: DataFrame, documents: DataFrame, officers: DataFrame, comments: DataFrame, flags: DataFrame) -> DataFrame:
+    """(request_id, part, record): all that a second officer sees of each request, one row of JSON for each record.
+
+    requests (request_id, evaluation_id, requested_by, ...), cells (evaluation_id, bidder_id, criterion_id, source_doc, ...), bidders
+    (bidder_id, ...), criteria (criterion_id, ...), documents (doc_id, ...), officers (officer_id, ...), comments as
+    ``comments_with_author`` gives them, flags (evaluation_id, bidder_id, tender_id, severity, state, ...; those dismissed don't
+    count, and one that names no cell belongs to all cells of its bidder). A request without a cell gives no row; without a document,
+    an officer, comments or flags those parts are missing. Rows, and not one record, as a bidder may have any number of flags.
+    """
+    asked = requests.join(cells.withColumnRenamed("evaluation_id", "_cell"), F.col("evaluation_id") == F.col("_cell")).drop("_cell")
+    keys = asked.select("request_id", "evaluation_id", "bidder_id", "criterion_id", "tender_id", "source_doc", "requested_by")
+    record = lambda rows, columns: F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("record")
+
+    def part(name: str, rows: DataFrame, of: str, key: str) -> DataFrame:
+        other = rows.select(F.col(key).alias("_key"), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("record"))
+        return keys.join(other, F.col(of) == F.col("_key")).select("request_id", F.lit(name).alias("part"), "record")
+
+    parts = [
+        requests.join(keys.select(F.col("request_id").alias("_r")), F.col("request_id") == F.col("_r")).select("request_id", F.lit("request").alias("part"), record(requests, requests.columns)),
+        part("evaluation", cells, "evaluation_id", "evaluation_id"), part("bidder", bidders, "bidder_id", "bidder_id"), part("criterion", criteria, "criterion_id", "criterion_id"),
+        part("document", documents, "source_doc", "doc_id"), part("officer", officers, "requested_by", "officer_id"),
+        part("comment", comments, "evaluation_id", "evaluation_id"), part("actionable_comment", comments.where("actionable"), "evaluation_id", "evaluation_id"),
+    ]
+    live = flags.where("state is null or state <> 'dismissed'")
+    told = F.to_json(F.struct(*(c for c in flags.columns)), {"ignoreNullFields": "false"}).alias("record")
+    own = live.where("evaluation_id is not null").select(F.col("evaluation_id").alias("_key"), told)
+    whole = live.where("evaluation_id is null").select(F.col("tender_id").alias("_t"), F.col("bidder_id").alias("_b"), told)
+    parts.append(keys.join(own, F.col("evaluation_id") == F.col("_key")).select("request_id", F.lit("flag").alias("part"), "record"))
+    parts.append(keys.join(whole, (F.col("tender_id") == F.col("_t")) & (F.col("bidder_id") == F.col("_b"))).select("request_id", F.lit("flag").alias("part"), "record"))
+    return reduce(DataFrame.union, parts)
+
+
 def extracted_by(pages: DataFrame, text: str, extractor) -> DataFrame:
     """Figures from a user's own extractor (F4): an Arrow-batched function from texts to arrays of (raw_value, unit, rupees)."""
     return pages.withColumn("figures", extractor(F.col(text)))

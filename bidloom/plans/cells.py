@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bidloom.operators import evidence, matrix
 from bidloom.plans.registry import query
 from bidloom.sources import views
+from bidloom.sources.tables import table
 from bidloom.sources.views import with_cte
 
 CELL = ["tender_id", "bidder_id", "criterion_id"]
@@ -57,10 +58,28 @@ def p17_routing_cold(spark, sf_dir):
     return views.cells(spark, sf_dir, precedents=0).select(*CELL, "route", F.element_at("triggers", -1).alias("deciding"))
 
 
-@query("p19_explanation", f"""{with_cte('routed_v')} SELECT tender_id, bidder_id, criterion_id, CASE verdict WHEN 'PASS' THEN 'Meets the criterion' WHEN 'FAIL' THEN 'Does not meet the criterion' ELSE 'Needs an officer''s judgement' END AS headline,
-    CASE WHEN route = 'auto_commit' THEN 'No action needed' WHEN second_officer THEN 'Confirm, then ask a second officer' WHEN route = 'mandatory_review' THEN 'Confirm before any exclusion' ELSE 'Review and decide' END AS next_action FROM routed_v""")
+_AMOUNT = "CASE WHEN f >= 10000000 THEN printf('Rs. %.2f Cr', (f + 50000) // 100000 / 100) WHEN f >= 100000 THEN printf('Rs. %.2f L', (f + 500) // 1000 / 100) ELSE format('Rs. {:,}', f) END"
+_FACTS = {"Ocr Quality": "n.ocr_confidence", "Field Extraction": "n.extraction_confidence", "Entity Match": "1.0", "Rules Branch": "CASE WHEN len(n.rules_figures) > 0 THEN n.rules_confidence END", "Llm Branch": "CASE WHEN len(n.model_figures) > 0 THEN n.model_confidence END"}
+_THRESHOLD = " ".join(f"WHEN '{k}' THEN {t}" for k, (_, _, t, _) in views.CRITERIA.items())
+_PERIODS = " ".join(f"WHEN '{k}' THEN {n}" for k, (_, n, _, _) in views.CRITERIA.items())
+
+
+@query("p19_explanation", f"""{with_cte('routed_v', 'numeric_v')}, e AS (SELECT r.*, CAST(round_even(r.confidence * 100, 0) AS INT) AS pct, CASE r.criterion_id {_PERIODS} END AS periods, list_transform(r.figures, lambda f: CASE WHEN f >= CASE r.criterion_id {_THRESHOLD} END THEN '✓' ELSE '✗' END || ' (unspecified): ' || {_AMOUNT}) AS lines,
+      list_filter([{", ".join(f"'{name}: ' || CAST(round_even({c} * 100, 0) AS INT) || '%'" for name, c in _FACTS.items())}], lambda x: x IS NOT NULL) AS facts FROM routed_v r JOIN numeric_v n ON n.tender_id = r.tender_id AND n.bidder_id = r.bidder_id AND n.criterion_id = r.criterion_id)
+    SELECT evaluation_id, CASE verdict WHEN 'PASS' THEN 'I''m ' || pct || '% confident this satisfies clause ' || criterion_id || '.' WHEN 'FAIL' THEN 'I''m ' || pct || '% confident this does not satisfy clause ' || criterion_id || '.' ELSE 'I cannot determine this with confidence (currently ' || pct || '%).' END AS headline,
+      concat_ws(' ', CASE WHEN len(figures) > 0 THEN 'Figures found: ' || array_to_string(lines, ' · ') WHEN has_documents THEN 'I read the bidder''s submission but did not find this figure. Officer to verify whether the supporting document is missing.' ELSE 'Bidder has not uploaded the relevant supporting document.' END,
+        CASE WHEN len(figures) > 0 AND len(figures) < periods THEN 'Note: criterion expects ' || periods || ' period(s) but only ' || len(figures) || ' found.' END, CASE WHEN agreement = 'disagree' THEN 'Note: rules and LLM extractors disagreed; officer review is recommended.' END) AS detail, facts,
+      CASE WHEN bidder_id % 4 = 0 THEN '' ELSE 'Source: doc ' || substr('file-' || bidder_id || '-scan', 1, 8) || CASE WHEN bidder_id % 4 = 1 THEN ', page ' || bidder_id % 9 ELSE '' END END AS source_reference,
+      CASE route WHEN 'auto_commit' THEN 'I will record this as confirmed unless you override.' WHEN 'hitl_review' THEN 'Please review and confirm.' ELSE 'Officer review required.' END AS asked FROM e""")
 def p19_explanation(spark, sf_dir):
-    return views.cells(spark, sf_dir).select(*CELL, evidence.headline(F.col("verdict")).alias("headline"), evidence.next_action(F.col("route"), F.col("second_officer")).alias("next_action"))
+    """All parts of the explanation; of the next action what comes before the router's own reason."""
+    k = F.col("bidder_id")
+    cells = views.cells(spark, sf_dir).withColumns({
+        "clause": F.concat(F.lit("clause "), F.col("criterion_id")), "source_doc": F.when(k % 4 != 0, F.concat(F.lit("file-"), k.cast("string"), F.lit("-scan"))), "source_page": F.when(k % 4 == 1, k % 9), "expected_count": F.col("periods"),
+        **{c: F.lit(None).cast("string") for c in ("kind", "registration", "validity_date", "reasoning")},
+    })
+    asked = F.when(F.col("route") == "auto_commit", F.col("next_action")).otherwise(F.regexp_extract("next_action", r"^[^.]*\.", 0))
+    return evidence.explained(cells).select("evaluation_id", "headline", "detail", "facts", "source_reference", asked.alias("asked"))
 
 
 TYPED = """typed_v AS (SELECT o_orderkey AS cell, CASE o_orderpriority WHEN '1-URGENT' THEN 'numeric_threshold' WHEN '2-HIGH' THEN 'categorical_presence' WHEN '3-MEDIUM' THEN 'temporal_recency' WHEN '4-NOT SPECIFIED' THEN 'qualitative_assessment' ELSE 'composite' END AS criterion_type,
@@ -151,12 +170,15 @@ def a8_heatmap_rollup(spark, sf_dir):
     return matrix.heatmap_rollup(matrix.heatmap(views.cells(spark, sf_dir), views.flags(spark, sf_dir)), ["tender_id", "bidder_id"])
 
 
-@query("a9_bidder_radar", f"""{with_cte('flag_v')}, s AS (SELECT tender_id, bidder_id, avg(CASE verdict WHEN 'PASS' THEN 100.0 WHEN 'REVIEW' THEN 50.0 ELSE 0.0 END) AS financial, avg(CAST(confidence AS DECIMAL(18,6))) * 100 AS confidence FROM cell_v GROUP BY 1, 2),
+@query("a9_bidder_radar", f"""{with_cte('flag_v')},
+    m AS (SELECT tender_id, bidder_id, coalesce(avg(CASE WHEN money THEN points END), 50.0) AS financial, coalesce(avg(CASE WHEN NOT money THEN points END), 50.0) AS experience, CAST(round(sum(c) / count(*), 10) AS DOUBLE) * 100 AS confidence FROM (SELECT tender_id, bidder_id, CASE verdict WHEN 'PASS' THEN 100.0 WHEN 'REVIEW' THEN 50.0 ELSE 0.0 END AS points, criterion_id <> 'R' AS money, CAST(confidence AS DECIMAL(18,6)) AS c FROM cell_v) GROUP BY 1, 2),
     p AS (SELECT tender_id AS t, bidder_id AS b, sum(CASE severity WHEN 'high' THEN 8 WHEN 'medium' THEN 4 ELSE 1 END) AS lost FROM flag_v GROUP BY 1, 2),
-    r AS (SELECT s.*, greatest(0, least(100, 100 - coalesce(lost, 0))) AS risk FROM s LEFT JOIN p ON s.tender_id = p.t AND s.bidder_id = p.b)
-    SELECT tender_id, bidder_id, round(financial, 1) AS financial, 50.0::DOUBLE AS experience, 50.0::DOUBLE AS compliance, CAST(risk AS DOUBLE) AS risk FROM r""")
+    r AS (SELECT m.*, CAST(greatest(0, least(100, 100 - coalesce(lost, 0))) AS DOUBLE) AS risk FROM m LEFT JOIN p ON m.tender_id = p.t AND m.bidder_id = p.b), o AS (SELECT *, round((financial + experience + 50.0 + risk + confidence) / 5, 1) AS overall FROM r)
+    SELECT tender_id, bidder_id, round(financial, 1) AS financial, round(experience, 1) AS experience, 50.0::DOUBLE AS compliance, risk, round(confidence, 1) AS confidence, overall, rank() OVER (PARTITION BY tender_id ORDER BY overall DESC) AS rank FROM o""")
 def a9_bidder_radar(spark, sf_dir):
-    return matrix.radar(views.cells(spark, sf_dir), views.flags(spark, sf_dir)).select("tender_id", "bidder_id", "financial", "experience", "compliance", "risk")
+    """Criterion R counts as experience here, so that two scores come from cells."""
+    typed = views.cells(spark, sf_dir).withColumn("criterion_type", F.when(F.col("criterion_id") == "R", "temporal_recency").otherwise(F.col("criterion_type")))
+    return matrix.radar(typed, views.flags(spark, sf_dir))
 
 
 @query("a16_strongest_weakest", f"""{with_cte('cell_v')}, c AS ({COUNTS}), r AS (SELECT *, row_number() OVER (PARTITION BY tender_id ORDER BY passes DESC, fails, bidder_id) AS best, row_number() OVER (PARTITION BY tender_id ORDER BY passes, fails DESC, bidder_id) AS worst FROM c)
@@ -246,6 +268,19 @@ def w12_what_if(spark, sf_dir):
     return matrix.what_if(views.cells(spark, sf_dir)).drop("new_reviews")
 
 
+@query("w12_consequences", f"""{with_cte('routed_v')}, src AS (SELECT *, CASE WHEN bidder_id % 6 <> 0 THEN CASE WHEN criterion_id = 'R' THEN 'r' ELSE 'an' END || bidder_id END AS doc FROM routed_v), n AS (SELECT *, count(*) FILTER (verdict = 'FAIL') OVER w AS f, count(*) OVER w AS total, count(*) OVER (PARTITION BY tender_id, bidder_id, doc) - 1 AS others FROM src WINDOW w AS (PARTITION BY tender_id, bidder_id)),
+    t AS (SELECT n.*, a.action, coalesce(a.v, verdict) AS new_verdict FROM n CROSS JOIN (VALUES ('confirm', NULL), ('override', 'PASS'), ('override', 'FAIL'), ('override', 'REVIEW')) a(action, v)),
+    m AS (SELECT *, 10 * f <= 3 * total AS was, 10 * (f - (verdict = 'FAIL')::INT + (new_verdict = 'FAIL')::INT) <= 3 * total AS will FROM t), c AS (SELECT m.*, s_name FROM m LEFT JOIN supplier ON s_suppkey = bidder_id)
+    SELECT tender_id, bidder_id, criterion_id, action, new_verdict, 'eligibility' AS type, s_name || CASE WHEN will THEN ' moves from NOT ELIGIBLE → ELIGIBLE' ELSE ' moves from ELIGIBLE → NOT ELIGIBLE' END AS text, 'high' AS severity FROM c WHERE was <> will
+    UNION ALL SELECT tender_id, bidder_id, criterion_id, action, new_verdict, 'concurrence', 'This triggers a concurrence request to a second officer.', 'medium' FROM c WHERE action = 'override' AND route = 'mandatory_review'
+    UNION ALL SELECT tender_id, bidder_id, criterion_id, action, new_verdict, 'shared_source', others || ' other cell(s) reference the same source document.', 'low' FROM c WHERE doc IS NOT NULL AND others > 0""")
+def w12_consequences(spark, sf_dir):
+    cells, k = views.cells(spark, sf_dir), F.col("bidder_id")
+    sources = cells.withColumn("source_doc", F.when(k % 6 != 0, F.concat(F.when(F.col("criterion_id") == "R", "r").otherwise("an"), k.cast("string"))))
+    companies = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("bidder_id"), F.col("s_name").alias("company_name"))
+    return matrix.consequences(matrix.what_if(cells), sources.select("tender_id", "bidder_id", "criterion_id", "source_doc"), companies)
+
+
 @query("u1_u3_flag_union", f"""{with_cte('flag_v')}, a AS (SELECT DISTINCT tender_id, CASE WHEN flag_type = 'round_number' THEN flag_type ELSE 'novel' END AS flag_type, bidder_id, lower(coalesce(evaluation_id, CAST(bidder_id AS VARCHAR))) AS subject FROM flag_v)
     SELECT tender_id, flag_type || '::' || subject AS flag_key, bidder_id FROM a""")
 def u1_u3_flag_union(spark, sf_dir):

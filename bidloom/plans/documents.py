@@ -201,9 +201,13 @@ def t16_tokens(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_sort(texts.tokens(F.col("p_name"))).alias("tokens"))
 
 
-@query("s5_document_text", "SELECT conv_id, substr(string_agg('[Page ' || turn || ']' || chr(10) || text, chr(10) ORDER BY turn, text), 1, 24000) AS text FROM conversations GROUP BY 1")
+@query("s5_document_text", """WITH p AS (SELECT conv_id, string_agg('[Page ' || turn || ']' || chr(10) || text, chr(10) ORDER BY turn, text) AS marked, string_agg(text, chr(10) ORDER BY turn, text) AS plain FROM conversations GROUP BY 1)
+    SELECT conv_id, 'criteria' AS form, substr(marked, 1, 60000) AS text FROM p UNION ALL SELECT conv_id, 'evidence', substr(plain, 1, 30000) FROM p UNION ALL SELECT conv_id, 'corrigendum', substr(marked, 1, 24000) FROM p""")
 def s5_document_text(spark, sf_dir):
-    return texts.assembled(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text", 24_000)
+    """The three forms of a document's text."""
+    pages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    forms = [texts.assembled(pages, "conv_id", "turn", "text", most, marked=form != "evidence").select("conv_id", F.lit(form).alias("form"), "text") for form, most in texts.MOST_TEXT.items()]
+    return forms[0].union(forms[1]).union(forms[2])
 
 
 @query("s1_filtered_listing", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' AND o_totalprice > 200000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
@@ -286,14 +290,18 @@ def p3_humanised(spark, sf_dir):
 
 
 @query("p20_p28_criteria_text", f"""WITH t AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'Annual turnover certificate ' WHEN 1 THEN 'GST registration ' WHEN 2 THEN 'Net worth ' WHEN 3 THEN 'ISO and PAN ' WHEN 4 THEN 'EMD deposit ' WHEN 5 THEN 'MSME status ' ELSE '' END || text AS text FROM documents), l AS (SELECT doc_id, lower(text) AS s FROM t)
-    SELECT doc_id, CASE WHEN contains(s, 'turnover') THEN 'turnover' WHEN contains(s, 'net worth') THEN 'net worth' WHEN contains(s, 'emd') OR contains(s, 'earnest') THEN 'emd' ELSE '' END AS hint,
+    SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'numeric_threshold' WHEN 1 THEN 'categorical_presence' WHEN 2 THEN 'temporal_recency' WHEN 3 THEN 'composite' ELSE 'qualitative_assessment' END AS criterion_type, doc_id % 4 = 0 AS is_mandatory, doc_id % 6 >= 4 AS override_permitted,
+      CASE WHEN contains(s, 'turnover') THEN 'turnover' WHEN contains(s, 'net worth') THEN 'net worth' WHEN contains(s, 'emd') OR contains(s, 'earnest') THEN 'emd' ELSE '' END AS hint,
       CASE WHEN contains(s, 'gst') THEN 'gst' WHEN contains(s, 'pan') OR contains(s, 'permanent account') THEN 'pan' WHEN contains(s, 'iso') THEN 'iso' WHEN contains(s, 'msme') OR contains(s, 'udyam') THEN 'udyam' ELSE 'unknown' END AS kind,
       list_filter(regexp_extract_all(s, '[a-z]+'), lambda w: len(w) > 3 AND w NOT IN ({", ".join(f"'{w}'" for w in V.SEARCH_STOP)}))[1:8] AS terms FROM l""")
 def p20_p28_criteria_text(spark, sf_dir):
     k = F.col("doc_id")
     start = F.when(k % 7 == 0, "Annual turnover certificate ").when(k % 7 == 1, "GST registration ").when(k % 7 == 2, "Net worth ").when(k % 7 == 3, "ISO and PAN ").when(k % 7 == 4, "EMD deposit ").when(k % 7 == 5, "MSME status ").otherwise("")
     criteria = table(spark, sf_dir, "documents").select("doc_id", F.concat(start, "text").alias("t"))
-    return criteria.select("doc_id", V.label_hint(F.col("t")).alias("hint"), V.certificate_kind(F.col("t")).alias("kind"), V.search_terms(F.col("t")).alias("terms"))
+    stated = F.element_at(F.array(*map(F.lit, ("numeric_threshold", "categorical_presence", "temporal_recency", "composite", "no such type"))), F.least(k % 6 + 1, F.lit(5)).cast("int"))
+    kind = V.criterion_type(F.when(k % 6 < 5, stated))
+    flags = [kind.alias("criterion_type"), F.coalesce(F.when(k % 4 < 2, k % 4 == 0), F.lit(False)).alias("is_mandatory"), (kind == "qualitative_assessment").alias("override_permitted")]
+    return criteria.select("doc_id", *flags, V.label_hint(F.col("t")).alias("hint"), V.certificate_kind(F.col("t")).alias("kind"), V.search_terms(F.col("t")).alias("terms"))
 
 
 @query("p21_future_dates", f"SELECT o_orderkey, make_date(2000 + o_orderkey % 40, o_orderkey % 12 + 1, o_orderkey % 28 + 1) > DATE '{AS_OF}' AS future FROM orders")

@@ -85,9 +85,9 @@ def j17_precedents(spark, sf_dir):
     return workflow.precedents(corpus.where("id % 20 = 0").drop("created"), corpus)
 
 
-@query("j18_response_cache", "WITH l AS (SELECT user_id AS h, arg_max(value, event_id) AS response FROM events WHERE event_type <> 'error' AND event_id % 3 <> 0 GROUP BY 1) SELECT c_custkey AS prompt_hash, response FROM customer LEFT JOIN l ON l.h = c_custkey")
+@query("j18_response_cache", "WITH l AS (SELECT user_id AS h, arg_max(value, event_id) AS response FROM events WHERE event_type <> 'error' GROUP BY 1) SELECT c_custkey AS prompt_hash, response FROM customer LEFT JOIN l ON l.h = c_custkey")
 def j18_response_cache(spark, sf_dir):
-    log = table(spark, sf_dir, "events").where("event_id % 3 <> 0").select(F.col("user_id").alias("prompt_hash"), F.col("value").alias("response"), F.col("event_id").alias("at"), F.when(F.col("event_type") == "error", "failed").alias("error"))
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("prompt_hash"), F.col("value").alias("response"), F.col("event_id").alias("at"), F.when(F.col("event_type") == "error", "failed").alias("error"))
     return workflow.cached_responses(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("prompt_hash")), log)
 
 
@@ -98,13 +98,51 @@ def f3_findings(spark, sf_dir):
     return workflow.findings_for(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("evaluation_id"), F.col("c_custkey").alias("prompt_hash")), findings)
 
 
-@query("j25_review_context", f"""{with_cte('flag_v', 'routed_v')}, f AS (SELECT evaluation_id, list(severity || ':' || flag_type ORDER BY severity || ':' || flag_type) AS flags FROM flag_v WHERE evaluation_id IS NOT NULL GROUP BY 1)
-    SELECT r.evaluation_id, verdict, s_name AS company, flags FROM routed_v r JOIN supplier ON bidder_id = s_suppkey LEFT JOIN f ON f.evaluation_id = r.evaluation_id WHERE second_officer""")
+_COMMENT_SQL = "note AS (SELECT 'c-' || evaluation_id AS comment_id, evaluation_id, CASE WHEN bidder_id % 2 = 0 THEN bidder_id END AS stated_bidder, bidder_id, criterion_id, bidder_id % 60 AS officer_id, CASE WHEN bidder_id % 20 = 0 THEN ' ' ELSE 'see page ' || bidder_id % 9 END AS body, bidder_id % 8 = 0 AS affects_verdict, '2024-01-0' || (bidder_id % 9 + 1) AS created FROM routed_v WHERE bidder_id % 4 < 2), officer AS (SELECT s_suppkey AS officer_id, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'senior' ELSE 'reviewer' END AS role FROM supplier WHERE s_suppkey % 7 <> 0)"
+
+
+def _comments(spark, sf_dir, cells):
+    k = F.col("bidder_id")
+    notes = cells.where(k % 4 < 2).select(
+        F.concat(F.lit("c-"), "evaluation_id").alias("comment_id"), "evaluation_id", F.when(k % 2 == 0, k).alias("bidder_id"), F.lit(None).cast("string").alias("criterion_id"), (k % 60).alias("officer_id"), F.when(k % 20 == 0, " ").otherwise(F.concat(F.lit("see page "), (k % 9).cast("string"))).alias("body"),
+        (k % 8 == 0).alias("affects_verdict"), F.concat(F.lit("2024-01-0"), (k % 9 + 1).cast("string")).alias("created"),
+    )
+    return workflow.comments_with_author(notes, _officers(spark, sf_dir), cells)
+
+
+def _officers(spark, sf_dir):
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").where(k % 7 != 0).select(k.alias("officer_id"), F.col("s_name").alias("name"), F.when(k % 3 == 0, "senior").otherwise("reviewer").alias("role"))
+
+
+@query("j28_comments", f"""{with_cte('routed_v')}, {_COMMENT_SQL} SELECT comment_id, evaluation_id, bidder_id, criterion_id, n.officer_id, name AS officer_name, role AS officer_role, body, created, affects_verdict AS actionable FROM note n JOIN officer o ON o.officer_id = n.officer_id WHERE trim(body) <> ''""")
+def j28_comments(spark, sf_dir):
+    """Comments on cells with their authors; the bidder of some and the criterion of all come from the cell."""
+    return _comments(spark, sf_dir, views.cells(spark, sf_dir))
+
+
+@query("j25_review_context", f"""{with_cte('flag_v', 'routed_v')}, {_COMMENT_SQL}, said AS (SELECT n.*, o.name, o.role FROM note n JOIN officer o ON o.officer_id = n.officer_id WHERE trim(body) <> ''),
+    q AS (SELECT 'r-' || evaluation_id AS request_id, evaluation_id, bidder_id % 50 AS requested_by, tender_id, bidder_id, criterion_id, verdict, route, CASE WHEN bidder_id % 3 <> 0 THEN bidder_id * 10 END AS source_doc FROM routed_v WHERE second_officer),
+    fl AS (SELECT *, CASE WHEN bidder_id % 5 = 0 THEN 'dismissed' WHEN bidder_id % 5 = 1 THEN 'open' END AS state FROM flag_v)
+    SELECT request_id, 'request' AS part, CAST(to_json(struct_pack(request_id := request_id, evaluation_id := evaluation_id, requested_by := requested_by)) AS VARCHAR) AS record FROM q
+    UNION ALL SELECT request_id, 'evaluation', CAST(to_json(struct_pack(tender_id := tender_id, bidder_id := bidder_id, criterion_id := criterion_id, evaluation_id := evaluation_id, verdict := verdict, route := route, source_doc := source_doc)) AS VARCHAR) FROM q
+    UNION ALL SELECT request_id, 'bidder', CAST(to_json(struct_pack(bidder_id := s_suppkey, company_name := s_name)) AS VARCHAR) FROM q JOIN supplier ON s_suppkey = bidder_id
+    UNION ALL SELECT request_id, 'criterion', CAST(to_json(struct_pack(criterion_id := criterion_id, is_mandatory := criterion_id IN ('A', 'N'))) AS VARCHAR) FROM q
+    UNION ALL SELECT request_id, 'document', CAST(to_json(struct_pack(doc_id := o_orderkey, filename := 'f' || o_orderkey || '.pdf', page_count := o_custkey)) AS VARCHAR) FROM q JOIN orders ON o_orderkey = source_doc
+    UNION ALL SELECT request_id, 'officer', CAST(to_json(struct_pack(officer_id := officer_id, name := name, role := role)) AS VARCHAR) FROM q JOIN officer ON officer_id = requested_by
+    UNION ALL SELECT request_id, p.part, CAST(to_json(struct_pack(comment_id := comment_id, evaluation_id := said.evaluation_id, bidder_id := said.bidder_id, criterion_id := said.criterion_id, officer_id := said.officer_id, officer_name := name, officer_role := role, body := body, created := created, actionable := affects_verdict)) AS VARCHAR) FROM q JOIN said ON said.evaluation_id = q.evaluation_id JOIN (VALUES ('comment', false), ('actionable_comment', true)) p(part, must) ON affects_verdict OR NOT must
+    UNION ALL SELECT request_id, 'flag', CAST(to_json(struct_pack(tender_id := f.tender_id, bidder_id := f.bidder_id, evaluation_id := f.evaluation_id, severity := severity, flag_type := flag_type, state := state)) AS VARCHAR) FROM q JOIN fl f ON (f.evaluation_id = q.evaluation_id OR f.evaluation_id IS NULL AND f.tender_id = q.tender_id AND f.bidder_id = q.bidder_id) AND coalesce(state, '') <> 'dismissed'""")
 def j25_review_context(spark, sf_dir):
-    flags = views.flags(spark, sf_dir).where("evaluation_id is not null").groupBy(F.col("evaluation_id").alias("e")).agg(F.array_sort(F.collect_list(F.concat_ws(":", "severity", "flag_type"))).alias("flags"))
-    asked = views.cells(spark, sf_dir).where("second_officer")
-    joined = asked.join(table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("company")), F.col("bidder_id") == F.col("s_suppkey")).join(flags, F.col("evaluation_id") == F.col("e"), "left")
-    return joined.select("evaluation_id", "verdict", "company", "flags")
+    """What a second officer sees of each cell that needs one."""
+    k = F.col("bidder_id")
+    every = views.cells(spark, sf_dir)
+    cells = every.select("tender_id", "bidder_id", "criterion_id", "evaluation_id", "verdict", "route", F.when(k % 3 != 0, k * 10).alias("source_doc"))
+    requests = every.where("second_officer").select(F.concat(F.lit("r-"), "evaluation_id").alias("request_id"), "evaluation_id", (k % 50).alias("requested_by"))
+    bidders = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("bidder_id"), F.col("s_name").alias("company_name"))
+    criteria = every.select("criterion_id", "is_mandatory").distinct()
+    documents = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string"), F.lit(".pdf")).alias("filename"), F.col("o_custkey").alias("page_count"))
+    flags = views.flags(spark, sf_dir).withColumn("state", F.when(k % 5 == 0, "dismissed").when(k % 5 == 1, "open"))
+    return workflow.review_context(requests, cells, bidders, criteria, documents, _officers(spark, sf_dir), _comments(spark, sf_dir, every), flags)
 
 
 @query("j27_shared_source", "WITH c AS (SELECT DISTINCT l_suppkey AS bidder_id, l_partkey AS source_doc, l_orderkey AS cell FROM lineitem) SELECT x.cell, x.bidder_id, x.source_doc, count(*) AS others FROM c x JOIN c y ON x.bidder_id = y.bidder_id AND x.source_doc = y.source_doc AND x.cell <> y.cell GROUP BY 1, 2, 3")
@@ -116,12 +154,6 @@ def j27_shared_source(spark, sf_dir):
     return shared.where("others > 0").select("cell", "bidder_id", "source_doc", "others")
 
 
-@query("j28_comments", "SELECT d.doc_id, source AS author, quality = 0 AS actionable, lang AS tender_id FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE toxic = 0")
-def j28_comments(spark, sf_dir):
-    marks = table(spark, sf_dir, "labels").where("toxic = 0").select(F.col("doc_id").alias("of"), (F.col("quality") == 0).alias("actionable"))
-    return table(spark, sf_dir, "documents").join(marks, F.col("doc_id") == F.col("of")).select("doc_id", F.col("source").alias("author"), "actionable", F.col("lang").alias("tender_id"))
-
-
 @query("a10_file_vault", "SELECT lang AS tender_id, source AS bidder_id, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS pages, count(*) FILTER (n_chars > 500) AS complete FROM documents GROUP BY ROLLUP (lang, source)")
 def a10_file_vault(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("tender_id"), F.col("source").alias("bidder_id"), "n_chars")

@@ -319,12 +319,12 @@ def corrigenda(spark, sf_dir):
     UNION ALL SELECT tender_id, bidder_id, CAST(to_json(struct_pack(bidder := struct_pack(bidder_id := bidder_id, company_name := s_name), evaluations := list(struct_pack(criterion_id := criterion_id, verdict := verdict, route := route) ORDER BY criterion_id))) AS VARCHAR)
     FROM routed_v JOIN supplier ON bidder_id = s_suppkey GROUP BY tender_id, bidder_id, s_name""")
 def a23_tender_snapshots(spark, sf_dir):
-    cells = views.cells(spark, sf_dir)
+    cells = views.kept_cells(spark, sf_dir)
     tenders = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("tender_id")).agg(F.min("p_type").alias("title"), F.count("*").alias("lots"))
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("bidder_id"), F.col("s_name").alias("company_name"))
     bidders = cells.select("tender_id", "bidder_id").distinct().join(suppliers, "bidder_id").select("tender_id", "bidder_id", "company_name")
     criteria = cells.select("tender_id", "criterion_id", "is_mandatory").distinct()
-    return matrix.tender_snapshots(tenders, bidders, criteria, cells.select("tender_id", "bidder_id", "criterion_id", "verdict", "route"), views.flags(spark, sf_dir).select("tender_id", "bidder_id", "evaluation_id", "severity", "flag_type"), corrigenda(spark, sf_dir).drop("versions"))
+    return matrix.tender_snapshots(tenders, bidders, criteria, cells.select("tender_id", "bidder_id", "criterion_id", "verdict", "route"), views.flags(spark, sf_dir, cells).select("tender_id", "bidder_id", "evaluation_id", "severity", "flag_type"), corrigenda(spark, sf_dir).drop("versions"))
 
 
 @query("h5_a23_snapshots", f"""{with_cte('routed_v')} SELECT evaluation_id, CAST(to_json(struct_pack(id := bidder_id, name := s_name)) AS VARCHAR) AS bidder, verdict, route,

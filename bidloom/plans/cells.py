@@ -160,14 +160,16 @@ HEAT = """o AS (SELECT evaluation_id AS e, count(*) FILTER (severity = 'high') A
 
 @query("a7_risk_heatmap", f"{with_cte('flag_v')}, {HEAT} SELECT tender_id, bidder_id, criterion_id, risk, level, CAST(round(anomaly, 2) AS DOUBLE) AS anomaly, CAST(dissent_factor AS DOUBLE) AS dissent_factor FROM heat_v")
 def a7_risk_heatmap(spark, sf_dir):
-    heat = matrix.heatmap(views.cells(spark, sf_dir), views.flags(spark, sf_dir))
+    cells = views.kept_cells(spark, sf_dir)
+    heat = matrix.heatmap(cells, views.flags(spark, sf_dir, cells))
     return heat.select(*CELL, "risk", "level", F.round("anomaly", 2).alias("anomaly"), "dissent_factor")
 
 
 @query("a8_heatmap_rollup", f"""{with_cte('flag_v')}, {HEAT} SELECT tender_id, bidder_id, count(*) AS cells, count(*) FILTER (level = 'high') AS high_risk, count(*) FILTER (level = 'medium') AS medium_risk, count(*) FILTER (level = 'low') AS low_risk,
     round(avg(CAST(round(anomaly, 6) AS DECIMAL(18,6))), 4) AS mean_anomaly, round(avg(CAST(round(dissent_factor, 6) AS DECIMAL(18,6))), 4) AS mean_dissent_factor, round(avg(CAST(round(confidence_gap, 6) AS DECIMAL(18,6))), 4) AS mean_confidence_gap FROM heat_v GROUP BY 1, 2""")
 def a8_heatmap_rollup(spark, sf_dir):
-    return matrix.heatmap_rollup(matrix.heatmap(views.cells(spark, sf_dir), views.flags(spark, sf_dir)), ["tender_id", "bidder_id"])
+    cells = views.kept_cells(spark, sf_dir)
+    return matrix.heatmap_rollup(matrix.heatmap(cells, views.flags(spark, sf_dir, cells)), ["tender_id", "bidder_id"])
 
 
 @query("a9_bidder_radar", f"""{with_cte('flag_v')},
@@ -177,8 +179,9 @@ def a8_heatmap_rollup(spark, sf_dir):
     SELECT tender_id, bidder_id, round(financial, 1) AS financial, round(experience, 1) AS experience, 50.0::DOUBLE AS compliance, risk, round(confidence, 1) AS confidence, overall, rank() OVER (PARTITION BY tender_id ORDER BY overall DESC) AS rank FROM o""")
 def a9_bidder_radar(spark, sf_dir):
     """Criterion R counts as experience here, so that two scores come from cells."""
-    typed = views.cells(spark, sf_dir).withColumn("criterion_type", F.when(F.col("criterion_id") == "R", "temporal_recency").otherwise(F.col("criterion_type")))
-    return matrix.radar(typed, views.flags(spark, sf_dir))
+    cells = views.kept_cells(spark, sf_dir)
+    typed = cells.withColumn("criterion_type", F.when(F.col("criterion_id") == "R", "temporal_recency").otherwise(F.col("criterion_type")))
+    return matrix.radar(typed, views.flags(spark, sf_dir, cells))
 
 
 @query("a16_strongest_weakest", f"""{with_cte('cell_v')}, c AS ({COUNTS}), r AS (SELECT *, row_number() OVER (PARTITION BY tender_id ORDER BY passes DESC, fails, bidder_id) AS best, row_number() OVER (PARTITION BY tender_id ORDER BY passes, fails DESC, bidder_id) AS worst FROM c)
@@ -212,7 +215,8 @@ def a15_recommendation_lists(spark, sf_dir):
     t AS (SELECT tender_id, count(DISTINCT bidder_id) AS b, count(DISTINCT criterion_id) AS c FROM cell_v GROUP BY 1)
     SELECT t.tender_id, b || ' bidders, ' || c || ' criteria, ' || coalesce(n, 0) || ' need review.' AS lay_of_land, review_items, risks FROM t LEFT JOIN r ON r.tender_id = t.tender_id LEFT JOIN f ON f.tender_id = t.tender_id""")
 def a17_brief(spark, sf_dir):
-    c, flags = views.cells(spark, sf_dir), views.flags(spark, sf_dir)
+    c = views.kept_cells(spark, sf_dir)
+    flags = views.flags(spark, sf_dir, c)
     ordered = Window.partitionBy("tender_id").orderBy("evaluation_id")
     items = c.where("route <> 'auto_commit'").select("tender_id", "evaluation_id").withColumn("k", F.row_number().over(ordered)).where("k <= 8")
     items = items.groupBy("tender_id").agg(F.array_sort(F.collect_list("evaluation_id")).alias("review_items"))
@@ -249,7 +253,8 @@ def j6_cells_to_evaluate(spark, sf_dir):
 
 @query("j26_flags_of_cell", f"{with_cte('flag_v')} SELECT c.evaluation_id, f.flag_type, f.severity FROM cell_v c JOIN flag_v f ON f.evaluation_id = c.evaluation_id OR (f.evaluation_id IS NULL AND f.tender_id = c.tender_id AND f.bidder_id = c.bidder_id)")
 def j26_flags_of_cell(spark, sf_dir):
-    c, flags = views.cells(spark, sf_dir).select("tender_id", "bidder_id", "evaluation_id"), views.flags(spark, sf_dir)
+    cells = views.kept_cells(spark, sf_dir)
+    c, flags = cells.select("tender_id", "bidder_id", "evaluation_id"), views.flags(spark, sf_dir, cells)
     own = c.join(flags.where("evaluation_id is not null").select("evaluation_id", "flag_type", "severity"), "evaluation_id").select("evaluation_id", "flag_type", "severity")
     whole = c.join(flags.where("evaluation_id is null").drop("evaluation_id"), ["tender_id", "bidder_id"]).select("evaluation_id", "flag_type", "severity")
     return own.union(whole)

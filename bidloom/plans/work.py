@@ -135,13 +135,13 @@ def j28_comments(spark, sf_dir):
 def j25_review_context(spark, sf_dir):
     """What a second officer sees of each cell that needs one."""
     k = F.col("bidder_id")
-    every = views.cells(spark, sf_dir)
+    every = views.kept_cells(spark, sf_dir)
     cells = every.select("tender_id", "bidder_id", "criterion_id", "evaluation_id", "verdict", "route", F.when(k % 3 != 0, k * 10).alias("source_doc"))
     requests = every.where("second_officer").select(F.concat(F.lit("r-"), "evaluation_id").alias("request_id"), "evaluation_id", (k % 50).alias("requested_by"))
     bidders = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("bidder_id"), F.col("s_name").alias("company_name"))
     criteria = every.select("criterion_id", "is_mandatory").distinct()
     documents = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string"), F.lit(".pdf")).alias("filename"), F.col("o_custkey").alias("page_count"))
-    flags = views.flags(spark, sf_dir).withColumn("state", F.when(k % 5 == 0, "dismissed").when(k % 5 == 1, "open"))
+    flags = views.flags(spark, sf_dir, every).withColumn("state", F.when(k % 5 == 0, "dismissed").when(k % 5 == 1, "open"))
     return workflow.review_context(requests, cells, bidders, criteria, documents, _officers(spark, sf_dir), _comments(spark, sf_dir, every), flags)
 
 
@@ -192,7 +192,7 @@ def a22_page_confidence(spark, sf_dir):
       missing_mandatory AS checklist_missing_mandatory, outcome AS checklist_outcome, verified AS verifications_verified, mismatch AS verifications_mismatch, not_found AS verifications_not_found
     FROM v LEFT JOIN f ON f.tender_id = v.tender_id LEFT JOIN o ON o.tender_id = v.tender_id LEFT JOIN n ON n.tender_id = v.tender_id LEFT JOIN d ON d.tender_id = v.tender_id LEFT JOIN k ON k.tender_id = v.tender_id LEFT JOIN y ON y.tender_id = v.tender_id""")
 def a24_context_rollup(spark, sf_dir):
-    cells = views.cells(spark, sf_dir)
+    cells = views.kept_cells(spark, sf_dir)
     counts = matrix.verdict_counts(cells, ["tender_id", "bidder_id"]).groupBy("tender_id").agg(F.sum("passes").alias("passes"), F.sum("fails").alias("fails"), F.sum("reviews").alias("reviews"), F.count("*").alias("bidders"))
     brands = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("tender_id"))
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_returnflag").join(brands, F.col("l_partkey") == F.col("p_partkey"))
@@ -203,7 +203,7 @@ def a24_context_rollup(spark, sf_dir):
     verified = checks.verify_all(claims_of(spark, sf_dir), F.lit("2024-01-01").cast("date"), {k: checks.VERIFIERS[k] for k in ("frn", "mca")})
     verified = cells.select("tender_id", "bidder_id").distinct().join(verified, "bidder_id").groupBy("tender_id").agg(*(F.count_if(F.col("status") == x).alias(x) for x in ("verified", "mismatch", "not_found")))
     parts = {
-        "flags": views.flags(spark, sf_dir).groupBy("tender_id").agg(F.count("*").alias("flags"), F.count_if(F.col("severity") == "high").alias("high")),
+        "flags": views.flags(spark, sf_dir, cells).groupBy("tender_id").agg(F.count("*").alias("flags"), F.count_if(F.col("severity") == "high").alias("high")),
         "requests": cells.groupBy("tender_id").agg(F.count_if(F.col("route") != "auto_commit").alias("review"), F.count_if("second_officer").alias("second")),
         "comments": cells.where("bidder_id % 4 = 0").groupBy("tender_id").agg(F.count("*").alias("notes")), "documents": lines.groupBy("tender_id").agg(F.countDistinct("l_orderkey").alias("files"), F.count("*").alias("pages")),
         "checklist": workflow.checklist_status(responses, ["tender_id"]).drop("missing_labels"), "verifications": verified,
@@ -233,10 +233,10 @@ def u4_cited_documents(spark, sf_dir):
       CASE WHEN o THEN ['decision'] ELSE [] END, CASE WHEN n THEN ['comments'] ELSE [] END, list_transform(range(1, raised + 1), lambda i: 'flag_' || i))) AS item FROM w)
     SELECT 'edge' AS part, * FROM g UNION ALL SELECT 'node', * FROM p""")
 def u5_provenance_graph(spark, sf_dir):
-    cells = views.cells(spark, sf_dir)
+    cells = views.kept_cells(spark, sf_dir)
     decisions = cells.where("bidder_id % 3 <> 2").select("evaluation_id", F.lit("confirm").alias("decision"))
     comments = cells.where("bidder_id % 4 = 0").select("evaluation_id", F.lit(1).alias("notes"))
-    nodes, edges = workflow.provenance(cells, views.flags(spark, sf_dir), decisions, comments)
+    nodes, edges = workflow.provenance(cells, views.flags(spark, sf_dir, cells), decisions, comments)
     edges = edges.select(F.lit("edge").alias("part"), "evaluation_id", F.concat_ws(">", "source", "target", "label").alias("item"))
     return edges.union(nodes.select(F.lit("node"), "evaluation_id", "node"))
 

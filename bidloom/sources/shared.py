@@ -24,6 +24,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read back, for what reads it more than once: it is computed once, and a lost executor
+    repeats no more than a stage."""
+    spark = rows.sparkSession
+    path = new_path(spark, name)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidloom.operators import evidence
+from bidloom.sources.shared import stored
 from bidloom.sources.tables import table
 
 CTE: dict[str, str] = {}
@@ -146,9 +147,15 @@ CTE["flag_v"] = """
   UNION ALL SELECT DISTINCT tender_id, bidder_id, NULL, 'low', 'round_number' FROM figure_v WHERE rupees % 1000 = 0"""
 
 
-def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flags of cells (disagreement, high dissent) and of bidders (whole thousands; no evaluation)."""
-    own = cells(spark, sf_dir).where((F.col("agreement") == "disagree") | (F.col("dissent") == "high"))
+def kept_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation matrix, stored, for queries that read it more than once."""
+    return stored(cells(spark, sf_dir), "cells")
+
+
+def flags(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """Flags of cells (disagreement, high dissent; ``of`` has the cells where they are at hand) and of bidders (whole thousands; no
+    evaluation)."""
+    own = (cells(spark, sf_dir) if of is None else of).where((F.col("agreement") == "disagree") | (F.col("dissent") == "high"))
     apart = F.col("agreement") == "disagree"
     own = own.select("tender_id", "bidder_id", "evaluation_id", F.when(apart, "medium").otherwise("high").alias("severity"), F.when(apart, "branch_disagreement").otherwise("dissent").alias("flag_type"))
     whole = figures(spark, sf_dir).where("rupees % 1000 = 0").select("tender_id", "bidder_id").distinct()

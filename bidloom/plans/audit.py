@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bidloom.functions import values as V
-from bidloom.operators import history, matrix
+from bidloom.operators import history, listings, matrix
 from bidloom.plans.registry import query
 from bidloom.sources import views
 from bidloom.sources.tables import table
@@ -83,8 +83,7 @@ def a19_dashboard(spark, sf_dir):
 
 @query("a20_events_by_day", "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS events FROM events GROUP BY 1, 2")
 def a20_events_by_day(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    return events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("events")).select(F.col("w.start").cast("date").alias("day"), "event_type", "events")
+    return listings.events_by_day(table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type"), "ts", "event_type")
 
 
 @query("k3_decision_timeline", "SELECT event_id, user_id AS tender_id, event_type || ' of ' || CAST(props->>'$.k' AS VARCHAR) AS summary FROM events WHERE event_type IN ('purchase', 'error')")
@@ -109,10 +108,7 @@ def k3_six_decisions(spark, sf_dir):
 
 @query("k4_latest_turns", "WITH k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) SELECT conv_id, turn, role FROM k WHERE k <= 3")
 def k4_latest_turns(spark, sf_dir):
-    from pyspark.sql import Window
-
-    k = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role").withColumn("k", k).where("k <= 3").drop("k")
+    return listings.latest_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn", 3)
 
 
 @query("w3_w4_latest_per_key", "WITH k AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, event_type, event_id, value FROM k WHERE k = 1")
@@ -143,7 +139,8 @@ def w5_section_revisions(spark, sf_dir):
 
 @query("a18_authorship", "SELECT conv_id, count(*) FILTER (role = 'assistant') AS ai, count(*) FILTER (role = 'system') AS officer, count(*) FILTER (role = 'user') AS co_authored, count(*) AS sections FROM conversations GROUP BY 1")
 def a18_authorship(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("ai"), F.count_if(F.col("role") == "system").alias("officer"), F.count_if(F.col("role") == "user").alias("co_authored"), F.count("*").alias("sections"))
+    author = F.when(F.col("role") == "assistant", "ai").when(F.col("role") == "system", "officer").when(F.col("role") == "user", "co-authored")
+    return listings.authorship(table(spark, sf_dir, "conversations").select("conv_id", author.alias("author")), "conv_id", "author")
 
 
 @query("w7_corrigendum_numbers", """WITH d AS (SELECT DISTINCT source, md5(text) AS document FROM documents), k AS (SELECT source, md5(text) AS document, max(doc_id) AS number FROM documents WHERE doc_id % 3 = 0 AND source <> 'src1' GROUP BY 1, 2), m AS (SELECT source, max(number) AS most FROM k GROUP BY 1),
@@ -235,8 +232,8 @@ def j24_reproduce_diff(spark, sf_dir):
 @query("h7_signature_drift", f"SELECT o_orderpriority AS tender_id, count(*) FILTER (CASE WHEN o_orderkey % 9 = 0 THEN 'old' ELSE '{history.signature({'rules': 'v3', 'router': 'v2'})}' END <> '{history.signature({'rules': 'v3', 'router': 'v2'})}') AS drifted, count(*) AS cells FROM orders GROUP BY 1")
 def h7_signature_drift(spark, sf_dir):
     current = history.signature({"router": "v2", "rules": "v3"})
-    stored = F.when(F.col("o_orderkey") % 9 == 0, "old").otherwise(current)
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("tender_id")).agg(F.count_if(stored != current).alias("drifted"), F.count("*").alias("cells"))
+    cells = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("tender_id"), F.when(F.col("o_orderkey") % 9 == 0, "old").otherwise(current).alias("signature"))
+    return listings.signature_drift(cells, "tender_id", F.col("signature"), current)
 
 
 @query("s8_manifest", """WITH e AS (SELECT source, CAST(doc_id AS VARCHAR) AS path, sha256(text) AS sha FROM documents), l AS (SELECT source, substr(sha256(path), 1, 4) AS b, count(*) AS n, sha256(string_agg(path || ' ' || sha, chr(10) ORDER BY path || ' ' || sha)) AS seal FROM e GROUP BY 1, 2),
@@ -279,7 +276,7 @@ def w8_second_officer(spark, sf_dir):
 @query("k5_officer_inbox", f"WITH {OFFICERS} SELECT o_orderkey, officer_id, o_orderdate FROM orders JOIN o ON o_custkey % 100 = officer_id WHERE o_orderstatus = 'O' AND role = 'reviewer'")
 def k5_officer_inbox(spark, sf_dir):
     open_ = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select("o_orderkey", (F.col("o_custkey") % 100).alias("target"), "o_orderdate")
-    return open_.join(_officers(spark, sf_dir).where("role = 'reviewer'"), F.col("target") == F.col("officer_id")).select("o_orderkey", "officer_id", "o_orderdate")
+    return listings.inbox(open_, _officers(spark, sf_dir).where("role = 'reviewer'")).select("o_orderkey", "officer_id", "o_orderdate")
 
 
 @query("w13_officer_decisions", f"""{with_cte('routed_v')}, d AS (SELECT evaluation_id, bidder_id % 3 AS k FROM routed_v WHERE bidder_id % 3 <> 2)
@@ -293,8 +290,9 @@ def w13_officer_decisions(spark, sf_dir):
 
 @query("h6_precedents", f"{with_cte('routed_v')} SELECT evaluation_id, tender_id, criterion_id, 'override on ' || criterion_id || ': ' || verdict || ' became PASS' AS interpretation FROM routed_v WHERE bidder_id % 3 = 1 AND verdict <> 'PASS'")
 def h6_precedents(spark, sf_dir):
-    cells = views.cells(spark, sf_dir).where("bidder_id % 3 = 1 and verdict <> 'PASS'")
-    return cells.select("evaluation_id", "tender_id", "criterion_id", F.format_string("override on %s: %s became PASS", "criterion_id", "verdict").alias("interpretation"))
+    cells, k = views.cells(spark, sf_dir), F.col("bidder_id")
+    decisions = cells.select("evaluation_id", F.when(k % 3 == 1, "override").otherwise("confirm").alias("decision"), F.lit("PASS").alias("new"))
+    return listings.override_precedents(cells, decisions)
 
 
 CORRIGENDA = "corrigendum_v AS (SELECT p_brand AS tender_id, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_type) AS BIGINT) AS sequence_number, p_type AS title, list_sort(list(DISTINCT p_size)) AS versions FROM part GROUP BY p_brand, p_type)"

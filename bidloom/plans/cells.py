@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from bidloom.operators import evidence, matrix
+from bidloom.operators import evidence, listings, matrix
 from bidloom.plans.registry import query
 from bidloom.sources import views
 from bidloom.sources.tables import table
@@ -192,21 +192,12 @@ def a16_strongest_weakest(spark, sf_dir):
 
 @query("a14_tender_summary", f"{with_cte('routed_v')} SELECT tender_id, count(DISTINCT bidder_id) AS bidders, count(DISTINCT criterion_id) AS criteria, count(*) AS cells, count(*) FILTER (verdict = 'PASS') AS passes, count(*) FILTER (verdict = 'FAIL') AS fails, count(*) FILTER (verdict = 'REVIEW') AS reviews, count(*) FILTER (route <> 'auto_commit') AS open_review FROM routed_v GROUP BY 1")
 def a14_tender_summary(spark, sf_dir):
-    c = views.cells(spark, sf_dir)
-    return c.groupBy("tender_id").agg(
-        F.countDistinct("bidder_id").alias("bidders"), F.countDistinct("criterion_id").alias("criteria"), F.count("*").alias("cells"), F.count_if(F.col("verdict") == "PASS").alias("passes"),
-        F.count_if(F.col("verdict") == "FAIL").alias("fails"), F.count_if(F.col("verdict") == "REVIEW").alias("reviews"), F.count_if(F.col("route") != "auto_commit").alias("open_review"),
-    )
+    return listings.tender_summary(views.cells(spark, sf_dir))
 
 
-@query("a15_recommendation_lists", f"{with_cte('cell_v')}, c AS ({COUNTS}) SELECT tender_id, list(bidder_id ORDER BY bidder_id) FILTER (10 * fails <= 3 * total) AS qualified, list(bidder_id ORDER BY bidder_id) FILTER (10 * fails > 3 * total) AS excluded, CAST(sum(reviews) AS BIGINT) AS open_count FROM c GROUP BY 1")
+@query("a15_recommendation_lists", f"{with_cte('cell_v')}, c AS ({COUNTS}) SELECT tender_id, bidder_id, CASE WHEN 10 * fails <= 3 * total THEN 'qualified' ELSE 'excluded' END AS list, reviews FROM c")
 def a15_recommendation_lists(spark, sf_dir):
-    counts = matrix.verdict_counts(views.cells(spark, sf_dir), ["tender_id", "bidder_id"])
-    ok = 10 * F.col("fails") <= 3 * F.col("total")
-    some = lambda c: F.when(F.size(c) > 0, c)
-    return counts.groupBy("tender_id").agg(
-        some(F.array_sort(F.collect_list(F.when(ok, F.col("bidder_id"))))).alias("qualified"), some(F.array_sort(F.collect_list(F.when(~ok, F.col("bidder_id"))))).alias("excluded"), F.sum("reviews").alias("open_count")
-    )
+    return listings.recommendations(matrix.verdict_counts(views.cells(spark, sf_dir), ["tender_id", "bidder_id"]))
 
 
 @query("a17_brief", f"""{with_cte('flag_v', 'routed_v')}, r AS (SELECT tender_id, list(evaluation_id ORDER BY evaluation_id)[1:8] AS review_items, count(*) AS n FROM routed_v WHERE route <> 'auto_commit' GROUP BY 1),
@@ -215,21 +206,13 @@ def a15_recommendation_lists(spark, sf_dir):
     t AS (SELECT tender_id, count(DISTINCT bidder_id) AS b, count(DISTINCT criterion_id) AS c FROM cell_v GROUP BY 1)
     SELECT t.tender_id, b || ' bidders, ' || c || ' criteria, ' || coalesce(n, 0) || ' need review.' AS lay_of_land, review_items, risks FROM t LEFT JOIN r ON r.tender_id = t.tender_id LEFT JOIN f ON f.tender_id = t.tender_id""")
 def a17_brief(spark, sf_dir):
-    c = views.kept_cells(spark, sf_dir)
-    flags = views.flags(spark, sf_dir, c)
-    ordered = Window.partitionBy("tender_id").orderBy("evaluation_id")
-    items = c.where("route <> 'auto_commit'").select("tender_id", "evaluation_id").withColumn("k", F.row_number().over(ordered)).where("k <= 8")
-    items = items.groupBy("tender_id").agg(F.array_sort(F.collect_list("evaluation_id")).alias("review_items"))
-    text = F.format_string("%d bidders, %d criteria, %d need review.", F.countDistinct("bidder_id"), F.countDistinct("criterion_id"), F.count_if(F.col("route") != "auto_commit"))
-    land = c.groupBy("tender_id").agg(text.alias("lay_of_land")).join(items, "tender_id", "left")
-    top = matrix.top_flags(flags.where(F.col("severity").isin("high", "medium")), 6, [F.col("evaluation_id")])
-    risks = top.groupBy("tender_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "evaluation_id"))), lambda x: x["evaluation_id"]).alias("risks"))
-    return land.join(risks, "tender_id", "left")
+    cells = views.kept_cells(spark, sf_dir)
+    return listings.brief(cells, views.flags(spark, sf_dir, cells))
 
 
 @query("a21_route_stats", f"{with_cte('routed_v')} SELECT route, count(*) AS cells, count(*) FILTER (confidence >= 0.92) AS high_confidence, count(*) FILTER (second_officer) AS second_officer FROM routed_v GROUP BY 1")
 def a21_route_stats(spark, sf_dir):
-    return views.cells(spark, sf_dir).groupBy("route").agg(F.count("*").alias("cells"), F.count_if(F.col("confidence") >= 0.92).alias("high_confidence"), F.count_if("second_officer").alias("second_officer"))
+    return listings.route_stats(views.cells(spark, sf_dir))
 
 
 @query("j4_comparative_matrix", f"{with_cte('cell_v')}, b AS (SELECT DISTINCT tender_id, bidder_id FROM cell_v), k AS (SELECT DISTINCT tender_id, criterion_id FROM cell_v) SELECT b.tender_id, b.bidder_id, k.criterion_id, c.verdict FROM b JOIN k ON b.tender_id = k.tender_id LEFT JOIN cell_v c ON c.tender_id = b.tender_id AND c.bidder_id = b.bidder_id AND c.criterion_id = k.criterion_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bidloom.functions import values as V
-from bidloom.operators import history, texts
+from bidloom.operators import history, listings, texts
 from bidloom.plans.registry import query
 from bidloom.sources import files
 from bidloom.sources.shared import new_path
@@ -212,13 +212,13 @@ def s5_document_text(spark, sf_dir):
 
 @query("s1_filtered_listing", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' AND o_totalprice > 200000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 def s1_filtered_listing(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where((F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 200_000))
-    return orders.select("o_orderkey", "o_custkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
+    fits = (F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 200_000)
+    return listings.listing(table(spark, sf_dir, "orders"), fits, [F.desc("o_totalprice"), F.col("o_orderkey")], 100, ["o_orderkey", "o_custkey", "o_totalprice"])
 
 
 @query("s2_json_decode", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
 def s2_json_decode(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    return listings.decoded(table(spark, sf_dir, "events").select("event_id", "props"), "props", "k bigint")
 
 
 @query("s3_content_hash", "SELECT doc_id, sha256(text) AS content FROM documents")
@@ -337,7 +337,7 @@ def p26_audit_groups(spark, sf_dir):
 
 @query("j15_first_page", "SELECT conv_id, arg_min(text, turn) AS first_text FROM conversations GROUP BY 1")
 def j15_first_page(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first_text"))
+    return listings.first_page(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
 @query("j16_checklist", """WITH i AS (SELECT p_brand AS tender_id, p_partkey AS item_id, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS lt, p_size % 5 AS ty FROM part),

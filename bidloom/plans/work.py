@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from bidloom.functions import values as V
-from bidloom.operators import checks, detectors, matrix, workflow
+from bidloom.operators import checks, detectors, listings, matrix, workflow
 from bidloom.plans.audit import CORRIGENDA, corrigenda
 from bidloom.plans.cells import COUNTS
 from bidloom.plans.forensics import CLAIMS, claims_of
@@ -52,10 +52,10 @@ def p25_data_quality(spark, sf_dir):
 
 @query("j1_star_join", f"{with_cte('routed_v')} SELECT evaluation_id, s_name AS company, n_name AS region, verdict FROM routed_v JOIN supplier ON bidder_id = s_suppkey JOIN nation ON s_nationkey = n_nationkey")
 def j1_star_join(spark, sf_dir):
-    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    joined = views.cells(spark, sf_dir).join(suppliers, F.col("bidder_id") == F.col("s_suppkey")).join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-    return joined.select("evaluation_id", F.col("s_name").alias("company"), F.col("n_name").alias("region"), "verdict")
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("company"), "s_nationkey")
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("region"))
+    joined = listings.with_dimensions(views.cells(spark, sf_dir), [("bidder_id", suppliers, "s_suppkey"), ("s_nationkey", nations, "n_nationkey")])
+    return joined.select("evaluation_id", "company", "region", "verdict")
 
 
 @query("j2_forward_citations", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_name AS word, s_name AS page FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size > 25 LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_acctbal > 0")
@@ -63,7 +63,7 @@ def j2_forward_citations(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     words = table(spark, sf_dir, "part").where("p_size > 25").select("p_partkey", F.col("p_name").alias("word"))
     pages = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select("s_suppkey", F.col("s_name").alias("page"))
-    return lines.join(words, F.col("l_partkey") == F.col("p_partkey"), "left").join(pages, F.col("l_suppkey") == F.col("s_suppkey"), "left").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "word", "page")
+    return listings.with_dimensions(lines, [("l_partkey", words, "p_partkey"), ("l_suppkey", pages, "s_suppkey")], "left")
 
 
 @query("j3_reverse_citations", """WITH c AS (SELECT 'word' AS kind, p_partkey AS target, l_orderkey AS cell FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 25 UNION ALL SELECT 'page', s_suppkey, l_orderkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_acctbal > 0)
@@ -147,22 +147,20 @@ def j25_review_context(spark, sf_dir):
 
 @query("j27_shared_source", "WITH c AS (SELECT DISTINCT l_suppkey AS bidder_id, l_partkey AS source_doc, l_orderkey AS cell FROM lineitem) SELECT x.cell, x.bidder_id, x.source_doc, count(*) AS others FROM c x JOIN c y ON x.bidder_id = y.bidder_id AND x.source_doc = y.source_doc AND x.cell <> y.cell GROUP BY 1, 2, 3")
 def j27_shared_source(spark, sf_dir):
-    from pyspark.sql import Window
-
-    cells = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("bidder_id"), F.col("l_partkey").alias("source_doc"), F.col("l_orderkey").alias("cell")).distinct()
-    shared = cells.withColumn("others", F.count("*").over(Window.partitionBy("bidder_id", "source_doc")) - 1)
-    return shared.where("others > 0").select("cell", "bidder_id", "source_doc", "others")
+    cells = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("bidder_id"), F.col("l_partkey").alias("source_doc"), F.col("l_orderkey").alias("cell"))
+    return listings.shared_source(cells, ["bidder_id", "source_doc"], "cell")
 
 
 @query("a10_file_vault", "SELECT lang AS tender_id, source AS bidder_id, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS pages, count(*) FILTER (n_chars > 500) AS complete FROM documents GROUP BY ROLLUP (lang, source)")
 def a10_file_vault(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("tender_id"), F.col("source").alias("bidder_id"), "n_chars")
-    return docs.rollup("tender_id", "bidder_id").agg(F.count("*").alias("files"), F.sum("n_chars").alias("pages"), F.count_if(F.col("n_chars") > 500).alias("complete"))
+    return listings.file_vault(docs, ["tender_id", "bidder_id"], "n_chars", F.col("n_chars") > 500)
 
 
 @query("a11_documents_by_type", "SELECT source AS bidder_id, lang AS doc_type, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS pages FROM documents GROUP BY 1, 2")
 def a11_documents_by_type(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("bidder_id"), F.col("lang").alias("doc_type")).agg(F.count("*").alias("files"), F.sum("n_chars").alias("pages"))
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("bidder_id"), F.col("lang").alias("doc_type"), "n_chars")
+    return listings.documents_by(docs, ["bidder_id", "doc_type"], "n_chars")
 
 
 @query("a12_a13_checklist_status", """WITH r AS (SELECT l_suppkey AS bidder_id, 'item ' || l_linenumber AS label, CASE l_returnflag WHEN 'N' THEN 'present' WHEN 'A' THEN 'partial' ELSE 'missing' END AS state, l_linenumber % 3 = 0 AS m, l_orderkey % 2 = 0 AS ok FROM lineitem)
@@ -178,7 +176,7 @@ def a12_a13_checklist_status(spark, sf_dir):
 
 @query("a22_page_confidence", "SELECT l_orderkey AS document, round(avg(CAST(l_discount AS DECIMAL(18,4))), 6) AS confidence, count(*) AS words FROM lineitem GROUP BY 1")
 def a22_page_confidence(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("document")).agg(F.round(F.avg(F.col("l_discount").cast("decimal(18,4)")), 6).cast("double").alias("confidence"), F.count("*").alias("words"))
+    return listings.page_confidence(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document"), "l_discount"), "document", "l_discount")
 
 
 @query("a24_context_rollup", f"""{with_cte('flag_v', 'routed_v')}, {CLAIMS}, c AS ({COUNTS}), v AS (SELECT tender_id, CAST(sum(passes) AS BIGINT) AS passes, CAST(sum(fails) AS BIGINT) AS fails, CAST(sum(reviews) AS BIGINT) AS reviews, count(*) AS bidders FROM c GROUP BY 1),
@@ -213,8 +211,7 @@ def a24_context_rollup(spark, sf_dir):
 
 @query("a26_corpus_counts", "SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS precedents, (SELECT count(*) FROM supplier WHERE s_acctbal < 0) AS registry")
 def a26_corpus_counts(spark, sf_dir):
-    one = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").agg(F.count("*").alias("precedents"))
-    return one.withColumn("registry", table(spark, sf_dir, "supplier").where("s_acctbal < 0").agg(F.count("*")).scalar())
+    return listings.corpus_counts({"precedents": table(spark, sf_dir, "orders").where("o_orderstatus = 'F'"), "registry": table(spark, sf_dir, "supplier").where("s_acctbal < 0")})
 
 
 @query("u4_cited_documents", "WITH d AS (SELECT source AS tender_id, doc_id, n_chars > 300 AS complete FROM documents), c AS (SELECT tender_id, doc_id FROM d WHERE doc_id % 5 = 0 AND tender_id NOT IN ('src1', 'src2')) SELECT DISTINCT * FROM c UNION ALL SELECT tender_id, doc_id FROM d WHERE complete AND tender_id NOT IN (SELECT tender_id FROM c)")
@@ -244,7 +241,7 @@ def u5_provenance_graph(spark, sf_dir):
 @query("u6_token_sets", "WITH p AS (SELECT p_partkey AS k, list_distinct(string_split(p_name, ' ')) AS a, list_distinct(string_split(p_name || ' ' || p_type, ' ')) AS b FROM part) SELECT k, CAST(len(list_intersect(a, b)) AS INT) AS common, CAST(len(list_distinct(list_concat(a, b))) AS INT) AS total, CAST(len(list_filter(b, lambda x: NOT list_contains(a, x))) AS INT) AS added FROM p")
 def u6_token_sets(spark, sf_dir):
     a, b = F.split("p_name", " "), F.split(F.concat_ws(" ", "p_name", "p_type"), " ")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.size(F.array_intersect(a, b)).alias("common"), F.size(F.array_union(a, b)).alias("total"), F.size(F.array_except(b, a)).alias("added"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), *listings.set_relations(a, b))
 
 
 #: Bidders of a tender for the screen: customers of a nation; the same expressions serve Spark and DuckDB.

@@ -16,6 +16,13 @@ def registry_additions(entries: DataFrame, stored: DataFrame, keys: list[str]) -
     return clean.join(stored.select(*keys), keys, "left_anti")
 
 
+def not_yet(rows: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows to insert: each key once, without those already kept (J7). Null keys are keys like others."""
+    new = rows.dropDuplicates(keys)
+    known = kept.select(*(F.col(k).alias(f"_{k}") for k in keys))
+    return new.join(known, reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)), "left_anti")
+
+
 def violations(table: str, rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """How many rows break each rule of a table (P25); a check is true or null where a row is fine."""
     counted = rows.agg(*(F.count_if(~F.coalesce(c, F.lit(True))).alias(k) for k, c in checks.items()))

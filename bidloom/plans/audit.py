@@ -329,13 +329,18 @@ def a23_tender_snapshots(spark, sf_dir):
     CAST(to_json(struct_pack(figures := figures, has_documents := has_documents)) AS VARCHAR) AS evidence,
     CAST(to_json(struct_pack(decision := CASE bidder_id % 3 WHEN 0 THEN 'confirm' WHEN 1 THEN 'override' END, officer_id := CASE WHEN bidder_id % 3 <> 2 THEN bidder_id % 7 END, decided_at := CASE WHEN bidder_id % 3 <> 2 THEN '2024-01-01' END)) AS VARCHAR) AS officer_decision,
     CAST(to_json(struct_pack(officer_id := CASE WHEN bidder_id % 3 = 1 THEN bidder_id % 5 END, decision := CASE WHEN bidder_id % 3 = 1 THEN 'concur' END)) AS VARCHAR) AS second_officer,
+    CAST(to_json(struct_pack(id := criterion_id, type := 'numeric_threshold', rule := CASE criterion_id WHEN 'A' THEN 'each_of_n_years' WHEN 'N' THEN 'average_of_n_years' ELSE 'any_of_n_years' END, periods := CASE WHEN criterion_id = 'R' THEN 1 ELSE 2 END, threshold_value := 50000, is_mandatory := is_mandatory)) AS VARCHAR) AS criterion,
+    round(confidence, 6) AS confidence, round(extraction_confidence, 6) AS field_extraction, len(model_figures) AS model_figures, dissent,
     CAST(to_json(struct_pack(pipeline_signature := '{history.signature({'router': 'v2', 'rules': 'v3'})}', verdict_prompt := sha256(evaluation_id))) AS VARCHAR) AS hashes, json_array_length(to_json(rules_figures)) AS rules_figures
     FROM routed_v LEFT JOIN supplier ON bidder_id = s_suppkey""")
 def h5_a23_snapshots(spark, sf_dir):
     found = matrix.decision_snapshots(views.cells(spark, sf_dir), _named(spark, sf_dir), _decided(spark, sf_dir), {"pipeline_signature": F.lit(history.signature({"router": "v2", "rules": "v3"})), "verdict_prompt": F.sha2("evaluation_id", 256)})
     part = lambda name: F.get_json_object("snapshot", f"$.{name}").alias(name)
-    figures = F.coalesce(F.json_array_length(F.get_json_object("snapshot", "$.branches.rules.figures")), F.lit(0)).alias("rules_figures")
-    return found.select("evaluation_id", *map(part, ("bidder", "verdict", "route", "evidence", "officer_decision", "second_officer", "hashes")), figures)
+    number = lambda path, name: F.round(F.get_json_object("snapshot", f"$.{path}").cast("double"), 6).alias(name)
+    figures = [F.coalesce(F.json_array_length(F.get_json_object("snapshot", f"$.branches.{b}.figures")), F.lit(0)).alias(f"{b}_figures") for b in ("rules", "model")]
+    dissent = F.get_json_object("snapshot", "$.branches.dissent").alias("dissent")
+    parts = map(part, ("bidder", "criterion", "verdict", "route", "evidence", "officer_decision", "second_officer", "hashes"))
+    return found.select("evaluation_id", *parts, *figures, dissent, number("confidence", "confidence"), number("confidence_breakdown.field_extraction", "field_extraction"))
 
 
 def _named(spark, sf_dir):

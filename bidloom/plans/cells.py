@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from bidloom.functions import values as V
 from bidloom.operators import evidence, listings, matrix
 from bidloom.plans.registry import query
 from bidloom.sources import views
@@ -87,6 +88,25 @@ TYPED = """typed_v AS (SELECT o_orderkey AS cell, CASE o_orderpriority WHEN '1-U
     CASE o_orderstatus WHEN 'F' THEN 'FAIL' WHEN 'O' THEN 'PASS' ELSE 'unsure' END AS said FROM orders)"""
 
 
+_TYPED_PARTS = """[0.9, conf, CASE WHEN cell % 13 = 0 THEN 0.0 ELSE 1.0 END, CASE WHEN criterion_type IN ('temporal_recency', 'categorical_presence') THEN CASE WHEN cell % 5 = 0 THEN 0.85 ELSE 0.4 END END,
+  CASE WHEN criterion_type = 'qualitative_assessment' THEN CASE WHEN cell % 3 = 0 THEN 0.8 ELSE conf END END, CASE WHEN cell % 2 = 0 THEN 0.7 END, CASE WHEN cell % 3 = 0 THEN 0.8 END]"""
+
+
+@query("p11_components", f"""WITH {TYPED}, p AS (SELECT cell, criterion_type, list_filter({_TYPED_PARTS}, lambda x: x IS NOT NULL) AS parts FROM typed_v)
+    SELECT cell, criterion_type, CAST(len(parts) AS INT) AS components, CASE WHEN list_min(parts) <= 0 THEN 0.0 ELSE round(len(parts) / list_sum(list_transform(parts, lambda x: 1 / x)), 6) END::DOUBLE AS confidence FROM p""")
+def p11_components(spark, sf_dir):
+    """Components of all criterion types, with entity, date and semantic ones, and their harmonic mean."""
+    k = F.col("cell")
+    kinds = {"1-URGENT": "numeric_threshold", "2-HIGH": "categorical_presence", "3-MEDIUM": "temporal_recency", "4-NOT SPECIFIED": "qualitative_assessment"}
+    cells = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cell"), V.lookup(F.col("o_orderpriority"), kinds, F.lit("composite")).alias("criterion_type"))
+    cells = cells.withColumns({
+        "ocr_confidence": F.lit(0.9), "extraction_confidence": (k % 100) / 100, "entity_match_flag": k % 13 == 0, "rules_found": k % 2 == 0, "rules_confidence": F.lit(0.7), "model_found": k % 3 == 0, "model_confidence": F.lit(0.8), "has_date": k % 5 == 0,
+    })
+    found = evidence.mosaic(cells)
+    many = F.size(F.array_compact(F.array(*(F.col(f"breakdown.{c}") for c in evidence.COMPONENTS))))
+    return found.select("cell", "criterion_type", many.alias("components"), F.round("confidence", 6).alias("confidence"))
+
+
 @query("p14_p16_typed_verdict", f"""WITH {TYPED} SELECT cell, criterion_type, CASE WHEN NOT has_value THEN CASE WHEN conf >= 0.5 THEN 'FAIL' ELSE 'REVIEW' END
     WHEN criterion_type = 'numeric_threshold' THEN CASE WHEN amount >= 150000 THEN 'PASS' ELSE 'FAIL' END
     WHEN criterion_type = 'categorical_presence' THEN CASE WHEN NOT found THEN 'FAIL' WHEN is_valid THEN 'PASS' WHEN NOT is_valid THEN 'FAIL' ELSE 'REVIEW' END

@@ -94,9 +94,23 @@ def j11_upload_proximity(spark, sf_dir):
     SELECT x.tender_id, x.bidder_id AS a, y.bidder_id AS b, CAST(len(list_intersect(x.w, y.w)) AS INT) AS common, round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))), 4) AS score
     FROM b x JOIN b y ON x.tender_id = y.tender_id AND x.bidder_id < y.bidder_id AND len(list_intersect(x.w, y.w)) * 10 >= 6 * len(list_distinct(list_concat(x.w, y.w)))""")
 def j12_lookalike_companies(spark, sf_dir):
+    return pairs.token_pairs(_named(spark, sf_dir), ["tender_id"], "bidder_id", "words", 6, 10).withColumn("score", F.round("score", 4))
+
+
+def _named(spark, sf_dir):
     words = F.filter(F.split(V.company_key(F.col("p_name")), " "), lambda w: (w != "") & ~w.isin("the", "of", "and", "for", "in"))
-    names = table(spark, sf_dir, "part").select(F.col("p_brand").alias("tender_id"), F.col("p_partkey").alias("bidder_id"), words.alias("words"))
-    return pairs.token_pairs(names, ["tender_id"], "bidder_id", "words", 6, 10).withColumn("score", F.round("score", 4))
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("tender_id"), F.col("p_partkey").alias("bidder_id"), words.alias("words"))
+
+
+@query("j12_lookalike_classes", """WITH b AS (SELECT p_brand AS tender_id, p_partkey AS bidder_id, list_sort(list_distinct(list_filter(string_split(lower(p_name), ' '), lambda x: x <> '' AND x NOT IN ('the', 'of', 'and', 'for', 'in')))) AS w FROM part), c AS (SELECT tender_id, w, min(bidder_id) AS class FROM b GROUP BY 1, 2)
+    SELECT 'member' AS part, b.tender_id, class AS a, bidder_id AS b, NULL::DOUBLE AS score FROM b JOIN c ON c.tender_id = b.tender_id AND c.w = b.w
+    UNION ALL SELECT 'alike', x.tender_id, x.class, y.class, round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))), 4) FROM c x JOIN c y ON x.tender_id = y.tender_id AND x.class < y.class AND len(list_intersect(x.w, y.w)) * 10 >= 6 * len(list_distinct(list_concat(x.w, y.w)))""")
+def j12_lookalike_classes(spark, sf_dir):
+    """Who is in each class of equal names, and which classes are alike: no link between different names is lost."""
+    classes = pairs.token_classes(_named(spark, sf_dir), ["tender_id"], "bidder_id", "words")
+    alike = pairs.class_pairs(classes, ["tender_id"], 6, 10)
+    members = classes.select(F.lit("member").alias("part"), "tender_id", F.col("class").alias("a"), F.col("id").alias("b"), F.lit(None).cast("double").alias("score"))
+    return members.union(alike.select(F.lit("alike"), "tender_id", "a", "b", F.round("score", 4)))
 
 
 @query("j13_copied_prose", r"""WITH w AS (SELECT lang AS tender_id, source AS bidder, regexp_extract_all(lower(text), '[a-z'']+') AS w FROM documents),

@@ -29,7 +29,7 @@ def s6_registry_append(spark, sf_dir):
     UNION ALL SELECT DISTINCT p_brand, 'documents', CAST(to_json(struct_pack(doc_id := l_orderkey)) AS VARCHAR) FROM lineitem JOIN part ON l_partkey = p_partkey
     UNION ALL SELECT p_brand, 'timeline', CAST(to_json(struct_pack(at := l_shipdate::DATE::VARCHAR, event := l_returnflag, doc_id := l_orderkey)) AS VARCHAR) FROM lineitem JOIN part ON l_partkey = p_partkey
     UNION ALL SELECT tender_id, 'corrigenda', CAST(to_json(struct_pack(sequence_number := sequence_number, title := title, versions := versions)) AS VARCHAR) FROM corrigendum_v)
-    SELECT tender_id, part, count(*) AS records, min(record) AS first, max(record) AS last FROM x GROUP BY 1, 2""")
+    SELECT tender_id, part, record FROM x""")
 def s7_evidence_export(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", F.date_format("l_shipdate", "yyyy-MM-dd").alias("at"), F.col("l_returnflag").alias("event"), F.col("l_orderkey").alias("doc_id"))
     cited = lines.join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("tender_id")), F.col("l_partkey") == F.col("p_partkey"))
@@ -37,8 +37,26 @@ def s7_evidence_export(spark, sf_dir):
         "decisions": views.cells(spark, sf_dir).select("tender_id", "evaluation_id", "verdict", "route"), "documents": workflow.cited_documents(cited, cited.withColumn("complete", F.lit(True))),
         "timeline": cited.select("tender_id", "at", "event", "doc_id"), "corrigenda": corrigenda(spark, sf_dir),
     }
-    found = matrix.evidence_export(parts, new_path(spark, "export"))
-    return found.groupBy("tender_id", "part").agg(F.count("*").alias("records"), F.min("record").alias("first"), F.max("record").alias("last"))
+    return matrix.evidence_export(parts, new_path(spark, "export"))
+
+
+#: What may be kept already, by kind: its keys, its rows, and those kept; the same expressions serve both engines.
+KEPT = {
+    "citation": ("lineitem", "CAST(l_orderkey AS STRING)", "CAST(l_partkey AS STRING)", "l_linenumber > 2", "l_linenumber <= 2"), "response": ("lineitem", "CAST(l_suppkey AS STRING)", "CAST(l_linenumber AS STRING)", "l_quantity < 20", "l_quantity >= 45"),
+    "request": ("orders", "CAST(o_custkey AS STRING)", "o_orderpriority", "o_orderstatus <> 'F'", "o_orderstatus = 'F'"), "section": ("conversations", "CAST(conv_id AS STRING)", "role", "turn >= 3", "turn < 3"),
+}
+
+
+@query("j7_not_yet_kept", " UNION ALL ".join(f"(SELECT '{kind}' AS kind, {a} AS a, {b} AS b FROM {t} WHERE {new} EXCEPT SELECT '{kind}', {a}, {b} FROM {t} WHERE {old})" for kind, (t, a, b, new, old) in KEPT.items()))
+def j7_not_yet_kept(spark, sf_dir):
+    """Citations, responses, requests and sections that aren't kept yet, each once."""
+    found = None
+    for kind, (name, a, b, new, old) in KEPT.items():
+        rows = table(spark, sf_dir, name)
+        keyed = lambda w, rows=rows, a=a, b=b: rows.where(w).select(F.expr(a).alias("a"), F.expr(b).alias("b"))
+        one = workflow.not_yet(keyed(new), keyed(old), ["a", "b"]).select(F.lit(kind).alias("kind"), "a", "b")
+        found = one if found is None else found.union(one)
+    return found
 
 
 @query("p25_data_quality", """SELECT 'orders' AS table, 'status' AS rule, count(*) FILTER (o_orderstatus NOT IN ('O', 'F')) AS violations FROM orders UNION ALL SELECT 'orders', 'price', count(*) FILTER (NOT o_totalprice BETWEEN 1000 AND 300000) FROM orders

@@ -17,6 +17,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 
@@ -24,6 +25,8 @@ from bidloom.llm.common import buffer, keyed, lean, WHITE
 
 #: Distinct pieces are joined to texts of about this many bytes.
 JOIN_BYTES = 1 << 16
+#: Most pieces that a worker keeps the ids of.
+KNOWN_PIECES = 500_000
 
 
 def safe_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -42,19 +45,12 @@ def safe_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def pieces_to_ids(texts: pa.Array, encode_many: Callable[[list[str]], list], token_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, end to end, and len + 1 offsets.
-
-    ``encode_many`` is the library's encoder of a list of texts; ``token_bytes`` has each id's length. Distinct pieces that
-    begin with white space and end otherwise go to it joined, as the places between them are safe too.
-    """
-    data, offsets = buffer(texts)
-    cuts = safe_cuts(data, offsets)
-    if len(cuts) < 2:
-        return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-    coded = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-    _, at, raw = coded.dictionary.buffers()
-    at, raw = np.frombuffer(at, np.int32)[: len(coded.dictionary) + 1].astype(np.int64), np.frombuffer(raw, np.uint8)
+def _distinct_ids(distinct: pa.Array, encode_many: Callable[[list[str]], list], token_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of distinct pieces: (ids, first of each piece, number of each piece)."""
+    if not len(distinct):
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, at, raw = distinct.buffers()
+    at, raw = np.frombuffer(at, np.int32)[: len(distinct) + 1].astype(np.int64), np.frombuffer(raw, np.uint8)
     last, lead = raw[at[1:] - 1], raw[np.maximum(at[1:] - 2, 0)]
     joined = WHITE[raw[at[:-1]]] & (np.diff(at) > 1) & ((last > 0x20) & (last < 0x7F) | (last >= 0x80) & (lead > 0xC2) & (lead < 0xE0))
     order = np.concatenate([np.flatnonzero(joined), np.flatnonzero(~joined)])
@@ -73,6 +69,47 @@ def pieces_to_ids(texts: pa.Array, encode_many: Callable[[list[str]], list], tok
     start, count = np.zeros((2, len(order)), np.int64)
     count[order] = np.diff(stop, prepend=0)
     start[order] = stop - count[order]
+    return flat, start, count
+
+
+class Known:
+    """Pieces whose ids a worker keeps for later slices (about 50 bytes each): KNOWN_PIECES at most, then it begins anew."""
+
+    def __init__(self):
+        self.pieces, self.flat = pa.array([], pa.binary()), np.zeros(0, np.uint32)
+        self.start, self.count = np.zeros((2, 0), np.int64)
+
+    def ids(self, distinct: pa.Array, encode: Callable[[pa.Array], tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``encode`` of all distinct pieces, which gets those only that aren't known."""
+        where = pc.index_in(distinct, value_set=self.pieces)
+        new = where.is_null().to_numpy(zero_copy_only=False)
+        fresh = distinct.filter(pa.array(new))
+        ids, start, count = encode(fresh)
+        place = pc.fill_null(where, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[new] = len(self.pieces) + np.arange(len(fresh))
+        flat, starts, counts = np.concatenate([self.flat, ids]), np.concatenate([self.start, len(self.flat) + start]), np.concatenate([self.count, count])
+        out = flat, starts[place], counts[place]
+        if len(starts) > KNOWN_PIECES:
+            self.__init__()
+        else:
+            self.pieces, self.flat, self.start, self.count = pa.concat_arrays([self.pieces, fresh]), flat, starts, counts
+        return out
+
+
+def pieces_to_ids(texts: pa.Array, encode_many: Callable[[list[str]], list], token_bytes: np.ndarray, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, end to end, and len + 1 offsets.
+
+    ``encode_many`` is the library's encoder of a list of texts; ``token_bytes`` has each id's length. Distinct pieces that
+    begin with white space and end otherwise go to it joined, as the places between them are safe too. Pieces that are ``known``
+    from earlier texts aren't encoded again.
+    """
+    data, offsets = buffer(texts)
+    cuts = safe_cuts(data, offsets)
+    if len(cuts) < 2:
+        return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+    coded = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    encode = functools.partial(_distinct_ids, encode_many=encode_many, token_bytes=token_bytes)
+    flat, start, count = known.ids(coded.dictionary, encode) if known else encode(coded.dictionary)
     code = coded.indices.to_numpy(zero_copy_only=False)
     many = count[code]
     to = np.concatenate([[0], np.cumsum(many)])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from bidloom.llm.bpe import pieces_to_ids
+from bidloom.llm.bpe import Known, pieces_to_ids
 from bidloom.llm.common import keyed, materialise
 
 #: Pieces of one length that are ranked together; a longer list is ranked in parts, whose counts are summed.
@@ -44,7 +44,13 @@ def tokenizer(path: str) -> tuple[Tokenizer, np.ndarray]:
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of texts, end to end, and len + 1 offsets."""
     found, lengths = tokenizer(path)
-    return pieces_to_ids(texts, lambda many: [x.ids for x in found.encode_batch_fast(many, add_special_tokens=False)], lengths)
+    return pieces_to_ids(texts, lambda many: [x.ids for x in found.encode_batch_fast(many, add_special_tokens=False)], lengths, known(path))
+
+
+@functools.cache
+def known(path: str) -> Known:
+    """The pieces that this worker has encoded by a tokenizer."""
+    return Known()
 
 
 def cut(df: DataFrame, path: str, max_tokens: int = 1024, separator: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -98,3 +98,16 @@ def test_special_strings_are_the_librarys(spark):
 
 def test_packing_nothing(spark):
     assert packing.pack_documents(frame(spark, ["x"]).limit(0), JSON).count() == 0
+
+
+@pytest.mark.parametrize("most", [3, 40, bpe.KNOWN_PIECES])
+def test_known_pieces_give_the_same_ids(monkeypatch, most):
+    """Slice after slice, whatever number of pieces is kept, ids are the library's."""
+    monkeypatch.setattr(bpe, "KNOWN_PIECES", most)
+    packing.known.cache_clear()
+    r, plain = random.Random(most), Tokenizer.from_file(JSON)
+    for _ in range(8):
+        texts = ["".join(r.choice(["the ", "a", " of", "\n", "é", "日", "  ", "<|endoftext|>", "1", "'s"]) for _ in range(r.randint(0, 30))) for _ in range(12)] + [None, ""]
+        ids, at = packing.token_ids(pa.array(texts), JSON)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    packing.known.cache_clear()

@@ -111,21 +111,34 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def versions(changes: DataFrame, keys: list[str], order: list[str], fields: list[str], valid_from: str) -> DataFrame:
     """A history with carried-forward fields (W6): version numbers from 1, null fields keep their last value, valid_to is the
-    next version's start, and the last version is current."""
-    by = Window.partitionBy(*keys).orderBy(*order)
-    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return changes.select(
-        *keys, *(F.last(f, ignorenulls=True).over(upto).alias(f) for f in fields), F.row_number().over(by).alias("version"), F.col(valid_from).alias("valid_from"),
-        F.lead(valid_from).over(by).alias("valid_to"), F.lead(valid_from).over(by).isNull().alias("is_current"),
-    )
+    next version's start, and the last version is current.
+
+    Fields and numbers are carried in segments and the next start is read in tiles of version numbers, so one key may have any
+    number of versions. A version whose successor has a null start isn't current, but has no end.
+    """
+    values = {f: ("last", F.col(f"_{f}")) for f in fields} | {"version": ("sum", F.lit(1).cast("bigint"))}
+    told = changes.select(*keys, *(F.col(c).alias(f"_order{i}") for i, c in enumerate(order)), F.col(valid_from).alias("valid_from"), *(F.col(f).alias(f"_{f}") for f in fields))
+    run = segments.running(told, keys, [f"_order{i}" for i in range(len(order))], values).select(*keys, *fields, "version", "valid_from")
+    ended = segments.framed(run, keys, "version", 0, 1, {"valid_to": lambda w: F.lead("valid_from").over(w), "_next": lambda w: F.lead("version").over(w)})
+    return ended.withColumn("is_current", F.col("_next").isNull()).drop("_next")
 
 
 def revisions(edits: DataFrame, keys: list[str], order: list[str], body: str, author: str) -> DataFrame:
     """Revisions of sections (W5): edits that change nothing are dropped; each has the body before and after, and the section's
-    authorship then: ai until an officer edits, then co-authored, and ai again when it is regenerated."""
-    by = Window.partitionBy(*keys).orderBy(*order)
-    changed = edits.withColumn("body_before", F.lag(body).over(by)).where(F.col("body_before").isNull() | (F.trim("body_before") != F.trim(body)))
-    return changed.select(*keys, *order, F.row_number().over(by).alias("revision"), "body_before", F.col(body).alias("body_after"), F.when(F.col(author) == "ai", "ai").otherwise("co-authored").alias("authored_by"))
+    authorship then: ai until an officer edits, then co-authored, and ai again when it is regenerated. A section's edits are
+    compared and numbered in segments, so it may have any number of them."""
+    seen = segments.previous(edits.select(*keys, *order, body, author), keys, order, body, "body_before")
+    changed = seen.where(F.col("body_before").isNull() | (F.trim("body_before") != F.trim(body)))
+    told = changed.select(*keys, *order, "body_before", F.col(body).alias("body_after"), F.when(F.col(author) == "ai", "ai").otherwise("co-authored").alias("authored_by"))
+    return segments.ranked(told, keys, order, "revision")
+
+
+def event_context(events: DataFrame, key: str, order: str, reach: int, wanted: Column) -> DataFrame:
+    """The wanted events with ``around`` (W10): the ``order`` values of the ``reach`` events before and after each in its log, and its
+    own, in order. ``order`` is an event's id and is never null. A log is numbered in segments and read in tiles, so it may have any length."""
+    placed = segments.ranked(events, [key], [order], "_place")
+    around = lambda w: F.collect_list(order).over(w.rowsBetween(-reach, reach))
+    return segments.framed(placed, [key], "_place", reach, reach, {"around": around}).where(wanted).drop("_place")
 
 
 def corrigendum_numbers(documents: DataFrame, stored: DataFrame, key: str = "tender_id", document: str = "document") -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidloom.operators import segments
+
 
 def exact_moments(value: str) -> tuple[Column, Column, Column]:
     """(n, mean, population deviation) from exact decimal sums, so the result doesn't depend on row order."""
@@ -71,10 +73,10 @@ def shared_value(rows: DataFrame, keys: list[str], value: Column, bidder: str, l
 
 
 def sequential_instruments(instruments: DataFrame, keys: list[str], number: str, bidder: str, most: int = 5, high_at: int = 2) -> DataFrame:
-    """Neighbouring instrument numbers of different bidders at most ``most`` apart (W2): the first run of four digits or more counts."""
+    """Neighbouring instrument numbers of different bidders at most ``most`` apart (W2): the first run of four digits or more counts.
+    Neighbours are found in segments, so a key may have any number of instruments."""
     digits = F.regexp_extract(F.col(number), r"(\d{4,})", 1)
     numbered = instruments.select(*keys, F.col(bidder).alias("a"), digits.try_cast("decimal(38,0)").alias("number")).where("number is not null")
-    order = Window.partitionBy(*keys).orderBy("number", "a")
-    near = numbered.select("*", F.lead("a").over(order).alias("b"), F.lead("number").over(order).alias("next"))
-    near = near.where((F.col("a") != F.col("b")) & (F.col("next") - F.col("number") <= most)).withColumn("gap", (F.col("next") - F.col("number")).cast("bigint"))
+    seen = segments.previous(numbered.withColumn("_self", F.struct("a", "number")), keys, ["number", "a"], "_self", "_before")
+    near = seen.select(*keys, F.col("_before.a").alias("a"), F.col("a").alias("b"), (F.col("number") - F.col("_before.number")).alias("gap")).where((F.col("a") != F.col("b")) & (F.col("gap") <= most)).withColumn("gap", F.col("gap").cast("bigint"))
     return near.select(*keys, "a", "b", "gap", F.when(F.col("gap") <= high_at, "high").otherwise("medium").alias("severity"))

@@ -8,9 +8,12 @@ how even the segments are, never the result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
+from pyspark.sql.window import WindowSpec
 
 #: Most segments, and rows of the sample that their limits come from.
 PARTS = 128
@@ -107,3 +110,22 @@ def previous(rows: DataFrame, keys: list[str], order: list[str], value: str, nam
 def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str, parts: int = PARTS) -> DataFrame:
     """The rows with their number within their key, from 1."""
     return running(rows, keys, order, {name: ("sum", F.lit(1).cast("bigint"))}, parts)
+
+
+#: Rows of a tile of ``framed``.
+TILE = 4096
+
+
+def framed(rows: DataFrame, keys: list[str], number: str, before: int, after: int, columns: dict[str, Callable[[WindowSpec], Column]], size: int = TILE) -> DataFrame:
+    """The rows with columns over at most ``before`` rows before and ``after`` rows after each one in its key.
+
+    ``number`` counts a key's rows from 1 without gaps, as ``ranked`` gives it. ``columns`` makes each column from a window that is
+    ordered by it. A key is cut into tiles of ``size`` rows; a row near an end of its tile is a guest in the next one too, so each
+    tile has all that its own rows look at, and no task holds a key.
+    """
+    tile = lambda n: F.floor((n - 1) / size)
+    n = F.col(number)
+    sent = rows.select("*", F.explode(F.sequence(tile(F.greatest(n - after, F.lit(1))), tile(n + before))).alias("_tile"))
+    window = Window.partitionBy(*keys, "_tile").orderBy(number)
+    found = sent.select("*", *(make(window).alias(name) for name, make in columns.items()))
+    return found.where(F.col("_tile") == tile(n)).drop("_tile")

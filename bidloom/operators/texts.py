@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bidloom.functions import values as V
 from bidloom.operators import segments
+from bidloom.operators.dealt import dealt_join
 
 #: Patterns of amounts, certificates, dates, attestations, injected instructions and active content.
 RUPEES = r"(?i)(?:Rs\.?|INR|₹)\s*([\d,]+(?:\.\d+)?)\s*(?:\(\s*[A-Za-z][A-Za-z\s\-]{0,40}\)\s*)?(crore|lakh|lac|cr|l)\b"
@@ -197,16 +198,16 @@ def checklist_matches(items: DataFrame, documents: DataFrame) -> DataFrame:
     items (tender_id, item_id, label, wants_type), documents (tender_id, bidder_id, doc_id, filename, doc_type). The score is the
     share of label tokens in the file name, and 0.3 more for the type; under 0.4 nothing fits, from 0.7 on the item is present,
     else partial. Items and documents meet on a token of their tender, so documents that can't score aren't compared; what a
-    bidder misses is looked for within its tender.
+    bidder misses is looked for within its tender. A tender or token with most of all rows is joined by blocks.
     """
     wanted = items.select("tender_id", "item_id", tokens(F.col("label")).alias("label_tokens"), F.lower("wants_type").alias("wants_type")).where(F.size("label_tokens") > 0)
     own = documents.select("tender_id", "bidder_id", "doc_id", tokens(F.col("filename")).alias("file_tokens"), F.lower("doc_type").alias("doc_type"))
     one = wanted.select("tender_id", "item_id", "wants_type", F.size("label_tokens").alias("size"), F.explode("label_tokens").alias("token"))
     two = own.select("tender_id", "bidder_id", "doc_id", "doc_type", F.explode("file_tokens").alias("token"))
-    met = one.join(two, ["tender_id", "token"]).groupBy("tender_id", "item_id", "bidder_id", "doc_id").agg(F.count("*").alias("common"), F.first("size").alias("size"), F.first(F.col("wants_type") == F.col("doc_type")).alias("same"))
+    met = dealt_join(one, two, ["tender_id", "token"], ["item_id"], ["bidder_id", "doc_id"]).groupBy("tender_id", "item_id", "bidder_id", "doc_id").agg(F.count("*").alias("common"), F.first("size").alias("size"), F.first(F.col("wants_type") == F.col("doc_type")).alias("same"))
     score = F.round(F.col("common") / F.col("size") + F.when(F.col("same"), 0.3).otherwise(0.0), 4)
     best = met.select("tender_id", "item_id", "bidder_id", "doc_id", score.alias("score")).where("score >= 0.4").groupBy("tender_id", "item_id", "bidder_id").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("order"))).alias("best"))
-    every = wanted.select("tender_id", "item_id").join(own.select("tender_id", "bidder_id").distinct(), "tender_id")
+    every = dealt_join(wanted.select("tender_id", "item_id"), own.select("tender_id", "bidder_id").distinct(), ["tender_id"], ["item_id"], ["bidder_id"])
     joined = every.join(best, ["tender_id", "item_id", "bidder_id"], "left")
     state = F.when(F.col("best.score") >= 0.7, "present").when(F.col("best").isNotNull(), "partial").otherwise("missing")
     return joined.select("tender_id", "item_id", "bidder_id", (-F.col("best.order")).alias("doc_id"), state.alias("state"), F.least(F.lit(1.0), F.coalesce("best.score", F.lit(0.0))).alias("confidence"))

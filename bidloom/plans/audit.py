@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bidloom.functions import values as V
-from bidloom.operators import history, listings, matrix
+from bidloom.operators import history, listings, matrix, segments
 from bidloom.plans.registry import query
 from bidloom.sources import views
 from bidloom.sources.tables import table
@@ -130,10 +130,8 @@ def w6_criterion_versions(spark, sf_dir):
 @query("w5_section_revisions", """WITH x AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN lag(text) OVER (PARTITION BY conv_id ORDER BY turn) || ' ' ELSE text END AS body, role FROM conversations), b AS (SELECT *, lag(body) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM x), k AS (SELECT * FROM b WHERE before IS NULL OR trim(before) <> trim(body))
     SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS revision, CASE WHEN role = 'assistant' THEN 'ai' ELSE 'co-authored' END AS authored_by FROM k""")
 def w5_section_revisions(spark, sf_dir):
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("conv_id").orderBy("turn")
-    edits = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 2, F.concat(F.lag("text").over(by), F.lit(" "))).otherwise(F.col("text")).alias("body"), F.when(F.col("role") == "assistant", "ai").otherwise("officer").alias("author"))
+    turns = segments.previous(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), ["conv_id"], ["turn"], "text", "before")
+    edits = turns.select("conv_id", "turn", F.when(F.col("turn") % 3 == 2, F.concat("before", F.lit(" "))).otherwise(F.col("text")).alias("body"), F.when(F.col("role") == "assistant", "ai").otherwise("officer").alias("author"))
     return history.revisions(edits, ["conv_id"], ["turn"], "body", "author").select("conv_id", "turn", "revision", "authored_by")
 
 
@@ -154,10 +152,8 @@ def w7_corrigendum_numbers(spark, sf_dir):
 @query("j14_version_in_force", """WITH v AS (SELECT o_custkey AS k, o_orderdate AS created, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version FROM orders), f AS (SELECT l_orderkey, l_linenumber, l_partkey, o_custkey AS k, l_shipdate AS shipped FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
     SELECT l_orderkey, l_linenumber, l_partkey, shipped, (SELECT max(version) FROM v WHERE v.k = f.k AND v.created <= f.shipped) AS version_in_force FROM f""")
 def j14_version_in_force(spark, sf_dir):
-    from pyspark.sql import Window
-
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("created"))
-    versions = orders.withColumn("version", F.row_number().over(Window.partitionBy("k").orderBy("created", "o_orderkey")))
+    versions = segments.ranked(orders, ["k"], ["created", "o_orderkey"], "version")
     facts = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_shipdate").alias("shipped")).join(orders.select("o_orderkey", "k"), F.col("l_orderkey") == F.col("o_orderkey"))
     return history.as_of(facts.drop("o_orderkey"), versions, "k", "shipped", "created", "version").select("l_orderkey", "l_linenumber", "l_partkey", "shipped", F.col("version_in_force").cast("bigint").alias("version_in_force"))
 
@@ -174,10 +170,8 @@ def w9_keyset_page_back(spark, sf_dir):
 
 @query("w10_event_context", "WITH w AS (SELECT user_id, event_id, event_type, list(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS around FROM events) SELECT user_id, event_id, around FROM w WHERE event_type = 'error'")
 def w10_event_context(spark, sf_dir):
-    from pyspark.sql import Window
-
-    near = F.collect_list("event_id").over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-3, 3))
-    return table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", near.alias("around")).where("event_type = 'error'").drop("event_type")
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return history.event_context(events, "user_id", "event_id", 3, F.col("event_type") == "error").drop("event_type")
 
 
 @query("w11_recent_merged", "WITH k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) SELECT user_id, event_id FROM k WHERE k <= 5 ORDER BY event_id DESC LIMIT 12")

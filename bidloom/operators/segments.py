@@ -1,13 +1,14 @@
 """Running values within keys of any size: a key that holds a large part of all rows is spread over many tasks.
 
-Rows are cut into segments by points in the order of (keys, order), as a range partitioning would. A key without a point of its
-own lies in one segment. A value runs within (keys, segment), and each later segment of a key adds what its earlier ones end
-with. There are at most as many such segments as points, so what they carry is broadcast. Points come from a sample; they decide
-how even the segments are, never the result.
+Rows are cut into segments by points in the order of (keys, order), as a range partitioning would. Only keys with several points,
+which hold about a 128th of the rows or more, are cut; where there is none, all is one plain window. A value runs within (keys,
+segment), and each later segment of a key adds what its earlier ones end with. There are at most as many such segments as points,
+so what they carry is broadcast. Points come from a sample; they decide how even the segments are, never the result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,7 +30,7 @@ def _sortable(rows: DataFrame, name: str) -> Column:
 
 
 class Cut:
-    """The points of a table's order by (keys, order)."""
+    """The points of a table's order by (keys, order) at which large keys are cut."""
 
     def __init__(self, rows: DataFrame, keys: list[str], order: list[str], parts: int = PARTS, sample: int = SAMPLE):
         self.keys, columns = keys, [_sortable(rows, c).alias(f"c{i}") for i, c in enumerate([*keys, *order])]
@@ -38,7 +39,9 @@ class Cut:
         drawn = rows.select(*columns, F.xxhash64(*keys, *order, F.monotonically_increasing_id()).alias("draw")).orderBy("draw").limit(sample)
         found = sorted({tuple(r[c] for c in names) for r in drawn.select(*names).collect()}, key=lambda t: [(v is not None, v) for v in t])
         at = sorted({len(found) * i // parts for i in range(1, parts)} - {0}) if found else []
-        self.points = [found[i] for i in at]
+        drawn_points = [found[i] for i in at]
+        held = Counter(p[: len(keys)] for p in drawn_points)
+        self.points = [p for p in drawn_points if held[p[: len(keys)]] > 1]
         self._point = lambda p: F.struct(*(F.lit(v).cast(k).alias(n) for v, k, n in zip(p, kinds, names, strict=True)))
         self._row = F.struct(*columns)
         own = {p[: len(keys)] for p in self.points}
@@ -76,9 +79,11 @@ def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str
     cut = Cut(rows, keys, order, parts)
     inputs = [f"_in_{n}" for n in values]
     wide = rows.select("*", *(c.alias(i) for i, (_, c) in zip(inputs, values.values(), strict=True)), cut.segment().alias("_segment"))
-    upto = Window.partitionBy(*keys, "_segment").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.partitionBy(*keys, *(["_segment"] if cut.points else [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     over = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
     run = wide.select("*", *(over[fn](i).over(upto).alias(f"_own_{n}") for i, (n, (fn, _)) in zip(inputs, values.items(), strict=True)))
+    if not cut.points:
+        return run.select(*rows.columns, *(F.col(f"_own_{n}").alias(n) for n in values))
     before = _carried(wide.where(cut.divided), keys, order, [(n, fn, i) for i, (n, (fn, _)) in zip(inputs, values.items(), strict=True)])
     joined = run.join(F.broadcast(before), _same(run, keys), "left")  # at most a row for each point
     merge = {"sum": lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b), "max": lambda a, b: F.greatest(a, b), "last": lambda a, b: F.coalesce(a, b)}
@@ -99,6 +104,8 @@ def _carried(wide: DataFrame, keys: list[str], order: list[str], values: list[tu
 def previous(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str, parts: int = PARTS) -> DataFrame:
     """The rows with the value of the row before them in their key, null for a key's first row."""
     cut = Cut(rows, keys, order, parts)
+    if not cut.points:
+        return rows.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
     wide = rows.withColumn("_segment", cut.segment())
     by = Window.partitionBy(*keys, "_segment").orderBy(*order)
     run = wide.select("*", F.lag(value).over(by).alias("_own"), (F.row_number().over(by) == 1).alias("_first"))

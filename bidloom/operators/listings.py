@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from bidloom.operators.matrix import CELL, top_flags
+from bidloom.operators.matrix import top_flags
 
 
 def listing(rows: DataFrame, where: Column, order: list[Column], size: int, columns: list[str]) -> DataFrame:
@@ -51,9 +51,16 @@ def tender_summary(cells: DataFrame) -> DataFrame:
 
 
 def recommendations(counts: DataFrame) -> DataFrame:
-    """(tender_id, bidder_id, list, reviews): whether each bidder is qualified or excluded (A15), by over 30 % FAIL. Rows, as a tender may
-    have any number of bidders."""
-    return counts.select(*CELL, F.when(10 * F.col("fails") <= 3 * F.col("total"), "qualified").otherwise("excluded").alias("list"), "reviews")
+    """(tender_id, qualified, excluded, open_count): each tender's bidders in order, excluded by over 30 % FAIL, and its open cells.
+
+    ``counts`` as ``verdict_counts`` gives them by bidder. A list without bidders is null. Only ids are gathered, so a list grows by
+    one id for each bidder, whatever the number of cells.
+    """
+    ok = 10 * F.col("fails") <= 3 * F.col("total")
+    # wrapped, as collect_list drops null ids; sorted as plain ids, nulls last
+    ids = lambda when: F.array_sort(F.transform(F.collect_list(F.when(when, F.struct("bidder_id"))), lambda x: x["bidder_id"]))
+    found = counts.groupBy("tender_id").agg(ids(ok).alias("qualified"), ids(~ok).alias("excluded"), F.sum("reviews").alias("open_count"))
+    return found.withColumns({n: F.when(F.size(n) > 0, F.col(n)) for n in ("qualified", "excluded")})
 
 
 def brief(cells: DataFrame, flags: DataFrame, most_items: int = 8, most_risks: int = 6) -> DataFrame:

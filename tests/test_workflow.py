@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from bidloom.functions import values as V
-from bidloom.operators import detectors, evidence, matrix, texts, workflow
+from bidloom.operators import detectors, evidence, listings, matrix, texts, workflow
+from bidloom.plans import registry
+from tests.conftest import SMALL
 
 BIDDERS = [  # tender, bidder, company, pan, gstin, address, instrument, number, signatories, letter
     ("t", 1, "Ganga Steel Works Pvt Ltd", "AAACB1234Z", "06AAACB1234Z1Z5", "Plot 1", "DD", "DD-100001", ["Mr. P. Sharma"], "one two three four five six seven eight nine ten eleven"),
@@ -130,3 +132,23 @@ def test_text_of_pages_up_to_a_limit(spark, most):
     for marked in (True, False):
         want = {d: "\n".join((f"[Page {n}]\n" if marked else "") + (t or "") for e, n, t in sorted(pages, key=lambda p: p[:2]) if e == d)[:most] for d in (1, 2, 3)}
         assert {x["doc"]: x["text"] for x in texts.assembled(frame, "doc", "n", "t", most, marked).collect()} == want
+
+
+def test_recommendation_lists(spark):
+    """A tender's lists hold all its bidders in order, at 30 % FAIL too and without an id; an empty list is null, open cells add up."""
+    counts = [("t", b, fails, reviews, total) for b, fails, reviews, total in ((12, 0, 1, 3), (3, 3, 0, 10), (None, 0, 2, 2), (7, 4, 0, 10), (1, 1, 1, 3))] + [("u", 5, 1, 0, 1), (None, 6, 0, 0, 1)]
+    frame = spark.createDataFrame(counts, "tender_id string, bidder_id long, fails long, reviews long, total long").repartition(4)
+    found = {x["tender_id"]: (x["qualified"], x["excluded"], x["open_count"]) for x in listings.recommendations(frame).collect()}
+    assert found == {"t": ([3, 12, None], [1, 7], 4), "u": (None, [5], 0), None: ([6], None, 0)}
+
+
+def test_recommendation_lists_of_the_tables(spark):
+    """One row for each tender, whose lists and open cells are those of all its bidders."""
+    want = {}
+    for x in registry.QUERIES["a1_verdict_distribution"](spark, SMALL).collect():
+        lists = want.setdefault(x["tender_id"], ([], [], [0]))
+        lists[10 * x["fails"] > 3 * x["total"]].append(x["bidder_id"])
+        lists[2][0] += x["reviews"]
+    found = registry.QUERIES["a15_recommendation_lists"](spark, SMALL).collect()
+    assert len(found) == len(want)
+    assert {x["tender_id"]: (x["qualified"] or [], x["excluded"] or [], [x["open_count"]]) for x in found} == {k: (sorted(a), sorted(b), n) for k, (a, b, n) in want.items()}

@@ -8,15 +8,17 @@ Tables, by name (a detector reads those that it needs):
 - ``documents``: tender_id, bidder_id, doc_id, sha256, producer, creator, modified (whole seconds)
 
 Flags have tender_id, flag_type, severity, bidder_ids (array of text) and subject, from which ``matrix.merged_flags`` makes one
-key for equal findings.
+key for equal findings, and ``alone`` for two bidders, sorted, where no other flag can have that key: pairs of bidders grow with the square of their number, and
+those that are found once each needn't be brought together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from bidloom.functions import values as V
 from bidloom.operators import pairs, pools
@@ -47,9 +49,19 @@ def screen(tables: Tables, names: list[str] | None = None, stored: DataFrame | N
     return merged_flags([DETECTORS[n](tables) for n in (names or DETECTORS)], stored)
 
 
-def _flags(found: DataFrame, kind: str, severity: str | Column, bidders: Column, subject: Column | None = None) -> DataFrame:
+def _flags(found: DataFrame, kind: str, severity: str | Column, bidders: Column, subject: Column | None = None, alone: Column | None = None) -> DataFrame:
     worth = F.lit(severity) if isinstance(severity, str) else severity
-    return found.select("tender_id", F.lit(kind).alias("flag_type"), worth.alias("severity"), bidders.cast("array<string>").alias("bidder_ids"), (F.lit(None) if subject is None else subject).cast("string").alias("subject"))
+    return found.select("tender_id", F.lit(kind).alias("flag_type"), worth.alias("severity"), bidders.cast("array<string>").alias("bidder_ids"), (F.lit(None) if subject is None else subject).cast("string").alias("subject"), (F.lit(False) if alone is None else alone).alias("alone"))
+
+
+def _as_text(bidders: DataFrame) -> DataFrame:
+    """Bidders whose ids are texts before they are paired, so an id is written once and not in each of its pairs."""
+    return bidders.withColumn("bidder_id", F.col("bidder_id").cast("string"))
+
+
+def _told_apart(bidders: DataFrame) -> Column:
+    """Whether different bidder ids can't make one key: numbers can't, texts with commas or in other case could."""
+    return F.lit(isinstance(bidders.schema["bidder_id"].dataType, IntegralType))
 
 
 @detector("round_number")
@@ -111,8 +123,8 @@ def _signatory(tables: Tables) -> DataFrame:
 
 @detector("cover_letter_overlap")
 def _letters(tables: Tables) -> DataFrame:
-    found = pairs.copied_prose(tables["bidders"], "tender_id", "bidder_id", "letter")
-    return _flags(found, "cover_letter_overlap", "high", F.array("a", "b"))
+    found = pairs.copied_prose(_as_text(tables["bidders"]), "tender_id", "bidder_id", "letter", sample=False)
+    return _flags(found, "cover_letter_overlap", "high", F.array("a", "b"), alone=_told_apart(tables["bidders"]))
 
 
 @detector("benford_violation")
@@ -143,5 +155,7 @@ def _metadata(tables: Tables) -> DataFrame:
 @detector("entity_resolution_match")
 def _entity(tables: Tables) -> DataFrame:
     words = F.filter(F.split(V.company_key(F.col("company_name")), " "), lambda w: (w != "") & ~w.isin(*COMMON))
-    found = pairs.token_pairs(tables["bidders"].withColumn("_words", words), ["tender_id"], "bidder_id", "_words", 6, 10)
-    return _flags(found, "entity_resolution_match", "high", F.array("a", "b"))
+    several = F.count("*").over(Window.partitionBy("tender_id", "bidder_id")) > 1  # rows of a bidder under several names
+    named = _as_text(tables["bidders"]).withColumns({"_words": words, "_several": several})
+    found = pairs.token_pairs(named, ["tender_id"], "bidder_id", "_words", 6, 10, "_several")
+    return _flags(found, "entity_resolution_match", "high", F.array("a", "b"), alone=_told_apart(tables["bidders"]) & ~F.col("_several"))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from bidloom.functions import values as V
@@ -121,6 +123,19 @@ def test_range_pairs_are_all_pairs(spark, times):
     assert found == expected
 
 
+def test_range_pairs_send_rows_little_more_than_once(spark, monkeypatch):
+    """Tiles, small batches, owners, equal times and ids, nulls and early times; no join, and few guests."""
+    r = random.Random(3)
+    made = [(r.choice(["k", "k", "j", None]), r.choice([*range(400), None]), r.choice([None, *range(-3000, 3000, 7)]), r.choice([1, 2, 3, None]), r.random() < 0.5) for _ in range(900)]
+    frame = spark.createDataFrame(made, "k string, id int, at long, owner int, fresh boolean")
+    monkeypatch.setattr(pairs, "MOST", 50)
+    found = pairs.range_pairs(frame, ["k"], "at", 50, "id", "owner", "fresh")
+    near = lambda x, y: None not in (x[0], x[2], y[2], x[3], y[3]) and x[0] == y[0] and 0 <= y[2] - x[2] <= 50 and x[3] != y[3] and (x[4] or y[4]) and (y[2] > x[2] or None not in (x[1], y[1]) and x[1] < y[1])
+    assert sorted(map(str, found.collect())) == sorted(str(Row(k=x[0], a=x[1], b=y[1], gap=y[2] - x[2])) for x in made for y in made if near(x, y))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(sets=st.lists(st.lists(st.sampled_from("abcdefg"), max_size=6), min_size=1, max_size=9))
 def test_token_pairs_are_exact(spark, sets):

@@ -100,6 +100,20 @@ def test_bursts_by_bucket(spark):
     assert found == sorted((x[0], x[3], y[3]) for x in made for y in made if x[0] == y[0] and x[1] != y[1] and (x[2], x[3]) < (y[2], y[3]) and (y[2] - x[2]).total_seconds() <= 600)
 
 
+def test_bursts_over_batches(spark):
+    """Rows of any batch meet those of all others, however late they come."""
+    r = random.Random(3)
+    begin = datetime.datetime(2024, 1, 1)
+    made = [(r.choice("kkj"), r.randrange(4), begin + datetime.timedelta(microseconds=r.randrange(9_000_000_000)), i) for i in range(120)]
+    parts = [spark.createDataFrame(made[i : i + 40], "key string, owner int, ts timestamp, id int") for i in (0, 40, 80)]
+    path = new_path(spark, "bursts")
+    want = sorted((x[0], x[3], y[3]) for x in made for y in made if x[0] == y[0] and x[1] != y[1] and (x[2], x[3]) < (y[2], y[3]) and (y[2] - x[2]).total_seconds() <= 600)
+    found = logs.burst_pairs(stream_of(spark, parts, "in"), "key", "owner", "ts", "id", path)
+    assert sorted(map(tuple, found.collect())) == want and want
+    again = logs.burst_pairs(stream_of(spark, parts[:1], "in").select("key", "owner", "ts", "id"), "key", "owner", "ts", "id", new_path(spark, "bursts"))
+    assert set(map(tuple, again.collect())) == {x for x in want if x[1] < 40 and x[2] < 40}
+
+
 def test_replay_at_thousands_of_times(spark):
     """Counts and states at every point against a walk over all cells; ties of a time are settled by id."""
     r = random.Random(9)
